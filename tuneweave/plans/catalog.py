@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-_MODULES = ("q_tokens", "q_order", "q_adapters")
+_MODULES = ("q_tokens", "q_order", "q_adapters", "q_features")
 
 
 def registry() -> dict[str, tuple]:
