@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.numeric import round_to
+
 from ..functions.arrays import join_ints, pad_clip, value_mask
 from ..functions.specials import DEFAULT_SYSTEM_MESSAGE, IGNORE_INDEX, PAD_ID
 from ..operators.chat import sft_tokens, system_tokens
@@ -71,7 +73,7 @@ def attention_density(spark: SparkSession, sf_dir: str) -> DataFrame:
     mask = value_mask(pad_clip(F.col("input_ids"), MAX_SEQ_LEN, PAD_ID, "right"), PAD_ID)
     n_real = F.aggregate(mask, F.lit(0).cast("long"), lambda a, m: a + m)
     return t.select("conv_id", n_real.alias("n_real")).select(
-        "conv_id", "n_real", F.round(F.col("n_real") / F.lit(float(MAX_SEQ_LEN)), 6).alias("density"))
+        "conv_id", "n_real", round_to(F.col("n_real") / F.lit(float(MAX_SEQ_LEN)), 6).alias("density"))
 
 
 # ------------------------------------------------------------------ oracle SQL
