@@ -50,11 +50,17 @@ def chat_token_items(turns: DataFrame, vocab: Vocabulary, form: str = "sft",
     """
     turns = _check_roles(turns.select(conv_col, turn_col, role_col, text_col), role_col,
                          on_unknown_role)
-    pieces = turns.select(
-        F.col(conv_col), F.col(turn_col), F.col(role_col),
-        F.size(words(F.col(role_col))).alias("__nr"),
-        F.size(words(F.coalesce(F.col(text_col), F.lit("")))).alias("__nt"),
-        F.posexplode(_turn_words(F.col(role_col), F.col(text_col))).alias("__pos", "__w"))
+    # split once per turn, before the explode: expressions next to a generator
+    # are evaluated per generated row
+    split = turns.select(
+        F.col(conv_col), F.col(turn_col), F.col(role_col), words(F.col(role_col)).alias("__rw"),
+        words(F.coalesce(F.col(text_col), F.lit(""))).alias("__tw"))
+    split = split.select(
+        conv_col, turn_col, role_col, F.size("__rw").alias("__nr"), F.size("__tw").alias("__nt"),
+        F.concat(F.array(F.lit(IM_START)), F.col("__rw"), F.array(F.lit(NEWLINE)), F.col("__tw"),
+                 F.array(F.lit(IM_END), F.lit(NEWLINE))).alias("__ws"))
+    pieces = split.select(conv_col, turn_col, role_col, "__nr", "__nt",
+                          F.posexplode("__ws").alias("__pos", "__w"))
     pos, nr, nt = F.col("__pos"), F.col("__nr"), F.col("__nt")
     is_asst = F.col(role_col) == "assistant"
     if form == "sft":

@@ -61,13 +61,24 @@ def pack_blocks(tokens: DataFrame, block_size: int, rows_per_group: int = 1000,
     g = g.withColumn("__end", end)
     first_blk = F.floor(F.col("__off") / b).cast("long")
     last_blk = F.floor((F.col("__end") - 1) / b).cast("long")
-    pieces = g.select("group_id", "__off", "__end", "__ids",
-                      F.explode(F.sequence(first_blk, last_blk)).alias("block_id"))
-    lo = F.greatest(F.col("__off"), F.col("block_id") * b)
-    hi = F.least(F.col("__end"), (F.col("block_id") + 1) * b)
-    pieces = pieces.select(
-        "group_id", "block_id", lo.alias("__start"),
-        F.slice("__ids", (lo - F.col("__off") + 1).cast("int"), (hi - lo).cast("int")).alias("__s"))
+
+    def cut(k):
+        lo = F.greatest(F.col("__off"), k * b)
+        hi = F.least(F.col("__end"), (k + 1) * b)
+        return F.struct(k.alias("block_id"), lo.alias("__start"),
+                        F.slice("__ids", F.greatest(lo - F.col("__off") + 1, F.lit(1)).cast("int"),
+                                F.greatest(hi - lo, F.lit(0)).cast("int")).alias("__s"))
+
+    # cut every row into its block slices first, then explode the slices (an
+    # exploded row never carries the whole id array). The expressions are safe
+    # on any row: the planner may evaluate them next to the filter above.
+    blocks_of = F.when(last_blk >= first_blk, F.sequence(first_blk, last_blk)).otherwise(
+        F.array().cast("array<bigint>"))
+    cuts = g.select("group_id", F.transform(blocks_of, cut).alias("__cuts"))
+    # explode_outer: no size() filter is inferred (it would run the cut twice)
+    pieces = cuts.select("group_id", F.explode_outer("__cuts").alias("__c")).filter(
+        F.col("__c").isNotNull()).select(
+        "group_id", "__c.block_id", "__c.__start", "__c.__s")
     blocks = pieces.groupBy("group_id", "block_id").agg(
         F.sort_array(F.collect_list(F.struct("__start", "__s"))).alias("__parts"))
     ids = F.flatten(F.transform("__parts", lambda x: x["__s"]))

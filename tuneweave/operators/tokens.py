@@ -88,7 +88,7 @@ class Vocabulary:
 
 
 def build_vocabulary(texts: Sequence[Column] | Column, df: DataFrame,
-                     hot_size: int = 200_000,
+                     hot_size: int = 1_000_000,
                      broadcast_budget_bytes: int = 64 * 1024 * 1024) -> Vocabulary:
     """T1 vocabulary job: count whitespace words of the given text columns and
     number them ``FIRST_WORD_ID + rank`` by (count desc, word asc)."""
@@ -138,8 +138,9 @@ def tokenize(df: DataFrame, text: str | Column, vocab: Vocabulary, key_cols: Seq
     of the text. Rows whose text has no words keep an empty array; a null text
     gives a null array."""
     tcol = F.col(text) if isinstance(text, str) else text
-    occ = df.select(*key_cols, tcol.isNull().alias("__null"),
-                    F.posexplode_outer(words(tcol)).alias("__pos", "__w"))
+    # split before the explode so no generated row carries the text
+    split = df.select(*key_cols, tcol.isNull().alias("__null"), words(tcol).alias("__ws"))
+    occ = split.select(*key_cols, "__null", F.posexplode_outer("__ws").alias("__pos", "__w"))
     occ = attach_ids(occ, vocab, "__w", "__id")
     item = F.when(F.col("__pos").isNotNull(), F.struct(F.col("__pos"), F.col("__id")))
     grouped = occ.groupBy(*key_cols).agg(F.max("__null").alias("__null"),

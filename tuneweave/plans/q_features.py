@@ -13,7 +13,7 @@ from ..functions.specials import ENDOFTEXT, IGNORE_INDEX, PAD_ID
 from ..operators.batches import batch_ids, mini_batches, prompt_collate, reward_collate
 from ..operators.chat import sft_tokens
 from ..operators.features import pack_blocks, phase2_tuple, phase3_tuple
-from ..operators.order import rank_shards, seeded_rank
+from ..operators.order import dense_index, rank_shards, seeded_rank
 from ..operators.tokens import build_vocabulary, eot_features, tokenize, words
 from ..sinks.token_cache import cache_rows
 from ..sources.files import unsupervised_text_column
@@ -107,8 +107,11 @@ def pack_blocks_q(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     text_col = unsupervised_text_column(docs)
     vocab = build_vocabulary(F.col(text_col), docs)
-    tok = tokenize(docs.select("doc_id", text_col), text_col, vocab, ["doc_id"], "input_ids")
-    blocks = pack_blocks(tok, BLOCK_SIZE, ROWS_PER_GROUP, ["doc_id"])
+    # number the raw rows first (narrow: id and text), so the token arrays are
+    # produced once, already carrying their position
+    indexed = dense_index(docs.select("doc_id", text_col), ["doc_id"], "idx")
+    tok = tokenize(indexed, text_col, vocab, ["doc_id", "idx"], "input_ids")
+    blocks = pack_blocks(tok, BLOCK_SIZE, ROWS_PER_GROUP, indexed=True)
     return blocks.select("group_id", "block_id", join_ints(F.col("input_ids")).alias("input_ids"),
                          F.size("input_ids").cast("long").alias("n_tokens"))
 
