@@ -23,7 +23,8 @@ def report_buckets(log: DataFrame, report: Column, keys: Sequence[str] = ("rank"
     previous report up to and including the report row; it carries over epoch
     ends; a trailing bucket without a report row is never emitted."""
     keys = list(keys)
-    pos = sequence_positions(log.withColumn("__r", report.cast("int")), keys, list(order_by))
+    narrow = log.select(*keys, *order_by, value, weight, report.cast("int").alias("__r"))
+    pos = sequence_positions(narrow, keys, list(order_by))
     counted = running_sums(pos, keys, "t", {"__before": F.col("__r")}, exclusive=True)
     agg = counted.groupBy(*keys, F.col("__before").alias("bucket")).agg(
         F.sum("__r").alias("__reports"),
@@ -40,7 +41,7 @@ def cumulative_mean(log: DataFrame, keys: Sequence[str] = ("rank",),
                     order_by: Sequence[str] = ("epoch", "step"), value: str = "loss") -> DataFrame:
     """M3: running mean per key (``total / count`` after every update)."""
     keys = list(keys)
-    pos = sequence_positions(log, keys, list(order_by))
+    pos = sequence_positions(log.select(*keys, *order_by, value), keys, list(order_by))
     run = running_sums(pos, keys, "t", {"__sum": F.col(value).cast("double")})
     return run.withColumn("cum_mean", F.col("__sum") / (F.col("t") + 1)).drop("__sum")
 
@@ -49,7 +50,7 @@ def ema(log: DataFrame, keys: Sequence[str] = ("rank",), order_by: Sequence[str]
         value: str = "loss", alpha: float = 0.9) -> DataFrame:
     """M4: exponential moving average per key (first value seeds)."""
     keys = list(keys)
-    pos = sequence_positions(log, keys, list(order_by))
+    pos = sequence_positions(log.select(*keys, *order_by, value), keys, list(order_by))
     return exponential_mean(pos, keys, "t", F.col(value), alpha)
 
 
