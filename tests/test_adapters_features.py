@@ -105,3 +105,20 @@ def test_mini_batches_keep_complete_buffers(spark):
     for r in out:
         minis.setdefault((r.buffer_id, r.mini_id), []).append(r.pos)
     assert sorted(len(v) for v in minis.values()) == [1, 1, 1, 1, 3, 3, 3]
+
+
+def test_pack_text_blocks_equals_tokenize_then_pack(spark):
+    from tuneweave.operators.features import pack_text_blocks
+    from tuneweave.operators.order import dense_index
+    from tuneweave.operators.tokens import build_vocabulary, tokenize
+
+    texts = [(i, " ".join(f"w{(i * 7 + j) % 13}" for j in range(n)))
+             for i, n in enumerate([5, 0, 17, 3, 40, 1, 9, 2, 33])]
+    df = spark.createDataFrame(texts, "doc_id long, text string")
+    v = build_vocabulary(F.col("text"), df)
+    idx = dense_index(df, ["doc_id"], "idx")
+    fused = pack_text_blocks(idx, "text", v, 8, 4).collect()
+    tok = tokenize(idx, "text", v, ["doc_id", "idx"], "input_ids")
+    two_step = pack_blocks(tok, 8, 4, indexed=True).collect()
+    assert sorted((r.group_id, r.block_id, r.input_ids) for r in fused) == \
+        sorted((r.group_id, r.block_id, r.input_ids) for r in two_step)

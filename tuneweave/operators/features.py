@@ -84,3 +84,41 @@ def pack_blocks(tokens: DataFrame, block_size: int, rows_per_group: int = 1000,
     ids = F.flatten(F.transform("__parts", lambda x: x["__s"]))
     return blocks.select("group_id", "block_id", ids.alias("input_ids")).withColumn(
         "labels", F.col("input_ids"))
+
+
+def pack_text_blocks(indexed: DataFrame, text_col: str, vocab, block_size: int,
+                     rows_per_group: int = 1000, index_col: str = "idx") -> DataFrame:
+    """T6 + X6 fused for raw text: the same blocks as tokenizing every row and
+    calling :func:`pack_blocks`, without ever building a row's id array.
+
+    Word counts per row give in-group offsets (a window over at most
+    ``rows_per_group`` rows, no ids yet); every word gets its position inside
+    the group before the explode, words past the kept length are dropped,
+    ids are attached by the vocabulary join and one shuffle on
+    ``(group, block)`` assembles blocks of at most ``block_size`` ids. A very
+    long row is spread over many blocks instead of becoming one hot group.
+    """
+    from .tokens import attach_ids, words
+
+    d = indexed.select(F.expr(f"{index_col} div {int(rows_per_group)}").alias("group_id"),
+                       F.col(index_col), words(F.col(text_col)).alias("__ws"))
+    d = d.withColumn("__len", F.size("__ws"))
+    w_prev = Window.partitionBy("group_id").orderBy(index_col).rowsBetween(
+        Window.unboundedPreceding, -1)
+    w_all = Window.partitionBy("group_id")
+    d = (d.withColumn("__off", F.coalesce(F.sum("__len").over(w_prev), F.lit(0)).cast("long"))
+         .withColumn("__tot", F.sum("__len").over(w_all).cast("long")))
+    b = F.lit(block_size).cast("long")
+    keep = F.when(F.col("__tot") >= b, F.floor(F.col("__tot") / b) * b).otherwise(F.col("__tot"))
+    d = d.withColumn("__keep", keep.cast("long"))
+    d = d.filter((F.col("__len") > 0) & (F.col("__off") < F.col("__keep")))
+    occ = d.select("group_id", "__off", "__keep", F.posexplode("__ws").alias("__pos", "__w"))
+    occ = occ.select("group_id", (F.col("__off") + F.col("__pos")).alias("__g"), "__keep", "__w")
+    occ = occ.filter(F.col("__g") < F.col("__keep")).drop("__keep")
+    occ = attach_ids(occ, vocab, "__w", "__id")
+    occ = occ.withColumn("block_id", F.expr(f"__g div {int(block_size)}"))
+    blocks = occ.groupBy("group_id", "block_id").agg(
+        F.sort_array(F.collect_list(F.struct("__g", "__id"))).alias("__items"))
+    ids = F.transform("__items", lambda x: x["__id"])
+    return blocks.select("group_id", "block_id", ids.alias("input_ids")).withColumn(
+        "labels", F.col("input_ids"))

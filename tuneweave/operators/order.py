@@ -30,14 +30,16 @@ def _as_sort_cols(cols: Sequence[str | Column]) -> list[Column]:
 
 def dense_index(df: DataFrame, order_by: Sequence[str | Column],
                 index_col: str = "idx", partition_by: Sequence[str] | None = None,
-                num_partitions: int | None = None) -> DataFrame:
+                num_partitions: int | None = None, return_count: bool = False):
     """V1: 0-based dense position of every row in ``order_by`` order.
 
     With ``partition_by`` the position restarts at 0 in every group. Rows equal
     on the whole key get distinct consecutive positions (they are
     interchangeable). The per-partition numbering is materialised once so that
     the offset pass and the numbering pass see the same rows even after an
-    executor loss or an adaptive re-plan.
+    executor loss or an adaptive re-plan. With ``return_count`` (global index
+    only) the row count comes back too, taken from the per-partition counts
+    instead of another pass.
     """
     spark = df.sparkSession
     n = num_partitions or shuffle_partitions(spark)
@@ -52,12 +54,19 @@ def dense_index(df: DataFrame, order_by: Sequence[str | Column],
     stored = materialize(tagged, "dense-index")
     local = F.col(_MID) - F.shiftleft(F.col(_PID).cast("long"), 33)
     if not groups:
-        counts = stored.groupBy(_PID).agg(F.count(F.lit(1)).alias("__n"))
-        w = Window.orderBy(_PID).rowsBetween(Window.unboundedPreceding, -1)
-        offsets = counts.select(_PID, F.coalesce(F.sum("__n").over(w), F.lit(0)).alias("__off"))
-        # one row per shuffle partition: bounded, safe to broadcast
-        out = stored.join(F.broadcast(offsets), _PID).withColumn(index_col, F.col("__off") + local)
-        return out.drop(_PID, _MID, "__off")
+        # one row per shuffle partition: bounded by the partition count, so it
+        # is collected and broadcast
+        counts = sorted((r[0], r[1]) for r in stored.groupBy(_PID).count().collect())
+        offsets, run = [], 0
+        for pid, cnt in counts:
+            offsets.append((pid, run))
+            run += cnt
+        off_df = spark.createDataFrame(offsets or [(0, 0)], f"{_PID} int, __off long")
+        out = stored.join(F.broadcast(off_df), _PID).withColumn(index_col, F.col("__off") + local)
+        out = out.drop(_PID, _MID, "__off")
+        return (out, run) if return_count else out
+    if return_count:
+        raise ValueError("return_count is only available for a global index")
     counts = stored.groupBy(_PID, *groups).agg(
         F.count(F.lit(1)).alias("__n"), F.min(_MID).alias("__first"))
     w = Window.partitionBy(*groups).orderBy(_PID).rowsBetween(Window.unboundedPreceding, -1)
@@ -76,11 +85,13 @@ def shuffle_key(seed: int, id_cols: Sequence[str | Column]) -> Column:
 
 
 def seeded_rank(df: DataFrame, seed: int, id_cols: Sequence[str], rank_col: str = "rank",
-                partition_by: Sequence[str] | None = None) -> DataFrame:
+                partition_by: Sequence[str] | None = None, return_count: bool = False):
     """V2: seeded shuffle. ``rank`` is the 0-based position after ordering by
     ``md5(seed-id)``; ids break the (astronomically rare) digest ties."""
     keyed = df.withColumn("__h", shuffle_key(seed, id_cols))
-    out = dense_index(keyed, ["__h", *id_cols], rank_col, partition_by)
+    out = dense_index(keyed, ["__h", *id_cols], rank_col, partition_by, return_count=return_count)
+    if return_count:
+        return out[0].drop("__h"), out[1]
     return out.drop("__h")
 
 
@@ -120,8 +131,8 @@ def exact_split(df: DataFrame, data_split: str, seed: int, id_cols: Sequence[str
                 n: int | None = None) -> DataFrame:
     """Seeded shuffle, then exact proportional parts of the shuffled order.
     The only driver value is the row count."""
-    ranked = seeded_rank(df, seed, id_cols, rank_col)
-    n = ranked.count() if n is None else n
+    ranked, counted = seeded_rank(df, seed, id_cols, rank_col, return_count=True)
+    n = counted if n is None else n
     bounds = split_bounds(data_split, n)
     return ranked.withColumn(part_col, part_of(F.col(rank_col), bounds))
 

@@ -97,9 +97,9 @@ def build_vocabulary(texts: Sequence[Column] | Column, df: DataFrame,
     occurrences = reduce(lambda a, b: a.unionByName(b), pieces)
     occurrences = occurrences.filter(~F.col("word").isin(list(SPECIAL_IDS)))
     counts = occurrences.groupBy("word").agg(F.count(F.lit(1)).alias("n"))
-    ranked = dense_index(counts, [F.col("n").desc(), F.col("word").asc()], "__rank")
+    ranked, size = dense_index(counts, [F.col("n").desc(), F.col("word").asc()], "__rank",
+                               return_count=True)
     table = ranked.select("word", "n", (F.col("__rank") + FIRST_WORD_ID).alias("token_id"))
-    size = table.count()
     hot = min(hot_size, size)
     # measure the broadcast side; shrink it until it fits the budget
     while hot > 0:
@@ -190,6 +190,14 @@ class WhitespaceTokenizer:
         return [self.encode(t) for t in texts]
 
 
+class CodePointTokenizer:
+    """Vocabulary-free plug-in: one id per Unicode code point,
+    ``ord(ch) + FIRST_WORD_ID`` (ids below stay reserved for specials)."""
+
+    def encode_batch(self, texts: list[str | None]) -> list[list[int] | None]:
+        return [None if t is None else [ord(c) + FIRST_WORD_ID for c in t] for t in texts]
+
+
 class HFTokenizerFile:
     """Factory for a tokenizer saved as a ``tokenizers`` JSON file on shared
     storage; loaded once per Python worker."""

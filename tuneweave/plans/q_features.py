@@ -12,7 +12,7 @@ from ..functions.arrays import join_ints, labels_from_mask
 from ..functions.specials import ENDOFTEXT, IGNORE_INDEX, PAD_ID
 from ..operators.batches import batch_ids, mini_batches, prompt_collate, reward_collate
 from ..operators.chat import sft_tokens
-from ..operators.features import pack_blocks, phase2_tuple, phase3_tuple
+from ..operators.features import pack_text_blocks, phase2_tuple, phase3_tuple
 from ..operators.order import dense_index, rank_shards, seeded_rank
 from ..operators.tokens import build_vocabulary, eot_features, tokenize, words
 from ..sinks.token_cache import cache_rows
@@ -107,11 +107,10 @@ def pack_blocks_q(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     text_col = unsupervised_text_column(docs)
     vocab = build_vocabulary(F.col(text_col), docs)
-    # number the raw rows first (narrow: id and text), so the token arrays are
-    # produced once, already carrying their position
+    # number the raw rows (narrow: id and text), then go from words straight to
+    # blocks: no per-document id array is ever assembled
     indexed = dense_index(docs.select("doc_id", text_col), ["doc_id"], "idx")
-    tok = tokenize(indexed, text_col, vocab, ["doc_id", "idx"], "input_ids")
-    blocks = pack_blocks(tok, BLOCK_SIZE, ROWS_PER_GROUP, indexed=True)
+    blocks = pack_text_blocks(indexed, text_col, vocab, BLOCK_SIZE, ROWS_PER_GROUP)
     return blocks.select("group_id", "block_id", join_ints(F.col("input_ids")).alias("input_ids"),
                          F.size("input_ids").cast("long").alias("n_tokens"))
 
@@ -146,9 +145,11 @@ def token_cache_last_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # ------------------------------------------------------------ sampling, B1-4
 
-def _shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _shards(spark: SparkSession, sf_dir: str, with_count: bool = False):
     docs = table(spark, sf_dir, "documents").select("doc_id")
-    return rank_shards(seeded_rank(docs, SEED, ["doc_id"]), WORLD)
+    ranked, n = seeded_rank(docs, SEED, ["doc_id"], return_count=True)
+    out = rank_shards(ranked, WORLD, n=n)
+    return (out, n) if with_count else out
 
 
 def rank_shards_q(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -161,8 +162,7 @@ def batch_ids_q(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def mini_batches_q(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = _shards(spark, sf_dir)
-    n = table(spark, sf_dir, "documents").count()
+    s, n = _shards(spark, sf_dir, with_count=True)
     per_shard = -(-n // WORLD)
     b = batch_ids(s, TRAIN_BATCH)
     return mini_batches(b, TRAIN_BATCH, MAX_BUFFER, SMALL_BATCH, per_shard).select(

@@ -10,7 +10,7 @@ from ..functions.numeric import round_to
 from ..functions.arrays import join_ints, pad_clip, value_mask
 from ..functions.specials import DEFAULT_SYSTEM_MESSAGE, IGNORE_INDEX, PAD_ID
 from ..operators.chat import sft_tokens, system_tokens
-from ..operators.tokens import build_vocabulary
+from ..operators.tokens import CodePointTokenizer, build_vocabulary, tokenize_with
 from . import sqlkit as q
 from .tables import table
 
@@ -76,6 +76,14 @@ def attention_density(spark: SparkSession, sf_dir: str) -> DataFrame:
         "conv_id", "n_real", round_to(F.col("n_real") / F.lit(float(MAX_SEQ_LEN)), 6).alias("density"))
 
 
+def plugin_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A plug-in tokenizer applied in Arrow batches (built once per worker)."""
+    conv = table(spark, sf_dir, "conversations").select("conv_id", "turn", "text")
+    t = tokenize_with(conv, "text", CodePointTokenizer, "ids")
+    return t.select("conv_id", "turn", F.size("ids").cast("long").alias("n_ids"),
+                    join_ints(F.col("ids")).alias("ids"))
+
+
 # ------------------------------------------------------------------ oracle SQL
 
 CONV_VOCAB = q.vocab_cte([("conversations", "text"), ("conversations", "role")])
@@ -158,8 +166,14 @@ SELECT conv_id, array_to_string(ids, ',') AS input_ids, array_to_string(lab, ','
        CAST(len(list_filter(ids, lambda x: x <> {PAD_ID})) AS BIGINT) AS n_attended FROM full_"""
 
 
+SQL_PLUGIN = """SELECT conv_id, turn, CAST(len(cp) AS BIGINT) AS n_ids, array_to_string(cp, ',') AS ids
+FROM (SELECT conv_id, turn, CASE WHEN text = '' THEN []::INTEGER[]
+             ELSE list_transform(string_split(text, ''), lambda c: unicode(c) + 5) END AS cp
+      FROM conversations)"""
+
 QUERIES = {
     "vocab_ids": (vocab_ids, SQL_VOCAB_IDS),
+    "plugin_tokens": (plugin_tokens, SQL_PLUGIN),
     "sft_tokens": (sft_tokens_q, SQL_SFT_TOKENS),
     "sft_system_tokens": (sft_system_tokens, _sql_system()),
     "pad_clip_right": (pad_clip_right, _sql_pad("right")),
