@@ -214,8 +214,8 @@ def _strip(x: str) -> str:
 
 
 def _human_sql(p: str, c: str, r: str | None) -> tuple[str, ...]:
-    return (_h(p), f"' ' || {c}", f"' ' || {r}" if r else "NULL", _hj(p, c),
-            _hj(p, r) if r else "NULL")
+    return (_h(p), f"' ' || {c}", f"' ' || {r}" if r else "CAST(NULL AS VARCHAR)", _hj(p, c),
+            _hj(p, r) if r else "CAST(NULL AS VARCHAR)")
 
 
 _W0 = ("CASE WHEN TRY_CAST(score_0 AS DOUBLE) IS NULL OR TRY_CAST(score_1 AS DOUBLE) IS NULL "
@@ -239,9 +239,9 @@ SQL_OUTPUTS = {
     "stanfordnlp/SHP": _human_sql("history", _SHP.format(a="human_ref_A", b="human_ref_B"),
                                   _SHP.format(a="human_ref_B", b="human_ref_A")),
     "pvduy/sharegpt_alpaca_oa_vicuna_format": (
-        _SG_P, f"CASE WHEN {_SG_OK.format(c='label')} THEN ' ' || label END", "NULL",
+        _SG_P, f"CASE WHEN {_SG_OK.format(c='label')} THEN ' ' || label END", "CAST(NULL AS VARCHAR)",
         f"CASE WHEN {_SG_OK.format(c='prompt')} AND {_SG_OK.format(c='label')} THEN "
-        f"{_SG_P} || ' ' || label END", "NULL"),
+        f"{_SG_P} || ' ' || label END", "CAST(NULL AS VARCHAR)"),
     "local/jsonfile": ("' ' || prompt", "' ' || chosen", "' ' || rejected",
                        "' ' || prompt || ' ' || chosen", "' ' || prompt || ' ' || rejected"),
     "wangrui6/Zhihu-KOL": _human_sql("INSTRUCTION", "RESPONSE", None),
