@@ -126,3 +126,16 @@ def test_masks_and_labels(spark):
 
 def test_py_words_matches_split_rules():
     assert py_words(" a\tb\n\nc<|im_end|>d ") == ["a", "b", "c", "<|im_end|>", "d"]
+
+
+def test_plugin_chat_template_equals_vocabulary_job(spark, turns):
+    from tuneweave.operators.chat import sft_tokens_with
+
+    v = build_vocabulary([F.col("text"), F.col("role")], turns)
+    vocab = _vocab_dict(v)
+    job = {r.conv_id: (r.input_ids, r.labels)
+           for r in sft_tokens(turns, v, on_unknown_role="drop_turn").collect()}
+    plug = {r.conv_id: (r.input_ids, r.labels)
+            for r in sft_tokens_with(turns, lambda: WhitespaceTokenizer(vocab),
+                                     SPECIAL_IDS["<|im_end|>"], on_unknown_role="drop_turn").collect()}
+    assert job == plug

@@ -138,3 +138,33 @@ def conversations_to_turns(df: DataFrame, id_col: str, conv_col: str = "conversa
                      F.posexplode(conv_col).alias("turn", "__t")).select(
         "conv_id", F.col("turn").cast("long"), F.col("__t.role").alias("role"),
         F.col("__t.content").alias("text"))
+
+
+def sft_tokens_with(turns: DataFrame, factory, im_end_id: int, newline: str = NEWLINE,
+                    conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role",
+                    text_col: str = "text", on_unknown_role: str = "error") -> DataFrame:
+    """T2 with a plug-in tokenizer (E1): per turn ``enc("<|im_start|>" + role)
+    + enc("\\n") + enc(content) + [im_end] + enc("\\n")``, each piece encoded
+    separately in Arrow batches; user turns unsupervised, assistant turns
+    supervised after role and newline. One shuffle by conversation assembles
+    the sorted turns."""
+    from .tokens import tokenize_with
+
+    turns = _check_roles(turns.select(conv_col, turn_col, role_col, text_col), role_col,
+                         on_unknown_role)
+    nl_ids = factory().encode_batch([newline])[0]  # a literal, encoded once
+    t = turns.withColumn("__role_text", F.concat(F.lit(IM_START), F.col(role_col)))
+    t = t.withColumn("__content", F.coalesce(F.col(text_col), F.lit("")))
+    t = tokenize_with(t, "__role_text", factory, "__rids")
+    t = tokenize_with(t, "__content", factory, "__cids")
+    nl = F.array(*[F.lit(i) for i in nl_ids]) if nl_ids else F.array().cast("array<int>")
+    ids = F.concat(F.col("__rids"), nl, F.col("__cids"), F.array(F.lit(im_end_id)), nl)
+    n_mask = F.size("__rids") + F.lit(len(nl_ids))
+    labels = F.when(F.col(role_col) == "assistant", F.transform(
+        ids, lambda x, i: F.when(i < n_mask, F.lit(IGNORE_INDEX)).otherwise(x))).otherwise(
+        F.transform(ids, lambda x: F.lit(IGNORE_INDEX)))
+    per_turn = t.select(conv_col, F.struct(F.col(turn_col).alias("turn"), ids.alias("ids"),
+                                           labels.alias("labels")).alias("__t"))
+    conv = per_turn.groupBy(conv_col).agg(F.sort_array(F.collect_list("__t")).alias("__ts"))
+    return conv.select(conv_col, F.flatten(F.transform("__ts", lambda x: x["ids"])).alias("input_ids"),
+                       F.flatten(F.transform("__ts", lambda x: x["labels"])).alias("labels"))

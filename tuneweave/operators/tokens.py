@@ -184,6 +184,8 @@ class WhitespaceTokenizer:
     def encode(self, text: str | None) -> list[int] | None:
         if text is None:
             return None
+        if text == NEWLINE:  # a newline piece is the newline token, as in the chat template
+            return [SPECIAL_IDS[NEWLINE]]
         return [SPECIAL_IDS.get(w, self.vocab.get(w, UNK_ID)) for w in py_words(text)]
 
     def encode_batch(self, texts: list[str | None]) -> list[list[int] | None]:
