@@ -17,7 +17,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import materialize, shuffle_partitions
+from ..session import materialize
 
 _PID = "__pid"
 _MID = "__mid"
@@ -42,11 +42,14 @@ def dense_index(df: DataFrame, order_by: Sequence[str | Column],
     instead of another pass.
     """
     spark = df.sparkSession
-    n = num_partitions or shuffle_partitions(spark)
     groups = list(partition_by or [])
     sort_cols = [F.col(g) for g in groups] + _as_sort_cols(order_by) + [F.col(_TB)]
-    tagged = (df.withColumn(_TB, F.monotonically_increasing_id())
-              .repartitionByRange(n, *sort_cols)
+    keyed = df.withColumn(_TB, F.monotonically_increasing_id())
+    # without an explicit count, adaptive execution may coalesce small range
+    # partitions; partition ids are read after the shuffle, so either is exact
+    ranged = (keyed.repartitionByRange(num_partitions, *sort_cols) if num_partitions
+              else keyed.repartitionByRange(*sort_cols))
+    tagged = (ranged
               .sortWithinPartitions(*sort_cols)
               .withColumn(_PID, F.spark_partition_id())
               .withColumn(_MID, F.monotonically_increasing_id())
