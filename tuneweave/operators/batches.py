@@ -69,3 +69,10 @@ def mini_batches(df: DataFrame, batch_size: int, max_size: int, small_batch_size
         "mini_id",
         ((F.col(batch_col) % max_size) * per_batch
          + F.expr(f"{row_col} div {int(small_batch_size)}")).cast("long"))
+
+
+def collate_with(df: DataFrame, fn, schema, batch_cols: tuple[str, ...] = ("shard", "batch_id")
+                 ) -> DataFrame:
+    """A custom collator as ``applyInPandas`` over one batch at a time
+    (a group is bounded by the batch size); use only when B1-B3 do not fit."""
+    return df.groupBy(*batch_cols).applyInPandas(fn, schema)
