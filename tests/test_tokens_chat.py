@@ -55,10 +55,11 @@ def test_vocabulary_ranks_by_count_then_word(spark, turns):
 
 def test_sft_tokens_match_plain_python(spark, turns):
     v = build_vocabulary([F.col("text"), F.col("role")], turns)
-    got = {r.conv_id: (r.input_ids, r.labels)
-           for r in sft_tokens(turns, v, on_unknown_role="drop_turn").collect()}
     want = _py_sft(TURNS, _vocab_dict(v))
-    assert got == want
+    for strategy in ("join", "map"):
+        got = {r.conv_id: (r.input_ids, r.labels)
+               for r in sft_tokens(turns, v, on_unknown_role="drop_turn", strategy=strategy).collect()}
+        assert got == want
     for ids, labels in got.values():
         assert len(ids) == len(labels)
 
@@ -86,7 +87,11 @@ def test_system_form_labels_and_padding(spark, turns):
 def test_plugin_tokenizer_equals_vocabulary_job(spark, turns):
     v = build_vocabulary(F.col("text"), turns)
     vocab = _vocab_dict(v)
-    job = {r.turn: r.ids for r in tokenize(turns.filter("conv_id = 1"), "text", v, ["turn"], "ids").collect()}
+    job = {r.turn: r.ids for r in tokenize(turns.filter("conv_id = 1"), "text", v, ["turn"], "ids",
+                                           strategy="join").collect()}
+    mapped = {r.turn: r.ids for r in tokenize(turns.filter("conv_id = 1"), "text", v, ["turn"], "ids",
+                                              strategy="map").collect()}
+    assert job == mapped
     plug = {r.turn: r.ids for r in tokenize_with(turns.filter("conv_id = 1"), "text",
                                                  lambda: WhitespaceTokenizer(vocab), "ids").collect()}
     assert job == plug
@@ -95,8 +100,9 @@ def test_plugin_tokenizer_equals_vocabulary_job(spark, turns):
 def test_null_and_empty_texts(spark):
     df = spark.createDataFrame([(1, None), (2, ""), (3, "a a b")], "k int, t string")
     v = build_vocabulary(F.col("t"), df)
-    got = {r.k: r.ids for r in tokenize(df, "t", v, ["k"], "ids").collect()}
-    assert got[1] is None and got[2] == [] and got[3] == [5, 5, 6]
+    for strategy in ("join", "map"):
+        got = {r.k: r.ids for r in tokenize(df, "t", v, ["k"], "ids", strategy=strategy).collect()}
+        assert got[1] is None and got[2] == [] and got[3] == [5, 5, 6]
 
 
 def test_eot_features_truncate_pad_and_mask(spark):
@@ -137,5 +143,6 @@ def test_plugin_chat_template_equals_vocabulary_job(spark, turns):
            for r in sft_tokens(turns, v, on_unknown_role="drop_turn").collect()}
     plug = {r.conv_id: (r.input_ids, r.labels)
             for r in sft_tokens_with(turns, lambda: WhitespaceTokenizer(vocab),
-                                     SPECIAL_IDS["<|im_end|>"], on_unknown_role="drop_turn").collect()}
+                                     SPECIAL_IDS["<|im_end|>"], on_unknown_role="drop_turn",
+                                     newline_ids=[SPECIAL_IDS["\n"]]).collect()}
     assert job == plug

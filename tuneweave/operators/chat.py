@@ -79,8 +79,19 @@ def chat_token_items(turns: DataFrame, vocab: Vocabulary, form: str = "sft",
 
 def sft_tokens(turns: DataFrame, vocab: Vocabulary, conv_col: str = "conv_id",
                turn_col: str = "turn", role_col: str = "role", text_col: str = "text",
-               on_unknown_role: str = "error") -> DataFrame:
-    """``(conv_id, input_ids, labels)``, unpadded, no system turn."""
+               on_unknown_role: str = "error", strategy: str = "auto") -> DataFrame:
+    """``(conv_id, input_ids, labels)``, unpadded, no system turn.
+
+    With a vocabulary inside the broadcast budget (``strategy='auto'``) each
+    turn is tokenized map-side and only per-turn arrays are shuffled to their
+    conversation; otherwise word occurrences go through the vocabulary join."""
+    factory = vocab.map_side_factory() if strategy != "join" else None
+    if factory is not None:
+        from ..functions.specials import SPECIAL_IDS
+        return sft_tokens_with(turns, factory, SPECIAL_IDS[IM_END], conv_col=conv_col,
+                               turn_col=turn_col, role_col=role_col, text_col=text_col,
+                               on_unknown_role=on_unknown_role,
+                               newline_ids=[SPECIAL_IDS[NEWLINE]])
     items = chat_token_items(turns, vocab, "sft", conv_col, turn_col, role_col, text_col,
                              on_unknown_role)
     return items.select(
@@ -142,7 +153,8 @@ def conversations_to_turns(df: DataFrame, id_col: str, conv_col: str = "conversa
 
 def sft_tokens_with(turns: DataFrame, factory, im_end_id: int, newline: str = NEWLINE,
                     conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role",
-                    text_col: str = "text", on_unknown_role: str = "error") -> DataFrame:
+                    text_col: str = "text", on_unknown_role: str = "error",
+                    newline_ids: list[int] | None = None) -> DataFrame:
     """T2 with a plug-in tokenizer (E1): per turn ``enc("<|im_start|>" + role)
     + enc("\\n") + enc(content) + [im_end] + enc("\\n")``, each piece encoded
     separately in Arrow batches; user turns unsupervised, assistant turns
@@ -152,7 +164,7 @@ def sft_tokens_with(turns: DataFrame, factory, im_end_id: int, newline: str = NE
 
     turns = _check_roles(turns.select(conv_col, turn_col, role_col, text_col), role_col,
                          on_unknown_role)
-    nl_ids = factory().encode_batch([newline])[0]  # a literal, encoded once
+    nl_ids = newline_ids if newline_ids is not None else factory().encode_batch([newline])[0]
     t = turns.withColumn("__role_text", F.concat(F.lit(IM_START), F.col(role_col)))
     t = t.withColumn("__content", F.coalesce(F.col(text_col), F.lit("")))
     t = tokenize_with(t, "__role_text", factory, "__rids")

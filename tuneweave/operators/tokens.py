@@ -75,6 +75,19 @@ class Vocabulary:
         return self.table.filter(F.col("token_id") >= FIRST_WORD_ID + self.hot_size).select(
             "word", "token_id")
 
+    def map_side_factory(self):
+        """A plug-in factory holding the whole vocabulary as a broadcast
+        dictionary, or ``None`` when the vocabulary exceeds the measured
+        broadcast budget (then the join path is the only exact way). Built once
+        per vocabulary."""
+        if self.size > self.hot_size:
+            return None
+        if getattr(self, "_factory", None) is None:
+            words_ids = {r["word"]: r["token_id"] for r in self.hot().collect()}  # bounded: measured
+            bc = self.table.sparkSession.sparkContext.broadcast(words_ids)
+            self._factory = BroadcastVocabulary(bc)
+        return self._factory
+
     def ids_for(self, text: str) -> list[int]:
         """Ids of a short literal text (template pieces, system messages).
         Only the literal's own words are fetched: bounded by its length."""
@@ -133,11 +146,25 @@ def attach_ids(occ: DataFrame, vocab: Vocabulary, word_col: str = "word",
 
 
 def tokenize(df: DataFrame, text: str | Column, vocab: Vocabulary, key_cols: Sequence[str],
-             ids_col: str = "input_ids") -> DataFrame:
+             ids_col: str = "input_ids", strategy: str = "auto") -> DataFrame:
     """T1 by the vocabulary job: ``key_cols`` (unique per row) and the id array
     of the text. Rows whose text has no words keep an empty array; a null text
-    gives a null array."""
+    gives a null array.
+
+    ``strategy='map'`` (chosen by ``'auto'`` when the whole vocabulary fits the
+    measured broadcast budget) looks words up map-side against the broadcast
+    vocabulary in Arrow batches: no shuffle at all. ``'join'`` explodes word
+    occurrences, joins them to the vocabulary (hot words broadcast, tail words
+    shuffled) and regroups per row; it is exact for any vocabulary size."""
     tcol = F.col(text) if isinstance(text, str) else text
+    if strategy not in ("auto", "map", "join"):
+        raise ValueError("strategy must be 'auto', 'map' or 'join'")
+    factory = vocab.map_side_factory() if strategy != "join" else None
+    if strategy == "map" and factory is None:
+        raise ValueError("vocabulary exceeds the broadcast budget; use the join strategy")
+    if factory is not None:
+        src = df.select(*key_cols, tcol.alias("__t"))
+        return tokenize_with(src, "__t", factory, ids_col).drop("__t")
     # split before the explode so no generated row carries the text
     split = df.select(*key_cols, tcol.isNull().alias("__null"), words(tcol).alias("__ws"))
     occ = split.select(*key_cols, "__null", F.posexplode_outer("__ws").alias("__pos", "__w"))
@@ -184,14 +211,23 @@ class WhitespaceTokenizer:
     def encode(self, text: str | None) -> list[int] | None:
         if text is None:
             return None
-        if text == NEWLINE:  # a newline piece is the newline token, as in the chat template
-            return [SPECIAL_IDS[NEWLINE]]
         return [SPECIAL_IDS.get(w, self.vocab.get(w, UNK_ID)) for w in py_words(text)]
 
     def encode_batch(self, texts: list[str | None]) -> list[list[int] | None]:
         return [self.encode(t) for t in texts]
 
 
+class BroadcastVocabulary:
+    """Picklable factory: a :class:`WhitespaceTokenizer` over a broadcast
+    vocabulary dictionary (read once per worker)."""
+
+    def __init__(self, bc):
+        self.bc = bc
+
+    def __call__(self) -> WhitespaceTokenizer:
+        return WhitespaceTokenizer(self.bc.value)
+
+
 class CodePointTokenizer:
     """Vocabulary-free plug-in: one id per Unicode code point,
     ``ord(ch) + FIRST_WORD_ID`` (ids below stay reserved for specials)."""
