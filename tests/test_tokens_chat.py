@@ -73,7 +73,10 @@ def test_unknown_role_raises_by_default(spark, turns):
 def test_system_form_labels_and_padding(spark, turns):
     v = build_vocabulary([F.col("text"), F.col("role")], turns)
     out = {r.conv_id: r for r in system_tokens(turns, v, 24, "be nice",
-                                               on_unknown_role="drop_turn").collect()}
+                                               on_unknown_role="drop_turn", strategy="join").collect()}
+    mapped = {r.conv_id: r for r in system_tokens(turns, v, 24, "be nice",
+                                                  on_unknown_role="drop_turn", strategy="map").collect()}
+    assert out == mapped
     r = out[1]
     assert len(r.input_ids) == 24 and len(r.labels) == 24
     assert r.labels[0] == SPECIAL_IDS["<|im_start|>"]

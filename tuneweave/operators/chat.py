@@ -114,18 +114,29 @@ def system_turn(vocab: Vocabulary, system_message: str) -> tuple[list[int], list
 def system_tokens(turns: DataFrame, vocab: Vocabulary, max_len: int,
                   system_message: str = DEFAULT_SYSTEM_MESSAGE, pad_id: int = PAD_ID,
                   conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role",
-                  text_col: str = "text", on_unknown_role: str = "error") -> DataFrame:
+                  text_col: str = "text", on_unknown_role: str = "error",
+                  strategy: str = "auto") -> DataFrame:
     """System turn first, marker tokens kept in labels, right-padded and
     clipped to ``max_len``; mask by value (X2)."""
     sys_ids, sys_labels = system_turn(vocab, system_message)
-    items = chat_token_items(turns, vocab, "system", conv_col, turn_col, role_col, text_col,
-                             on_unknown_role)
-    ids = F.concat(F.array(*[F.lit(i) for i in sys_ids]), F.transform("items", lambda x: x["id"]))
-    labels = F.concat(F.array(*[F.lit(i) for i in sys_labels]),
-                      F.transform("items", lambda x: F.when(x["sup"], x["id"]).otherwise(
-                          F.lit(IGNORE_INDEX))))
-    out = items.select(conv_col, pad_clip(ids, max_len, pad_id, "right").alias("input_ids"),
-                       pad_clip(labels, max_len, IGNORE_INDEX, "right").alias("labels"))
+    factory = vocab.map_side_factory() if strategy != "join" else None
+    if factory is not None:
+        from ..functions.specials import SPECIAL_IDS
+        conv = sft_tokens_with(turns, factory, SPECIAL_IDS[IM_END], conv_col=conv_col,
+                               turn_col=turn_col, role_col=role_col, text_col=text_col,
+                               on_unknown_role=on_unknown_role,
+                               newline_ids=[SPECIAL_IDS[NEWLINE]], form="system")
+        tid, tlab = F.col("input_ids"), F.col("labels")
+    else:
+        conv = chat_token_items(turns, vocab, "system", conv_col, turn_col, role_col, text_col,
+                                on_unknown_role)
+        tid = F.transform("items", lambda x: x["id"])
+        tlab = F.transform("items", lambda x: F.when(x["sup"], x["id"]).otherwise(
+            F.lit(IGNORE_INDEX)))
+    ids = F.concat(F.array(*[F.lit(i) for i in sys_ids]), tid)
+    labels = F.concat(F.array(*[F.lit(i) for i in sys_labels]), tlab)
+    out = conv.select(conv_col, pad_clip(ids, max_len, pad_id, "right").alias("input_ids"),
+                      pad_clip(labels, max_len, IGNORE_INDEX, "right").alias("labels"))
     return out.withColumn("attention_mask", value_mask(F.col("input_ids"), pad_id))
 
 
@@ -154,7 +165,7 @@ def conversations_to_turns(df: DataFrame, id_col: str, conv_col: str = "conversa
 def sft_tokens_with(turns: DataFrame, factory, im_end_id: int, newline: str = NEWLINE,
                     conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role",
                     text_col: str = "text", on_unknown_role: str = "error",
-                    newline_ids: list[int] | None = None) -> DataFrame:
+                    newline_ids: list[int] | None = None, form: str = "sft") -> DataFrame:
     """T2 with a plug-in tokenizer (E1): per turn ``enc("<|im_start|>" + role)
     + enc("\\n") + enc(content) + [im_end] + enc("\\n")``, each piece encoded
     separately in Arrow batches; user turns unsupervised, assistant turns
@@ -171,10 +182,21 @@ def sft_tokens_with(turns: DataFrame, factory, im_end_id: int, newline: str = NE
     t = tokenize_with(t, "__content", factory, "__cids")
     nl = F.array(*[F.lit(i) for i in nl_ids]) if nl_ids else F.array().cast("array<int>")
     ids = F.concat(F.col("__rids"), nl, F.col("__cids"), F.array(F.lit(im_end_id)), nl)
-    n_mask = F.size("__rids") + F.lit(len(nl_ids))
-    labels = F.when(F.col(role_col) == "assistant", F.transform(
-        ids, lambda x, i: F.when(i < n_mask, F.lit(IGNORE_INDEX)).otherwise(x))).otherwise(
-        F.transform(ids, lambda x: F.lit(IGNORE_INDEX)))
+    if form == "sft":
+        n_mask = F.size("__rids") + F.lit(len(nl_ids))
+        labels = F.when(F.col(role_col) == "assistant", F.transform(
+            ids, lambda x, i: F.when(i < n_mask, F.lit(IGNORE_INDEX)).otherwise(x))).otherwise(
+            F.transform(ids, lambda x: F.lit(IGNORE_INDEX)))
+    elif form == "system":
+        # first token kept; assistant: role pieces masked; user: all but the
+        # closing im_end + newline masked
+        nr = F.size("__rids")
+        n = F.size(ids)
+        labels = F.transform(ids, lambda x, i: F.when(
+            (i == 0) | F.when(F.col(role_col) == "assistant", i > nr).otherwise(i >= n - 2), x)
+            .otherwise(F.lit(IGNORE_INDEX)))
+    else:
+        raise ValueError("form must be 'sft' or 'system'")
     per_turn = t.select(conv_col, F.struct(F.col(turn_col).alias("turn"), ids.alias("ids"),
                                            labels.alias("labels")).alias("__t"))
     conv = per_turn.groupBy(conv_col).agg(F.sort_array(F.collect_list("__t")).alias("__ts"))
