@@ -122,3 +122,15 @@ def test_pack_text_blocks_equals_tokenize_then_pack(spark):
     two_step = pack_blocks(tok, 8, 4, indexed=True).collect()
     assert sorted((r.group_id, r.block_id, r.input_ids) for r in fused) == \
         sorted((r.group_id, r.block_id, r.input_ids) for r in two_step)
+
+
+def test_custom_collator_per_batch(spark):
+    from tuneweave.operators.batches import collate_with
+
+    df = spark.createDataFrame([(0, i // 3, i) for i in range(7)], "shard int, batch_id long, v long")
+
+    def total(pdf):
+        return pdf.groupby(["shard", "batch_id"], as_index=False)["v"].sum()
+
+    out = sorted((r.batch_id, r.v) for r in collate_with(df, total, "shard int, batch_id long, v long").collect())
+    assert out == [(0, 3), (1, 12), (2, 6)]
