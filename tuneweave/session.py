@@ -86,3 +86,9 @@ def materialize(df: DataFrame, name: str = "stage") -> DataFrame:
 
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
+
+
+def materialized_root(spark: SparkSession) -> str:
+    """Folder holding the tables written by :func:`materialize` (dense
+    indexes); remove it after the job with the storage's own tools."""
+    return os.path.join(checkpoint_root(spark), "tables")
