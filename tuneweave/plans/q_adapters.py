@@ -9,7 +9,7 @@ prompt_and_chosen (F1).
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.adapters import apply_adapter, phase_filter, spec
@@ -23,25 +23,22 @@ def _null() -> Column:
 def conv_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """User turns directly followed by an assistant turn. ``rejected`` is the
     next assistant answer of the same conversation (turn + 3) if any; ``sys``
-    is a system turn directly before the user turn, if any. Windows are per
-    conversation (bounded by its length)."""
-    conv = table(spark, sf_dir, "conversations")
-    w = Window.partitionBy("conv_id").orderBy("turn")
-    c = conv.select(
-        "conv_id", "turn", "role", "text",
-        F.lead("role").over(w).alias("nr"), F.lead("turn").over(w).alias("nt"),
-        F.lead("text").over(w).alias("nx"),
-        F.lead("role", 3).over(w).alias("r3"), F.lead("turn", 3).over(w).alias("t3"),
-        F.lead("text", 3).over(w).alias("x3"),
-        F.lag("role").over(w).alias("pr"), F.lag("turn").over(w).alias("pt"),
-        F.lag("text").over(w).alias("px"))
-    return c.filter((F.col("role") == "user") & (F.col("nr") == "assistant")
-                    & (F.col("nt") == F.col("turn") + 1)).select(
-        "conv_id", "turn", F.col("text").alias("prompt"), F.col("nx").alias("chosen"),
-        F.when((F.col("r3") == "assistant") & (F.col("t3") == F.col("turn") + 3),
-               F.col("x3")).alias("rejected"),
-        F.when((F.col("pr") == "system") & (F.col("pt") == F.col("turn") - 1),
-               F.col("px")).alias("sys"))
+    is a system turn directly before the user turn, if any.
+
+    Neighbours are found by equi-joins on ``(conv_id, turn)``, a unique key, so
+    even one enormous conversation is spread over many tasks (a window by
+    conversation would put it in one)."""
+    conv = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    user = conv.filter(F.col("role") == "user").select("conv_id", "turn", F.col("text").alias("prompt"))
+    answer = conv.filter(F.col("role") == "assistant").select(
+        "conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("chosen"))
+    later = conv.filter(F.col("role") == "assistant").select(
+        "conv_id", (F.col("turn") - 3).alias("turn"), F.col("text").alias("rejected"))
+    system = conv.filter(F.col("role") == "system").select(
+        "conv_id", (F.col("turn") + 1).alias("turn"), F.col("text").alias("sys"))
+    keys = ["conv_id", "turn"]
+    return (user.join(answer, keys).join(later, keys, "left").join(system, keys, "left")
+            .select("conv_id", "turn", "prompt", "chosen", "rejected", "sys"))
 
 
 def doc_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
