@@ -42,7 +42,12 @@ def stream_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stream_scalar_series(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = live_scalar_series(_metrics(spark, sf_dir))
+    """The scalar series is itself the streaming query written to the
+    Parquet sink (tag, value, global_step)."""
+    schema = table(spark, sf_dir, "events").schema
+    log = step_log_stream(spark, os.path.join(sf_dir, "events.parque[t]"), schema)
+    series = live_scalar_series(online_metrics(log, EMA_ALPHA, REPORT_EVERY))
+    s = spark.read.parquet(run_to_sink(series))
     return s.select("tag", round_to("value", 9).alias("value"), "global_step")
 
 
