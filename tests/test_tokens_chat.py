@@ -149,3 +149,21 @@ def test_plugin_chat_template_equals_vocabulary_job(spark, turns):
                                      SPECIAL_IDS["<|im_end|>"], on_unknown_role="drop_turn",
                                      newline_ids=[SPECIAL_IDS["\n"]]).collect()}
     assert job == plug
+
+
+def test_hf_tokenizer_file_plugin(spark, tmpdir_path):
+    import os
+
+    from tokenizers import Tokenizer
+    from tokenizers.models import WordLevel
+    from tokenizers.pre_tokenizers import WhitespaceSplit
+
+    from tuneweave.operators.tokens import HFTokenizerFile
+
+    tok = Tokenizer(WordLevel({"[UNK]": 0, "hello": 1, "world": 2}, unk_token="[UNK]"))
+    tok.pre_tokenizer = WhitespaceSplit()
+    path = os.path.join(tmpdir_path, "tok.json")
+    tok.save(path)
+    df = spark.createDataFrame([(1, "hello world"), (2, "world zzz"), (3, None)], "k int, t string")
+    out = {r.k: r.ids for r in tokenize_with(df, "t", HFTokenizerFile(path), "ids").collect()}
+    assert out == {1: [1, 2], 2: [2, 0], 3: None}
