@@ -134,3 +134,17 @@ def test_custom_collator_per_batch(spark):
 
     out = sorted((r.batch_id, r.v) for r in collate_with(df, total, "shard int, batch_id long, v long").collect())
     assert out == [(0, 3), (1, 12), (2, 6)]
+
+
+def test_register_adapter_takes_precedence():
+    from tuneweave.operators.adapters import AdapterSpec, _USER_SPECS, register_adapter
+
+    mine = AdapterSpec("my/rm-static", "mine", None, prompt=lambda: F.col("p"), chosen=lambda: F.col("c"),
+                       rejected=None, prompt_and_chosen=lambda: F.concat("p", "c"),
+                       prompt_and_rejected=None)
+    register_adapter("Dahoas/rm-static", mine)
+    try:
+        assert resolve_adapter("Dahoas/rm-static").clean_name == "mine"
+    finally:
+        _USER_SPECS.clear()
+    assert resolve_adapter("Dahoas/rm-static").clean_name == "Dahoas_rm_static"

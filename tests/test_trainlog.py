@@ -119,3 +119,19 @@ def test_sequence_positions_dense(spark):
     df = spark.createDataFrame([(k, v) for k in range(3) for v in range(0, 30, 3)], "k int, v int")
     out = sequence_positions(df, ["k"], ["v"]).collect()
     assert all(r.t == r.v // 3 for r in out)
+
+
+def test_rlhf_batch_size_divergence_flag(spark):
+    from tuneweave.plans.q_trainlog import rlhf_tflops
+
+    sf = "/root/testdata/sf0.001"
+    base = {r.step: r.samples_per_sec for r in rlhf_tflops(spark, sf).limit(5).collect()}
+    doubled = {r.step: r.samples_per_sec for r in rlhf_tflops(spark, sf, unsupervised=True).collect()
+               if r.step in base}
+    ref = {r.step: r.samples_per_sec for r in rlhf_tflops(spark, sf, unsupervised=True,
+                                                          as_reference=True).collect() if r.step in base}
+    for s, v in base.items():
+        assert math.isclose(doubled[s], 2 * v, rel_tol=1e-6, abs_tol=1e-6)
+    secs = {r.event_id: r.value / 100.0 for r in spark.read.parquet(f"{sf}/events.parquet").collect()}
+    for s in base:
+        assert math.isclose(ref[s], round(2.0 / secs[s], 6), rel_tol=1e-9)
