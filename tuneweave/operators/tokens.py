@@ -207,11 +207,16 @@ class WhitespaceTokenizer:
 
     def __init__(self, vocab: dict[str, int]):
         self.vocab = vocab
+        self._ids = {**vocab, **SPECIAL_IDS}  # specials win, as in the job
 
     def encode(self, text: str | None) -> list[int] | None:
         if text is None:
             return None
-        return [SPECIAL_IDS.get(w, self.vocab.get(w, UNK_ID)) for w in py_words(text)]
+        if "<|" in text:
+            for sp in INLINE_SPECIALS:
+                text = text.replace(sp, f" {sp} ")
+        get = self._ids.get
+        return [get(w, UNK_ID) for w in _PY_SPLIT.split(text) if w]
 
     def encode_batch(self, texts: list[str | None]) -> list[list[int] | None]:
         return [self.encode(t) for t in texts]
