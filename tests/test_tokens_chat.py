@@ -167,3 +167,16 @@ def test_hf_tokenizer_file_plugin(spark, tmpdir_path):
     df = spark.createDataFrame([(1, "hello world"), (2, "world zzz"), (3, None)], "k int, t string")
     out = {r.k: r.ids for r in tokenize_with(df, "t", HFTokenizerFile(path), "ids").collect()}
     assert out == {1: [1, 2], 2: [2, 0], 3: None}
+
+
+def test_eot_pair_features_both_strategies(spark):
+    from tuneweave.operators.tokens import eot_pair_features
+
+    df = spark.createDataFrame([(1, "a b", "b"), (2, "c", None), (3, "a a a a a", "c")],
+                               "k int, c string, r string")
+    wide = build_vocabulary([F.col("c"), F.col("r")], df)
+    narrow = build_vocabulary([F.col("c"), F.col("r")], df, hot_size=1)
+    a = {r.k: tuple(r) for r in eot_pair_features(df, {"c_": "c", "r_": "r"}, wide, ["k"], 4).collect()}
+    b = {r.k: tuple(r) for r in eot_pair_features(df, {"c_": "c", "r_": "r"}, narrow, ["k"], 4).collect()}
+    assert sorted(a) == [1, 3]
+    assert [x[1:] for _, x in sorted(a.items())] == [x[1:] for _, x in sorted(b.items())]

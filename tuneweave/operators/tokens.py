@@ -199,6 +199,35 @@ def eot_features(df: DataFrame, text_col: str, vocab: Vocabulary, key_cols: Sequ
         real_token_mask(F.size("__ids"), max_seq_len).alias(f"{prefix}attention_mask"))
 
 
+def eot_pair_features(df: DataFrame, text_cols: dict[str, str], vocab: Vocabulary,
+                      key_cols: Sequence[str], max_seq_len: int,
+                      end_of_conversation_token: str = ENDOFTEXT, pad_id: int = PAD_ID
+                      ) -> DataFrame:
+    """T5 for several text columns of the same rows (phase 2: chosen and
+    rejected), ``{prefix: column}``; rows where any text is null are dropped.
+    With a map-side vocabulary all columns are tokenized in one pass over
+    the rows (no join); otherwise each column goes through :func:`eot_features`
+    and the results are joined on the keys."""
+    cond = None
+    for c in text_cols.values():
+        cond = F.col(c).isNotNull() if cond is None else cond & F.col(c).isNotNull()
+    rows = df.filter(cond)
+    factory = vocab.map_side_factory()
+    if factory is None:
+        parts = [eot_features(rows, c, vocab, key_cols, max_seq_len, end_of_conversation_token,
+                              pad_id, prefix) for prefix, c in text_cols.items()]
+        return reduce(lambda a, b: a.join(b, list(key_cols)), parts)
+    out = rows.select(*key_cols, *[F.concat(F.col(c), F.lit(end_of_conversation_token)).alias(
+        f"__t{i}") for i, c in enumerate(text_cols.values())])
+    cols = list(key_cols)
+    for i, prefix in enumerate(text_cols):
+        out = tokenize_with(out, f"__t{i}", factory, f"__i{i}")
+        ids = F.slice(F.col(f"__i{i}"), 1, max_seq_len)
+        cols += [pad_clip(ids, max_seq_len, pad_id, "right").alias(f"{prefix}input_ids"),
+                 real_token_mask(F.size(ids), max_seq_len).alias(f"{prefix}attention_mask")]
+    return out.select(*cols)
+
+
 # ---------------------------------------------------------------- E1 plug-in
 
 class WhitespaceTokenizer:

@@ -14,7 +14,7 @@ from ..operators.batches import batch_ids, mini_batches, prompt_collate, reward_
 from ..operators.chat import sft_tokens
 from ..operators.features import pack_text_blocks, phase2_tuple, phase3_tuple
 from ..operators.order import dense_index, rank_shards, seeded_rank
-from ..operators.tokens import build_vocabulary, eot_features, tokenize, words
+from ..operators.tokens import build_vocabulary, eot_features, eot_pair_features, tokenize, words
 from ..sinks.token_cache import cache_rows
 from ..sources.files import unsupervised_text_column
 from ..sources.token_cache import union_caches
@@ -89,9 +89,8 @@ def reward_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
         *keys, F.concat("prompt_and_chosen", F.lit(ENDOFTEXT)).alias("c"),
         F.concat("prompt_and_rejected", F.lit(ENDOFTEXT)).alias("r"))
     vocab = build_vocabulary([F.col("c"), F.col("r")], pairs)
-    ch = eot_features(pairs, "c", vocab, keys, MAX_SEQ_LEN, "", prefix="c_")
-    rj = eot_features(pairs, "r", vocab, keys, MAX_SEQ_LEN, "", prefix="r_")
-    both = ch.join(rj, keys).select(*keys, phase2_tuple(
+    feats = eot_pair_features(pairs, {"c_": "c", "r_": "r"}, vocab, keys, MAX_SEQ_LEN, "")
+    both = feats.select(*keys, phase2_tuple(
         F.col("c_input_ids"), F.col("c_attention_mask"), F.col("r_input_ids"),
         F.col("r_attention_mask")).alias("t")).select(*keys, "t.*")
     ranked = batch_ids(seeded_rank(both, SEED, keys), REWARD_BATCH, "rank")
