@@ -1,19 +1,29 @@
-"""Registered queries running the end-to-end preference plan
-on the driver tables: adjacent-turn pairs as a pairwise dataset, derived 9:1
-split (P3), phase part of "2,4,4" (P2), pair filter (F2), end-of-text
-tokenization padded to 64 (T5, X4), in the shuffled order."""
+"""Registered queries running the end-to-end plans on the driver tables.
+
+* §3.2 ``training_batches``: chat tokens written as a token cache (K1), read
+  back (S6/S7), left-padded (X1/X2), sampled for 3 ranks (V4), batched (B1).
+* §3.3 ``prompt_dataset_phase2_*``: adjacent-turn pairs as a pairwise dataset,
+  derived 9:1 split (P3), phase part of "2,4,4" (P2), pair filter (F2),
+  end-of-text tokenization padded to 64 (T5, X4), in the shuffled order."""
 
 from __future__ import annotations
 
+import os
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.arrays import join_ints
 from ..functions.specials import ENDOFTEXT, PAD_ID
+from ..session import materialized_root
+from ..sinks.token_cache import write_token_cache
 from . import sqlkit as q
-from .prepare import create_prompt_dataset
+from .prepare import create_prompt_dataset, training_batches
 from .q_adapters import SQL_CONV_BASE, conv_pairs
+from .q_features import _sft_store
 from .q_order import SEED, sql_bounds
+from .q_tokens import _LISTS
 
 MAX_SEQ_LEN = 64
 DATA_SPLIT = "2,4,4"
@@ -72,7 +82,52 @@ SELECT row_id, row_number() OVER (ORDER BY rk2) - 1 AS pos, chosen_ids, rejected
 FROM pairs WHERE which = '{which}'"""
 
 
+# §3.2: a token cache written by K1, read back (S6/S7), padded on the left,
+# sampled for 3 ranks and batched by 4
+TB_LEN, TB_WORLD, TB_BATCH = 64, 3, 4
+
+
+def training_batches_q(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, _ = _sft_store(spark, sf_dir)
+    path = os.path.join(materialized_root(spark), f"token-cache-{uuid.uuid4().hex}")
+    write_token_cache(rows, path)
+    b = training_batches(spark, path, max_seq_len=TB_LEN, padding_side="left", batch_size=TB_BATCH,
+                         sampler="distributed", world_size=TB_WORLD, seed=SEED)
+    return b.select("key", "padded_pos", "shard", "batch_id", "row_in_batch",
+                    join_ints(F.col("input_ids")).alias("input_ids"),
+                    join_ints(F.col("attention_mask")).alias("attention_mask"),
+                    join_ints(F.col("labels")).alias("labels"))
+
+
+def _sql_training_batches() -> str:
+    n, w, bsz = TB_LEN, TB_WORLD, TB_BATCH
+
+    def left(col: str, fill: int) -> str:
+        return (f"CASE WHEN len({col}) >= {n} THEN {col}[1:{n}] ELSE list_concat("
+                f"list_resize([]::INTEGER[], {n} - len({col}), {fill}), {col}) END")
+
+    return f"""WITH {_LISTS},
+c AS (SELECT ids, lab, row_number() OVER (ORDER BY conv_id) - 1 AS idx FROM lists),
+k AS (SELECT 'sft_idx_' || CAST(idx AS VARCHAR) AS key, idx, {left('ids', PAD_ID)} AS ids,
+             {left('lab', -100)} AS lab FROM c),
+r AS (SELECT *, row_number() OVER (ORDER BY md5(concat_ws('-', '{SEED}', '0', key, CAST(idx AS VARCHAR))),
+                                  key, idx) - 1 AS rank FROM k),
+cnt AS (SELECT count(*) AS n, CAST(ceil(count(*) / {w}.0) * {w} AS BIGINT) AS total FROM k),
+pp AS (SELECT key, ids, lab, rank AS padded_pos FROM r UNION ALL
+       SELECT r.key, r.ids, r.lab, r.rank + t.j * cnt.n FROM r, cnt, range(1, 1 + {w}) t(j)
+       WHERE r.rank + t.j * cnt.n < cnt.total),
+sh AS (SELECT *, CAST(padded_pos % {w} AS INTEGER) AS shard, padded_pos // {w} AS shard_pos FROM pp)
+SELECT key, padded_pos, shard, shard_pos // {bsz} AS batch_id,
+       CAST(shard_pos % {bsz} AS INTEGER) AS row_in_batch,
+       array_to_string(ids, ',') AS input_ids,
+       array_to_string(list_transform(ids, lambda x: CASE WHEN x <> {PAD_ID} THEN 1 ELSE 0 END), ',')
+         AS attention_mask,
+       array_to_string(lab, ',') AS labels
+FROM sh"""
+
+
 QUERIES = {
+    "training_batches": (training_batches_q, _sql_training_batches()),
     "prompt_dataset_phase2_train": (prompt_dataset_phase2_train, _sql("train")),
     "prompt_dataset_phase2_eval": (prompt_dataset_phase2_eval, _sql("eval")),
 }
