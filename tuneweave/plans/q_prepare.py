@@ -1,5 +1,8 @@
 """Registered queries running the end-to-end plans on the driver tables.
 
+* §3.1 ``sft_cache_from_json``: instruction records written as JSON lines,
+  read back (S2), turned into conversations (A17), tokenized (T2), indexed in
+  file order (V1) and keyed as token-cache rows (K1).
 * §3.2 ``training_batches``: chat tokens written as a token cache (K1), read
   back (S6/S7), left-padded (X1/X2), sampled for 3 ranks (V4), batched (B1).
 * §3.3 ``prompt_dataset_phase2_*``: adjacent-turn pairs as a pairwise dataset,
@@ -19,7 +22,7 @@ from ..functions.specials import ENDOFTEXT, PAD_ID
 from ..session import materialized_root
 from ..sinks.token_cache import write_token_cache
 from . import sqlkit as q
-from .prepare import create_prompt_dataset, training_batches
+from .prepare import create_prompt_dataset, prepare_sft_cache, training_batches
 from .q_adapters import SQL_CONV_BASE, conv_pairs
 from .q_features import _sft_store
 from .q_order import SEED, sql_bounds
@@ -126,7 +129,48 @@ SELECT key, padded_pos, shard, shard_pos // {bsz} AS batch_id,
 FROM sh"""
 
 
+# §3.1: instruction records (user turn + preceding system text as input,
+# answer as output) written as JSON lines in (conv_id, turn) order, then
+# read -> A17 -> T2 -> V1 -> K1 rows
+
+
+def sft_cache_from_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    recs = conv_pairs(spark, sf_dir).select(
+        "conv_id", "turn", F.col("prompt").alias("instruction"),
+        F.coalesce("sys", F.lit("")).alias("input"), F.col("chosen").alias("output"))
+    path = os.path.join(materialized_root(spark), f"instruct-jsonl-{uuid.uuid4().hex}")
+    # range-partitioned output: part files follow (conv_id, turn) order
+    (recs.repartitionByRange("conv_id", "turn").sortWithinPartitions("conv_id", "turn")
+     .select("instruction", "input", "output").write.json(path))
+    rows = prepare_sft_cache(spark, os.path.join(path, "*.json"), None, key_tag="instruct",
+                             json_lines=True)
+    return rows.select("key", "idx", join_ints(F.col("input_ids")).alias("input_ids"),
+                       join_ints(F.col("labels")).alias("labels"))
+
+
+def _sql_sft_cache() -> str:
+    words_role = q.words("role")
+    words_text = q.words("coalesce(text, '')")
+    return f"""WITH {SQL_CONV_BASE},
+rec AS (SELECT row_number() OVER (ORDER BY conv_id, turn) - 1 AS idx,
+               prompt || coalesce(sys, '') AS u, chosen AS a FROM base),
+turns AS (SELECT idx, 0 AS turn, 'user' AS role, u AS text FROM rec UNION ALL
+          SELECT idx, 1 AS turn, 'assistant' AS role, a AS text FROM rec),
+{q.vocab_cte([("turns", "text"), ("turns", "role")])},
+t AS (SELECT idx, turn, role, len({words_role}) AS nr,
+             list_concat(['<|im_start|>'], {words_role}, [chr(10)], {words_text},
+                         ['<|im_end|>', chr(10)]) AS ws FROM turns),
+p AS (SELECT idx, turn, role, nr, unnest(ws) AS w, generate_subscripts(ws, 1) - 1 AS pos FROM t),
+items AS (SELECT p.idx, p.turn, p.role, p.pos, p.nr, {q.id_of('p.w')} AS id
+          FROM p LEFT JOIN vocab v ON v.word = p.w)
+SELECT 'instruct_idx_' || CAST(idx AS VARCHAR) AS key, idx,
+       {q.ints('id', 'turn, pos')} AS input_ids,
+       {q.ints("CASE WHEN role = 'assistant' AND pos >= nr + 2 THEN id ELSE -100 END", 'turn, pos')} AS labels
+FROM items GROUP BY idx"""
+
+
 QUERIES = {
+    "sft_cache_from_json": (sft_cache_from_json, _sql_sft_cache()),
     "training_batches": (training_batches_q, _sql_training_batches()),
     "prompt_dataset_phase2_train": (prompt_dataset_phase2_train, _sql("train")),
     "prompt_dataset_phase2_eval": (prompt_dataset_phase2_eval, _sql("eval")),
