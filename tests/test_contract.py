@@ -14,7 +14,8 @@ from compare import digest  # noqa: E402
 from tuneweave.plans.tables import TABLES  # noqa: E402
 
 QUICK = ["sft_tokens", "exact_split", "adapter_openai_webgpt_comparisons", "pack_blocks",
-         "loss_buckets", "gae", "pair_loss", "rank_shards"]
+         "loss_buckets", "gae", "pair_loss", "rank_shards", "sft_cache_from_json", "training_batches",
+         "prompt_dataset_phase2_train"]
 
 
 def test_every_query_has_an_oracle():
