@@ -180,3 +180,15 @@ def test_eot_pair_features_both_strategies(spark):
     b = {r.k: tuple(r) for r in eot_pair_features(df, {"c_": "c", "r_": "r"}, narrow, ["k"], 4).collect()}
     assert sorted(a) == [1, 3]
     assert [x[1:] for _, x in sorted(a.items())] == [x[1:] for _, x in sorted(b.items())]
+
+
+def test_sft_tokens_max_tokens_is_a_prefix(spark, turns):
+    v = build_vocabulary([F.col("text"), F.col("role")], turns)
+    full = {r.conv_id: (r.input_ids, r.labels)
+            for r in sft_tokens(turns, v, on_unknown_role="drop_turn").collect()}
+    for strategy in ("map", "join"):
+        for k in (1, 6, 7, 12, 100):
+            got = {r.conv_id: (r.input_ids, r.labels)
+                   for r in sft_tokens(turns, v, on_unknown_role="drop_turn", strategy=strategy,
+                                       max_tokens=k).collect()}
+            assert got == {c: (i[:k], lab[:k]) for c, (i, lab) in full.items()}

@@ -15,8 +15,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.arrays import pad_clip, value_mask
+from ..session import materialize
 from ..functions.specials import (DEFAULT_SYSTEM_MESSAGE, IGNORE_INDEX, IM_END, IM_START,
                                   NEWLINE, PAD_ID, SFT_ROLES)
+from .scans import running_sums, sequence_positions
 from .tokens import Vocabulary, attach_ids, words
 
 
@@ -32,6 +34,17 @@ def _check_roles(turns: DataFrame, role_col: str, on_unknown_role: str) -> DataF
     raise ValueError("on_unknown_role must be 'error' or 'drop_turn'")
 
 
+def turn_offsets(per_turn: DataFrame, len_col: str, conv_col: str = "conv_id",
+                 turn_col: str = "turn") -> DataFrame:
+    """Token offset of every turn inside its conversation: an exclusive prefix
+    sum of turn lengths in turn order, computed with the chunked scan (no
+    window over a whole conversation)."""
+    narrow = per_turn.select(conv_col, turn_col, F.col(len_col).alias("__len"))
+    pos = sequence_positions(narrow, [conv_col], [turn_col], "__tp")
+    offs = running_sums(pos, [conv_col], "__tp", {"__off": F.col("__len")}, exclusive=True)
+    return offs.select(conv_col, turn_col, F.col("__off").cast("long").alias("__off"))
+
+
 def _turn_words(role: Column, text: Column) -> Column:
     return F.concat(F.array(F.lit(IM_START)), words(role), F.array(F.lit(NEWLINE)),
                     words(F.coalesce(text, F.lit(""))), F.array(F.lit(IM_END), F.lit(NEWLINE)))
@@ -40,7 +53,7 @@ def _turn_words(role: Column, text: Column) -> Column:
 def chat_token_items(turns: DataFrame, vocab: Vocabulary, form: str = "sft",
                      conv_col: str = "conv_id", turn_col: str = "turn",
                      role_col: str = "role", text_col: str = "text",
-                     on_unknown_role: str = "error") -> DataFrame:
+                     on_unknown_role: str = "error", max_tokens: int | None = None) -> DataFrame:
     """Per-conversation sorted ``items: array<struct<turn, pos, id, sup>>``.
 
     ``form='sft'`` (T2): user turns are unsupervised; assistant turns supervise
@@ -59,6 +72,13 @@ def chat_token_items(turns: DataFrame, vocab: Vocabulary, form: str = "sft",
         conv_col, turn_col, role_col, F.size("__rw").alias("__nr"), F.size("__tw").alias("__nt"),
         F.concat(F.array(F.lit(IM_START)), F.col("__rw"), F.array(F.lit(NEWLINE)), F.col("__tw"),
                  F.array(F.lit(IM_END), F.lit(NEWLINE))).alias("__ws"))
+    if max_tokens:
+        # keep only what can land in the first max_tokens tokens (turn length
+        # = nr + nt + 4, known before any id lookup)
+        lens = split.withColumn("__tl", F.col("__nr") + F.col("__nt") + 4)
+        offs = turn_offsets(lens, "__tl", conv_col, turn_col).filter(F.col("__off") < max_tokens)
+        split = split.join(offs, [conv_col, turn_col]).withColumn(
+            "__ws", F.slice("__ws", 1, (F.lit(max_tokens) - F.col("__off")).cast("int")))
     pieces = split.select(conv_col, turn_col, role_col, "__nr", "__nt",
                           F.posexplode("__ws").alias("__pos", "__w"))
     pos, nr, nt = F.col("__pos"), F.col("__nr"), F.col("__nt")
@@ -79,8 +99,11 @@ def chat_token_items(turns: DataFrame, vocab: Vocabulary, form: str = "sft",
 
 def sft_tokens(turns: DataFrame, vocab: Vocabulary, conv_col: str = "conv_id",
                turn_col: str = "turn", role_col: str = "role", text_col: str = "text",
-               on_unknown_role: str = "error", strategy: str = "auto") -> DataFrame:
-    """``(conv_id, input_ids, labels)``, unpadded, no system turn.
+               on_unknown_role: str = "error", strategy: str = "auto",
+               max_tokens: int | None = None) -> DataFrame:
+    """``(conv_id, input_ids, labels)``, unpadded, no system turn. With
+    ``max_tokens`` only the first ``max_tokens`` tokens are gathered (turns
+    are clipped by their offset before the per-conversation collect).
 
     With a vocabulary inside the broadcast budget (``strategy='auto'``) each
     turn is tokenized map-side and only per-turn arrays are shuffled to their
@@ -91,9 +114,9 @@ def sft_tokens(turns: DataFrame, vocab: Vocabulary, conv_col: str = "conv_id",
         return sft_tokens_with(turns, factory, SPECIAL_IDS[IM_END], conv_col=conv_col,
                                turn_col=turn_col, role_col=role_col, text_col=text_col,
                                on_unknown_role=on_unknown_role,
-                               newline_ids=[SPECIAL_IDS[NEWLINE]])
+                               newline_ids=[SPECIAL_IDS[NEWLINE]], max_tokens=max_tokens)
     items = chat_token_items(turns, vocab, "sft", conv_col, turn_col, role_col, text_col,
-                             on_unknown_role)
+                             on_unknown_role, max_tokens)
     return items.select(
         conv_col,
         F.transform("items", lambda x: x["id"]).alias("input_ids"),
@@ -119,17 +142,20 @@ def system_tokens(turns: DataFrame, vocab: Vocabulary, max_len: int,
     """System turn first, marker tokens kept in labels, right-padded and
     clipped to ``max_len``; mask by value (X2)."""
     sys_ids, sys_labels = system_turn(vocab, system_message)
+    # only the first max_len tokens survive the clip: gather no more than that
+    budget = max_len - len(sys_ids) if max_len > len(sys_ids) else None
     factory = vocab.map_side_factory() if strategy != "join" else None
     if factory is not None:
         from ..functions.specials import SPECIAL_IDS
         conv = sft_tokens_with(turns, factory, SPECIAL_IDS[IM_END], conv_col=conv_col,
                                turn_col=turn_col, role_col=role_col, text_col=text_col,
                                on_unknown_role=on_unknown_role,
-                               newline_ids=[SPECIAL_IDS[NEWLINE]], form="system")
+                               newline_ids=[SPECIAL_IDS[NEWLINE]], form="system",
+                               max_tokens=budget)
         tid, tlab = F.col("input_ids"), F.col("labels")
     else:
         conv = chat_token_items(turns, vocab, "system", conv_col, turn_col, role_col, text_col,
-                                on_unknown_role)
+                                on_unknown_role, budget)
         tid = F.transform("items", lambda x: x["id"])
         tlab = F.transform("items", lambda x: F.when(x["sup"], x["id"]).otherwise(
             F.lit(IGNORE_INDEX)))
@@ -165,7 +191,8 @@ def conversations_to_turns(df: DataFrame, id_col: str, conv_col: str = "conversa
 def sft_tokens_with(turns: DataFrame, factory, im_end_id: int, newline: str = NEWLINE,
                     conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role",
                     text_col: str = "text", on_unknown_role: str = "error",
-                    newline_ids: list[int] | None = None, form: str = "sft") -> DataFrame:
+                    newline_ids: list[int] | None = None, form: str = "sft",
+                    max_tokens: int | None = None) -> DataFrame:
     """T2 with a plug-in tokenizer (E1): per turn ``enc("<|im_start|>" + role)
     + enc("\\n") + enc(content) + [im_end] + enc("\\n")``, each piece encoded
     separately in Arrow batches; user turns unsupervised, assistant turns
@@ -197,8 +224,19 @@ def sft_tokens_with(turns: DataFrame, factory, im_end_id: int, newline: str = NE
             .otherwise(F.lit(IGNORE_INDEX)))
     else:
         raise ValueError("form must be 'sft' or 'system'")
-    per_turn = t.select(conv_col, F.struct(F.col(turn_col).alias("turn"), ids.alias("ids"),
-                                           labels.alias("labels")).alias("__t"))
+    per_turn = t.select(conv_col, turn_col, ids.alias("__ids"), labels.alias("__lab"))
+    if max_tokens:
+        # per-turn arrays are stored once; turns starting past the budget are
+        # dropped and the rest sliced before the per-conversation collect
+        per_turn = materialize(per_turn, "chat-turns")
+        per_turn = per_turn.withColumn("__tl", F.size("__ids"))
+        offs = turn_offsets(per_turn, "__tl", conv_col, turn_col).filter(F.col("__off") < max_tokens)
+        keep = (F.lit(max_tokens) - F.col("__off")).cast("int")
+        per_turn = per_turn.join(offs, [conv_col, turn_col]).select(
+            conv_col, turn_col, F.slice("__ids", 1, keep).alias("__ids"),
+            F.slice("__lab", 1, keep).alias("__lab"))
+    per_turn = per_turn.select(conv_col, F.struct(F.col(turn_col).alias("turn"), F.col("__ids").alias("ids"),
+                                                  F.col("__lab").alias("labels")).alias("__t"))
     conv = per_turn.groupBy(conv_col).agg(F.sort_array(F.collect_list("__t")).alias("__ts"))
     return conv.select(conv_col, F.flatten(F.transform("__ts", lambda x: x["ids"])).alias("input_ids"),
                        F.flatten(F.transform("__ts", lambda x: x["labels"])).alias("labels"))

@@ -50,8 +50,15 @@ def sft_system_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
                                 lambda a, m: a + m).alias("n_attended"))
 
 
+def _sft_first(spark: SparkSession, sf_dir: str, n: int) -> DataFrame:
+    """T2 gathering only the first ``n`` tokens of each conversation (all X1
+    needs: either padding side keeps the first ``n``)."""
+    conv = table(spark, sf_dir, "conversations")
+    return sft_tokens(conv, conversation_vocab(conv), on_unknown_role="drop_turn", max_tokens=n)
+
+
 def _padded(spark: SparkSession, sf_dir: str, side: str) -> DataFrame:
-    t = _sft(spark, sf_dir)
+    t = _sft_first(spark, sf_dir, MAX_SEQ_LEN)
     ids = pad_clip(F.col("input_ids"), MAX_SEQ_LEN, PAD_ID, side)
     labels = pad_clip(F.col("labels"), MAX_SEQ_LEN, IGNORE_INDEX, side)
     return t.select("conv_id", ids.alias("ids"), labels.alias("lab")).select(
@@ -69,7 +76,7 @@ def pad_clip_left(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def attention_density(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = _sft(spark, sf_dir)
+    t = _sft_first(spark, sf_dir, MAX_SEQ_LEN)
     mask = value_mask(pad_clip(F.col("input_ids"), MAX_SEQ_LEN, PAD_ID, "right"), PAD_ID)
     n_real = F.aggregate(mask, F.lit(0).cast("long"), lambda a, m: a + m)
     return t.select("conv_id", n_real.alias("n_real")).select(
