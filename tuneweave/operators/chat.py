@@ -45,6 +45,13 @@ def turn_offsets(per_turn: DataFrame, len_col: str, conv_col: str = "conv_id",
     return offs.select(conv_col, turn_col, F.col("__off").cast("long").alias("__off"))
 
 
+def _whitespace_turn_length(role_col: str, text_col: str) -> Column:
+    """Turn length under the whitespace vocabulary: marker, role words,
+    newline, content words, end marker, newline."""
+    return (F.size(words(F.col(role_col))) + F.size(words(F.coalesce(F.col(text_col), F.lit(""))))
+            + F.lit(4))
+
+
 def _turn_words(role: Column, text: Column) -> Column:
     return F.concat(F.array(F.lit(IM_START)), words(role), F.array(F.lit(NEWLINE)),
                     words(F.coalesce(text, F.lit(""))), F.array(F.lit(IM_END), F.lit(NEWLINE)))
@@ -114,7 +121,8 @@ def sft_tokens(turns: DataFrame, vocab: Vocabulary, conv_col: str = "conv_id",
         return sft_tokens_with(turns, factory, SPECIAL_IDS[IM_END], conv_col=conv_col,
                                turn_col=turn_col, role_col=role_col, text_col=text_col,
                                on_unknown_role=on_unknown_role,
-                               newline_ids=[SPECIAL_IDS[NEWLINE]], max_tokens=max_tokens)
+                               newline_ids=[SPECIAL_IDS[NEWLINE]], max_tokens=max_tokens,
+                               turn_length=_whitespace_turn_length(role_col, text_col))
     items = chat_token_items(turns, vocab, "sft", conv_col, turn_col, role_col, text_col,
                              on_unknown_role, max_tokens)
     return items.select(
@@ -151,7 +159,8 @@ def system_tokens(turns: DataFrame, vocab: Vocabulary, max_len: int,
                                turn_col=turn_col, role_col=role_col, text_col=text_col,
                                on_unknown_role=on_unknown_role,
                                newline_ids=[SPECIAL_IDS[NEWLINE]], form="system",
-                               max_tokens=budget)
+                               max_tokens=budget,
+                               turn_length=_whitespace_turn_length(role_col, text_col))
         tid, tlab = F.col("input_ids"), F.col("labels")
     else:
         conv = chat_token_items(turns, vocab, "system", conv_col, turn_col, role_col, text_col,
@@ -192,7 +201,7 @@ def sft_tokens_with(turns: DataFrame, factory, im_end_id: int, newline: str = NE
                     conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role",
                     text_col: str = "text", on_unknown_role: str = "error",
                     newline_ids: list[int] | None = None, form: str = "sft",
-                    max_tokens: int | None = None) -> DataFrame:
+                    max_tokens: int | None = None, turn_length: Column | None = None) -> DataFrame:
     """T2 with a plug-in tokenizer (E1): per turn ``enc("<|im_start|>" + role)
     + enc("\\n") + enc(content) + [im_end] + enc("\\n")``, each piece encoded
     separately in Arrow batches; user turns unsupervised, assistant turns
@@ -226,11 +235,16 @@ def sft_tokens_with(turns: DataFrame, factory, im_end_id: int, newline: str = NE
         raise ValueError("form must be 'sft' or 'system'")
     per_turn = t.select(conv_col, turn_col, ids.alias("__ids"), labels.alias("__lab"))
     if max_tokens:
-        # per-turn arrays are stored once; turns starting past the budget are
-        # dropped and the rest sliced before the per-conversation collect
-        per_turn = materialize(per_turn, "chat-turns")
-        per_turn = per_turn.withColumn("__tl", F.size("__ids"))
-        offs = turn_offsets(per_turn, "__tl", conv_col, turn_col).filter(F.col("__off") < max_tokens)
+        # turns starting past the budget are dropped and the rest sliced before
+        # the per-conversation collect. Turn lengths come from ``turn_length``
+        # when the caller knows them without tokenizing; otherwise the per-turn
+        # arrays are stored once and measured.
+        if turn_length is not None:
+            lens = turns.select(conv_col, turn_col, turn_length.alias("__tl"))
+        else:
+            per_turn = materialize(per_turn, "chat-turns")
+            lens = per_turn.select(conv_col, turn_col, F.size("__ids").alias("__tl"))
+        offs = turn_offsets(lens, "__tl", conv_col, turn_col).filter(F.col("__off") < max_tokens)
         keep = (F.lit(max_tokens) - F.col("__off")).cast("int")
         per_turn = per_turn.join(offs, [conv_col, turn_col]).select(
             conv_col, turn_col, F.slice("__ids", 1, keep).alias("__ids"),
