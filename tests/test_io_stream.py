@@ -111,3 +111,34 @@ def test_stream_metrics_equal_batch_and_drop_late_rows(spark, tmpdir_path):
             cnt += 1
             assert ok[(rank, s)].ema == prev
             assert ok[(rank, s)].cum_mean == total / cnt
+
+
+def test_stream_equals_batch_operators(spark, tmpdir_path):
+    from tuneweave.operators.trainlog import cumulative_mean, ema, report_buckets
+
+    rows = [(0, s, s % 3, float((s * 7) % 19) / 3.0, 1 + s % 4) for s in range(0, 900)]
+    schema = "epoch int, step long, rank int, loss double, n int"
+    import time
+
+    src = os.path.join(tmpdir_path, "log")
+    df = spark.createDataFrame(rows, schema)
+    # logs arrive in step order: three files of consecutive steps, written one
+    # after the other (the file source takes them in modification order)
+    for i, (lo, hi) in enumerate([(0, 300), (300, 650), (650, 900)]):
+        df.filter((F.col("step") >= lo) & (F.col("step") < hi)).coalesce(1).write.parquet(
+            os.path.join(src, f"part{i}"))
+        time.sleep(1.1)
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(
+        os.path.join(src, "*"))
+    out = spark.read.parquet(run_to_sink(online_metrics(stream, 0.9, 100))).filter("not late")
+    s_ema = {(r.rank, r.step): r.ema for r in out.collect()}
+    s_cum = {(r.rank, r.step): r.cum_mean for r in out.collect()}
+    b_ema = {(r.rank, r.step): r.ema for r in ema(df).collect()}
+    b_cum = {(r.rank, r.step): r.cum_mean for r in cumulative_mean(df).collect()}
+    assert s_ema == b_ema
+    assert s_cum.keys() == b_cum.keys()
+    assert all(abs(s_cum[k] - b_cum[k]) <= 1e-12 * max(1.0, abs(b_cum[k])) for k in s_cum)
+    s_b = sorted((r.rank, r.step, r.bucket_rows, r.bucket_avg) for r in out.filter("report").collect())
+    b_b = sorted((r.rank, r.report_step, r.n_rows, r.avg_loss)
+                 for r in report_buckets(df, F.col("step") % 100 == 0).collect())
+    assert s_b == b_b
