@@ -14,6 +14,7 @@ def round_to(x: Column | str, digits: int) -> Column:
     x = F.col(x) if isinstance(x, str) else x
     p = float(10 ** digits)
     y = x.cast("double") * F.lit(p)
-    r = F.when(y >= 0, F.floor(y + 0.5)).otherwise(-F.floor(-y + 0.5)).cast("double")
+    # signum keeps the sign of values that round to zero (-0.0, as Python does)
+    r = F.signum(y) * F.floor(F.abs(y) + 0.5).cast("double")
     return F.when(y.isNull() | F.isnan(y) | (F.abs(y) > 4.5e15), x.cast("double")).otherwise(
         r / F.lit(p))
