@@ -77,3 +77,15 @@ def test_unsupervised_blocks(spark):
     blocks = unsupervised_blocks(spark, corpus, 4, 4, rows_per_group=5).collect()
     assert blocks and all(len(r.input_ids) == 8 for r in blocks)
     assert all(r.labels == r.input_ids for r in blocks)
+
+
+def test_unsupervised_blocks_with_plugin(spark):
+    from tuneweave.operators.tokens import CodePointTokenizer
+
+    corpus = spark.createDataFrame([(i, "ab" * (i + 1)) for i in range(10)], "k long, text string")
+    blocks = unsupervised_blocks(spark, corpus, 3, 3, rows_per_group=4, order_by=["k"],
+                                 tokenizer_factory=CodePointTokenizer).collect()
+    # groups of 4 rows: 2+4+6+8=20 -> 3 blocks, 10+12+14+16=52 -> 8 blocks, 18+20=38 -> 6 blocks
+    assert sorted((r.group_id, len(r.input_ids)) for r in blocks) == \
+        [(0, 6)] * 3 + [(1, 6)] * 8 + [(2, 6)] * 6
+    assert blocks[0].input_ids[:2] == [ord("a") + 5, ord("b") + 5]

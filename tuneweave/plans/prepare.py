@@ -26,7 +26,7 @@ from ..functions.specials import ENDOFTEXT, IGNORE_INDEX, PAD_ID
 from ..operators.adapters import apply_adapter, resolve_adapter
 from ..operators.batches import batch_ids
 from ..operators.chat import conversations_to_turns, instruct_to_conversation, sft_tokens, sft_tokens_with
-from ..operators.features import pack_text_blocks
+from ..operators.features import pack_blocks, pack_text_blocks
 from ..operators.order import (dense_index, first_n, phase_part, rank_shards, seeded_rank,
                                train_eval_split)
 from ..operators.tokens import Vocabulary, build_vocabulary, tokenize, tokenize_with
@@ -225,19 +225,25 @@ def _features(rows: DataFrame, phase: int, max_seq_len: int, eot: str, vocab, fa
 def unsupervised_blocks(spark: SparkSession, corpus: DataFrame, max_prompt_seq_len: int = 256,
                         max_answer_seq_len: int = 256, rows_per_group: int = 1000,
                         order_by: Sequence[str] | None = None,
-                        vocabulary: Vocabulary | None = None) -> DataFrame:
+                        vocabulary: Vocabulary | None = None,
+                        tokenizer_factory: Callable[[], object] | None = None) -> DataFrame:
     """S8 + T6 + X6: the text column (``text`` or the first column), packed
     into blocks of ``max_prompt_seq_len + max_answer_seq_len`` ids per group
-    of ``rows_per_group`` rows in corpus order (labels = ids)."""
+    of ``rows_per_group`` rows in corpus order (labels = ids). A plug-in
+    tokenizer encodes each row map-side; the vocabulary job goes from words
+    straight to blocks."""
     col = unsupervised_text_column(corpus)
-    vocab = vocabulary or build_vocabulary(F.col(col), corpus)
+    block = max_prompt_seq_len + max_answer_seq_len
     if order_by:
         base, order = corpus.select(col, *order_by), list(order_by)
     else:  # corpus (file) order
         base, order = corpus.select(col).withColumn("__ord", F.monotonically_increasing_id()), ["__ord"]
     indexed = dense_index(base, order, "idx")
-    return pack_text_blocks(indexed, col, vocab, max_prompt_seq_len + max_answer_seq_len,
-                            rows_per_group)
+    if tokenizer_factory is not None:
+        tok = tokenize_with(indexed.select("idx", col), col, tokenizer_factory, "input_ids")
+        return pack_blocks(tok, block, rows_per_group, indexed=True)
+    vocab = vocabulary or build_vocabulary(F.col(col), corpus)
+    return pack_text_blocks(indexed, col, vocab, block, rows_per_group)
 
 
 __all__ = ["prepare_sft_cache", "training_batches", "create_prompt_dataset", "unsupervised_blocks"]
