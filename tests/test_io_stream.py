@@ -22,8 +22,12 @@ def test_json_array_and_lines_sources(spark, tmpdir_path):
     with open(b, "w") as f:
         json.dump([{"instruction": "x", "input": "y", "output": "z"}], f)
     df = read_json_arrays(spark, [a, b])
-    rows = sorted(df.collect(), key=lambda r: (r.file_ordinal, r.row_in_file))
+    rows = sorted(df.collect(), key=lambda r: (r.file_ordinal, r.source_file, r.row_in_file))
     assert [r.instruction for r in rows] == ["Say", "é", "x"]
+    # path order, not name order
+    rev = sorted(read_json_arrays(spark, [b, a]).collect(),
+                 key=lambda r: (r.file_ordinal, r.source_file, r.row_in_file))
+    assert [r.instruction for r in rev] == ["x", "Say", "é"]
     conv = instruct_to_conversation(df)
     turns = conversations_to_turns(conv.withColumn("cid", F.monotonically_increasing_id()), "cid")
     assert {r.text for r in turns.filter("role = 'user'").collect()} == {"Say hi", "é", "xy"}

@@ -31,8 +31,8 @@ from ..operators.order import (dense_index, first_n, phase_part, rank_shards, se
                                train_eval_split)
 from ..operators.tokens import Vocabulary, build_vocabulary, tokenize, tokenize_with
 from ..sinks.token_cache import cache_rows, content_key, persist_or_reuse, write_token_cache
-from ..sources.files import (CONVERSATION_SCHEMA, INSTRUCT_SCHEMA, read_json_arrays,
-                             read_json_lines, unsupervised_text_column)
+from ..sources.files import (CONVERSATION_SCHEMA, INSTRUCT_SCHEMA, ORDER_COLUMNS,
+                             read_json_arrays, read_json_lines, unsupervised_text_column)
 from ..sources.token_cache import read_token_caches
 
 # ------------------------------------------------------------------- §3.1
@@ -49,12 +49,10 @@ def prepare_sft_cache(spark: SparkSession, data_files: str | Sequence[str], out_
     lines: file then position); ``max_samples > 0`` keeps the first N (F4)."""
     schema = CONVERSATION_SCHEMA if conversations else INSTRUCT_SCHEMA
     if json_lines:
-        raw = read_json_lines(spark, data_files, schema).withColumn(
-            "file_ordinal", F.input_file_name()).withColumn(
-            "row_in_file", F.monotonically_increasing_id())
+        raw = read_json_lines(spark, data_files, schema, ordered=True)
     else:
         raw = read_json_arrays(spark, data_files, schema)
-    indexed = first_n(dense_index(raw, ["file_ordinal", "row_in_file"], "idx"), max_samples)
+    indexed = first_n(dense_index(raw, list(ORDER_COLUMNS), "idx"), max_samples)
     conv = indexed if conversations else instruct_to_conversation(indexed)
     turns = conversations_to_turns(conv, "idx")
     if tokenizer_factory is not None:

@@ -31,29 +31,39 @@ PREFERENCE_SCHEMA = T.StructType([
 ])
 
 
-def _with_file_order(df: DataFrame) -> DataFrame:
-    """Keep (file, position) so 'path order' stays a deterministic order."""
-    return (df.withColumn("source_file", F.input_file_name())
+def with_file_order(df: DataFrame, paths: Sequence[str]) -> DataFrame:
+    """Columns that give records their 'path order': ``file_ordinal`` (the
+    position of the file in ``paths``, 0 for files found through a glob or a
+    directory), ``source_file`` (the file name, to order files inside a glob)
+    and ``row_in_file`` (increasing in file order: a file's splits are read
+    in offset order)."""
+    order = F.coalesce(F.array_position(F.array(*[F.lit(_uri(p)) for p in paths]),
+                                        F.input_file_name()), F.lit(0))
+    return (df.withColumn("file_ordinal", order)
+            .withColumn("source_file", F.input_file_name())
             .withColumn("row_in_file", F.monotonically_increasing_id()))
 
 
+ORDER_COLUMNS = ("file_ordinal", "source_file", "row_in_file")
+
+
 def read_json_arrays(spark: SparkSession, paths: str | Sequence[str],
                      schema: T.StructType = INSTRUCT_SCHEMA) -> DataFrame:
     """Files that each hold one JSON array of records, concatenated in path
-    order. Each file is read whole by one task; convert large inputs to JSON
-    lines or Parquet first."""
+    order (see :func:`with_file_order`). Each file is read whole by one task;
+    convert large inputs to JSON lines or Parquet first."""
     paths = [paths] if isinstance(paths, str) else list(paths)
     df = spark.read.schema(schema).option("multiLine", True).json(paths)
-    order = F.array_position(F.array(*[F.lit(_uri(p)) for p in paths]), F.input_file_name())
-    return df.withColumn("file_ordinal", order).withColumn(
-        "row_in_file", F.monotonically_increasing_id())
+    return with_file_order(df, paths)
 
 
 def read_json_lines(spark: SparkSession, paths: str | Sequence[str],
-                    schema: T.StructType = INSTRUCT_SCHEMA) -> DataFrame:
-    """JSON-lines files (splittable)."""
+                    schema: T.StructType = INSTRUCT_SCHEMA, ordered: bool = False) -> DataFrame:
+    """JSON-lines files (splittable); ``ordered`` adds the path-order
+    columns."""
     paths = [paths] if isinstance(paths, str) else list(paths)
-    return spark.read.schema(schema).json(paths)
+    df = spark.read.schema(schema).json(paths)
+    return with_file_order(df, paths) if ordered else df
 
 
 def read_local_pair(spark: SparkSession, train_path: str, eval_path: str,
