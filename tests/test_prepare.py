@@ -21,9 +21,9 @@ def test_sft_cache_then_training_batches(spark, tmpdir_path):
     b = _write(os.path.join(tmpdir_path, "b.json"),
                [{"instruction": "last one", "input": "", "output": "done"}])
     out = os.path.join(tmpdir_path, "cache")
-    rows = prepare_sft_cache(spark, [a, b], out, key_tag="alpaca", max_samples=6)
+    rows = prepare_sft_cache(spark, [a, b], out, key_tag="instruct", max_samples=6)
     got = sorted(rows.select("key", "idx", "input_ids", "labels").collect(), key=lambda r: r.idx)
-    assert [r.key for r in got] == [f"alpaca_idx_{i}" for i in range(6)]
+    assert [r.key for r in got] == [f"instruct_idx_{i}" for i in range(6)]
     for r in got:
         assert len(r.input_ids) == len(r.labels)
         assert r.input_ids[0] == SPECIAL_IDS["<|im_start|>"]
@@ -34,7 +34,7 @@ def test_sft_cache_then_training_batches(spark, tmpdir_path):
     assert {r.shard for r in batches} == {0, 1, 2, 3}
     assert all(len(r.input_ids) == 8 and len(r.attention_mask) == 8 for r in batches)
     seq = training_batches(spark, out, max_seq_len=8, batch_size=4, sampler="sequential").collect()
-    assert sorted((r.pos, r.key) for r in seq) == [(i, f"alpaca_idx_{i}") for i in range(6)]
+    assert sorted((r.pos, r.key) for r in seq) == [(i, f"instruct_idx_{i}") for i in range(6)]
 
 
 def _pairs(spark, n, prefix):
