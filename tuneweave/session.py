@@ -7,6 +7,7 @@ only when the session runs in local mode and nothing is configured (tests).
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
 import uuid
@@ -70,20 +71,54 @@ def checkpoint_root(spark: SparkSession) -> str:
     return sc.getCheckpointDir() or scratch
 
 
+_WRITTEN: list[str] = []
+_HOOKED = False
+
+
 def materialize(df: DataFrame, name: str = "stage") -> DataFrame:
     """Write ``df`` as Parquet under the checkpoint root and read it back.
 
     This cuts lineage with one pass over the data (``checkpoint()`` would compute
     the plan twice unless cached) and leaves a table that any executor can read
-    after a failure.
+    after a failure. Tables written by this process are removed when it exits
+    (or earlier with :func:`release_materialized`).
     """
+    global _HOOKED
     spark = df.sparkSession
     root = checkpoint_root(spark)
     path = os.path.join(root, "tables", f"{name}-{uuid.uuid4().hex}")
     df.write.mode("error").parquet(path)
+    _WRITTEN.append(path)
+    if not _HOOKED:
+        atexit.register(_release_at_exit)
+        _HOOKED = True
     return spark.read.parquet(path)
 
 
+def release_materialized(spark: SparkSession) -> int:
+    """Delete the tables this process materialised; call when the results
+    that read them are no longer needed. Returns the number removed."""
+    jvm = spark.sparkContext._jvm
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    removed = 0
+    while _WRITTEN:
+        jpath = jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
+        fs = jpath.getFileSystem(conf)
+        if fs.exists(jpath):
+            fs.delete(jpath, True)
+            removed += 1
+    return removed
+
+
+def _release_at_exit() -> None:
+    try:
+        active = SparkSession.getActiveSession()
+        if active is not None:
+            release_materialized(active)
+    except Exception:  # noqa: BLE001 - best effort at interpreter exit
+        pass
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 
