@@ -12,14 +12,13 @@
 from __future__ import annotations
 
 import os
-import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.arrays import join_ints
 from ..functions.specials import ENDOFTEXT, PAD_ID
-from ..session import materialized_root
+from ..session import scratch_path
 from ..sinks.token_cache import write_token_cache
 from . import sqlkit as q
 from .prepare import create_prompt_dataset, prepare_sft_cache, training_batches
@@ -92,7 +91,7 @@ TB_LEN, TB_WORLD, TB_BATCH = 64, 3, 4
 
 def training_batches_q(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows, _ = _sft_store(spark, sf_dir)
-    path = os.path.join(materialized_root(spark), f"token-cache-{uuid.uuid4().hex}")
+    path = scratch_path(spark, "token-cache")
     write_token_cache(rows, path)
     b = training_batches(spark, path, max_seq_len=TB_LEN, padding_side="left", batch_size=TB_BATCH,
                          sampler="distributed", world_size=TB_WORLD, seed=SEED)
@@ -138,7 +137,7 @@ def sft_cache_from_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     recs = conv_pairs(spark, sf_dir).select(
         "conv_id", "turn", F.col("prompt").alias("instruction"),
         F.coalesce("sys", F.lit("")).alias("input"), F.col("chosen").alias("output"))
-    path = os.path.join(materialized_root(spark), f"instruct-jsonl-{uuid.uuid4().hex}")
+    path = scratch_path(spark, "instruct-jsonl")
     # range-partitioned output: part files follow (conv_id, turn) order
     (recs.repartitionByRange("conv_id", "turn").sortWithinPartitions("conv_id", "turn")
      .select("instruction", "input", "output").write.json(path))

@@ -95,6 +95,18 @@ def materialize(df: DataFrame, name: str = "stage") -> DataFrame:
     return spark.read.parquet(path)
 
 
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A fresh path under the materialised-table folder for intermediate data
+    written by other means (files, stream sinks); removed like the tables."""
+    global _HOOKED
+    path = os.path.join(checkpoint_root(spark), "tables", f"{name}-{uuid.uuid4().hex}")
+    _WRITTEN.append(path)
+    if not _HOOKED:
+        atexit.register(_release_at_exit)
+        _HOOKED = True
+    return path
+
+
 def release_materialized(spark: SparkSession) -> int:
     """Delete the tables this process materialised; call when the results
     that read them are no longer needed. Returns the number removed."""

@@ -16,7 +16,6 @@ checkpointed in the shared checkpoint folder.
 from __future__ import annotations
 
 import os
-import uuid
 from collections.abc import Iterator
 
 import pandas as pd
@@ -25,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupStateTimeout
 
-from ..session import checkpoint_root
+from ..session import scratch_path
 
 OUTPUT_SCHEMA = T.StructType([
     T.StructField("rank", T.IntegerType()),
@@ -119,12 +118,16 @@ def online_metrics(log: DataFrame, alpha: float = 0.9, report_every: int = 100,
 def run_to_sink(stream: DataFrame, out_path: str | None = None,
                 checkpoint: str | None = None) -> str:
     """Write a stream as Parquet with a checkpoint (exactly-once file
-    sink), processing everything available, and return the output path."""
+    sink), processing everything available, and return the output path.
+    Without ``out_path`` both go to scratch space removed at process exit;
+    with it, the checkpoint defaults to ``<out_path>/_checkpoint`` (durable,
+    ignored by Parquet readers)."""
     spark = stream.sparkSession
-    root = checkpoint_root(spark)
-    run = uuid.uuid4().hex
-    out_path = out_path or os.path.join(root, "streams", run, "out")
-    checkpoint = checkpoint or os.path.join(root, "streams", run, "checkpoint")
+    if out_path is None:
+        base = scratch_path(spark, "stream")
+        out_path = os.path.join(base, "out")
+        checkpoint = checkpoint or os.path.join(base, "checkpoint")
+    checkpoint = checkpoint or os.path.join(out_path, "_checkpoint")
     q = (stream.writeStream.format("parquet").option("path", out_path)
          .option("checkpointLocation", checkpoint).outputMode("append")
          .trigger(availableNow=True).start())
