@@ -28,7 +28,8 @@ def main() -> None:
     cpus = os.environ.get("BENCH_CPUS", "8")
     names = sys.argv[1:] or HEADLINE
     spark = get_spark(f"local[{cpus}]", app_name="tuneweave-bench",
-                      shuffle_partitions=int(cpus) * 2, driver_memory="16g")
+                      shuffle_partitions=int(os.environ.get("BENCH_SHUFFLE_PARTITIONS", int(cpus) * 2)),
+                      driver_memory="16g")
     reg = registry()
     # warm the JVM (class loading, code generation) and the Python workers on
     # the smallest tables so the first timed query is not charged with start-up
