@@ -97,7 +97,10 @@ def test_stream_metrics_equal_batch_and_drop_late_rows(spark, tmpdir_path):
     schema = "epoch int, step long, rank int, loss double, n int"
     batch1 = [(0, s, s % 2, float(s % 13), 1 + s % 3) for s in range(0, 300)]
     batch2 = [(0, 5, 1, 99.0, 1)] + [(0, s, s % 2, float(s % 13), 1 + s % 3) for s in range(300, 450)]
+    import time
+
     spark.createDataFrame(batch1, schema).coalesce(1).write.parquet(os.path.join(src, "f1"))
+    time.sleep(1.1)  # the file source takes files in modification order
     spark.createDataFrame(batch2, schema).coalesce(1).write.parquet(os.path.join(src, "f2"))
     stream = (spark.readStream.schema(schema).option("maxFilesPerTrigger", 1)
               .parquet(os.path.join(src, "*")))
