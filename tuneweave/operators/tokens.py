@@ -182,16 +182,19 @@ def tokenize_keep(df: DataFrame, text_col: str, vocab: Vocabulary, key_cols: Seq
     return tokenize(df.select(*key_cols, text_col), text_col, vocab, key_cols, ids_col)
 
 
-def eot_features(df: DataFrame, text_col: str, vocab: Vocabulary, key_cols: Sequence[str],
+def eot_features(df: DataFrame, text_col: str, vocab: Vocabulary | None, key_cols: Sequence[str],
                  max_seq_len: int, end_of_conversation_token: str = ENDOFTEXT,
-                 pad_id: int = PAD_ID, prefix: str = "") -> DataFrame:
+                 pad_id: int = PAD_ID, prefix: str = "", factory=None) -> DataFrame:
     """T5: append the end-of-conversation token, tokenize, truncate to
     ``max_seq_len`` and pad to it. The attention mask marks real tokens
     (not equality with pad), as a tokenizer's padding mask does. Null texts
     are dropped (F1/F2 semantics)."""
     src = df.filter(F.col(text_col).isNotNull()).select(
         *key_cols, F.concat(F.col(text_col), F.lit(end_of_conversation_token)).alias("__t"))
-    tok = tokenize(src, "__t", vocab, key_cols, "__ids")
+    if factory is not None:
+        tok = tokenize_with(src, "__t", factory, "__ids").drop("__t")
+    else:
+        tok = tokenize(src, "__t", vocab, key_cols, "__ids")
     ids = F.slice(F.col("__ids"), 1, max_seq_len)
     return tok.select(*key_cols, ids.alias("__ids")).select(
         *key_cols,
@@ -199,10 +202,10 @@ def eot_features(df: DataFrame, text_col: str, vocab: Vocabulary, key_cols: Sequ
         real_token_mask(F.size("__ids"), max_seq_len).alias(f"{prefix}attention_mask"))
 
 
-def eot_pair_features(df: DataFrame, text_cols: dict[str, str], vocab: Vocabulary,
+def eot_pair_features(df: DataFrame, text_cols: dict[str, str], vocab: Vocabulary | None,
                       key_cols: Sequence[str], max_seq_len: int,
-                      end_of_conversation_token: str = ENDOFTEXT, pad_id: int = PAD_ID
-                      ) -> DataFrame:
+                      end_of_conversation_token: str = ENDOFTEXT, pad_id: int = PAD_ID,
+                      factory=None) -> DataFrame:
     """T5 for several text columns of the same rows (phase 2: chosen and
     rejected), ``{prefix: column}``; rows where any text is null are dropped.
     With a map-side vocabulary all columns are tokenized in one pass over
@@ -212,7 +215,7 @@ def eot_pair_features(df: DataFrame, text_cols: dict[str, str], vocab: Vocabular
     for c in text_cols.values():
         cond = F.col(c).isNotNull() if cond is None else cond & F.col(c).isNotNull()
     rows = df.filter(cond)
-    factory = vocab.map_side_factory()
+    factory = factory or vocab.map_side_factory()
     if factory is None:
         parts = [eot_features(rows, c, vocab, key_cols, max_seq_len, end_of_conversation_token,
                               pad_id, prefix) for prefix, c in text_cols.items()]

@@ -29,7 +29,8 @@ from ..operators.chat import conversations_to_turns, instruct_to_conversation, s
 from ..operators.features import pack_blocks, pack_text_blocks
 from ..operators.order import (dense_index, first_n, phase_part, rank_shards, seeded_rank,
                                train_eval_split)
-from ..operators.tokens import Vocabulary, build_vocabulary, tokenize, tokenize_with
+from ..operators.tokens import (Vocabulary, build_vocabulary, eot_features, eot_pair_features,
+                               tokenize, tokenize_with)
 from ..sinks.token_cache import cache_rows, content_key, persist_or_reuse, write_token_cache
 from ..sources.files import (CONVERSATION_SCHEMA, INSTRUCT_SCHEMA, ORDER_COLUMNS,
                              read_json_arrays, read_json_lines, unsupervised_text_column)
@@ -171,45 +172,28 @@ def create_prompt_dataset(spark: SparkSession, datasets: Sequence[tuple[str, Dat
             persist_or_reuse(spark, lambda: build("eval"), output_root, key + "_eval", reload))
 
 
-def _tok(df: DataFrame, text_col: str, keys: list[str], vocab, factory) -> DataFrame:
-    if factory is not None:
-        return tokenize_with(df.select(*keys, text_col), text_col, factory, "__ids").select(
-            *keys, "__ids")
-    return tokenize(df, text_col, vocab, keys, "__ids")
-
-
 def _features(rows: DataFrame, phase: int, max_seq_len: int, eot: str, vocab, factory) -> DataFrame:
     keys = ["source", "row_id", "__order", "which"]
     if phase in (1, 2):
         fields = ["prompt_and_chosen"] + (["prompt_and_rejected"] if phase == 2 else [])
-        cond = reduce(lambda a, b: a & b, [F.col(f).isNotNull() for f in fields])
-        kept = rows.filter(cond)
-        long = reduce(lambda a, b: a.unionByName(b), [
-            kept.select(*keys, F.lit(f).alias("field"), F.concat(F.col(f), F.lit(eot)).alias("t"))
-            for f in fields])
+        kept = rows.filter(reduce(lambda a, b: a & b, [F.col(f).isNotNull() for f in fields]))
         if factory is None and vocab is None:
-            vocab = build_vocabulary(F.col("t"), long)
-        tok = _tok(long, "t", keys + ["field"], vocab, factory)
-        trunc = F.slice(F.col("__ids"), 1, max_seq_len)
-        tok = tok.select(*keys, "field", trunc.alias("__ids")).select(
-            *keys, "field", pad_clip(F.col("__ids"), max_seq_len, PAD_ID, "right").alias("ids"),
-            F.transform(F.sequence(F.lit(0), F.lit(max_seq_len - 1)),
-                        lambda i: (i < F.size("__ids")).cast("int")).alias("mask"))
+            vocab = build_vocabulary([F.concat(F.col(f), F.lit(eot)) for f in fields], kept)
         if phase == 1:
-            return tok.select(*keys, F.col("ids").alias("input_ids"),
-                              F.col("mask").alias("attention_mask"),
-                              labels_from_mask(F.col("ids"), F.col("mask")).alias("labels"))
-        c = tok.filter(F.col("field") == "prompt_and_chosen").select(
-            *keys, F.col("ids").alias("chosen_input_ids"), F.col("mask").alias("chosen_attention_mask"))
-        r = tok.filter(F.col("field") == "prompt_and_rejected").select(
-            *keys, F.col("ids").alias("rejected_input_ids"),
-            F.col("mask").alias("rejected_attention_mask"))
-        return c.join(r, keys)
+            f = eot_features(kept, "prompt_and_chosen", vocab, keys, max_seq_len, eot,
+                             factory=factory)
+            return f.withColumn("labels", labels_from_mask(F.col("input_ids"),
+                                                           F.col("attention_mask")))
+        return eot_pair_features(kept, {"chosen_": "prompt_and_chosen",
+                                        "rejected_": "prompt_and_rejected"},
+                                 vocab, keys, max_seq_len, eot, factory=factory)
     if phase == 3:
         kept = rows.filter(F.col("prompt").isNotNull())
-        if factory is None and vocab is None:
-            vocab = build_vocabulary(F.col("prompt"), kept)
-        tok = _tok(kept, "prompt", keys, vocab, factory)
+        if factory is not None:
+            tok = tokenize_with(kept.select(*keys, "prompt"), "prompt", factory, "__ids")
+        else:
+            vocab = vocab or build_vocabulary(F.col("prompt"), kept)
+            tok = tokenize(kept, "prompt", vocab, keys, "__ids")
         ok = tok.filter(F.size("__ids") <= max_seq_len)
         return ok.select(*keys, F.reverse("__ids").alias("prompt_input_ids"),
                          F.transform("__ids", lambda x: F.lit(1)).alias("prompt_attention_mask"),
