@@ -1,8 +1,6 @@
 import json
 import os
 
-from pyspark.sql import functions as F
-
 from tuneweave.functions.specials import IGNORE_INDEX, SPECIAL_IDS
 from tuneweave.plans.prepare import (create_prompt_dataset, prepare_sft_cache, training_batches,
                                      unsupervised_blocks)

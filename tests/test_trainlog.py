@@ -1,7 +1,6 @@
 import math
 import random
 
-import pytest
 from pyspark.sql import functions as F
 
 from tuneweave.functions.perf import checkpoint_factor, scheduled_lr, train_flops

@@ -26,8 +26,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.arrays import pad_clip, real_token_mask
-from ..functions.specials import (ENDOFTEXT, FIRST_WORD_ID, INLINE_SPECIALS, NEWLINE,
-                                  PAD_ID, SPECIAL_IDS, UNK_ID, WORD_SPLIT)
+from ..functions.specials import (ENDOFTEXT, FIRST_WORD_ID, INLINE_SPECIALS, PAD_ID,
+                                  SPECIAL_IDS, UNK_ID, WORD_SPLIT)
 from .order import dense_index
 
 _PY_SPLIT = re.compile(WORD_SPLIT)
