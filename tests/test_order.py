@@ -96,3 +96,23 @@ def test_blend_and_first_n(spark):
     idx = dense_index(a, ["id"], "idx")
     assert first_n(idx, 2).count() == 2
     assert first_n(idx, 0).count() == 5
+
+
+def test_dense_index_spreads_a_hot_key_over_partitions(spark, monkeypatch):
+    import tuneweave.operators.order as order
+
+    seen = []
+    real = order.materialize
+
+    def spy(df, name="stage"):
+        out = real(df, name)
+        seen.append(out)
+        return out
+
+    monkeypatch.setattr(order, "materialize", spy)
+    rows = [(0 if i % 10 else i, i) for i in range(4000)]  # one key holds 90% of rows
+    df = spark.createDataFrame(rows, "k long, v long").repartition(4)
+    out = dense_index(df, ["k"], "idx", num_partitions=8)
+    assert sorted(r.idx for r in out.collect()) == list(range(4000))
+    sizes = [r["count"] for r in seen[0].groupBy("__pid").count().collect()]
+    assert max(sizes) < 0.3 * 4000  # the hot key is split, not one task
