@@ -263,16 +263,19 @@ SELECT tok.conv_id, tok.turn, bt.batch_id, tok.side, CAST(tok.side * bt.blen + b
 FROM tok JOIN bt ON tok.conv_id = bt.conv_id AND tok.turn = bt.turn"""
 
 SQL_PACK = f"""WITH {q.vocab_cte([('documents', 'text')])},
-d AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS idx, {q.words('text')} AS ws FROM documents),
-p AS (SELECT idx, unnest(ws) AS w, generate_subscripts(ws, 1) AS pos FROM d),
-ids AS (SELECT p.idx, p.pos, {q.id_of('p.w')} AS id FROM p LEFT JOIN vocab v ON v.word = p.w),
-g AS (SELECT idx // {ROWS_PER_GROUP} AS grp, list(id ORDER BY idx, pos) AS toks FROM ids GROUP BY grp),
-k AS (SELECT grp, toks, CASE WHEN len(toks) >= {BLOCK_SIZE} THEN (len(toks) // {BLOCK_SIZE}) * {BLOCK_SIZE}
-                        ELSE len(toks) END AS keep FROM g),
-b AS (SELECT grp, toks, keep, unnest(range(0, (keep + {BLOCK_SIZE} - 1) // {BLOCK_SIZE})) AS block_id FROM k),
-s AS (SELECT grp, block_id, toks[block_id * {BLOCK_SIZE} + 1 : least((block_id + 1) * {BLOCK_SIZE}, keep)] AS blk FROM b)
-SELECT CAST(grp AS BIGINT) AS group_id, CAST(block_id AS BIGINT) AS block_id,
-       array_to_string(blk, ',') AS input_ids, CAST(len(blk) AS BIGINT) AS n_tokens FROM s"""
+d AS (SELECT row_number() OVER (ORDER BY doc_id) - 1 AS idx, {q.words('text')} AS ws FROM documents),
+l AS (SELECT idx, idx // {ROWS_PER_GROUP} AS grp, len(ws) AS n, ws FROM d),
+o AS (SELECT *, coalesce(sum(n) OVER (PARTITION BY grp ORDER BY idx
+                 ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS off,
+             sum(n) OVER (PARTITION BY grp) AS tot FROM l),
+k AS (SELECT grp, off, ws, CASE WHEN tot >= {BLOCK_SIZE} THEN (tot // {BLOCK_SIZE}) * {BLOCK_SIZE}
+                            ELSE tot END AS keep FROM o),
+p AS (SELECT grp, off, keep, unnest(ws) AS w, generate_subscripts(ws, 1) AS i FROM k),
+ids AS (SELECT p.grp, p.off + p.i - 1 AS gpos, {q.id_of('p.w')} AS id
+        FROM p LEFT JOIN vocab v ON v.word = p.w WHERE p.off + p.i - 1 < p.keep)
+SELECT CAST(grp AS BIGINT) AS group_id, CAST(gpos // {BLOCK_SIZE} AS BIGINT) AS block_id,
+       {q.ints('id', 'gpos')} AS input_ids, count(*) AS n_tokens
+FROM ids GROUP BY grp, gpos // {BLOCK_SIZE}"""
 
 _SFT_STORE = f"""{_sql_items('sft')},
 s0 AS (SELECT conv_id, count(*) AS n_tokens, CAST(sum(id) AS BIGINT) AS id_sum,
