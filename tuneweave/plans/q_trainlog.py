@@ -195,8 +195,8 @@ SQL_EVAL = """WITH pr AS (SELECT CAST(user_id % 4 AS INTEGER) AS rank, avg(value
 SELECT round(avg(l), 6) AS eval_loss, round(exp(avg(l)), 6) AS perplexity FROM pr"""
 
 SQL_THROUGHPUT = f"""WITH {SQL_LOG}
-SELECT step, rank, round((n * {dbl(float(MAX_SEQ_LEN))}) / seconds, 4) AS tokens_per_sec,
-       round(CAST(n AS DOUBLE) / seconds, 4) AS samples_per_sec,
+SELECT step, rank, round((n * {dbl(float(MAX_SEQ_LEN))}) / nullif(seconds, 0), 4) AS tokens_per_sec,
+       round(CAST(n AS DOUBLE) / nullif(seconds, 0), 4) AS samples_per_sec,
        (rank = 0 AND step % {THROUGHPUT_EVERY} = 0) AS reported FROM log"""
 
 
@@ -218,8 +218,8 @@ j AS (SELECT log.*, cfg.num_layers, cfg.hidden_size, cfg.vocab_size, cfg.gpus, c
       FROM log JOIN cfg ON log.event_type = cfg.event_type)
 SELECT step, event_type,
   round({_sql_flops(_sql_factor('checkpointing', 'lora_dim', 'hidden_size'), 'n', str(MAX_SEQ_LEN),
-                    'num_layers', 'hidden_size', 'vocab_size')} / (seconds * gpus * {dbl(1e12)}), 6) AS tflops,
-  round(CAST(n AS DOUBLE) / seconds, 6) AS samples_per_sec,
+                    'num_layers', 'hidden_size', 'vocab_size')} / nullif(seconds * gpus * {dbl(1e12)}, 0), 6) AS tflops,
+  round(CAST(n AS DOUBLE) / nullif(seconds, 0), 6) AS samples_per_sec,
   round(seconds / nullif(CAST(n AS DOUBLE), 0), 6) AS time_per_seq
 FROM j"""
 
@@ -240,12 +240,12 @@ def _sql_rlhf() -> str:
     return f"""WITH {SQL_LOG},
 x AS (SELECT step, seconds, {a_fl} + {c_fl} AS train_fl, {gen_fl} AS gen_fl, {batch} AS batch FROM log)
 SELECT step,
-  round((train_fl + gen_fl * {GENERATION_BATCHES}) / (seconds * {g} * {dbl(1e12)}), 6) AS e2e_tflops,
-  round(gen_fl / ({gen_t} * {g} * {dbl(1e12)}), 6) AS gen_tflops,
-  round(train_fl / ({train_t} * {g} * {dbl(1e12)}), 6) AS train_tflops,
+  round((train_fl + gen_fl * {GENERATION_BATCHES}) / nullif(seconds * {g} * {dbl(1e12)}, 0), 6) AS e2e_tflops,
+  round(gen_fl / nullif({gen_t} * {g} * {dbl(1e12)}, 0), 6) AS gen_tflops,
+  round(train_fl / nullif({train_t} * {g} * {dbl(1e12)}, 0), 6) AS train_tflops,
   round({pertok} * 1000, 6) AS pertok_latency_ms,
-  round({dbl(1.0)} / {pertok} * {dbl(ACTOR['params'])} * {ACTOR['num_bytes']} / {dbl(1e9)}, 6) AS gen_bw,
-  round(batch / seconds, 6) AS samples_per_sec
+  round({dbl(1.0)} / nullif({pertok}, 0) * {dbl(ACTOR['params'])} * {ACTOR['num_bytes']} / {dbl(1e9)}, 6) AS gen_bw,
+  round(batch / nullif(seconds, 0), 6) AS samples_per_sec
 FROM x"""
 
 
