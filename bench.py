@@ -20,6 +20,9 @@ HEADLINE = [
     "adapter_dahoas_rm_static", "phase1_labels", "reward_rows", "prompt_left_pad",
     "token_cache_last_wins", "loss_buckets", "loss_cumavg", "loss_ema", "tflops",
     "label_logprob", "gae", "pair_loss", "stream_ema",
+    # end-to-end flows of the reference: JSON -> token cache, cache -> batches,
+    # preference data -> phase features
+    "sft_cache_from_json", "training_batches", "prompt_dataset_phase2_train",
 ]
 
 
