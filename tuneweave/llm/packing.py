@@ -13,19 +13,29 @@ Other columns are ignored.
 
 from __future__ import annotations
 
+import gc
+import os
 import re
+import struct
 import zlib
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 MAX_LEN = 2048
 END_ID = 1
-#: Words whose ids a worker remembers; the memo starts anew beyond it.
-MEMO = 300_000
+#: Documents that are encoded together.
+BATCH = 512
+#: Words, and parts of words, whose ids a worker remembers (about 0.4 GB at most);
+#: a memo starts anew beyond it.
+WORDS, KNOWN_PARTS = 600_000, 1_000_000
 SEPARATORS = re.compile("[\x1c-\x1f]")
+#: How the tokenizer cuts a word (fixed values of its file).
+PARTS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+WHOLE = re.compile("[^\x00-\xff]|[\x1c-\x1f]|<\\|")
 PIECE = "doc_id long, start long, length long, ids binary, ids_crc32 long, doc_tokens long"
 
 
@@ -35,10 +45,23 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+class Memo(dict):
+    """Words to ids; words it does not have are noted in ``new``."""
+
+    def __init__(self):
+        super().__init__()
+        self.new: list[str] = []
+
+    def __missing__(self, word: str) -> None:
+        self.new.append(word)
+
+
 class WordIds:
-    """Ids of whole texts by a tokenizer that drops white space, as little-endian
-    32-bit bytes. No token of such a tokenizer spans white space, so a text's ids
-    are those of its words in turn, and each distinct word is encoded once."""
+    """Ids of whole texts by a tokenizer that lower-cases, drops white space and
+    cuts words by ``PARTS``, as little-endian 32-bit bytes. No token of such a
+    tokenizer spans two parts, so a text's ids are those of its parts in turn, and
+    each distinct part is encoded once. Words with letters beyond Latin-1, where
+    the tokenizer may also recompose or fold letters, go to it whole."""
 
     _loaded: dict = {}
 
@@ -46,29 +69,48 @@ class WordIds:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.memo: dict[str, bytes] = {}
+        self.words = Memo()
+        self.parts: dict[str, bytes] = {}
 
     @classmethod
     def of(cls, path: str) -> "WordIds":
         if path not in cls._loaded:
-            import os
-
             os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
             cls._loaded[path] = cls(path)
         return cls._loaded[path]
 
+    def _learn(self, new: set[str]) -> None:
+        plain = [w for w in new if w.isalpha() and not WHOLE.search(w)]
+        mixed = {w: [w] if WHOLE.search(w) else PARTS.findall(w.lower()) for w in new.difference(plain)}
+        lower = [w.lower() for w in plain]
+        missing = list(set(lower).union(*mixed.values()).difference(self.parts))
+        for at in range(0, len(missing), 20_000):
+            some = missing[at:at + 20_000]
+            for part, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False)):
+                self.parts[part] = struct.pack(f"<{len(e.ids)}I", *e.ids)
+        known = self.parts.__getitem__
+        self.words.update(zip(plain, map(known, lower)))
+        for w, parts in mixed.items():
+            self.words[w] = b"".join(map(known, parts))
+
     def encode(self, texts: list[str]) -> list[bytes]:
         # U+001C to U+001F are white space to split(), but not to the tokenizer
         split = [re.split("[ \t\n\x0b\x0c\r]+", t) if SEPARATORS.search(t) else t.split() for t in texts]
-        if len(self.memo) > MEMO:
-            self.memo.clear()
-        memo = self.memo
-        new = list({w for ws in split for w in ws if w not in memo})
-        for at in range(0, len(new), 20_000):
-            part = new[at:at + 20_000]
-            for w, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
-                memo[w] = np.array(e.ids, "<u4").tobytes()
-        return [b"".join([memo[w] for w in ws]) for ws in split]
+        for memo, most in ((self.words, WORDS), (self.parts, KNOWN_PARTS)):
+            if len(memo) > most:
+                memo.clear()
+        known, new = self.words.__getitem__, self.words.new
+        found, open_ = [], []
+        for i, ws in enumerate(split):
+            before = len(new)
+            found.append(list(map(known, ws)))
+            if len(new) > before:
+                open_.append(i)
+        self._learn(set(new))
+        new.clear()
+        for i in open_:
+            found[i] = [known(w) if ids is None else ids for w, ids in zip(split[i], found[i])]
+        return [b"".join(ids) for ids in found]
 
 
 def lengths(n: int, most: int = MAX_LEN) -> list[int]:
@@ -79,13 +121,14 @@ def lengths(n: int, most: int = MAX_LEN) -> list[int]:
 
 def _rows(batches, path: str, with_ids: bool, schema: pa.Schema):
     words = WordIds.of(path)
+    gc.disable()  # the memos hold millions of strings and no cycles
     end = np.array([END_ID], "<u4").tobytes()
     for batch in batches:
         ids, texts = batch.column(0), batch.column(1)
-        for at in range(0, batch.num_rows, 256):
-            part = ids.slice(at, 256).to_pylist()
+        for at in range(0, batch.num_rows, BATCH):
+            part = ids.slice(at, BATCH).to_pylist()
             out: list[list] = [[] for _ in schema]
-            for doc, data in zip(part, words.encode(texts.slice(at, 256).to_pylist())):
+            for doc, data in zip(part, words.encode(texts.slice(at, BATCH).to_pylist())):
                 data += end
                 start, total = 0, len(data) // 4
                 for n in lengths(total):
