@@ -20,7 +20,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import GAP, WORD, words
+from .common import WORD, words
 
 SYMBOLS = "#*$%&|<>"
 WINDOW = 5
@@ -33,20 +33,18 @@ MAX_COMMON, COMMON_NOISE = 0.14, 1.0
 #: A reference language holds at least this share of the documents, and a common
 #: word this share of its language's words: at most 100 of each.
 MIN_LANG, MIN_COMMON = 0.01, 0.01
-CLASSES = (r"[^\p{Ll}]", r"[^\p{Lu}]", r"[^\p{N}]", r"[^#*$%&|<>]", r"[^.,;:!?'\"()\-]")
-
-
-def _count_outside(text: Column, pattern: str) -> Column:
-    return F.length(F.regexp_replace(text, pattern, ""))
+#: Common words are function words, sought among words of at most so many bytes.
+COMMON_BYTES = 6
+#: Small letters and white space, most of any prose; the classes counted in what
+#: is left of a text without them; then come small letters and all the rest.
+PROSE = r"[\p{Ll}\x20\x09-\x0D]+"
+CLASSES = (r"\p{Lu}", r"\p{N}", "[#*$%&|<>]", r"[.,;:!?'\"()\-]")
 
 
 def _windows(w: Column) -> Column:
     """A hash for each five-word window, by its first word."""
-    return F.when(F.size(w) < WINDOW, F.array().cast("array<bigint>")).otherwise(
-        F.transform(F.sequence(F.lit(0), F.size(w) - WINDOW),
-                    lambda i: F.xxhash64(*[F.get(w, i + k) for k in range(WINDOW)])))
-
-
+    hashes = F.transform(w, lambda x, i: F.xxhash64(x, *[F.get(w, i + k) for k in range(1, WINDOW)]))
+    return F.slice(hashes, 1, F.greatest(F.size(w) - (WINDOW - 1), F.lit(0)))
 
 
 def base_counts(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
@@ -69,8 +67,9 @@ def base_counts(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
                | F.coalesce(F.get("placed", j + 1)["h"] == s["h"], F.lit(False))).alias("twice"))),
               lambda s: s["twice"]), lambda s: s["i"])))
           .withColumn("n_words", F.size("w").cast("long"))
-          .withColumn("word_chars", F.length(F.regexp_replace(t, GAP, "")).cast("long"))
-          .withColumn("n_symbols", (F.length(t) - F.length(F.translate(t, SYMBOLS, ""))).cast("long"))
+          .withColumn("word_chars", F.length(F.array_join("w", "")).cast("long"))
+          .withColumn("rest", F.regexp_replace(t, PROSE, ""))
+          .withColumn("n_symbols", F.regexp_count("rest", F.lit(f"[{SYMBOLS}]")).cast("long"))
           .withColumn("n_dup_lines", (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long"))
           .withColumn("n_repeat_words", F.coalesce(F.aggregate(
               F.transform(at, lambda p, j: F.least(F.lit(WINDOW), F.coalesce(F.get(at, j + 1) - p, F.lit(WINDOW)))),
@@ -79,11 +78,11 @@ def base_counts(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     return df.drop("h", "lines", "distinct_h", "placed", "at")
 
 
-def _class_counts(text: Column) -> list[Column]:
-    """Characters of each class; the last is whatever is in none, white space aside."""
-    bare = F.regexp_replace(text, GAP, "")
-    counts = [_count_outside(bare, p) for p in CLASSES]
-    return [*counts, F.length(bare) - reduce(lambda a, b: a + b, counts)]
+def _class_counts(rest: Column, visible: Column) -> Column:
+    """Characters of each class, of small letters, as an array: ``rest`` is the
+    text without PROSE, ``visible`` the number of characters in words."""
+    counts = [F.regexp_count(rest, F.lit(c)).cast("long") for c in CLASSES]
+    return F.array(*counts, visible - F.length(rest))
 
 
 def references(docs: DataFrame) -> dict[str, dict]:
@@ -91,18 +90,26 @@ def references(docs: DataFrame) -> dict[str, dict]:
     classes and of its common words. At most 100 languages of 100 words."""
     text = F.coalesce(F.col("text"), F.lit(""))
     known = docs.filter(F.col("lang").isNotNull()).select("lang", text.alias("text"))
-    names = [f"c{i}" for i in range(len(CLASSES) + 1)]
-    per_lang = (known.select("lang", *[c.alias(n) for c, n in zip(_class_counts(F.col("text")), names)])
-                .groupBy("lang").agg(F.count(F.lit(1)).alias("n"), *[F.sum(c).alias(c) for c in names]))
-    total = per_lang.agg(F.sum("n")).scalar()
-    out = {r["lang"]: {"classes": _shares([r[c] or 0 for c in names]), "common": {}}
-           for r in per_lang.filter(F.col("n") >= total * MIN_LANG).collect()}
-    counts = (known.filter(F.col("lang").isin(list(out))).select("lang", F.explode(words(F.lower("text"))).alias("w"))
-              .groupBy("lang", "w").agg(F.count(F.lit(1)).alias("n")))
-    sums = counts.groupBy("lang").agg(F.sum("n").alias("all"))
-    often = counts.join(F.broadcast(sums), "lang").filter(F.col("n") >= F.col("all") * MIN_COMMON)
-    for r in often.select("lang", "w", (F.col("n") / F.col("all")).alias("p")).collect():
-        out[r["lang"]]["common"][r["w"]] = r["p"]
+    split = known.select("lang", "text", words(F.lower("text")).alias("w"))
+    counted = split.select("lang", F.size("w").alias("words"), F.regexp_replace("text", PROSE, "").alias("rest"),
+                           F.length(F.array_join("w", "")).cast("long").alias("visible"))
+    counted = counted.select("lang", "words", _class_counts(F.col("rest"), F.col("visible")).alias("c"))
+    per_lang = counted.groupBy("lang").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("words").alias("words"),
+        *[F.sum(F.col("c")[i]).alias(f"c{i}") for i in range(len(CLASSES) + 1)]).collect()
+    total = sum(r["n"] for r in per_lang)
+    kept = [r for r in per_lang if r["n"] >= total * MIN_LANG]
+    out = {r["lang"]: {"classes": _shares([r[f"c{i}"] or 0 for i in range(len(CLASSES) + 1)]), "common": {}}
+           for r in kept}
+    least = {r["lang"]: max(1.0, r["words"] * MIN_COMMON) for r in kept}
+    short = (split.filter(F.col("lang").isin(list(out)))
+             .select("lang", F.explode(F.filter("w", lambda x: F.octet_length(x) <= COMMON_BYTES)).alias("w"))
+             .groupBy("lang", "w").agg(F.count(F.lit(1)).alias("n")))
+    enough = F.lit(False)
+    for name, n in least.items():
+        enough = enough | ((F.col("lang") == name) & (F.col("n") >= n))
+    for r in short.filter(enough).collect():
+        out[r["lang"]]["common"][r["w"]] = r["n"] / next(x["words"] for x in kept if x["lang"] == r["lang"])
     return out
 
 
@@ -142,7 +149,7 @@ def quality_rules(docs: DataFrame, max_class: float = MAX_CLASS, max_common: flo
     refs = references(docs)
     every = sorted({w for r in refs.values() for w in r["common"]})
     df = (base_counts(docs, ("lang",))
-          .withColumn("classes", F.array(*_class_counts(F.col("text"))))
+          .withColumn("classes", _class_counts(F.col("rest"), F.col("word_chars")))
           .withColumn("common", F.filter(F.transform("w", F.lower), lambda x: x.isin(every)) if every
                       else F.array().cast("array<string>"))
           .withColumn("refs", _reference_column(refs))
@@ -151,9 +158,9 @@ def quality_rules(docs: DataFrame, max_class: float = MAX_CLASS, max_common: flo
     common, n_words, chars = F.col("common"), F.col("n_words"), F.col("word_chars")
 
     def word_counts(r):
-        each = F.transform(r["words"], lambda w: F.size(common) - F.size(F.array_remove(common, w)))
-        rest = n_words - F.size(F.filter(common, lambda x: F.array_contains(r["words"], x)))
-        return F.concat(F.transform(each, lambda c: c.cast("long")), F.array(rest))
+        each = F.transform(r["words"], lambda w: (F.size(common) - F.size(F.array_remove(common, w))).cast("long"))
+        # the counts, and what they leave of all words
+        return F.concat(each, F.array(n_words - F.aggregate(each, F.lit(0).cast("long"), lambda a, x: a + x)))
 
     def nearest(of):
         return F.coalesce(F.array_min(F.transform("own", of)), F.lit(0.0))
