@@ -8,15 +8,31 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import divergence, imatch, mixing, packing, quality, warc
+from . import divergence, imatch, langid, mixing, ngram_join, packing, pii, ppm, quality, warc
 from .common import remainder, table
 
 
+def op1_token_group_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.jaccard_classes(table(spark, sf_dir, "documents"))
+
+
 def op2_warc_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = warc.round_trip(table(spark, sf_dir, "pages"))
     return out.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op3_ppm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ppm.score(table(spark, sf_dir, "documents"), remainder(F.col("doc_id"), 7) == 2)
+
+
+def op4_pii_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.report(table(spark, sf_dir, "documents"))
+
+
+def op5_unigram_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(table(spark, sf_dir, "documents"), remainder(F.col("doc_id"), 4) == 2)
+
+
 def op6_binary_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = packing.pack(table(spark, sf_dir, "documents"), with_ids=False)
     return out.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
@@ -63,7 +79,11 @@ from f
 """
 
 QUERIES = {
+    "op1_token_group_join": (op1_token_group_join, None),
     "op2_warc_segments": (op2_warc_segments, OP2_SQL),
+    "op3_ppm_scores": (op3_ppm_scores, None),
+    "op4_pii_bootstrap": (op4_pii_bootstrap, None),
+    "op5_unigram_langid": (op5_unigram_langid, None),
     "op6_binary_packing": (op6_binary_packing, None),
     "op7_quality_qda": (op7_quality_qda, None),
     "op8_cube_mixing": (op8_cube_mixing, None),
