@@ -85,7 +85,7 @@ def _fingerprinted(df: DataFrame, text: str, fp: str, flags: Column) -> DataFram
 
 def successors(keys: DataFrame, span: int) -> DataFrame:
     """Distinct long keys ``k`` with ``next``, the next smaller one (null for the
-    least). ``span`` is the number of bits in which the keys differ. The keys are
+    least). Keys are not negative and below 2 ** ``span``. The keys are
     ordered within blocks, and the blocks in the same way, so that no task orders
     them all."""
     k = F.col("k")
@@ -107,15 +107,14 @@ def with_next(docs: DataFrame, cols: list[str]) -> DataFrame:
     lo, hi = docs.agg(F.min("doc_id"), F.max("doc_id")).first()
     if hi is None:
         lo = hi = 0
-    # null ids form the block below all others
-    null_block = (lo >> BLOCK_BITS) - 1
-    block = F.coalesce(F.shiftright(F.col("doc_id"), BLOCK_BITS), F.lit(null_block)).alias("block")
+    # blocks count from 1; null ids form block 0, below all others
+    below = (lo >> BLOCK_BITS) - 1
+    block = F.coalesce(F.shiftright(F.col("doc_id"), BLOCK_BITS) - F.lit(below), F.lit(0)).cast("long").alias("block")
     dealt = docs.select("*", block).repartition("block")
     order = Window.partitionBy("block").orderBy(F.col("doc_id").desc_nulls_last(), "text")
     seen = dealt.withColumn("next", F.lead(F.struct(*cols)).over(order)).withColumn("rank", F.row_number().over(order))
-    blocks = docs.select(F.coalesce(F.shiftright(F.col("doc_id"), BLOCK_BITS), F.lit(null_block)).alias("k")).distinct()
-    span = max(1, ((hi >> BLOCK_BITS) - null_block).bit_length() + 1)
-    after = successors(blocks, span)
+    blocks = docs.select(block.alias("k")).distinct()
+    after = successors(blocks, ((hi >> BLOCK_BITS) - below).bit_length())
     first = blocks.agg(F.max("k")).scalar()
     after = after.select(F.col("k").alias("block"), F.coalesce(F.col("next"), first).alias("to"))
     heads = seen.filter("rank = 1").select(F.col("block").alias("to"), F.struct(*cols).alias("head"))
