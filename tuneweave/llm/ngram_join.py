@@ -5,16 +5,18 @@ similarity of at least 80 %. Documents of equal sets form a class with one
 representative. Then:
 
 1. Partition similar documents into groups. Representatives that share a minimum
-   hash meet their group's hub; those that truly link to it join its group. Groups
+   hash meet the most central of them; those that truly link to it join it. Groups
    are the connected components of these links, cut into pieces of about ``GROUP``
    members.
-2. Store each group's token union: an index of the tokens in its members'
-   prefixes (the part of a set in which any two linked sets share a token, under
-   one order of all tokens), and for groups that a query reaches the whole union.
+2. Store each group's token union as a matrix of groups by tokens: an index of
+   the tokens in its members' prefixes (the part of a set in which any two linked
+   sets share a token, under one order of all tokens), and a row over hashed token
+   columns that counts, column by column, the most tokens of any member.
 3. Bound query-group overlap: a query reaches a group of another component by a
-   shared prefix token and a fitting size, and opens it only if its overlap with
-   the group's union allows a link.
-4. Open qualifying groups and compare the query with each member exactly.
+   shared prefix token and a fitting size; the sum over columns of the smaller of
+   both counts is at least any overlap with a member.
+4. Open groups whose bound allows a link: their members are bounded in the same
+   way by their own rows, and whole sets are compared where that allows a link.
 
 The order of tokens puts very frequent ones last; which they are only steers the
 cost, never the result. Components make pairs inside a group of near copies
@@ -43,9 +45,13 @@ from .common import LOWER, text_bytes
 WORDS, PERCENT = 5, 80
 #: Members of a group, on average, and minimum hashes by which groups are found.
 GROUP, HASHES = 16, 3
-#: Tokens in at least LOCAL of the documents that a task works on together count as
-#: frequent; the most frequent ones, at most FREQUENT, come last in the order.
-LOCAL, FREQUENT = 6, 200_000
+#: Tokens in at least LOCAL of the documents that a task works on together are
+#: counted, and those of at least OFTEN in all come last in the order of tokens, the
+#: most frequent FREQUENT of them at most (3 MB).
+LOCAL, OFTEN, FREQUENT = 2, 12, 400_000
+#: Sets whose tokens are counted together, and documents handed to Python at a time.
+COUNTED, BATCH = 6_000, 1_500
+BATCH_CONF = "spark.sql.execution.arrow.maxRecordsPerBatch"
 _MUL = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93)]
 
 
@@ -91,32 +97,61 @@ def common(a: np.ndarray, b: np.ndarray) -> int:
     return int(np.count_nonzero(b[at] == a))
 
 
+def cells(s: np.ndarray) -> np.ndarray:
+    """Tokens by hashed column, of which there are a power of two, about a quarter
+    of the set's size; 255 stands for more."""
+    n = 1 << max(0, (len(s) - 1) // 4).bit_length()
+    return np.minimum(np.bincount((s & np.uint64(n - 1)).astype(np.int64), minlength=n), 255).astype(np.uint8)
+
+
+def wide(row: np.ndarray) -> np.ndarray:
+    row = row.astype(np.int64)
+    row[row == 255] = 1 << 40
+    return row
+
+
+def bound(a: np.ndarray, b: np.ndarray) -> int:
+    """At least the number of common tokens of two rows of the matrix; the longer
+    row is folded to the columns of the shorter."""
+    n = min(len(a), len(b))
+    return int(np.minimum(a.reshape(-1, n).sum(0), b.reshape(-1, n).sum(0)).sum())
+
+
 def _signed(x) -> np.ndarray:
     return np.asarray(x, np.uint64).view(np.int64)
 
 
 def _profile_rows(batches, schema: pa.Schema):
     """A row for each document (frequent = 0), and one for each token that many
-    sets of this batch have, with their number."""
+    sets of a task have, with their number, counted COUNTED sets at a time."""
+    seen, tokens = set(), []
     for batch in batches:
-        doc, n, sig, mins, seen, tokens = batch.column(0), [], [], [], set(), []
+        doc, n, sig, mins, rows = batch.column(0), [], [], [], []
         for t in batch.column(1):
             s = shingles(text_bytes(t.as_py()))
             key = xxhash.xxh3_64_intdigest(s.tobytes()) if len(s) else 0
             n.append(len(s))
             sig.append(key)
-            mins.append([int(v) for v in _signed([_mix(s ^ _MUL[k], k).min() for k in range(HASHES)])] if len(s) else [])
+            mins.append(_signed([_mix(s ^ _MUL[k], k).min() for k in range(HASHES)]) if len(s) else [])
+            rows.append(cells(s).tobytes())
             if len(s) and key not in seen:
                 seen.add(key)
                 tokens.append(s)
         yield pa.RecordBatch.from_arrays(
             [pa.array(np.zeros(len(n), np.int64)), doc, pa.array(n, pa.int64()), pa.array(_signed(sig)),
-             pa.array(mins, pa.list_(pa.int64()))], schema=schema)
-        often, counts = _frequent_of(tokens)
-        if len(often):
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(counts), pa.nulls(len(often), pa.int64()), pa.nulls(len(often), pa.int64()),
-                 pa.array(often.view(np.int64)), pa.nulls(len(often), pa.list_(pa.int64()))], schema=schema)
+             pa.array(mins, pa.list_(pa.int64())), pa.array(rows, pa.binary())], schema=schema)
+        if len(tokens) >= COUNTED:
+            yield _frequent_rows(tokens, schema)
+            seen, tokens = set(), []
+    yield _frequent_rows(tokens, schema)
+
+
+def _frequent_rows(tokens: list[np.ndarray], schema: pa.Schema) -> pa.RecordBatch:
+    often, counts = _frequent_of(tokens)
+    n = len(often)
+    return pa.RecordBatch.from_arrays(
+        [pa.array(counts), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.array(often.view(np.int64)),
+         pa.nulls(n, pa.list_(pa.int64())), pa.nulls(n, pa.binary())], schema=schema)
 
 
 def _frequent_of(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -135,9 +170,9 @@ def _frequent_of(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
 
 def profiles(docs: DataFrame) -> DataFrame:
     schema = pa.schema([("frequent", pa.int64()), ("doc_id", pa.int64()), ("n", pa.int64()), ("sig", pa.int64()),
-                        ("mins", pa.list_(pa.int64()))])
+                        ("mins", pa.list_(pa.int64())), ("cells", pa.binary())])
     return docs.mapInArrow(lambda batches: _profile_rows(batches, schema),
-                           "frequent long, doc_id long, n long, sig long, mins array<long>")
+                           "frequent long, doc_id long, n long, sig long, mins array<long>, cells binary")
 
 
 def prefix(s: np.ndarray, frequent: np.ndarray) -> np.ndarray:
@@ -244,40 +279,49 @@ def sets_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
     schema = pa.schema([("doc_id", pa.int64()), ("tokens", pa.binary())])
     place = F.pmod(F.xxhash64("doc_id"), F.lit(bits))
     at = (F.bitmap_bucket_number(place) - 1) * 32768 + F.bitmap_bit_position(place)
-    rows = docs.select("doc_id", "text", at.alias("at")).mapInArrow(
+    return docs.select("doc_id", "text", at.alias("at")).mapInArrow(
         lambda batches: _set_rows(batches, wanted, schema), "doc_id long, tokens binary")
-    return rows.join(ids, "doc_id", "left_semi")
-
-
-def _open(query: pa.Array, group: pa.Array, members: pa.Array) -> pa.Array:
-    """For each query the members of its group that it links with; the group's
-    union tells whether it needs to be opened."""
-    out, last, union, sets = [], None, None, []
-    for q, g, m in zip(query, group, members):
-        s = np.frombuffer(q.as_buffer(), np.uint64)
-        if g.as_py() != last:
-            last = g.as_py()
-            sets = [(x["doc_id"].as_py(), np.frombuffer(x["tokens"].as_buffer(), np.uint64)) for x in m]
-            union = sets[0][1] if len(sets) == 1 else np.unique(np.concatenate([x for _, x in sets]))
+
+
+def _open(size: pa.Array, query: pa.Array, group: pa.Array, members: pa.Array) -> pa.Array:
+    """For each query the members of its group that it may link with; the group's
+    row of the matrix tells whether it needs to be opened."""
+    out, last, union, rows, smallest = [], None, None, [], 0
+    for n, q, g, m in zip(size.to_pylist(), query, group.to_pylist(), members):
+        row = wide(np.frombuffer(q.as_buffer(), np.uint8))
+        if g != last:
+            last = g
+            rows = [(x["doc_id"].as_py(), x["n"].as_py(), wide(np.frombuffer(x["cells"].as_buffer(), np.uint8))) for x in m]
+            columns, smallest = min(len(r) for _, _, r in rows), min(x for _, x, _ in rows)
+            union = np.max([r.reshape(-1, columns).sum(0) for _, _, r in rows], axis=0)
         found = []
-        if common(s, union) >= least_overlap(len(s), min(len(x) for _, x in sets)):
-            found = [d for d, x in sets if linked(len(s), len(x), common(s, x))]
+        if bound(row, union) >= least_overlap(n, smallest):
+            found = [d for d, x, r in rows if linked(n, x, min(n, x, bound(row, r)))]
         out.append(found)
     return pa.array(out, pa.list_(pa.int64()))
 
 
-def verified(docs: DataFrame, pairs: DataFrame, members: DataFrame, name: str) -> DataFrame:
+def _same(a: pa.Array, b: pa.Array) -> pa.Array:
+    """Whether two sets link."""
+    sets = ((np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)) for x, y in zip(a, b))
+    return pa.array([linked(len(x), len(y), common(x, y)) for x, y in sets], pa.bool_())
+
+
+def verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame, members: DataFrame, name: str) -> DataFrame:
     """Links (a, b) of the queries in ``pairs`` (doc_id, grp) with the members
-    (grp, doc_id) of their groups."""
-    pairs, members = materialize(pairs, f"{name}-pairs"), members
-    reached = members.join(pairs.select("grp").distinct(), "grp", "left_semi")
-    reached = materialize(reached.select("grp", "doc_id"), f"{name}-members")
-    ids = pairs.select("doc_id").unionByName(reached.select("doc_id")).distinct()
+    (grp, doc_id) of their groups; ``classes`` has the rows of the matrix."""
+    pairs = materialize(pairs, f"{name}-pairs")
+    rows = classes.select("doc_id", "n", "cells")
+    reached = members.join(pairs.select("grp").distinct(), "grp", "left_semi").join(rows, "doc_id")
+    groups = reached.groupBy("grp").agg(F.collect_list(F.struct("doc_id", "n", "cells")).alias("members"))
+    asked = pairs.join(rows, "doc_id").join(groups, "grp")
+    opened = asked.select(F.col("doc_id").alias("a"), F.arrow_udf(_open, "array<long>")("n", "cells", "grp", "members").alias("found"))
+    likely = materialize(opened.select("a", F.explode("found").alias("b")).filter("a <> b").distinct(), f"{name}-likely")
+    ids = likely.select(F.col("a").alias("doc_id")).unionByName(likely.select(F.col("b").alias("doc_id"))).distinct()
     sets = materialize(sets_of(docs, ids), f"{name}-sets")
-    groups = reached.join(sets, "doc_id").groupBy("grp").agg(F.collect_list(F.struct("doc_id", "tokens")).alias("members"))
-    asked = pairs.join(sets, "doc_id").withColumnRenamed("tokens", "query").join(groups, "grp")
-    opened = asked.select("doc_id", F.arrow_udf(_open, "array<long>")("query", "grp", "members").alias("found"))
-    return materialize(opened.select(F.col("doc_id").alias("a"), F.explode("found").alias("b")).filter("a <> b"), f"{name}-links")
+    both = (likely.join(sets.select(F.col("doc_id").alias("a"), F.col("tokens").alias("s")), "a")
+            .join(sets.select(F.col("doc_id").alias("b"), F.col("tokens").alias("t")), "b"))
+    return materialize(both.filter(F.arrow_udf(_same, "boolean")("s", "t")).select("a", "b"), f"{name}-links")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -310,27 +354,45 @@ def _fits(a: Column, b: Column) -> Column:
 def jaccard_classes(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, class_id (smallest doc_id of the same set) and
     component_id (smallest doc_id reachable by links) of every document."""
+    conf = docs.sparkSession.conf
+    before = conf.get(BATCH_CONF)
+    conf.set(BATCH_CONF, str(BATCH))  # every Python step below runs before the return
+    try:
+        return _classes(docs)
+    finally:
+        conf.set(BATCH_CONF, before)
+
+
+def _classes(docs: DataFrame) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
     keyed = docs.filter("doc_id is not null")
     table = materialize(profiles(docs), "join-profiles")
     rows = table.filter("frequent = 0").drop("frequent")
     usable = rows.filter("n > 0 and doc_id is not null")
-    classes = materialize(usable.groupBy("sig", "n").agg(F.min("doc_id").alias("doc_id"), F.min("mins").alias("mins")), "join-classes")
+    classes = materialize(usable.groupBy("sig", "n").agg(F.min("doc_id").alias("doc_id"), F.min("mins").alias("mins"),
+                          F.min("cells").alias("cells")), "join-classes")
 
-    # groups of similar documents around hubs
-    minimal = classes.select("doc_id", "n", F.posexplode("mins").alias("k", "h"))
-    hubs = minimal.groupBy("k", "h").agg(F.min(F.struct("doc_id", "n")).alias("hub"), F.count(F.lit(1)).alias("c")).filter("c > 1")
-    near = (minimal.join(hubs, ["k", "h"]).filter(F.col("hub.doc_id") != F.col("doc_id")).filter(_fits(F.col("n"), F.col("hub.n")))
+    # token-group matrix over prefixes
+    often = table.filter("frequent > 0").groupBy(F.col("sig").alias("token")).agg(F.sum("frequent").alias("c"))
+    often = often.filter(F.col("c") >= OFTEN).orderBy(F.desc("c"), "token").limit(FREQUENT).toArrow()
+    frequent = np.sort(np.asarray(often["token"].combine_chunks()).view(np.uint64))
+    matrix = materialize(shared_prefixes(keyed, frequent), "join-matrix")
+
+    # groups of similar documents around hubs; the hub is the most central one, with
+    # the largest share of prefix tokens that others have too
+    length = F.col("n") - F.ceil(F.col("n") * PERCENT / 100) + 1
+    shared = matrix.groupBy("doc_id").agg(F.count_distinct("token").alias("shared"))
+    central = classes.join(shared, "doc_id").withColumn("central", F.col("shared") / length)
+    minimal = central.select("doc_id", "n", "central", F.posexplode("mins").alias("k", "h"))
+    hubs = (minimal.groupBy("k", "h").agg(F.min(F.struct((-F.col("central")).alias("c"), "doc_id", "n")).alias("hub"),
+                                          F.count(F.lit(1)).alias("c")).filter("c > 1"))
+    near = (minimal.join(hubs.drop("c"), ["k", "h"]).filter(F.col("hub.doc_id") != F.col("doc_id")).filter(_fits(F.col("n"), F.col("hub.n")))
             .select("doc_id", F.col("hub.doc_id").alias("grp")).distinct())
     alone = classes.select(F.col("doc_id").alias("grp"), "doc_id")
-    first = verified(keyed, near, alone, "join-hub")
+    first = verified(keyed, classes, near, alone, "join-hub")
     grouped = materialize(components(first), "join-components")
 
-    # token-group matrix over prefixes, queries and the groups they reach
-    often = table.filter("frequent > 0").groupBy(F.col("sig").alias("token")).agg(F.sum("frequent").alias("c"))
-    often = often.orderBy(F.desc("c"), "token").limit(FREQUENT).toArrow()
-    frequent = np.sort(np.asarray(often["token"].combine_chunks()).view(np.uint64))
-    matrix = materialize(shared_prefixes(keyed, frequent), "join-matrix")
+    # queries and the groups they reach
     ids = usable.select("doc_id", "sig", "n").join(
         classes.select("sig", "n", F.col("doc_id").alias("class_id")), ["sig", "n"]).select("doc_id", "class_id").distinct()
     ids = materialize(ids, "join-ids-of-classes")
@@ -346,7 +408,7 @@ def jaccard_classes(docs: DataFrame) -> DataFrame:
     reached = left.join(cells.select("token", "n", "component", "grp"), "token").filter(
         (F.col("qc") > F.col("component")) & _fits(F.col("qn"), F.col("n"))).select("doc_id", "grp").distinct()
     members = where.filter("doc_id = class_id").select(F.xxhash64("component", "piece").alias("grp"), "doc_id").distinct()
-    second = verified(keyed, reached, members, "join-group")
+    second = verified(keyed, classes, reached, members, "join-group")
 
     final = components(first.unionByName(second)).select(F.col("doc_id").alias("class_id"), F.col("component").alias("component_id"))
     named = ids.join(final, "class_id", "left").select("doc_id", "class_id", F.coalesce("component_id", "class_id").alias("component_id"))
