@@ -54,31 +54,26 @@ def test_rlhf_reward_after_last_marker(spark):
     assert r.chosen == " z" and r.rejected == "no marker" and r.prompt == "P Assistant:"
 
 
-def _group_texts(seqs, block):
-    cat = [x for s in seqs for x in s]
-    total = len(cat)
-    if total >= block:
-        total = (total // block) * block
-    return [cat[i:i + block] for i in range(0, total, block)]
-
-
-@pytest.mark.parametrize("lens,block,rows", [([3, 4], 10, 2), ([5, 5, 5, 5], 5, 4),
-                                              ([7, 1, 9, 3, 0, 8], 4, 3), ([2, 2, 2], 4, 2)])
-def test_pack_blocks_matches_group_texts(spark, lens, block, rows):
-    seqs, base = [], 1
-    for n in lens:
-        seqs.append(list(range(base, base + n)))
-        base += n
-    df = spark.createDataFrame([(i, s) for i, s in enumerate(seqs)], "idx long, input_ids array<int>")
-    got = pack_blocks(df, block, rows, indexed=True).collect()
-    want = []
-    for g in range(0, len(seqs), rows):
-        want += [(g // rows, b) for b in _group_texts(seqs[g:g + rows], block)]
-    got_l = sorted((r.group_id, r.input_ids) for r in got)
-    assert got_l == sorted(want)
+def test_pack_blocks_by_hand(spark):
+    # groups of three rows, blocks of four; a group's rest is dropped once it has a block
+    df = spark.createDataFrame([(0, [1, 2, 3]), (1, [4, 5]), (2, [6]), (3, [7]), (4, []), (5, [8, 9])],
+                               "idx long, input_ids array<int>")
+    got = pack_blocks(df, 4, 3, indexed=True).collect()
+    assert sorted((r.group_id, r.input_ids) for r in got) == [(0, [1, 2, 3, 4]), (1, [7, 8, 9])]
     assert all(r.labels == r.input_ids for r in got)
 
 
+def test_collation_keeps_shards_apart(spark):
+    df = spark.createDataFrame([(s, 0, r, [s], [1], [s], [1]) for s in (0, 1) for r in (0, 1)],
+                               "shard int, batch_id long, row_in_batch int, chosen_input_ids array<int>, chosen_attention_mask array<int>, "
+                               "rejected_input_ids array<int>, rejected_attention_mask array<int>")
+    got = sorted((r.shard, r.row_in_collated) for r in reward_collate(df).collect())
+    assert got == [(s, r) for s in (0, 1) for r in range(4)]
+    p = spark.createDataFrame([(0, 0, [3], [1]), (1, 0, [4, 3, 2, 1], [1, 1, 1, 1])],
+                              "shard int, batch_id long, prompt_input_ids array<int>, prompt_attention_mask array<int>")
+    assert {r.shard: r.prompt for r in prompt_collate(p, 2, 0).collect()} == {0: [0, 3], 1: [1, 2, 3, 4]}
+
+
 def test_batches_reward_and_prompt_collation(spark):
     df = spark.createDataFrame([(i, [i, i], [1, 1], [i + 50], [1]) for i in range(5)],
                                "pos long, chosen_input_ids array<int>, chosen_attention_mask array<int>, "

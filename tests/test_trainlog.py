@@ -67,28 +67,19 @@ def test_eval_perplexity_two_level_mean(spark):
 
 
 def test_flops_formula_and_lr_schedule(spark):
-    def flops(f, b, s, L, h, V):
-        return (24 * f * b * s * L * (h ** 2)) * (1.0 + (s / (6.0 * h)) + (V / (16.0 * L * h)))
-
     df = spark.createDataFrame([(True, 128, 4096), (False, 0, 1024)], "ck boolean, lora int, h int")
     out = df.select(train_flops(checkpoint_factor(F.col("ck"), F.col("lora"), F.col("h")), F.lit(8),
                                 F.lit(256), F.lit(32), F.col("h"), F.lit(32000)).alias("f")).collect()
-    assert math.isclose(out[0].f, flops(4 - (1 - 128 * 2 / 4096), 8, 256, 32, 4096, 32000), rel_tol=1e-12)
-    assert math.isclose(out[1].f, flops(3, 8, 256, 32, 1024, 32000), rel_tol=1e-12)
-
-    def get_lr(it):
-        if it < 10:
-            return 1e-4 + (1e-2 - 1e-4) * it / 10
-        if it > 50:
-            return 1e-4
-        ratio = (it - 10) / 40
-        return 1e-4 + 0.5 * (1.0 + math.cos(math.pi * ratio)) * (1e-2 - 1e-4)
+    assert math.isclose(out[0].f, 82889043607552.0, rel_tol=1e-12)
+    assert math.isclose(out[1].f, 5455950643200.0, rel_tol=1e-12)
 
     its = spark.range(60).select(F.col("id").alias("it"))
     got = {r.it: r.lr for r in its.select("it", scheduled_lr(F.col("it"), 1e-4, 1e-2, 1e-4, 10, 50)
                                              .alias("lr")).collect()}
-    for it in range(60):
-        assert math.isclose(got[it], get_lr(it), rel_tol=1e-12)
+    # warm-up by equal steps, cosine half way down at 30, the floor from 50 on
+    for it, lr in ((0, 0.0001), (5, 0.00505), (10, 0.01), (30, 0.00505), (50, 0.0001), (59, 0.0001)):
+        assert math.isclose(got[it], lr, rel_tol=1e-9)
+    assert all(a >= b for a, b in zip([got[i] for i in range(10, 59)], [got[i] for i in range(11, 60)]))
 
 
 def test_dice_mean_over_batches(spark):

@@ -16,15 +16,20 @@ def batch_ids(df: DataFrame, batch_size: int, pos_col: str = "shard_pos",
             .withColumn(row_col, (F.col(pos_col) % batch_size).cast("int")))
 
 
+def _batch_key(df: DataFrame, batch_col: str) -> list[str]:
+    return [c for c in ("shard",) if c in df.columns] + [batch_col]
+
+
 def reward_collate(df: DataFrame, batch_col: str = "batch_id", row_col: str = "row_in_batch",
                    chosen_cols: tuple[str, str] = ("chosen_input_ids", "chosen_attention_mask"),
                    rejected_cols: tuple[str, str] = ("rejected_input_ids",
                                                      "rejected_attention_mask"),
                    keys: list[str] | None = None) -> DataFrame:
     """B2: each batch lists all chosen rows, then all rejected rows. Emits one
-    row per (pair, side) with ``row_in_collated = side * batch_len + row``."""
-    keys = keys or []
-    w = Window.partitionBy(batch_col)
+    row per (pair, side) with ``row_in_collated = side * batch_len + row``. Batches
+    are numbered within a shard, so a ``shard`` column is part of their key."""
+    keys = [c for c in ("shard",) if c in df.columns and c not in (keys or [])] + (keys or [])
+    w = Window.partitionBy(*_batch_key(df, batch_col))
     sides = F.array(
         F.struct(F.lit(0).alias("side"), F.col(chosen_cols[0]).alias("input_ids"),
                  F.col(chosen_cols[1]).alias("attention_mask")),
@@ -44,7 +49,7 @@ def prompt_collate(df: DataFrame, max_token_len: int, pad_id: int, batch_col: st
     """Reversed phase-3 prompts are padded to the batch maximum, then to
     ``max_token_len``, then flipped back: left-padded prompts in natural order,
     length ``greatest(batch max, max_token_len)``."""
-    w = Window.partitionBy(batch_col)
+    w = Window.partitionBy(*_batch_key(df, batch_col))
     target = F.greatest(F.max(F.size(ids_col)).over(w), F.lit(max_token_len))
     nat_ids = F.reverse(F.col(ids_col))
     nat_mask = F.reverse(F.col(mask_col))

@@ -11,6 +11,7 @@ so broadcasting it is safe).
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Sequence
 from functools import reduce
 
@@ -99,22 +100,18 @@ def seeded_rank(df: DataFrame, seed: int, id_cols: Sequence[str], rank_col: str
 
 
 def split_bounds(data_split: str, n: int) -> list[int]:
-    """P1 bounds: normalised weights, cumulative half-even rounding, the
-    rounding error taken off every bound after the first (so the first part
-    absorbs it). Negative bounds (the reference would slice overlapping parts)
-    raise ``ValueError``."""
-    weights = [float(s) for s in data_split.split(",")]
-    total = sum(weights)
-    if total <= 0:
+    """P1 bounds: each part's size is its share of the rows, rounded half to even;
+    the first part makes up for all rounding, and the bounds are the running sum of
+    the sizes. Sizes that do not fit (overlapping parts) raise ``ValueError``."""
+    shares = [float(part) for part in data_split.split(",")]
+    whole = sum(shares)
+    if whole <= 0:
         raise ValueError(f"split weights must sum to a positive number: {data_split!r}")
-    bounds = [0]
-    for w in weights:
-        bounds.append(bounds[-1] + int(round(w / total * float(n))))
-    diff = bounds[-1] - n
-    bounds = [bounds[0]] + [b - diff for b in bounds[1:]]
-    if any(b < 0 for b in bounds) or any(a > b for a, b in zip(bounds, bounds[1:])):
-        raise ValueError(f"split {data_split!r} of {n} rows gives invalid bounds {bounds}")
-    return bounds
+    sizes = [round(share / whole * n) for share in shares]
+    sizes[0] = n - sum(sizes[1:])
+    if min(sizes) < 0:
+        raise ValueError(f"split {data_split!r} of {n} rows gives invalid sizes {sizes}")
+    return [0, *itertools.accumulate(sizes)]
 
 
 def part_of(rank: Column, bounds: Sequence[int]) -> Column:

@@ -135,10 +135,12 @@ def pairwise_loss(chosen_ids: Column, rejected_ids: Column, chosen_reward: Colum
     div = F.when(same, rsize - 1).otherwise(F.get(diff, 0))
     r_ind = F.when(same, c_ind).otherwise(r_pad)
     div = F.when(div > 0, div).otherwise(F.raise_error(F.lit("divergence index must be > 0")))
-    c_tr = F.slice(_d(chosen_reward), div + 1, end - div)
-    r_tr = F.slice(_d(rejected_reward), div + 1, end - div)
+    # a first difference past both pads leaves no position: the loss is null
+    length = F.greatest(end - div, F.lit(0))
+    c_tr = F.slice(_d(chosen_reward), div + 1, length)
+    r_tr = F.slice(_d(rejected_reward), div + 1, length)
     ls = F.zip_with(c_tr, r_tr, lambda c, r: log_sigmoid(c - r))
-    loss = -F.aggregate(ls, F.lit(0.0), lambda a, x: a + x) / F.size(ls)
+    loss = F.try_divide(-F.aggregate(ls, F.lit(0.0), lambda a, x: a + x), F.size(ls).cast("double"))
     return F.struct(div.alias("divergence"), end.alias("end_ind"), loss.alias("loss"),
                     F.get(_d(chosen_reward), c_ind - 1).alias("chosen_end_score"),
                     F.get(_d(rejected_reward), r_ind - 1).alias("rejected_end_score"))
