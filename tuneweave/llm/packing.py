@@ -119,35 +119,41 @@ def lengths(n: int, most: int = MAX_LEN) -> list[int]:
     return [most] * whole + [1 << b for b in range(most.bit_length() - 1, -1, -1) if rest >> b & 1]
 
 
-def _rows(batches, path: str, with_ids: bool, schema: pa.Schema):
+def _rows(batches, path: str, with_ids: bool, keep_memo: bool, schema: pa.Schema):
     words = WordIds.of(path)
-    gc.disable()  # the memos hold millions of strings and no cycles
     end = np.array([END_ID], "<u4").tobytes()
-    for batch in batches:
-        ids, texts = batch.column(0), batch.column(1)
-        for at in range(0, batch.num_rows, BATCH):
-            part = ids.slice(at, BATCH).to_pylist()
-            out: list[list] = [[] for _ in schema]
-            for doc, data in zip(part, words.encode(texts.slice(at, BATCH).to_pylist())):
-                data += end
-                start, total = 0, len(data) // 4
-                for n in lengths(total):
-                    piece = data[4 * start:4 * (start + n)]
-                    for column, x in zip(out, (doc, start, n, piece if with_ids else None, zlib.crc32(piece), total)):
-                        column.append(x)
-                    start += n
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(out, schema)], schema=schema)
-
-
-def pack(docs: DataFrame, path: str | None = None, with_ids: bool = True) -> DataFrame:
+    gc.disable()  # the memos hold millions of strings and no cycles
+    try:
+        for batch in batches:
+            ids, texts = batch.column(0), batch.column(1)
+            for at in range(0, batch.num_rows, BATCH):
+                part = ids.slice(at, BATCH).to_pylist()
+                out: list[list] = [[] for _ in schema]
+                for doc, data in zip(part, words.encode(texts.slice(at, BATCH).to_pylist())):
+                    data += end
+                    start, total = 0, len(data) // 4
+                    for n in lengths(total):
+                        piece = data[4 * start:4 * (start + n)]
+                        for column, x in zip(out, (doc, start, n, piece if with_ids else None, zlib.crc32(piece), total)):
+                            column.append(x)
+                        start += n
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(out, schema)], schema=schema)
+    finally:
+        gc.enable()
+        if not keep_memo:
+            WordIds._loaded.pop(path, None)
+
+
+def pack(docs: DataFrame, path: str | None = None, with_ids: bool = True, keep_memo: bool = True) -> DataFrame:
     """One row per piece: doc_id, start, length, ids (little-endian 32-bit, null
-    unless ``with_ids``), ids_crc32, doc_tokens, sequence_id, offset and bucket."""
+    unless ``with_ids``), ids_crc32, doc_tokens, sequence_id, offset and bucket.
+    Workers hand their word memo on from task to task with ``keep_memo``."""
     path = path or tokenizer_path()
     schema = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids", pa.binary()),
                         ("ids_crc32", pa.int64()), ("doc_tokens", pa.int64())])
     text: Column = F.coalesce(F.col("text"), F.lit(""))
     pieces = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text")).mapInArrow(
-        lambda batches: _rows(batches, path, with_ids, schema), PIECE)
+        lambda batches: _rows(batches, path, with_ids, keep_memo, schema), PIECE)
     return pieces.select("*", F.monotonically_increasing_id().alias("sequence_id"), F.lit(0).cast("long").alias("offset"),
                          F.col("length").alias("bucket"))
 
