@@ -10,11 +10,13 @@ representative. Then:
    members.
 2. Store each group's token union as a matrix of groups by tokens: an index of
    the tokens in its members' prefixes (the part of a set in which any two linked
-   sets share a token, under one order of all tokens), and a row over hashed token
-   columns that counts, column by column, the most tokens of any member.
+   sets share a token, under one order of all tokens) with their places there, and
+   a row over hashed token columns that counts, column by column, the most tokens
+   of any member.
 3. Bound query-group overlap: a query reaches a group of another component by a
-   shared prefix token and a fitting size; the sum over columns of the smaller of
-   both counts is at least any overlap with a member.
+   shared prefix token from whose place on both sets still have enough tokens for a
+   link, as they have from the first one they share; the sum over columns of the
+   smaller of both counts is at least any overlap with a member.
 4. Open groups whose bound allows a link: their members are bounded in the same
    way by their own rows, and whole sets are compared where that allows a link.
 
@@ -188,7 +190,7 @@ def prefix(s: np.ndarray, frequent: np.ndarray) -> np.ndarray:
 
 
 def _prefix_rows(batches, frequent, schema: pa.Schema):
-    """(token, doc_id, n) of each distinct set of a batch, by its smallest id."""
+    """(token, doc_id, n, place) of each distinct set of a batch, by its smallest id."""
     often = frequent.value
     for batch in batches:
         best: dict[tuple, tuple] = {}
@@ -204,9 +206,10 @@ def _prefix_rows(batches, frequent, schema: pa.Schema):
             token = _signed(np.concatenate(parts))
             doc = np.repeat([d for d, _ in best.values()], sizes)
             n = np.repeat([k[1] for k in best], sizes)
+            place = np.concatenate([np.arange(k) for k in sizes])
             for at in range(0, len(token), 200_000):
                 cut = slice(at, at + 200_000)
-                yield pa.RecordBatch.from_arrays([pa.array(token[cut]), pa.array(doc[cut]), pa.array(n[cut])], schema=schema)
+                yield pa.RecordBatch.from_arrays([pa.array(x[cut]) for x in (token, doc, n, place)], schema=schema)
 
 
 def _shared_rows(batches, schema: pa.Schema):
@@ -236,10 +239,10 @@ def _shared_rows(batches, schema: pa.Schema):
 
 def shared_prefixes(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
     """The token-group matrix before its groups are known: prefix tokens that more
-    than one document has, as (token, doc_id, n)."""
-    schema = pa.schema([("token", pa.int64()), ("doc_id", pa.int64()), ("n", pa.int64())])
+    than one document has, as (token, doc_id, n, place)."""
+    schema = pa.schema([(c, pa.int64()) for c in ("token", "doc_id", "n", "place")])
     often = docs.sparkSession.sparkContext.broadcast(frequent)
-    ddl = "token long, doc_id long, n long"
+    ddl = "token long, doc_id long, n long, place long"
     rows = docs.mapInArrow(lambda batches: _prefix_rows(batches, often, schema), ddl)
     return rows.repartition("token").sortWithinPartitions("token").mapInArrow(
         lambda batches: _shared_rows(batches, schema), ddl)
@@ -351,6 +354,12 @@ def _fits(a: Column, b: Column) -> Column:
     return (100 * F.least(a, b)) >= (PERCENT * F.greatest(a, b))
 
 
+def _may_link(a: Column, at: Column, b: Column, bt: Column) -> Column:
+    """Whether sets of sizes a and b may link whose first common token has the places
+    at and bt: what follows these, they included, must hold a link's overlap."""
+    return ((100 + PERCENT) * F.least(a - at, b - bt)) >= (PERCENT * (a + b))
+
+
 def jaccard_classes(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, class_id (smallest doc_id of the same set) and
     component_id (smallest doc_id reachable by links) of every document."""
@@ -403,10 +412,12 @@ def _classes(docs: DataFrame) -> DataFrame:
         "doc_id", "class_id", F.coalesce("component", "class_id").alias("component"), F.coalesce("piece", F.lit(0)).alias("piece"))
     where = materialize(where, "join-groups")
     cells = materialize(matrix.join(where, "doc_id").select(
-        "token", "n", "class_id", "component", F.xxhash64("component", "piece").alias("grp")).distinct(), "join-cells")
-    left = cells.select("token", F.col("n").alias("qn"), F.col("class_id").alias("doc_id"), F.col("component").alias("qc"))
-    reached = left.join(cells.select("token", "n", "component", "grp"), "token").filter(
-        (F.col("qc") > F.col("component")) & _fits(F.col("qn"), F.col("n"))).select("doc_id", "grp").distinct()
+        "token", "n", "place", "class_id", "component", F.xxhash64("component", "piece").alias("grp")).distinct(), "join-cells")
+    left = cells.select("token", F.col("n").alias("qn"), F.col("place").alias("qp"), F.col("class_id").alias("doc_id"),
+                        F.col("component").alias("qc"))
+    reached = left.join(cells.select("token", "n", "place", "component", "grp").distinct(), "token").filter(
+        (F.col("qc") > F.col("component")) & _may_link(F.col("qn"), F.col("qp"), F.col("n"), F.col("place"))
+    ).select("doc_id", "grp").distinct()
     members = where.filter("doc_id = class_id").select(F.xxhash64("component", "piece").alias("grp"), "doc_id").distinct()
     second = verified(keyed, classes, reached, members, "join-group")
 
