@@ -120,6 +120,31 @@ def test_stream_metrics_equal_batch_and_drop_late_rows(spark, tmpdir_path):
             assert ok[(rank, s)].cum_mean == total / cnt
 
 
+def test_stream_does_not_depend_on_the_file_layout(spark, tmpdir_path):
+    from tuneweave.operators.trainlog import cumulative_mean, ema, report_buckets
+    from tuneweave.plans.tables import step_log, table
+    from tuneweave.streaming.metrics_stream import step_log_stream
+
+    sf = "/root/testdata/sf0.001"
+    events, src = table(spark, sf, "events"), os.path.join(tmpdir_path, "unordered")
+    # each file holds every fourth row, in descending order of steps
+    for i in (3, 0, 2, 1):
+        events.filter(F.col("event_id") % 4 == i).coalesce(1).sortWithinPartitions(
+            F.desc("event_id")).write.parquet(os.path.join(src, f"part{i}"))
+    log = step_log_stream(spark, os.path.join(src, "*"), events.schema)
+    out = spark.read.parquet(run_to_sink(online_metrics(log, 0.9, 100)))
+    rows = {(r.rank, r.step): r for r in out.collect()}
+    batch = step_log(spark, sf)
+    assert out.count() == events.count() == len(rows) and not any(r.late for r in rows.values())
+    for r in ema(batch).collect():
+        assert rows[(r["rank"], r.step)].ema == r.ema
+    for r in cumulative_mean(batch).collect():
+        assert abs(rows[(r["rank"], r.step)].cum_mean - r.cum_mean) <= 1e-12 * max(1.0, abs(r.cum_mean))
+    s_b = sorted((r["rank"], r.bucket, r.step, r.bucket_rows) for r in rows.values() if r.report)
+    assert s_b == sorted((r["rank"], r.bucket, r.report_step, r.n_rows)
+                         for r in report_buckets(batch, F.col("step") % 100 == 0).collect())
+
+
 def test_stream_equals_batch_operators(spark, tmpdir_path):
     from tuneweave.operators.trainlog import cumulative_mean, ema, report_buckets
 

@@ -8,9 +8,13 @@ inside a micro-batch are sorted by ``(epoch, step)`` first; a row at or before
 the last step already processed for its rank is late or duplicated: it is
 dropped from the metrics, flagged and counted in the state.
 
-The work per rank and micro-batch is bounded by the trigger size
-(``maxFilesPerTrigger``); state is one small tuple per rank in the state store,
-checkpointed in the shared checkpoint folder.
+By default every file that is there when a trigger fires belongs to its
+micro-batch, so the metrics of a backlog do not depend on how many files hold it
+or in which order they were written. A log whose files are known to arrive in step
+order can bound a micro-batch with ``max_files_per_trigger`` instead; rows out of
+that order are then late. A task keeps four numbers for each row of a rank in its
+micro-batch and hands results over in pieces; state is one small tuple per rank in
+the state store, checkpointed in the shared checkpoint folder.
 """
 
 from __future__ import annotations
@@ -53,13 +57,22 @@ STATE_SCHEMA = T.StructType([
 ])
 
 
+#: Result rows handed over at a time.
+PIECE = 50_000
+
+
+def _in_step_order(batches: Iterator[pd.DataFrame]) -> pd.DataFrame:
+    narrow = [pdf[["epoch", "step", "loss", "n"]] for pdf in batches]
+    return pd.concat(narrow, ignore_index=True).sort_values(["epoch", "step"], kind="stable")
+
+
 def _metrics_fn(alpha: float, report_every: int, digits: int):
     a, b = float(alpha), 1.0 - float(alpha)
 
     def fn(key, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
         rank = int(key[0])
-        pdf = pd.concat(list(batches), ignore_index=True)
-        pdf = pdf.sort_values(["epoch", "step"], kind="stable")
+        pdf = _in_step_order(batches)
+        columns = [f.name for f in OUTPUT_SCHEMA.fields]
         if state.exists:
             (last_epoch, last_step, ema, count, total, bucket, b_rows, b_vn, b_n,
              late_rows) = state.get
@@ -67,8 +80,10 @@ def _metrics_fn(alpha: float, report_every: int, digits: int):
             last_epoch, last_step, ema, count, total = None, None, None, 0, 0.0
             bucket, b_rows, b_vn, b_n, late_rows = 0, 0, 0.0, 0.0, 0
         rows = []
-        for ep, st, loss, n in zip(pdf["epoch"].tolist(), pdf["step"].tolist(),
-                                   pdf["loss"].tolist(), pdf["n"].tolist()):
+        for ep, st, loss, n in pdf.itertuples(index=False, name=None):
+            if len(rows) >= PIECE:
+                yield pd.DataFrame(rows, columns=columns)
+                rows = []
             if last_step is not None and (ep, st) <= (last_epoch, last_step):
                 late_rows += 1
                 rows.append((rank, ep, st, True, None, None, False, None, None, None))
@@ -79,8 +94,9 @@ def _metrics_fn(alpha: float, report_every: int, digits: int):
             total += loss
             count += 1
             b_rows += 1
-            b_vn += loss * (n if n is not None else 0)
-            b_n += (n if n is not None else 0)
+            weight = 0 if pd.isna(n) else n  # as sum() skips a null
+            b_vn += loss * weight
+            b_n += weight
             rep = st % report_every == 0
             avg = rows_b = bid = None
             if rep:
@@ -90,17 +106,19 @@ def _metrics_fn(alpha: float, report_every: int, digits: int):
             rows.append((rank, ep, st, False, ema, total / count, rep, bid, rows_b, avg))
         state.update((last_epoch, last_step, ema, count, total, bucket, b_rows, b_vn, b_n,
                       late_rows))
-        yield pd.DataFrame(rows, columns=[f.name for f in OUTPUT_SCHEMA.fields])
+        yield pd.DataFrame(rows, columns=columns)
 
     return fn
 
 
 def step_log_stream(spark: SparkSession, path_glob: str, schema: T.StructType,
-                    world: int = 4, max_files_per_trigger: int = 1) -> DataFrame:
+                    world: int = 4, max_files_per_trigger: int | None = None) -> DataFrame:
     """Events files as a streaming step log (same mapping as the batch view:
     rank = user_id % world, step = event_id, loss = value, n = props.k)."""
-    ev = (spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files_per_trigger)
-          .parquet(path_glob))
+    reader = spark.readStream.schema(schema)
+    if max_files_per_trigger is not None:
+        reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
+    ev = reader.parquet(path_glob)
     return ev.select(
         F.lit(0).alias("epoch"), F.col("event_id").alias("step"),
         (F.col("user_id") % world).cast("int").alias("rank"), F.col("value").alias("loss"),
