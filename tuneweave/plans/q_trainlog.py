@@ -77,7 +77,8 @@ def tflops_q(spark: SparkSession, sf_dir: str) -> DataFrame:
     log = step_log(spark, sf_dir)
     cfg = spark.createDataFrame(RUN_CONFIGS, CONFIG_COLS)
     # a literal table of len(RUN_CONFIGS) rows: broadcasting it is bounded
-    j = log.join(F.broadcast(cfg), "event_type")
+    # and a step of an unknown run type stays, with a null rate
+    j = log.join(F.broadcast(cfg), "event_type", "left")
     f = checkpoint_factor(F.col("checkpointing"), F.col("lora_dim"), F.col("hidden_size"))
     flops = train_flops(f, F.col("n"), F.lit(MAX_SEQ_LEN), F.col("num_layers"),
                         F.col("hidden_size"), F.col("vocab_size"))
@@ -215,7 +216,7 @@ _CFG_VALUES = ", ".join(f"('{e}', {l}, {h}, {v}, {g}, {lo}, {str(c).lower()})"
 SQL_TFLOPS = f"""WITH {SQL_LOG},
 cfg({', '.join(CONFIG_COLS)}) AS (VALUES {_CFG_VALUES}),
 j AS (SELECT log.*, cfg.num_layers, cfg.hidden_size, cfg.vocab_size, cfg.gpus, cfg.lora_dim, cfg.checkpointing
-      FROM log JOIN cfg ON log.event_type = cfg.event_type)
+      FROM log LEFT JOIN cfg ON log.event_type = cfg.event_type)
 SELECT step, event_type,
   round({_sql_flops(_sql_factor('checkpointing', 'lora_dim', 'hidden_size'), 'n', str(MAX_SEQ_LEN),
                     'num_layers', 'hidden_size', 'vocab_size')} / nullif(seconds * gpus * {dbl(1e12)}, 0), 6) AS tflops,
