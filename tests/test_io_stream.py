@@ -78,11 +78,30 @@ def test_content_key_reuse(spark, tmpdir_path):
 
     def build():
         calls.append(1)
-        return spark.range(3)
+        return {"train": spark.range(3), "eval": spark.range(len(calls))}
 
     persist_or_reuse(spark, build, tmpdir_path, key)
     again = persist_or_reuse(spark, build, tmpdir_path, key)
-    assert again.count() == 3 and len(calls) == 1
+    assert again["train"].count() == 3 and again["eval"].count() == 1 and len(calls) == 1
+    # a build that ended before its marker is made anew, both results of it
+    os.rename(os.path.join(tmpdir_path, key, "complete"), os.path.join(tmpdir_path, key, "lost"))
+    assert persist_or_reuse(spark, build, tmpdir_path, key)["eval"].count() == 2
+    assert persist_or_reuse(spark, build, tmpdir_path, key, reload=True)["eval"].count() == 3
+
+
+def test_rewriting_a_tag_replaces_its_rows_only(spark, tmpdir_path):
+    path = os.path.join(tmpdir_path, "cache")
+    rows = spark.createDataFrame([(i, [i], [i]) for i in range(4)],
+                                 "conv_id long, input_ids array<int>, labels array<int>")
+    for tag in ("a", "b", "a"):
+        write_token_cache(cache_rows(rows, tag, ["conv_id"]), path)
+    got = spark.read.parquet(path).groupBy("key_tag").count().collect()
+    assert sorted((r.key_tag, r["count"]) for r in got) == [("a", 4), ("b", 4)]
+
+
+def test_missing_path_raises(spark, tmpdir_path):
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        read_json_lines(spark, [os.path.join(tmpdir_path, "none.json")], ordered=True)
 
 
 def test_scalar_series_unpivot(spark):

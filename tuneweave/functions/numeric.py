@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 
 def round_to(x: Column | str, digits: int) -> Column:
     """Round half away from zero on the binary value (``x * 10^d`` rounded,
-    divided back), as Python's ``round`` and most SQL engines see a double.
-    Spark's ``round`` rounds the shortest decimal text instead, which differs
+    divided back), as most SQL engines do. Python's ``round`` goes to even on an
+    exact tie (1/64 at 5 digits: 0.01562 there, 0.01563 here). Spark's ``round`` rounds the shortest decimal text instead, which differs
     on values such as 47.0595625 whose binary value lies just below the tie."""
     x = F.col(x) if isinstance(x, str) else x
     p = float(10 ** digits)

@@ -54,11 +54,13 @@ def ema(log: DataFrame, keys: Sequence[str] = ("rank",), order_by: Sequence[str]
     return exponential_mean(pos, keys, "t", F.col(value), alpha)
 
 
-def eval_perplexity(eval_log: DataFrame, rank: str = "rank", loss: str = "loss") -> DataFrame:
+def eval_perplexity(eval_log: DataFrame, rank: str = "rank", loss: str = "loss",
+                    by: Sequence[str] = ()) -> DataFrame:
     """M5: mean loss over batches per rank, then the unweighted mean over
-    ranks; perplexity = exp (infinite on overflow)."""
-    per_rank = eval_log.groupBy(rank).agg(F.avg(loss).alias("__l"))
-    return per_rank.agg(F.avg("__l").alias("eval_loss")).withColumn(
+    ranks; perplexity = exp (infinite on overflow). ``by``: one row per
+    evaluation instead of one for the whole log."""
+    per_rank = eval_log.groupBy(*by, rank).agg(F.avg(loss).alias("__l"))
+    return per_rank.groupBy(*by).agg(F.avg("__l").alias("eval_loss")).withColumn(
         "perplexity", F.exp("eval_loss"))
 
 

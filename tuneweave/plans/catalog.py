@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import importlib
 
-_MODULES = ("q_tokens", "q_order", "q_adapters", "q_features", "q_trainlog", "q_rollouts", "q_stream", "q_prepare")
+_MODULES = ("q_tokens", "q_order", "q_adapters", "q_features", "q_trainlog", "q_rollouts", "q_stream", "q_prepare",
+            "q_flows")
 
 
 def registry() -> dict[str, tuple]:

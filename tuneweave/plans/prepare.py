@@ -1,5 +1,5 @@
-"""End-to-end plans for the reference's entry points, each one lazy
-plan with the operators of this package:
+"""End-to-end plans for the reference's entry points, built with the
+operators of this package. Ranks and vocabularies are computed when a plan is built:
 
 * :func:`prepare_sft_cache` — instruction JSON to a token cache (§3.1):
   ``read.json -> A17 -> F4 -> T2 -> V1 -> K1``;
@@ -33,7 +33,8 @@ from ..operators.tokens import (Vocabulary, build_vocabulary, eot_features, eot_
                                tokenize, tokenize_with)
 from ..sinks.token_cache import cache_rows, content_key, persist_or_reuse, write_token_cache
 from ..sources.files import (CONVERSATION_SCHEMA, INSTRUCT_SCHEMA, ORDER_COLUMNS,
-                             read_json_arrays, read_json_lines, unsupervised_text_column)
+                             read_json_arrays, read_json_lines, unsupervised_text_column,
+                             with_file_order)
 from ..sources.token_cache import read_token_caches
 
 # ------------------------------------------------------------------- §3.1
@@ -149,27 +150,31 @@ def create_prompt_dataset(spark: SparkSession, datasets: Sequence[tuple[str, Dat
     datasets are blended and shuffled (U1); SFT-only datasets join phase 1
     whole (U2). With ``output_root`` both results are stored under the
     content key and reused unless ``reload`` (K2)."""
-    rows = [_phase_rows(n, d, data_split, train_phase, seed) for n, d in datasets]
-    if train_phase == 1:
-        rows += [_phase_rows(n, d, "10,0,0", 1, seed) for n, d in sft_only]
-    allr = reduce(lambda a, b: a.unionByName(b), rows)
-    # one vocabulary (or plug-in) for train and eval alike
-    feats = _features(allr, train_phase, max_seq_len, end_of_conversation_token, vocabulary,
-                      tokenizer_factory)
-    many = len(datasets) > 1 or (train_phase == 1 and len(sft_only) > 0)
-
-    def build(which: str) -> DataFrame:
-        part = feats.filter(F.col("which") == which).drop("which")
-        if many:
-            return seeded_rank(part.drop("__order"), seed, ["source", "row_id"], "order")
-        return dense_index(part, ["__order"], "order").drop("__order")
+    def build() -> dict[str, DataFrame]:
+        rows = [_phase_rows(n, d, data_split, train_phase, seed) for n, d in datasets]
+        if train_phase == 1:
+            rows += [_phase_rows(n, d, "10,0,0", 1, seed) for n, d in sft_only]
+        allr = reduce(lambda a, b: a.unionByName(b), rows)
+        # one vocabulary (or plug-in) for train and eval alike
+        feats = _features(allr, train_phase, max_seq_len, end_of_conversation_token, vocabulary,
+                          tokenizer_factory)
+        many = len(datasets) > 1 or (train_phase == 1 and len(sft_only) > 0)
+        return {which: _ordered(feats.filter(F.col("which") == which).drop("which"), many, seed)
+                for which in ("train", "eval")}
 
     if output_root is None:
-        return build("train"), build("eval")
-    key = content_key([n for n, _ in datasets], data_split, train_phase, seed, tokenizer_name,
-                      max_seq_len, [n for n, _ in sft_only])
-    return (persist_or_reuse(spark, lambda: build("train"), output_root, key + "_train", reload),
-            persist_or_reuse(spark, lambda: build("eval"), output_root, key + "_eval", reload))
+        made = build()
+    else:
+        key = content_key([n for n, _ in datasets], data_split, train_phase, seed, tokenizer_name,
+                          max_seq_len, [n for n, _ in sft_only])
+        made = persist_or_reuse(spark, build, output_root, key, reload)
+    return made["train"], made["eval"]
+
+
+def _ordered(part: DataFrame, many: bool, seed: int) -> DataFrame:
+    if many:
+        return seeded_rank(part.drop("__order"), seed, ["source", "row_id"], "order")
+    return dense_index(part, ["__order"], "order").drop("__order")
 
 
 def _features(rows: DataFrame, phase: int, max_seq_len: int, eot: str, vocab, factory) -> DataFrame:
@@ -218,8 +223,9 @@ def unsupervised_blocks(spark: SparkSession, corpus: DataFrame, max_prompt_seq_l
     block = max_prompt_seq_len + max_answer_seq_len
     if order_by:
         base, order = corpus.select(col, *order_by), list(order_by)
-    else:  # corpus (file) order
-        base, order = corpus.select(col).withColumn("__ord", F.monotonically_increasing_id()), ["__ord"]
+    else:  # corpus order: file name, then position in the file
+        base = with_file_order(corpus.select(col))
+        order = list(ORDER_COLUMNS)
     indexed = dense_index(base, order, "idx")
     if tokenizer_factory is not None:
         tok = tokenize_with(indexed.select("idx", col), col, tokenizer_factory, "input_ids")

@@ -42,12 +42,13 @@ def conv_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def doc_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Labelled documents: first line as question, text and a language-tagged
-    variant as the two answers, quality/toxic as scores. The join is left to
-    the planner (AQE broadcasts the label table only when it is small)."""
+    """All documents: first line as question, text and a language-tagged variant as
+    the two answers, quality/toxic as scores (null where there is no label: layouts
+    that need a score then have no chosen answer and F1 drops the row). The join is
+    left to the planner (AQE broadcasts the label table only when it is small)."""
     docs = table(spark, sf_dir, "documents")
     labels = table(spark, sf_dir, "labels")
-    return docs.join(labels, "doc_id").select(
+    return docs.join(labels, "doc_id", "left").select(
         "doc_id", F.substring_index("text", "\n", 1).alias("question"),
         F.col("text").alias("answer"), F.concat("lang", F.lit(": "), "text").alias("alt"),
         "quality", "toxic")
@@ -159,7 +160,7 @@ SQL_CONV_BASE = """base AS (
 SQL_DOC_BASE = """base AS (
   SELECT d.doc_id, split_part(d.text, chr(10), 1) AS question, d.text AS answer,
          d.lang || ': ' || d.text AS alt, l.quality, l.toxic
-  FROM documents d JOIN labels l ON d.doc_id = l.doc_id)"""
+  FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id)"""
 
 _TL = "CASE WHEN {x} IS NULL THEN [] ELSE [{{'text': {x}}}] END"
 

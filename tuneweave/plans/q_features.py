@@ -3,8 +3,6 @@ batching (T5, T6, X3-X6, F3, B1-B4, V4, K1, S6-S8, M11)."""
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,7 +18,7 @@ from ..sources.files import unsupervised_text_column
 from ..sources.token_cache import union_caches
 from . import sqlkit as q
 from ..operators.adapters import apply_adapter, spec
-from .q_adapters import SQL_CONV_BASE, adapted, shaped
+from .q_adapters import SHAPES, SQL_CONV_BASE, adapted, conv_pairs, doc_pairs
 from .q_order import SEED, sql_rank
 from .q_tokens import _sql_items, conversation_vocab
 from .tables import table
@@ -83,17 +81,22 @@ def phase1_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
         join_ints(labels_from_mask(F.col("input_ids"), F.col("attention_mask"))).alias("labels"))
 
 
-def reward_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+def reward_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chosen and rejected features of the pairs."""
     keys = ["conv_id", "turn"]
     pairs = adapted(spark, sf_dir, "Dahoas/rm-static", 2).select(
         *keys, F.concat("prompt_and_chosen", F.lit(ENDOFTEXT)).alias("c"),
         F.concat("prompt_and_rejected", F.lit(ENDOFTEXT)).alias("r"))
     vocab = build_vocabulary([F.col("c"), F.col("r")], pairs)
     feats = eot_pair_features(pairs, {"c_": "c", "r_": "r"}, vocab, keys, MAX_SEQ_LEN, "")
-    both = feats.select(*keys, phase2_tuple(
+    return feats.select(*keys, phase2_tuple(
         F.col("c_input_ids"), F.col("c_attention_mask"), F.col("r_input_ids"),
         F.col("r_attention_mask")).alias("t")).select(*keys, "t.*")
-    ranked = batch_ids(seeded_rank(both, SEED, keys), REWARD_BATCH, "rank")
+
+
+def reward_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    keys = ["conv_id", "turn"]
+    ranked = batch_ids(seeded_rank(reward_features(spark, sf_dir), SEED, keys), REWARD_BATCH, "rank")
     out = reward_collate(ranked, keys=keys)
     return out.select(*keys, "batch_id", "side", F.col("row_in_collated").cast("long"),
                       join_ints(F.col("input_ids")).alias("input_ids"),
@@ -170,32 +173,41 @@ def mini_batches_q(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # ------------------------------------------------------------------- M11
 
-PREP_DATASETS = ("Dahoas/rm-static", "openai/webgpt_comparisons",
-                 "pvduy/sharegpt_alpaca_oa_vicuna_format", "Cohere/miracl-zh-queries-22-12",
-                 "lmqg/qag_jaquad")
+PREP_COUNTS = ("n_raw", "phase1_kept", "phase1_dropped", "phase2_kept", "phase2_dropped",
+               "phase3_kept", "phase3_filtered")
 
 
-def prep_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Prepared and dropped rows per dataset and phase; the phase-3
-    length is the whitespace token count (ids are not needed to count)."""
-    parts = []
-    for name in PREP_DATASETS:
-        df, keys = shaped(spark, sf_dir, name)
-        a = apply_adapter(df, spec(name), keys)
+def _counts_of(base: DataFrame, names: list[str]) -> DataFrame:
+    """One row per dataset layout in ``names``, all counted in one pass over
+    ``base``: each layout is projected in turn beside the base columns, and only
+    its seven conditions are kept for the one aggregate."""
+    df = base.select(F.struct("*").alias("base"))
+    flags: list[str] = []
+    for i, name in enumerate(names):
+        df = df.select("base", *flags, "base.*").select("base", *flags, *SHAPES[name][1]())
+        df = apply_adapter(df, spec(name), ["base", *flags])
         pc = F.col("prompt_and_chosen").isNotNull()
-        pr = F.col("prompt_and_rejected").isNotNull()
-        pn = F.col("prompt").isNotNull()
+        both = pc & F.col("prompt_and_rejected").isNotNull()
+        prompt = F.col("prompt").isNotNull()
         short = F.size(words(F.col("prompt"))) <= MAX_PROMPT_LEN
+        tests = [F.lit(True), pc, ~pc, both, ~both, prompt & short, prompt & ~short]
+        df = df.select("base", *flags, F.array(*tests).alias(f"is_{i}"))
+        flags.append(f"is_{i}")
+    sums = df.agg(*[F.coalesce(F.sum(F.col(f)[k].cast("long")), F.lit(0)).alias(f"{f}_{k}")
+                    for f in flags for k in range(len(PREP_COUNTS))])
+    rows = F.array(*[F.struct(F.lit(name).alias("dataset"),
+                              *[F.col(f"is_{i}_{k}").alias(c) for k, c in enumerate(PREP_COUNTS)])
+                     for i, name in enumerate(names)])
+    return sums.select(F.explode(rows).alias("row")).select("row.*")
 
-        def cnt(c):
-            return F.sum(F.when(c, 1).otherwise(0)).cast("long")
 
-        parts.append(a.agg(
-            F.count(F.lit(1)).alias("n_raw"), cnt(pc).alias("phase1_kept"),
-            cnt(~pc).alias("phase1_dropped"), cnt(pc & pr).alias("phase2_kept"),
-            cnt(~(pc & pr)).alias("phase2_dropped"), cnt(pn & short).alias("phase3_kept"),
-            cnt(pn & ~short).alias("phase3_filtered")).withColumn("dataset", F.lit(name)))
-    return reduce(lambda x, y: x.unionByName(y), parts)
+def prep_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Prepared and dropped rows per dataset and phase, for all layouts; the
+    phase-3 length is the whitespace token count (ids are not needed to count)."""
+    conv = [n for n, (kind, _) in SHAPES.items() if kind == "conv"]
+    docs = [n for n, (kind, _) in SHAPES.items() if kind == "doc"]
+    return _counts_of(conv_pairs(spark, sf_dir), conv).unionByName(
+        _counts_of(doc_pairs(spark, sf_dir), docs))
 
 
 # ------------------------------------------------------------------ oracle SQL
@@ -314,9 +326,9 @@ FROM bb, lim WHERE batch_id // {MAX_BUFFER} < lim.complete"""
 
 
 def _sql_prep() -> str:
-    from .q_adapters import SQL_CONV_BASE as CB, SQL_DOC_BASE as DB, SHAPES, SQL_OUTPUTS, SQL_SHAPES, KEYS
+    from .q_adapters import SQL_CONV_BASE as CB, SQL_DOC_BASE as DB, SQL_OUTPUTS, SQL_SHAPES, KEYS
     parts = []
-    for name in PREP_DATASETS:
+    for name in SHAPES:
         kind = SHAPES[name][0]
         base = CB if kind == "conv" else DB
         outs = SQL_OUTPUTS[name]

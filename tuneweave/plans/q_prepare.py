@@ -95,14 +95,18 @@ def training_batches_q(spark: SparkSession, sf_dir: str) -> DataFrame:
     write_token_cache(rows, path)
     b = training_batches(spark, path, max_seq_len=TB_LEN, padding_side="left", batch_size=TB_BATCH,
                          sampler="distributed", world_size=TB_WORLD, seed=SEED)
+    return batch_columns(b)
+
+
+def batch_columns(b: DataFrame) -> DataFrame:
     return b.select("key", "padded_pos", "shard", "batch_id", "row_in_batch",
                     join_ints(F.col("input_ids")).alias("input_ids"),
                     join_ints(F.col("attention_mask")).alias("attention_mask"),
                     join_ints(F.col("labels")).alias("labels"))
 
 
-def _sql_training_batches() -> str:
-    n, w, bsz = TB_LEN, TB_WORLD, TB_BATCH
+def _sql_training_batches(w: int) -> str:
+    n, bsz = TB_LEN, TB_BATCH
 
     def left(col: str, fill: int) -> str:
         return (f"CASE WHEN len({col}) >= {n} THEN {col}[1:{n}] ELSE list_concat("
@@ -170,7 +174,7 @@ FROM items GROUP BY idx"""
 
 QUERIES = {
     "sft_cache_from_json": (sft_cache_from_json, _sql_sft_cache()),
-    "training_batches": (training_batches_q, _sql_training_batches()),
+    "training_batches": (training_batches_q, _sql_training_batches(TB_WORLD)),
     "prompt_dataset_phase2_train": (prompt_dataset_phase2_train, _sql("train")),
     "prompt_dataset_phase2_eval": (prompt_dataset_phase2_eval, _sql("eval")),
 }

@@ -21,13 +21,15 @@ def cache_rows(tokens: DataFrame, key_tag: str, order_by: Sequence[str],
         "key", F.concat(F.lit(key_tag), F.lit("_idx_"), F.col(index_col).cast("string")))
 
 
-def write_token_cache(rows: DataFrame, path: str, mode: str = "append") -> None:
+def write_token_cache(rows: DataFrame, path: str, mode: str = "overwrite") -> None:
     """K1: Parquet partitioned by ``key_tag``; the key list and length are the
     table itself (no side files). Rows sorted by ``idx`` inside each file keep
-    row-group statistics tight for key lookups."""
+    row-group statistics tight for key lookups. Writing a tag again replaces that
+    tag's rows and leaves the other tags (``mode="append"`` adds to them)."""
     (rows.select("key", "key_tag", "idx", "input_ids", "labels")
          .sortWithinPartitions("idx")
-         .write.mode(mode).partitionBy("key_tag").parquet(path))
+         .write.mode(mode).option("partitionOverwriteMode", "dynamic")
+         .partitionBy("key_tag").parquet(path))
 
 
 def content_key(data_paths: Sequence[str], data_split: str, train_phase: int, seed: int,
@@ -41,15 +43,26 @@ def content_key(data_paths: Sequence[str], data_split: str, train_phase: int, se
 
 
 def persist_or_reuse(spark: SparkSession, build, root: str, key: str,
-                     reload: bool = False) -> DataFrame:
-    """K2: reuse ``root/key`` when a committed copy exists (``_SUCCESS``),
-    else build, write and read it back."""
+                     reload: bool = False) -> dict[str, DataFrame]:
+    """K2: the named results of one build under ``root/key/<name>``. They are reused
+    when the marker written after the last of them is there, and ``build`` is then
+    not called; else ``build()`` gives ``{name: DataFrame}``, and all are written
+    anew, so that no result of an interrupted build is paired with another's."""
     path = os.path.join(root, key)
-    marker = os.path.join(path, "_SUCCESS")
-    if not reload and _exists(spark, marker):
-        return spark.read.parquet(path)
-    build().write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path)
+    marker = os.path.join(path, "complete")
+    if reload or not _exists(spark, os.path.join(marker, "_SUCCESS")):
+        _delete(spark, marker)
+        made = build()
+        for name, df in made.items():
+            df.write.mode("overwrite").parquet(os.path.join(path, name))
+        spark.createDataFrame([(n,) for n in made], "name string").coalesce(1).write.parquet(marker)
+    names = sorted(r.name for r in spark.read.schema("name string").parquet(marker).collect())
+    return {n: spark.read.parquet(os.path.join(path, n)) for n in names}
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    jpath = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    jpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(jpath, True)
 
 
 def _exists(spark: SparkSession, path: str) -> bool:

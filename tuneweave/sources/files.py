@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import os
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -31,19 +32,25 @@ PREFERENCE_SCHEMA = T.StructType([
 ])
 
 
-def with_file_order(df: DataFrame, paths: Sequence[str]) -> DataFrame:
-    """Columns that give records their 'path order': ``file_ordinal`` (the
-    position of the file in ``paths``, 0 for files found through a glob or a
-    directory), ``source_file`` (the file name, to order files inside a glob)
-    and ``row_in_file`` (increasing in file order: a file's splits are read
-    in offset order)."""
-    order = F.coalesce(F.array_position(F.array(*[F.lit(_uri(p)) for p in paths]),
-                                        F.input_file_name()), F.lit(0))
-    return (df.withColumn("file_ordinal", order)
+def with_file_order(df: DataFrame, ordinal: int = 0) -> DataFrame:
+    """Columns that give records their 'path order': ``file_ordinal`` (the position
+    of the path they were asked for by), ``source_file`` (the file name, to order
+    files inside a glob or a directory) and ``row_in_file`` (increasing in file
+    order: a file's splits are read in offset order)."""
+    return (df.withColumn("file_ordinal", F.lit(ordinal))
             .withColumn("source_file", F.input_file_name())
             .withColumn("row_in_file", F.monotonically_increasing_id()))
 
 
+def _in_path_order(read, paths: Sequence[str]) -> DataFrame:
+    """Each path read on its own, so that its place in ``paths`` is a literal and no
+    file name has to be matched; Spark raises for a path that is not there."""
+    if not paths:
+        raise ValueError("no paths given")
+    parts = [with_file_order(read(p), i) for i, p in enumerate(paths)]
+    return reduce(lambda a, b: a.unionByName(b), parts)
+
+
 ORDER_COLUMNS = ("file_ordinal", "source_file", "row_in_file")
 
 
@@ -53,8 +60,7 @@ def read_json_arrays(spark: SparkSession, paths: str | Sequence[str],
     order (see :func:`with_file_order`). Each file is read whole by one task;
     convert large inputs to JSON lines or Parquet first."""
     paths = [paths] if isinstance(paths, str) else list(paths)
-    df = spark.read.schema(schema).option("multiLine", True).json(paths)
-    return with_file_order(df, paths)
+    return _in_path_order(spark.read.schema(schema).option("multiLine", True).json, paths)
 
 
 def read_json_lines(spark: SparkSession, paths: str | Sequence[str],
@@ -62,8 +68,8 @@ def read_json_lines(spark: SparkSession, paths: str | Sequence[str],
     """JSON-lines files (splittable); ``ordered`` adds the path-order
     columns."""
     paths = [paths] if isinstance(paths, str) else list(paths)
-    df = spark.read.schema(schema).json(paths)
-    return with_file_order(df, paths) if ordered else df
+    read = spark.read.schema(schema).json
+    return _in_path_order(read, paths) if ordered else read(paths)
 
 
 def read_local_pair(spark: SparkSession, train_path: str, eval_path: str,
@@ -96,10 +102,6 @@ def split_of(df: DataFrame, which: str, split_col: str = "split",
     return df.filter(F.col(split_col) == name)
 
 
-def _uri(p: str) -> str:
-    return p if "://" in p or p.startswith("file:") else "file://" + os.path.abspath(p)
-
-
 def _exists(spark: SparkSession, path: str) -> bool:
     jvm = spark.sparkContext._jvm
     jpath = jvm.org.apache.hadoop.fs.Path(path)

@@ -22,7 +22,12 @@ def read_token_cache(spark: SparkSession, path: str) -> DataFrame:
 
 
 def lookup(cache: DataFrame, key: str) -> DataFrame:
-    """S6 ``search_by_index``: rows of one key (pushed-down equality)."""
+    """S6 ``search_by_index``: rows of one key. The tag and index that a key is made
+    of are filtered too, so that only that tag's partition is opened and row groups
+    are skipped on ``idx``."""
+    tag, sep, index = key.rpartition("_idx_")
+    if sep and index.isdigit() and {"key_tag", "idx"} <= set(cache.columns):
+        cache = cache.filter((F.col("key_tag") == tag) & (F.col("idx") == int(index)))
     return cache.filter(F.col("key") == key)
 
 
