@@ -64,7 +64,8 @@ def test_create_prompt_dataset_phases(spark, tmpdir_path):
                                  output_root=out_root)
     plain, _ = create_prompt_dataset(spark, [("local/jsonfile", d1)], "2,4,4", 1, max_seq_len=16)
     assert sorted(r.row_id for r in a.collect()) == sorted(r.row_id for r in plain.collect())
-    assert any(n.endswith("_train") for n in os.listdir(out_root))
+    (key,) = os.listdir(out_root)
+    assert {"train", "eval", "complete"} <= set(os.listdir(os.path.join(out_root, key)))
     again, _ = create_prompt_dataset(spark, [("local/jsonfile", d1)], "2,4,4", 1, max_seq_len=16,
                                      output_root=out_root)
     assert again.count() == a.count()
