@@ -52,9 +52,8 @@ def _whitespace_turn_length(role_col: str, text_col: str) -> Column:
             + F.lit(4))
 
 
-def _turn_words(role: Column, text: Column) -> Column:
-    return F.concat(F.array(F.lit(IM_START)), words(role), F.array(F.lit(NEWLINE)),
-                    words(F.coalesce(text, F.lit(""))), F.array(F.lit(IM_END), F.lit(NEWLINE)))
+def _whitespace_first_words(text: Column, n: Column) -> Column:
+    return F.array_join(F.slice(words(F.coalesce(text, F.lit(""))), 1, n), " ")
 
 
 def chat_token_items(turns: DataFrame, vocab: Vocabulary, form: str = "sft",
@@ -122,7 +121,8 @@ def sft_tokens(turns: DataFrame, vocab: Vocabulary, conv_col: str = "conv_id",
                                turn_col=turn_col, role_col=role_col, text_col=text_col,
                                on_unknown_role=on_unknown_role,
                                newline_ids=[SPECIAL_IDS[NEWLINE]], max_tokens=max_tokens,
-                               turn_length=_whitespace_turn_length(role_col, text_col))
+                               turn_length=_whitespace_turn_length(role_col, text_col),
+                               first_words=_whitespace_first_words)
     items = chat_token_items(turns, vocab, "sft", conv_col, turn_col, role_col, text_col,
                              on_unknown_role, max_tokens)
     return items.select(
@@ -160,7 +160,8 @@ def system_tokens(turns: DataFrame, vocab: Vocabulary, max_len: int,
                                on_unknown_role=on_unknown_role,
                                newline_ids=[SPECIAL_IDS[NEWLINE]], form="system",
                                max_tokens=budget,
-                               turn_length=_whitespace_turn_length(role_col, text_col))
+                               turn_length=_whitespace_turn_length(role_col, text_col),
+                               first_words=_whitespace_first_words)
         tid, tlab = F.col("input_ids"), F.col("labels")
     else:
         conv = chat_token_items(turns, vocab, "system", conv_col, turn_col, role_col, text_col,
@@ -201,17 +202,32 @@ def sft_tokens_with(turns: DataFrame, factory, im_end_id: int, newline: str = NE
                     conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role",
                     text_col: str = "text", on_unknown_role: str = "error",
                     newline_ids: list[int] | None = None, form: str = "sft",
-                    max_tokens: int | None = None, turn_length: Column | None = None) -> DataFrame:
+                    max_tokens: int | None = None, turn_length: Column | None = None,
+                    first_words=None) -> DataFrame:
     """T2 with a plug-in tokenizer (E1): per turn ``enc("<|im_start|>" + role)
     + enc("\\n") + enc(content) + [im_end] + enc("\\n")``, each piece encoded
     separately in Arrow batches; user turns unsupervised, assistant turns
     supervised after role and newline. One shuffle by conversation assembles
-    the sorted turns."""
+    the sorted turns.
+
+    ``turn_length``: the number of ids of a turn where it is known without
+    tokenizing; ``first_words(text, n)``: a text whose first ``n`` ids are those of
+    ``text``. Both only save work under ``max_tokens``."""
     from .tokens import tokenize_with
 
     turns = _check_roles(turns.select(conv_col, turn_col, role_col, text_col), role_col,
                          on_unknown_role)
     nl_ids = newline_ids if newline_ids is not None else factory().encode_batch([newline])[0]
+    offs = None
+    if max_tokens and turn_length is not None:
+        # lengths are known without tokenizing: turns past the budget go, and the
+        # others keep the words that can be inside it, before any is tokenized
+        lens = turns.select(conv_col, turn_col, turn_length.alias("__tl"))
+        offs = turn_offsets(lens, "__tl", conv_col, turn_col).filter(F.col("__off") < max_tokens)
+        left = (F.lit(max_tokens) - F.col("__off")).cast("int")
+        turns = turns.join(offs.select(conv_col, turn_col, left.alias("__left")), [conv_col, turn_col])
+        if first_words is not None:
+            turns = turns.withColumn(text_col, first_words(F.col(text_col), F.col("__left")))
     t = turns.withColumn("__role_text", F.concat(F.lit(IM_START), F.col(role_col)))
     t = t.withColumn("__content", F.coalesce(F.col(text_col), F.lit("")))
     t = tokenize_with(t, "__role_text", factory, "__rids")
@@ -233,17 +249,17 @@ def sft_tokens_with(turns: DataFrame, factory, im_end_id: int, newline: str = NE
             .otherwise(F.lit(IGNORE_INDEX)))
     else:
         raise ValueError("form must be 'sft' or 'system'")
-    per_turn = t.select(conv_col, turn_col, ids.alias("__ids"), labels.alias("__lab"))
-    if max_tokens:
-        # turns starting past the budget are dropped and the rest sliced before
-        # the per-conversation collect. Turn lengths come from ``turn_length``
-        # when the caller knows them without tokenizing; otherwise the per-turn
-        # arrays are stored once and measured.
-        if turn_length is not None:
-            lens = turns.select(conv_col, turn_col, turn_length.alias("__tl"))
-        else:
-            per_turn = materialize(per_turn, "chat-turns")
-            lens = per_turn.select(conv_col, turn_col, F.size("__ids").alias("__tl"))
+    per_turn = t.select(conv_col, turn_col, ids.alias("__ids"), labels.alias("__lab"),
+                        *(["__left"] if offs is not None else []))
+    if offs is not None:
+        per_turn = per_turn.select(conv_col, turn_col, F.slice("__ids", 1, F.col("__left")).alias("__ids"),
+                                   F.slice("__lab", 1, F.col("__left")).alias("__lab"))
+    elif max_tokens:
+        # lengths are not known: the per-turn arrays are stored once and measured;
+        # turns past the budget are dropped and the rest sliced before the
+        # per-conversation collect
+        per_turn = materialize(per_turn, "chat-turns")
+        lens = per_turn.select(conv_col, turn_col, F.size("__ids").alias("__tl"))
         offs = turn_offsets(lens, "__tl", conv_col, turn_col).filter(F.col("__off") < max_tokens)
         keep = (F.lit(max_tokens) - F.col("__off")).cast("int")
         per_turn = per_turn.join(offs, [conv_col, turn_col]).select(

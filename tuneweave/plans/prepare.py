@@ -82,10 +82,9 @@ def training_batches(spark: SparkSession, cache_paths: str | Sequence[str], max_
     cache index. ``sampler``: 'sequential', 'random' or 'distributed'
     (seeded shuffle, padded to a multiple of ``world_size``, round-robin)."""
     cache = read_token_caches(spark, cache_paths, on_conflict)
-    ids = pad_clip(F.col("input_ids"), max_seq_len, pad_id, padding_side)
-    labels = pad_clip(F.col("labels"), max_seq_len, IGNORE_INDEX, padding_side)
-    samples = cache.select("store", "key", "idx", ids.alias("input_ids"), labels.alias("labels"))
-    samples = samples.withColumn("attention_mask", value_mask(F.col("input_ids"), pad_id))
+    # clipped before the ranking, padded and masked after it: no padding is shuffled
+    samples = cache.select("store", "key", "idx", F.slice("input_ids", 1, max_seq_len).alias("input_ids"),
+                           F.slice("labels", 1, max_seq_len).alias("labels"))
     if sampler == "sequential":
         ordered, n = dense_index(samples, ["store", "idx"], "pos", return_count=True)
     elif sampler in ("random", "distributed"):
@@ -94,7 +93,10 @@ def training_batches(spark: SparkSession, cache_paths: str | Sequence[str], max_
         raise ValueError("sampler must be 'sequential', 'random' or 'distributed'")
     world = world_size if sampler == "distributed" else 1
     sharded = rank_shards(ordered, world, "pos", n=n)
-    return batch_ids(sharded, batch_size)
+    padded = (sharded.withColumn("input_ids", pad_clip(F.col("input_ids"), max_seq_len, pad_id, padding_side))
+              .withColumn("labels", pad_clip(F.col("labels"), max_seq_len, IGNORE_INDEX, padding_side))
+              .withColumn("attention_mask", value_mask(F.col("input_ids"), pad_id)))
+    return batch_ids(padded, batch_size)
 
 
 # ------------------------------------------------------------------- §3.3

@@ -43,7 +43,6 @@ GEN_SHARE = 0.6  # share of a step's wall time spent generating
 LR_CFG = dict(init_lr=1e-4, base_lr=1e-2, min_lr=1e-4, warmup_iters=10, lr_decay_iters=50)
 LR_EVERY = 100  # one scheduler iteration per 100 logged steps
 DICE_BATCH = 32
-DICE_CLASSES = 10
 
 
 def loss_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -138,7 +137,7 @@ def lr_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
 def dice_by_class_q(spark: SparkSession, sf_dir: str) -> DataFrame:
     emb = table(spark, sf_dir, "embeddings")
     long = emb.select(F.expr(f"vec_id div {DICE_BATCH}").alias("batch_id"), "label",
-                      F.posexplode(F.slice("embedding", 1, DICE_CLASSES)).alias("class", "e"))
+                      F.posexplode("embedding").alias("class", "e"))
     long = long.select(
         "batch_id", "class",
         F.least(F.abs(F.col("e").cast("double")) * 5.0, F.lit(1.0)).alias("p"),
@@ -268,7 +267,7 @@ SELECT step, it, round({_sql_lr('it')}, 12) AS lr,
 SQL_DICE = f"""WITH l AS (SELECT vec_id // {DICE_BATCH} AS batch_id, label, c AS class,
        least(abs(CAST(embedding[c + 1] AS DOUBLE)) * 5.0, 1.0) AS p,
        CASE WHEN label = c THEN 1.0 ELSE 0.0 END AS t
-  FROM embeddings, range(0, {DICE_CLASSES}) r(c)),
+  FROM (SELECT vec_id, embedding, label, unnest(range(0, len(embedding))) AS c FROM embeddings)),
 per AS (SELECT batch_id, class, ({dbl(2.0)} * sum(p * t) + 1) / (sum(p) + sum(t) + 1) AS d FROM l GROUP BY 1, 2)
 SELECT CAST(class AS INTEGER) AS class, round(avg(d), 4) AS dice FROM per GROUP BY class"""
 
