@@ -300,6 +300,29 @@ def test_divergence_base(docs):
         assert g.base_failed == (len(w) < 10 or 100 * len(covered) > 20 * len(w)) and not (g.base_failed and g.kept)
 
 
+def test_divergence_letters_without_case(spark):
+    # mostly letters of no class, 2 % digits and stops; the junk is 40 % emoji
+    def text(seed, junk=False):
+        letters = [chr(0x4E00 + (seed * 131 + i * i * 7 + i) % 900) for i in range(1000)]
+        letters = [("7" if i % 100 == 0 else "." if i % 100 == 50 else c) for i, c in enumerate(letters)]
+        letters = ["\U0001F600" if junk and i % 5 < 2 else c for i, c in enumerate(letters)]
+        return " ".join("".join(letters[i:i + 20]) for i in range(0, 1000, 20))
+
+    english = [prose(i, 400) for i in range(40)]
+    junk = " ".join(w + "\U0001F600" * 4 for w in english[0].split())
+    rows_ = [(i, text(i), "zh") for i in range(40)] + [(100 + i, t, "en") for i, t in enumerate(english)] + [(200, junk, "en")]
+    got = {r.doc_id: r for r in divergence.quality_rules(spark.createDataFrame(rows_, "doc_id long, text string, lang string")).collect()}
+    assert all(got[i].kept and got[i].class_distance < 0.05 for i in range(40))
+    assert got[200].class_distance > divergence.MAX_CLASS + divergence.CLASS_NOISE / math.sqrt(got[200].word_chars)
+    assert not got[200].kept
+
+
+def test_divergence_long_common_words(spark):
+    text = " ".join("gemeinschaften der" if i % 10 == 0 else f"w{i % 97}" for i in range(300))
+    refs = divergence.references(spark.createDataFrame([(1, text, "de")], "doc_id long, text string, lang string"))
+    assert refs["de"]["common"]["gemeinschaften"] == refs["de"]["common"]["der"] == 30 / 330
+
+
 def test_empty_tables(spark, empty):
     held = remainder(F.col("doc_id"), 3) == 1
     labels = spark.createDataFrame([], "doc_id long, quality int")

@@ -33,10 +33,9 @@ MAX_COMMON, COMMON_NOISE = 0.14, 1.0
 #: A reference language holds at least this share of the documents, and a common
 #: word this share of its language's words: at most 100 of each.
 MIN_LANG, MIN_COMMON = 0.01, 0.01
-#: Common words are function words, sought among words of at most so many bytes.
-COMMON_BYTES = 6
 #: Small letters and white space, most of any prose; the classes counted in what
-#: is left of a text without them; then come small letters and all the rest.
+#: is left of a text without them; then come small letters and all the rest, such
+#: as letters without case.
 PROSE = r"[\p{Ll}\x20\x09-\x0D]+"
 CLASSES = (r"\p{Lu}", r"\p{N}", "[#*$%&|<>]", r"[.,;:!?'\"()\-]")
 
@@ -79,10 +78,11 @@ def base_counts(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
 
 
 def _class_counts(rest: Column, visible: Column) -> Column:
-    """Characters of each class, of small letters, as an array: ``rest`` is the
-    text without PROSE, ``visible`` the number of characters in words."""
+    """Characters of each class, of small letters, and of none of these, as an
+    array whose sum is ``visible``, the number of characters in words; ``rest`` is
+    the text without PROSE."""
     counts = [F.regexp_count(rest, F.lit(c)).cast("long") for c in CLASSES]
-    return F.array(*counts, visible - F.length(rest))
+    return F.array(*counts, visible - F.length(rest), F.length(rest) - reduce(lambda a, b: a + b, counts))
 
 
 def references(docs: DataFrame) -> dict[str, dict]:
@@ -96,19 +96,18 @@ def references(docs: DataFrame) -> dict[str, dict]:
     counted = counted.select("lang", "words", _class_counts(F.col("rest"), F.col("visible")).alias("c"))
     per_lang = counted.groupBy("lang").agg(
         F.count(F.lit(1)).alias("n"), F.sum("words").alias("words"),
-        *[F.sum(F.col("c")[i]).alias(f"c{i}") for i in range(len(CLASSES) + 1)]).collect()
+        *[F.sum(F.col("c")[i]).alias(f"c{i}") for i in range(len(CLASSES) + 2)]).collect()
     total = sum(r["n"] for r in per_lang)
     kept = [r for r in per_lang if r["n"] >= total * MIN_LANG]
-    out = {r["lang"]: {"classes": _shares([r[f"c{i}"] or 0 for i in range(len(CLASSES) + 1)]), "common": {}}
+    out = {r["lang"]: {"classes": _shares([r[f"c{i}"] or 0 for i in range(len(CLASSES) + 2)]), "common": {}}
            for r in kept}
     least = {r["lang"]: max(1.0, r["words"] * MIN_COMMON) for r in kept}
-    short = (split.filter(F.col("lang").isin(list(out)))
-             .select("lang", F.explode(F.filter("w", lambda x: F.octet_length(x) <= COMMON_BYTES)).alias("w"))
-             .groupBy("lang", "w").agg(F.count(F.lit(1)).alias("n")))
+    counts = (split.filter(F.col("lang").isin(list(out))).select("lang", F.explode("w").alias("w"))
+              .groupBy("lang", "w").agg(F.count(F.lit(1)).alias("n")))
     enough = F.lit(False)
     for name, n in least.items():
         enough = enough | ((F.col("lang") == name) & (F.col("n") >= n))
-    for r in short.filter(enough).collect():
+    for r in counts.filter(enough).collect():
         out[r["lang"]]["common"][r["w"]] = r["n"] / next(x["words"] for x in kept if x["lang"] == r["lang"])
     return out
 
