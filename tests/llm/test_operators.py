@@ -284,6 +284,28 @@ def test_imatch_edits(docs):
     assert got[5].fingerprint == got[30].fingerprint == got[31].fingerprint != got[7].fingerprint
 
 
+def test_imatch_band_is_per_term(spark):
+    # rare words and a frequent one that share a bucket with words in the band
+    def bucket(w):
+        return F.pmod(F.xxhash64(w), F.lit(1 << 18))
+
+    pool = [f"b{i}" for i in range(100)]
+    words_ = spark.range(4_000_000).select(F.concat(F.lit("w"), F.col("id").cast("string")).alias("w")).withColumn("b", bucket(F.col("w")))
+    taken = spark.createDataFrame([(w,) for w in pool], "p string").select(bucket(F.col("p")).alias("b")).distinct()
+    rare = [r.w for r in words_.join(F.broadcast(taken), "b", "left_semi").limit(40).collect()]
+    beside = words_.filter(F.col("b") == bucket(F.lit("the"))).first().w
+    texts = ["the " + " ".join(pool[(i * 7 + k * 9) % 100] for k in range(10)) for i in range(600)]
+    texts[1] = texts[0]
+    texts[0] += " " + " ".join(rare[:20])
+    texts[1] += " " + " ".join(rare[20:])
+    texts[3] = texts[2]
+    for i in (3, *range(10, 50)):
+        texts[i] += " " + beside
+    got = {r.doc_id: r.fp for r in imatch.imatch(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert got[0] == got[1]
+    assert got[2] != got[3]
+
+
 def test_divergence_base(docs):
     got = {r.doc_id: r for r in divergence.quality_rules(docs).collect()}
     for r in docs.collect():

@@ -6,8 +6,10 @@ band. A text's fingerprint has one hash per randomised subset of the lexicon:
 its distinct terms in that subset are sorted and hashed. Two fingerprints are as
 alike as the share of subsets in which they agree.
 
-The lexicon is kept as one flag per term bucket (``BUCKETS`` of them, whatever
-the corpus), so what every task reads of it has a fixed size.
+Document frequency is counted per term (its 64-bit hash). The lexicon is a hash
+table: the hashes of its terms by bucket, ``BUCKETS`` of them. A text has each of
+its terms once, so the band admits at most the mean number of distinct terms of a
+text divided by ``LOW``, whatever the number of texts; every task reads that much.
 
 Defined results: a null text is the empty text; a text without a term in the
 band is hashed over all its distinct terms; equal texts, repeated rows among
@@ -22,7 +24,7 @@ from pyspark.sql import functions as F
 
 from .common import words
 
-BUCKETS = 1 << 18
+BUCKETS = 1 << 12
 SUBSETS = 8
 #: Band of document frequency as shares of all documents: idf from 1.6 to 6.2.
 LOW, HIGH = 0.002, 0.2
@@ -40,22 +42,24 @@ def _bucket(h: Column) -> Column:
 
 
 def lexicon(docs: DataFrame, low: float = LOW, high: float = HIGH) -> Column:
-    """Scalar subquery: an array with a flag for each term bucket, 1 in the band."""
+    """Scalar subquery: for each bucket the hashes of its terms in the band, null
+    where it has none."""
     spark = docs.sparkSession
     text = docs.select(F.coalesce(F.col("text"), F.lit("")).alias("text"))
     rows = text.agg(F.count(F.lit(1))).scalar()
-    found = (text.select(F.explode(F.array_distinct(F.transform(term_hashes(F.col("text")), _bucket))).alias("b"))
-             .groupBy("b").agg(F.count(F.lit(1)).alias("df"))
+    found = (text.select(F.explode(term_hashes(F.col("text"))).alias("h"))
+             .groupBy("h").agg(F.count(F.lit(1)).alias("df"))
              .filter((F.col("df") >= rows * low) & (F.col("df") <= F.greatest(rows * high, F.lit(1.0))))
-             .select("b", F.lit(1).cast("tinyint").alias("hit")))
+             .groupBy(_bucket(F.col("h")).alias("b")).agg(F.collect_list("h").alias("terms")))
     every = spark.range(BUCKETS, numPartitions=8).select(F.col("id").cast("int").alias("b"))
-    flags = every.join(found, "b", "left").select(F.struct("b", F.coalesce("hit", F.lit(0).cast("tinyint")).alias("f")).alias("s"))
-    return flags.agg(F.transform(F.sort_array(F.collect_list("s")), lambda s: s["f"])).scalar()
+    table = every.join(found, "b", "left").select(F.struct("b", "terms").alias("s"))
+    return table.agg(F.transform(F.sort_array(F.collect_list("s")), lambda s: s["terms"])).scalar()
 
 
-def fingerprint(terms: Column, flags: Column) -> Column:
-    """Array of ``SUBSETS`` hashes for an array of term hashes."""
-    inside = F.filter(terms, lambda h: F.get(flags, _bucket(h)) == 1)
+def fingerprint(terms: Column, table: Column) -> Column:
+    """Array of ``SUBSETS`` hashes for an array of term hashes; ``table`` is the
+    lexicon."""
+    inside = F.filter(terms, lambda h: F.array_contains(F.get(table, _bucket(h)), h))
     kept = F.array_sort(F.when(F.size(inside) == 0, terms).otherwise(inside))
     # bit 24 + k of a term's hash says whether subset k of the lexicon has it
     return F.transform(
@@ -78,9 +82,9 @@ def imatch(docs: DataFrame, low: float = LOW, high: float = HIGH) -> DataFrame:
     return _fingerprinted(base, "text", "fp", lexicon(docs, low, high))
 
 
-def _fingerprinted(df: DataFrame, text: str, fp: str, flags: Column) -> DataFrame:
-    return (df.withColumn("terms", term_hashes(F.col(text))).withColumn("flags", flags)
-            .withColumn(fp, fingerprint(F.col("terms"), F.col("flags"))).drop("terms", "flags"))
+def _fingerprinted(df: DataFrame, text: str, fp: str, table: Column) -> DataFrame:
+    return (df.withColumn("terms", term_hashes(F.col(text))).withColumn("table", table)
+            .withColumn(fp, fingerprint(F.col("terms"), F.col("table"))).drop("terms", "table"))
 
 
 def successors(keys: DataFrame, span: int) -> DataFrame:
