@@ -73,6 +73,13 @@ def test_join_bounds_hold():
         assert both >= ngram_join.least_overlap(len(a), len(b))
 
 
+def test_sets_of_an_id_hashed_to_bit_0(spark):
+    assert spark.range(1).select(F.pmod(F.xxhash64(F.lit(587600).cast("long")), F.lit(1 << 20))).first()[0] == 0
+    table = spark.createDataFrame([(i, prose(i, 50)) for i in (587600, 876020, 5, 6)], "doc_id long, text string")
+    got = {r.doc_id for r in ngram_join.sets_of(table, table.filter("doc_id <> 6").select("doc_id")).collect()}
+    assert got == {587600, 876020, 5}
+
+
 def test_chain_components(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(1, 40)] + [(100, 90), (90, 95)], "a long, b long")
     got = {r.doc_id: r.component for r in ngram_join.components(links).collect()}

@@ -248,9 +248,14 @@ def shared_prefixes(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
         lambda batches: _shared_rows(batches, schema), ddl)
 
 
+def _place(bits: int) -> Column:
+    """The bit of a doc_id, counted from 1 as bitmap buckets are."""
+    return F.pmod(F.xxhash64("doc_id"), F.lit(bits)) + 1
+
+
 def _bitmap(ids: DataFrame, bits: int) -> np.ndarray:
     """Bit set of the hashed ids; at most 2**28 bits whatever their number."""
-    place = F.pmod(F.xxhash64("doc_id"), F.lit(bits))
+    place = _place(bits)
     rows = (ids.select(place.alias("at")).groupBy(F.bitmap_bucket_number("at").alias("b"))
             .agg(F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("m")).collect())
     out = np.zeros(max(1, bits >> 15) * 4096 + 4096, np.uint8)
@@ -280,7 +285,7 @@ def sets_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
     bits = 1 << min(28, max(20, math.ceil(math.log2(32 * max(1, ids.count())))))
     wanted = docs.sparkSession.sparkContext.broadcast(_bitmap(ids, bits))
     schema = pa.schema([("doc_id", pa.int64()), ("tokens", pa.binary())])
-    place = F.pmod(F.xxhash64("doc_id"), F.lit(bits))
+    place = _place(bits)
     at = (F.bitmap_bucket_number(place) - 1) * 32768 + F.bitmap_bit_position(place)
     return docs.select("doc_id", "text", at.alias("at")).mapInArrow(
         lambda batches: _set_rows(batches, wanted, schema), "doc_id long, tokens binary")
