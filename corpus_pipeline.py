@@ -50,8 +50,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of power-of-two lengths."""
-    return packing.pack(docs, with_ids=False, keep_memo=False).drop("ids")
+    """Pieces of power-of-two lengths with their token ids."""
+    return packing.pack(docs, keep_memo=False)
 
 
 STAGES = [

@@ -7,6 +7,7 @@ import re
 import zlib
 from collections import Counter, defaultdict
 
+import corpus_pipeline
 import pytest
 from pyspark.sql import functions as F
 
@@ -240,6 +241,13 @@ def test_packing_round_trip(docs):
         assert ids == tokenizer.encode(r.text or "", add_special_tokens=False).ids + [1]
 
 
+def test_pipeline_returns_tokens(spark, docs):
+    out = corpus_pipeline.pack_sequences(spark, docs, "").collect()
+    want = {(r.doc_id, r.start, r.ids_crc32): r.ids for r in packing.pack(docs).collect()}
+    assert {(r.doc_id, r.start, r.ids_crc32): r.ids for r in out} == want
+    assert all(len(r.ids) == 4 * r.length and zlib.crc32(r.ids) == r.ids_crc32 for r in out)
+
+
 def test_quality_scores(spark, docs, tmp_path):
     labels = spark.createDataFrame([(i, int(i % 3 > 0)) for i in range(30)] + [(1, None), (None, 1), (999, 0)], "doc_id long, quality int")
     got = quality.classify(docs, labels, remainder(F.col("doc_id"), 3) == 1).collect()
