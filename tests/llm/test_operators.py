@@ -355,9 +355,25 @@ def test_divergence_letters_without_case(spark):
 
 
 def test_divergence_long_common_words(spark):
-    text = " ".join("gemeinschaften der" if i % 10 == 0 else f"w{i % 97}" for i in range(300))
-    refs = divergence.references(spark.createDataFrame([(1, text, "de")], "doc_id long, text string, lang string"))
-    assert refs["de"]["common"]["gemeinschaften"] == refs["de"]["common"]["der"] == 30 / 330
+    text = " ".join("gemeinschaften der" if i % 10 == 0 else f"w{i % 97}" for i in range(3000))
+    ref = divergence.references(spark.createDataFrame([(1, text, "de")], "doc_id long, text string, lang string")).first().ref
+    shares = dict(zip(ref.words, ref.shares))
+    assert shares["gemeinschaften"] == shares["der"] == 300 / 3300
+
+
+def test_divergence_rare_languages(spark):
+    # 0.5 % of the documents are Finnish, one is Estonian, too little for a reference
+    def other(i, k):
+        return " ".join(["ja", "on", "ei", "se"][j // 2 % 4] if j % 2 else f"{k}a{i * 300 + j}" for j in range(300))
+
+    rows_ = [(i, prose(i, 300), "en") for i in range(1194)] + [(2000 + i, other(i, "k"), "fi") for i in range(6)]
+    rows_ += [(3000, other(7, "m"), "et"), (3001, prose(3, 300), None), (3002, other(3, "k"), None)]
+    got = {r.doc_id: r for r in divergence.quality_rules(spark.createDataFrame(rows_, "doc_id long, text string, lang string")).collect()}
+    assert len(got) == len(rows_)
+    for i in (*range(2000, 2006), 3000):
+        assert got[i].kept == (not got[i].base_failed) and not got[i].base_failed
+    assert got[3000].class_distance == got[3000].common_distance == 0 < got[2000].class_distance
+    assert got[3001].common_distance == got[3].common_distance and got[3002].common_distance == got[2003].common_distance
 
 
 def test_empty_tables(spark, empty):

@@ -6,9 +6,9 @@ repeated five-word windows. Verdict: Jensen-Shannon distance between a document'
 histogram of character classes, and of common words, and the reference of its
 language; each is used only from a minimum length on.
 
-Defined results: a null text is empty (no words, so it fails); a null language or
-one without a reference is compared with every reference and judged by the
-nearest; with no reference at all the base rule decides; repeated rows get the
+Defined results: a null text is empty (no words, so it fails); a text of unknown
+(null) language is compared with every reference and judged by the nearest; where
+its language has no reference, or there is none at all, the base rule decides; repeated rows get the
 same row each; an empty table gives no rows. Only ``doc_id``, ``text`` and
 ``lang`` are read.
 """
@@ -20,6 +20,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import materialize
 from .common import WORD, words
 
 SYMBOLS = "#*$%&|<>"
@@ -30,9 +31,10 @@ MIN_WORDS, MIN_CHARS = 50, 200
 #: limit + noise / sqrt(length): short histograms stray further by chance alone.
 MAX_CLASS, CLASS_NOISE = 0.18, 2.0
 MAX_COMMON, COMMON_NOISE = 0.14, 1.0
-#: A reference language holds at least this share of the documents, and a common
-#: word this share of its language's words: at most 100 of each.
-MIN_LANG, MIN_COMMON = 0.01, 0.01
+#: A language's references need so many visible characters, and so many words,
+#: whatever its share of the documents; a common word has at least this share of
+#: its language's words, so that a language has at most 100.
+REFERENCE_CHARS, REFERENCE_WORDS, MIN_COMMON = 5_000, 1_000, 0.01
 #: Small letters and white space, most of any prose; the classes counted in what
 #: is left of a text without them; then come small letters and all the rest, such
 #: as letters without case.
@@ -85,75 +87,58 @@ def _class_counts(rest: Column, visible: Column) -> Column:
     return F.array(*counts, visible - F.length(rest), F.length(rest) - reduce(lambda a, b: a + b, counts))
 
 
-def references(docs: DataFrame) -> dict[str, dict]:
-    """Per language of at least MIN_LANG of the documents: shares of character
-    classes and of its common words. At most 100 languages of 100 words."""
+def references(docs: DataFrame) -> DataFrame:
+    """lang and ``ref`` of each language long enough: shares of character classes
+    (null if it has too few characters), its common words, and their shares and
+    that of all other words (null if it has too few words)."""
     text = F.coalesce(F.col("text"), F.lit(""))
     known = docs.filter(F.col("lang").isNotNull()).select("lang", text.alias("text"))
     split = known.select("lang", "text", words(F.lower("text")).alias("w"))
     counted = split.select("lang", F.size("w").alias("words"), F.regexp_replace("text", PROSE, "").alias("rest"),
                            F.length(F.array_join("w", "")).cast("long").alias("visible"))
-    counted = counted.select("lang", "words", _class_counts(F.col("rest"), F.col("visible")).alias("c"))
-    per_lang = counted.groupBy("lang").agg(
-        F.count(F.lit(1)).alias("n"), F.sum("words").alias("words"),
-        *[F.sum(F.col("c")[i]).alias(f"c{i}") for i in range(len(CLASSES) + 2)]).collect()
-    total = sum(r["n"] for r in per_lang)
-    kept = [r for r in per_lang if r["n"] >= total * MIN_LANG]
-    out = {r["lang"]: {"classes": _shares([r[f"c{i}"] or 0 for i in range(len(CLASSES) + 2)]), "common": {}}
-           for r in kept}
-    least = {r["lang"]: max(1.0, r["words"] * MIN_COMMON) for r in kept}
-    counts = (split.filter(F.col("lang").isin(list(out))).select("lang", F.explode("w").alias("w"))
-              .groupBy("lang", "w").agg(F.count(F.lit(1)).alias("n")))
-    enough = F.lit(False)
-    for name, n in least.items():
-        enough = enough | ((F.col("lang") == name) & (F.col("n") >= n))
-    for r in counts.filter(enough).collect():
-        out[r["lang"]]["common"][r["w"]] = r["n"] / next(x["words"] for x in kept if x["lang"] == r["lang"])
-    return out
-
-
-def _shares(counts: list[int]) -> list[float]:
-    total = float(sum(counts))
-    return [c / total for c in counts] if total else [0.0 for _ in counts]
-
-
-def _reference_column(refs: dict[str, dict]) -> Column:
-    """The references as one literal: array of (lang, classes, words, shares);
-    the last share is that of all other words."""
-    entries = []
-    for lang, ref in sorted(refs.items()):
-        listed = sorted(ref["common"])
-        shares = [float(ref["common"][w]) for w in listed]
-        entries.append(F.struct(
-            F.lit(lang).alias("lang"), F.array(*[F.lit(float(x)) for x in ref["classes"]]).alias("classes"),
-            F.array(*[F.lit(w) for w in listed]).cast("array<string>").alias("words"),
-            F.array(*[F.lit(x) for x in [*shares, max(0.0, 1.0 - sum(shares))]]).alias("shares")))
-    empty = F.array().cast("array<struct<lang:string,classes:array<double>,words:array<string>,shares:array<double>>>")
-    return F.array(*entries) if entries else empty
+    counted = counted.select("lang", "words", "visible", _class_counts(F.col("rest"), F.col("visible")).alias("c"))
+    sums = [F.sum(F.col("c")[i]) for i in range(len(CLASSES) + 2)]
+    per_lang = (counted.groupBy("lang").agg(F.sum("words").alias("words"), F.sum("visible").alias("visible"), F.array(*sums).alias("c"))
+                .filter((F.col("visible") >= REFERENCE_CHARS) | (F.col("words") >= REFERENCE_WORDS)))
+    per_lang = materialize(per_lang, "divergence-languages")
+    counts = (split.select("lang", F.explode("w").alias("w")).groupBy("lang", "w").agg(F.count(F.lit(1)).alias("n")))
+    common = (counts.join(per_lang.filter(F.col("words") >= REFERENCE_WORDS).select("lang", "words"), "lang")
+              .filter(F.col("n") >= F.col("words") * MIN_COMMON)
+              .groupBy("lang").agg(F.array_sort(F.collect_list(F.struct("w", (F.col("n") / F.col("words")).alias("p")))).alias("common")))
+    none = F.array().cast("array<struct<w:string,p:double>>")
+    listed = per_lang.join(common, "lang", "left").withColumn("common", F.coalesce("common", none))
+    shares = F.transform("common", lambda x: x["p"])
+    others = F.greatest(F.lit(0.0), 1.0 - F.aggregate(shares, F.lit(0.0), lambda a, x: a + x))
+    return materialize(listed.select("lang", F.struct(
+        F.when(F.col("visible") >= REFERENCE_CHARS, F.transform("c", lambda x: x / F.col("visible"))).alias("classes"),
+        F.transform("common", lambda x: x["w"]).alias("words"),
+        F.when(F.col("words") >= REFERENCE_WORDS, F.concat(shares, F.array(others))).alias("shares")).alias("ref")),
+        "divergence-references")
 
 
 def _distance(counts: Column, total: Column, ref: Column) -> Column:
-    """Jensen-Shannon distance in [0, 1] of counts over total from shares."""
+    """Jensen-Shannon distance in [0, 1] of counts over total from shares; null
+    where there are no shares."""
     def part(c, q):
         p = c / total
         m = (p + q) / 2
         mine = F.when(p > 0, p * F.log2(p / m)).otherwise(0.0)
         theirs = F.when(q > 0, q * F.log2(q / m)).otherwise(0.0)
         return (mine + theirs) / 2
-    return F.sqrt(F.greatest(F.aggregate(F.zip_with(counts, ref, part), F.lit(0.0), lambda a, x: a + x), F.lit(0.0)))
+    return F.when(ref.isNotNull(), F.sqrt(F.greatest(
+        F.aggregate(F.zip_with(counts, ref, part), F.lit(0.0), lambda a, x: a + x), F.lit(0.0))))
 
 
 def quality_rules(docs: DataFrame, max_class: float = MAX_CLASS, max_common: float = MAX_COMMON) -> DataFrame:
     """doc_id, base counts, base_failed, the two distances and ``kept``."""
     refs = references(docs)
-    every = sorted({w for r in refs.values() for w in r["common"]})
-    df = (base_counts(docs, ("lang",))
+    every = refs.agg(F.collect_list("ref")).scalar()
+    none = F.array().cast(f"array<{refs.schema['ref'].dataType.simpleString()}>")
+    df = (base_counts(docs.join(refs, "lang", "left"), ("lang", "ref"))
           .withColumn("classes", _class_counts(F.col("rest"), F.col("word_chars")))
-          .withColumn("common", F.filter(F.transform("w", F.lower), lambda x: x.isin(every)) if every
-                      else F.array().cast("array<string>"))
-          .withColumn("refs", _reference_column(refs))
-          .withColumn("own", F.filter("refs", lambda r: r["lang"] == F.col("lang")))
-          .withColumn("own", F.when(F.size("own") > 0, F.col("own")).otherwise(F.col("refs"))))
+          .withColumn("own", F.when(F.col("lang").isNull(), every).when(F.col("ref").isNotNull(), F.array("ref")).otherwise(none))
+          .withColumn("own_words", F.array_distinct(F.flatten(F.transform("own", lambda r: r["words"]))))
+          .withColumn("common", F.filter(F.transform("w", F.lower), lambda x: F.array_contains(F.col("own_words"), x))))
     common, n_words, chars = F.col("common"), F.col("n_words"), F.col("word_chars")
 
     def word_counts(r):
