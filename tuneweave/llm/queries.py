@@ -8,7 +8,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import divergence, imatch, langid, mixing, ngram_join, packing, pii, ppm, quality, warc
+from . import (divergence, imatch, langid, mixing, ngram_join, packing, pii, ppm, quality, sentencepieces,
+               warc)
 from .common import remainder, table
 
 
@@ -57,6 +58,10 @@ def op10_divergence_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op13_merge_rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentencepieces.digests(sentencepieces.encode(table(spark, sf_dir, "documents"), decoded=True))
+
+
 #: SHA-1 in upper-case base32: each five hex digits are twenty bits, four letters.
 OP2_SQL = """
 with p as (
@@ -89,4 +94,5 @@ QUERIES = {
     "op8_cube_mixing": (op8_cube_mixing, None),
     "op9_imatch": (op9_imatch, None),
     "op10_divergence_rules": (op10_divergence_rules, None),
+    "op13_merge_rounds": (op13_merge_rounds, None),
 }
