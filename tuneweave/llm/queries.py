@@ -8,8 +8,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import (divergence, imatch, langid, mixing, ngram_join, packing, pii, ppm, quality, sentencepieces,
-               warc)
+from . import (divergence, imatch, langid, mixing, ngram_join, packing, pii, ppm, quality, ranked,
+               sentencepieces, warc)
 from .common import remainder, table
 
 
@@ -58,6 +58,10 @@ def op10_divergence_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op11_nra_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op13_merge_rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepieces.digests(sentencepieces.encode(table(spark, sf_dir, "documents"), decoded=True))
 
@@ -83,6 +87,41 @@ select page_id, payload_bytes::bigint as payload_bytes, payload_digest,
 from f
 """
 
+#: Every score in full, then the ranks.
+OP11_SQL = """
+with dw as (
+  select row_number() over () as rid, doc_id,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                       '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+') as w
+  from documents
+), d as (select rid, doc_id, w, len(w)::bigint as n from dw where len(w) > 0
+), totals as (select count(*)::bigint as n_docs, sum(n)::bigint as n_terms from d
+), q as (
+  select iid, item_id, term, count(*)::bigint as q from (
+    select iid, item_id, unnest(w) as term from (
+      select row_number() over () as iid, item_id,
+        regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                           '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+') as w
+      from benchmark))
+  group by all
+), tf as (
+  select rid, doc_id, n, term, count(*)::bigint as tf from (select rid, doc_id, n, unnest(w) as term from d)
+  where term in (select term from q) group by all
+), w as (
+  select term, floor(1000 * ln((2 * n_docs + 2)::double / (2 * count(*) + 1)::double))::bigint as w
+  from tf, totals group by term, n_docs
+), s as (
+  select iid, item_id, rid, doc_id,
+    sum(q * w * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * n * n_docs) // n_terms))))::bigint as score
+  from tf join w using (term) join q using (term), totals
+  group by all
+), r as (
+  select item_id, row_number() over (partition by iid order by score desc, doc_id nulls last, rid) as rank, doc_id, score
+  from s where score > 0
+)
+select item_id, rank::int as rank, doc_id, score from r where rank <= 20
+"""
+
 QUERIES = {
     "op1_token_group_join": (op1_token_group_join, None),
     "op2_warc_segments": (op2_warc_segments, OP2_SQL),
@@ -94,5 +133,6 @@ QUERIES = {
     "op8_cube_mixing": (op8_cube_mixing, None),
     "op9_imatch": (op9_imatch, None),
     "op10_divergence_rules": (op10_divergence_rules, None),
+    "op11_nra_search": (op11_nra_search, OP11_SQL),
     "op13_merge_rounds": (op13_merge_rounds, None),
 }
