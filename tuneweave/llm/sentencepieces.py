@@ -76,6 +76,17 @@ def message_fields(data: bytes):
 codecs.register_error("byte_by_byte", lambda e: ("�", e.start + 1))
 
 
+class Memo(dict):
+    """Words to their ids; words it does not have are noted in ``new``."""
+
+    def __init__(self):
+        super().__init__()
+        self.new: list[str] = []
+
+    def __missing__(self, word: str) -> None:
+        self.new.append(word)
+
+
 class Pieces:
     """The tables of a model, and the words a worker has encoded so far."""
 
@@ -130,14 +141,14 @@ class Pieces:
         lines = any("\n" in p and len(p) > 1 for p in plain)
         stop = SPACE if lines else SPACE + "\n"
         self.words = None if inner else re.compile(f"{SPACE}+[^{stop}]*|\n|[^{stop}]+")
-        self.known: dict[str, bytes] = {}
+        self.known = Memo()
 
         # decoding
         self.bytes_of = [b"" if sp.is_control(i) else " ⁇ ".encode() if sp.is_unknown(i)
                          else bytes([int(names[i][3:5], 16)]) if sp.is_byte(i)
                          else names[i].replace(SPACE, " ").encode() for i in range(size)]
-        self.controls = {i for i in range(size) if sp.is_control(i)}
-        self.spaced = {i for n, i in plain.items() if n.startswith(SPACE)}
+        self.control = np.array([sp.is_control(i) for i in range(size)])
+        self.spaced = np.array([n in plain and n.startswith(SPACE) for n in names])
 
     @classmethod
     def of(cls, path: str) -> "Pieces":
@@ -152,8 +163,25 @@ class Pieces:
         at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
         return np.where(self.keys[at] == key, self.ranks[at], NONE), at
 
-    def merge(self, words: list[str]) -> list[np.ndarray]:
-        """Ids of each word, by merge rounds over one flat array."""
+    def _before_a_better_pair(self, c, sym, seg, best, where):
+        """The occurrences ``c`` that can merge in one round: in each segment those up
+        to the first whose merge makes a pair that comes before the others."""
+        more = np.append(seg[c][1:] == seg[c][:-1], False)
+        if not more.any():
+            return c
+        new = self.merged[where[c]]
+        beside = np.append(False, np.diff(c) == 2)  # the left neighbour is merged already
+        before, after = np.maximum(c - 1, 0), np.minimum(c + 2, len(sym) - 1)
+        left = np.where(beside, np.append(0, new[:-1]), sym[before])
+        made_left, _ = self._lookup(left, new, more & (c > 0) & (seg[before] == seg[c]))
+        made_right, _ = self._lookup(new, sym[after], more & (c + 2 < len(sym)) & (seg[after] == seg[c]))
+        better = (np.minimum(made_left, made_right) <= best[c]).astype(np.int64)
+        total = np.cumsum(better) - better
+        opening = np.append(True, seg[c][1:] != seg[c][:-1])
+        return c[total == np.maximum.accumulate(np.where(opening, total, 0))]
+
+    def merge(self, words: list[str]) -> list[bytes]:
+        """32-bit ids of each word, by merge rounds over one flat array."""
         code = np.frombuffer("".join(words).encode("utf-32-le"), "<u4").astype(np.int64)
         starts = np.zeros(len(code) + 1, bool)
         ends = np.cumsum([len(w) for w in words])
@@ -166,13 +194,10 @@ class Pieces:
         starts[1:-1] |= self.bigrams[near] != two
         sym, seg, place = first, np.cumsum(starts[:-1]) - 1, np.arange(len(code))
         done_sym, done_place = [], []
+        rank, where = self._lookup(sym, np.append(sym[1:], -1), np.append(seg[1:] == seg[:-1], False))
         while len(sym):
-            joined = seg[1:] == seg[:-1]
-            rank, where = self._lookup(sym[:-1], sym[1:], joined)
-            rank, where = np.append(rank, NONE), np.append(where, 0)
-            head = np.flatnonzero(np.append(True, ~joined))
-            sizes = np.diff(np.append(head, len(sym)))
-            best = np.repeat(np.minimum.reduceat(rank, head), sizes)
+            head = np.flatnonzero(np.append(True, seg[1:] != seg[:-1]))
+            best = np.repeat(np.minimum.reduceat(rank, head), np.diff(np.append(head, len(sym))))
             finished = best == NONE
             if finished.any():
                 done_sym.append(sym[finished])
@@ -186,26 +211,16 @@ class Pieces:
             run = np.append(True, np.diff(c) != 1)
             order = np.arange(len(c))
             c = c[(order - np.maximum.accumulate(np.where(run, order, 0))) % 2 == 0]
-            new = self.merged[where[c]]
-            # pairs that each merge makes with its neighbours, the left one merged already
-            beside = np.append(False, np.diff(c) == 2)
-            before = np.maximum(c - 1, 0)
-            left = np.where(beside, np.append(0, new[:-1]), sym[before])
-            after = np.minimum(c + 2, len(sym) - 1)
-            made_left, _ = self._lookup(left, new, (c > 0) & (seg[before] == seg[c]))
-            made_right, _ = self._lookup(new, sym[after], (c + 2 < len(sym)) & (seg[after] == seg[c]))
-            better = (np.minimum(made_left, made_right) <= best[c]).astype(np.int64)
-            if better.any():
-                # in each segment, those after the first with a better pair wait
-                total = np.cumsum(better) - better
-                opening = np.append(True, seg[c][1:] != seg[c][:-1])
-                base = np.maximum.accumulate(np.where(opening, total, 0))
-                go = total == base
-                c, new = c[go], new[go]
-            sym[c] = new
+            c = self._before_a_better_pair(c, sym, seg, best, where)
+            sym[c] = self.merged[where[c]]
             stay = np.ones(len(sym), bool)
             stay[c + 1] = False
-            sym, seg, place = sym[stay], seg[stay], place[stay]
+            at = c - np.arange(len(c))  # where the merged symbols come to lie
+            sym, seg, place, rank, where = sym[stay], seg[stay], place[stay], rank[stay], where[stay]
+            changed = np.concatenate([at, at[at > 0] - 1])
+            after = np.minimum(changed + 1, len(sym) - 1)
+            joined = (seg[after] == seg[changed]) & (after > changed)
+            rank[changed], where[changed] = self._lookup(sym[changed], sym[after], joined)
         place = np.concatenate(done_place) if done_place else np.zeros(0, np.int64)
         sym = np.concatenate(done_sym) if done_sym else place
         order = np.argsort(place, kind="stable")
@@ -223,49 +238,58 @@ class Pieces:
                 for j, b in enumerate(s):
                     wide[to[unknown[which == k]] + j] = b
             ids, place = wide, np.repeat(place, count)
-        return np.split(ids, np.searchsorted(place, ends[:-1]))
+        data = ids.tobytes()
+        cuts = [0, *(4 * np.searchsorted(place, ends)).tolist()]
+        return [data[a:b] for a, b in zip(cuts, cuts[1:])]
 
     # ------------------------------------------------------------ texts
-    def _learn(self, new: list[str]) -> dict[str, bytes]:
-        found, at = {}, 0
+    def _learn(self, new: list[str]) -> None:
+        at = 0
         while at < len(new):
             some, letters = [], 0
             while at < len(new) and (not some or letters + len(new[at]) <= SLICE):
                 some.append(new[at])
                 letters += len(new[at])
                 at += 1
-            found.update(zip(some, (ids.tobytes() for ids in self.merge(some))))
-        return found
+            self.known.update(zip(some, self.merge(some)))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """32-bit ids of whole texts, without the end id."""
+        lead = SPACE if self.prefix else ""
         split = []
         for t in texts:
-            if t:
-                t = (SPACE if self.prefix else "") + t.replace(" ", SPACE)
-            split.append([t] if t and self.words is None else self.words.findall(t) if t else [])
+            t = lead + t.replace(" ", SPACE) if t else ""
+            split.append(self.words.findall(t) if self.words else [t] if t else [])
         known = self.known
         if len(known) > WORDS:
             known.clear()
-        new = self._learn([w for w in set().union(*split) if w not in known])
-        known.update((w, ids) for w, ids in new.items() if len(w) <= WORD_LENGTH)
-        here = known if len(new) == 0 else {**new, **{w: known[w] for ws in split for w in ws if w in known}}
-        return [b"".join(map(here.__getitem__, ws)) for ws in split]
-
-    def decode(self, ids: list[int]) -> str:
-        text = "".join(b"".join(map(self.bytes_of.__getitem__, run)).decode("utf-8", "byte_by_byte")
-                       for run in self._runs(ids))
+        found, open_ = [], []
+        for i, ws in enumerate(split):
+            before = len(known.new)
+            found.append(list(map(known.__getitem__, ws)))
+            if len(known.new) > before:
+                open_.append(i)
+        self._learn(list(set(known.new)))
+        for i in open_:
+            found[i] = list(map(known.__getitem__, split[i]))
+        for w in known.new:
+            if len(w) > WORD_LENGTH:
+                known.pop(w, None)
+        known.new.clear()
+        return list(map(b"".join, found))
+
+    def decode(self, ids) -> str:
+        ids = np.asarray(ids, np.int32)
+        cuts = np.flatnonzero(self.control[ids])  # no letter is spelt in bytes across a control id
+        table = self.bytes_of.__getitem__
+        text = "".join(b"".join(map(table, run.tolist())).decode("utf-8", "byte_by_byte")
+                       for run in (np.split(ids, cuts) if len(cuts) else [ids]) if len(run))
         if self.prefix:  # the space that encoding puts before a text
-            lead = next((i for i in ids if i not in self.controls), None)
-            if lead in self.spaced:
+            visible = np.flatnonzero(~self.control[ids[:len(cuts) + 1]])
+            if len(visible) and self.spaced[ids[visible[0]]]:
                 text = text[1:]
         return text
 
-    def _runs(self, ids: list[int]) -> list[list[int]]:
-        """Ids between control ids; no letter is spelt in bytes across one."""
-        at = [i for i, x in enumerate(ids) if x in self.controls] if not self.controls.isdisjoint(ids) else []
-        return [ids[a:b] for a, b in zip([0, *(i + 1 for i in at)], [*at, len(ids)])]
-
 
 def _slices(lengths: list[int]):
     """(start, end) of runs of rows of about OUT_LETTERS letters."""
@@ -291,7 +315,7 @@ def _encoded(batches, path: str, decoded: bool):
             out = [docs.slice(a, b - a), pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))]
             names = ["doc_id", "ids"]
             if decoded:
-                out.append(pa.array([pieces.decode(np.frombuffer(d, np.int32).tolist()) for d in flat], pa.string()))
+                out.append(pa.array([pieces.decode(np.frombuffer(d, np.int32)) for d in flat], pa.string()))
                 names.append("decoded")
             yield pa.RecordBatch.from_arrays(out, names=names)
 
