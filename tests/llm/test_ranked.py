@@ -62,10 +62,9 @@ def test_search_equals_exhaustive_scoring(spark, rows):
 
 def test_depth_of_rounds_does_not_change_results(spark, rows, monkeypatch):
     docs, items = rows[0][:120], rows[1][:5]
-    monkeypatch.setattr(ranked, "OPEN", 0.9)
-    monkeypatch.setattr(ranked, "CLOSED", 0.8)
+    monkeypatch.setattr(ranked, "SHARES", (0.001, 0.9))
     assert run(spark, docs, items) == brute(docs, items)
-    monkeypatch.setattr(ranked, "OPEN", 0.0)  # all lists in one round
+    monkeypatch.setattr(ranked, "SHARES", ())  # all lists in one round
     assert run(spark, docs, items) == brute(docs, items)
 
 
@@ -81,7 +80,7 @@ def test_bounds_hold_in_every_round(spark, rows, monkeypatch):
 
     def watched(index, plan, state, *rest):
         out = ranked.materialize(read(index, plan, state, *rest), "watched")
-        ids = index.items.join(plan.select("iid", "rest", "theta"), "iid")
+        ids = index.items.join(plan.select("iid", "rest"), "iid")
         seen.append([tuple(r) for r in out.join(index.docs, "rid").join(ids, "iid")
                      .select("item_id", "doc_id", "lower", "rest").collect()])
         return out

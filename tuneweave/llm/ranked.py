@@ -1,22 +1,26 @@
 """Ranked lexical search by sequential impact-sorted reads (NRA).
 
 A posting's impact is its term's weight times its share of the document's score. The
-postings of the query terms are stored in the order of their impact, in levels of a
-quarter of an octave. The items (queries) read on from level to level, all at once:
-after a round an item knows of each document it met
+postings of the query terms are stored by falling impact, in levels of a quarter of an
+octave, and all items (queries) read on from level to level together. After a round an
+item knows of each document it met
 
 * a lower bound, the sum of the impacts read so far;
 * an upper bound, the lower one and the greatest impact still unread in each of the
   item's lists. That rest is kept for every item and level.
 
-A document stays only while its upper bound reaches the item's threshold, the k-th
-greatest lower bound. Once the rest is below the threshold no document that was not met
-can come in, and the reads go on over the documents that are left. An item is through
-when its rest is zero: then all bounds are exact scores, ties included.
+A document stays only while its upper bound reaches the item's threshold, the greatest
+k-th lower bound so far. Once the rest is below the threshold no document that was not met
+can come in, and the item reads on over the documents that are left. At the end all rests
+are zero, and the bounds are the exact scores, ties included.
 
-Nothing is collected but the totals of the corpus, one row of progress a round, and a bit
-map of the hashes of query terms of fixed size (``BITS``), which only spares postings
-that the join on the terms would drop. How deep a round reads steers cost, not results.
+Each posting travels once, to the partition of its document, where the reads of all items
+are summed and pruned: the bounds that are dropped are never written or shuffled. Bounds
+come back in the next round as the postings of a list of the item's own.
+
+Collected are only the totals of the corpus, the reads of each level, and a bit map of
+the hashes of query terms of fixed size (``BITS``), which only spares postings that the
+join on the terms would drop. Where rounds end steers cost, not results.
 
 Defined results: a null text has no terms; rows of documents or items with equal or null
 ids stand for themselves; null doc_ids come last among equal scores; an item without a
@@ -44,9 +48,8 @@ CUT = bytes(b + 32 if 65 <= b <= 90 else b if b in LETTERS or b > 127 else 32 fo
 #: Levels of a quarter octave below 2 ** 36; END lies behind the last one.
 OCTAVES, STEPS = 36, 4
 END = OCTAVES * STEPS + 1
-#: Share of its rest that an item's next round leaves, while documents may still come in
-#: and afterwards; below the last share of the threshold it reads to the end.
-OPEN, CLOSED, LAST = 0.6, 0.35, 0.1
+#: Rounds end where these shares of all reads are done.
+SHARES = (1 / 128, 1 / 32, 1 / 16, 1 / 8, 3 / 16, 1 / 4, 3 / 8, 1 / 2, 3 / 4)
 #: Documents of an output batch.
 BATCH = 256
 
@@ -108,8 +111,10 @@ def _level(impact: Column) -> Column:
 class Index:
     """Impact-sorted postings of the terms of ``items`` in ``docs``.
 
-    ``docs`` (rid, doc_id, ...), ``lists`` (iid, tid, q) and ``postings`` (level, tid,
-    rid, impact) are written tables; rid and iid number rows."""
+    Written tables: ``docs`` (rid, doc_id, ...), ``lists`` (iid, tid, w, the term's weight
+    times its occurrences in the item), ``postings`` (level, tid, rid, f, the share that
+    w is multiplied by) and ``heads`` (tid, level, n, f, the greatest of the level); rid
+    and iid number rows."""
 
     def __init__(self, docs: DataFrame, items: DataFrame):
         wanted = materialize(item_terms(items), "rank-items")
@@ -123,54 +128,57 @@ class Index:
             "term", weight.alias("w"), F.monotonically_increasing_id().alias("tid")).filter("w > 0")
         known = materialize(known, "rank-terms")
         self.items = wanted.select("iid", "item_id").distinct()
-        self.lists = materialize(wanted.join(known, "term").select("iid", "tid", "q"), "rank-lists")
+        self.lists = materialize(wanted.join(known, "term").select("iid", "tid", (F.col("q") * F.col("w")).alias("w")),
+                                 "rank-lists")
         m = F.expr(f"75L + (25L * n * {n_docs}L) div {n_terms}L")
         flat = self.docs.select("rid", m.alias("m"), F.explode(F.arrays_zip("terms", "tfs")).alias("t")).select(
             "rid", "m", F.col("t.terms").alias("term"), F.col("t.tfs").alias("tf"))
-        impact = F.expr("w * ((1000000000L * tf) div (1000L * tf + 12L * m))")
-        flat = flat.join(known, "term").select("tid", "rid", impact.alias("impact")).filter("impact > 0")
-        flat = flat.select(_level(F.col("impact")).alias("level"), "tid", "rid", "impact")
-        # level and row: no range holds more rows than another, whatever the terms
-        self.postings = materialize(flat.repartitionByRange("level", "rid").sortWithinPartitions("level", "rid"),
-                                    "rank-postings")
+        share = F.expr("(1000000000L * tf) div (1000L * tf + 12L * m)").cast("int")
+        flat = flat.join(known, "term").select("tid", "rid", "w", share.alias("f")).filter("f > 0")
+        flat = flat.select(_level(F.col("w") * F.col("f")).alias("level"), "tid", "rid", "f")
+        # every part is sorted: a round reads a band of levels of each
+        self.postings = materialize(flat.sortWithinPartitions("level", "rid"), "rank-postings")
+        self.heads = materialize(self.postings.groupBy("tid", "level").agg(
+            F.count(F.lit(1)).alias("n"), F.max("f").alias("f")), "rank-heads")
 
     def rests(self) -> DataFrame:
         """iid, level and ``rest``: the sum over the item's lists of the greatest
         impact from that level on; no row where nothing is left."""
-        tops = self.postings.groupBy("tid", "level").agg(F.max("impact").alias("top"))
         before = F.coalesce(F.lag("level").over(Window.partitionBy("tid").orderBy("level")), F.lit(-1))
-        tops = tops.withColumn("before", before).select(
-            "tid", "top", F.explode(F.sequence(F.col("before") + 1, F.col("level"))).alias("level"))
-        return tops.join(self.lists, "tid").groupBy("iid", "level").agg(F.sum(F.col("q") * F.col("top")).alias("rest"))
-
-
-def _next_fronts(plan: DataFrame, rests: DataFrame) -> DataFrame:
-    """iid, theta, whole, lo, hi and rest (behind hi) of the next round, from plan (iid,
-    theta, whole, hi, rest). ``whole`` is the rest before the first read."""
-    rest, theta = F.col("rest").cast("double"), F.col("theta").cast("double")
-    through = rest <= F.when(theta > rest, theta * LAST).otherwise(F.col("whole") * LAST / 2)
-    aim = F.when(through, F.lit(-1.0)).when(theta > rest, rest * CLOSED).otherwise(rest * OPEN)
-    asked = plan.select("iid", "theta", "whole", F.col("hi").alias("lo"), aim.alias("aim"))
-    ahead = rests.select("iid", "level", F.col("rest").alias("r"))
-    ahead = ahead.join(asked.select("iid", "lo", "aim"), "iid").filter((F.col("level") > F.col("lo")) & (F.col("r") <= F.col("aim")))
-    ahead = ahead.groupBy("iid").agg(F.min(F.struct("level", "r")).alias("to"))
-    return asked.join(ahead, "iid", "left").select(
-        "iid", "theta", "whole", "lo", F.coalesce("to.level", F.lit(END)).alias("hi"),
-        F.coalesce("to.r", F.lit(0)).cast("long").alias("rest"))
+        tops = self.heads.withColumn("before", before).select(
+            "tid", "f", F.explode(F.sequence(F.col("before") + 1, F.col("level"))).alias("level"))
+        return tops.join(self.lists, "tid").groupBy("iid", "level").agg(F.sum(F.col("w") * F.col("f")).alias("rest"))
+
+    def fronts(self) -> list[int]:
+        """Levels where the rounds end, by the shares of all reads."""
+        reads = (self.heads.join(self.lists.groupBy("tid").agg(F.count(F.lit(1)).alias("items")), "tid")
+                 .groupBy("level").agg(F.sum(F.col("n") * F.col("items")).alias("reads")))
+        rows = sorted(map(tuple, reads.collect()))  # at most END rows
+        total, done, out = sum(n for _, n in rows), 0, set()
+        for level, n in rows:
+            if any(done < total * share <= done + n for share in SHARES):
+                out.add(level + 1)
+            done += n
+        return [*sorted(out - {END}), END] if rows else []
 
 
 def _read(index: Index, plan: DataFrame, state: DataFrame | None, first: int, last: int, closed: bool) -> DataFrame:
-    """(iid, rid, lower) after the reads of a round, without the documents whose
-    upper bound is below the threshold."""
-    band = index.postings.filter((F.col("level") >= first) & (F.col("level") < last))
-    if closed:  # no item takes new documents
-        band = band.join(state.select("rid").distinct(), "rid", "left_semi")
-    lists = index.lists.join(plan.filter("lo < hi").select("iid", "lo", "hi"), "iid")
-    met = band.repartition("rid").join(lists, "tid").filter((F.col("level") >= F.col("lo")) & (F.col("level") < F.col("hi")))
-    met = met.select("iid", "rid", (F.col("q") * F.col("impact")).alias("lower"))
+    """(iid, rid, lower) after the reads of levels ``first`` to ``last`` - 1, without the
+    documents whose upper bound is below the threshold. Plan has iid, theta, rest (from
+    ``last`` on) and ``open``: whether the item takes documents it has not met."""
+    band = index.postings.filter((F.col("level") >= first) & (F.col("level") < last)).select("tid", "rid", F.col("f").cast("long").alias("f"))
+    lists = index.lists.join(plan.select("iid", "open"), "iid")
     if state is not None:
-        met = met.unionByName(state.repartition("rid"))
-    sums = met.groupBy("rid", "iid").agg(F.sum("lower").alias("lower"))
+        own = -1 - F.col("iid")
+        lists = lists.unionByName(plan.select("iid", own.alias("tid"), F.lit(1).cast("long").alias("w"), F.lit(True).alias("open")))
+        band = band.unionByName(state.select(own.alias("tid"), "rid", F.col("lower").alias("f")))
+    if closed:  # some items read on over the documents they have met only
+        met = state.select("rid").distinct().withColumn("met", F.lit(True))
+        band = band.join(met, "rid", "left").withColumn("met", F.coalesce("met", F.lit(False)))
+    else:
+        band = band.repartition("rid").withColumn("met", F.lit(False))
+    reads = band.join(lists.withColumnRenamed("tid", "list"), (F.col("tid") == F.col("list")) & (F.col("open") | F.col("met")))
+    sums = reads.groupBy("rid", "iid").agg(F.sum(F.col("w") * F.col("f")).alias("lower"))
     return (sums.join(plan.select("iid", "theta", "rest"), "iid")
             .filter(F.col("lower") + F.col("rest") >= F.col("theta")).select("iid", "rid", "lower"))
 
@@ -179,21 +187,21 @@ def search(docs: DataFrame, items: DataFrame, top: int = TOP) -> DataFrame:
     """item_id, rank, doc_id and score of each item's ``top`` documents."""
     index = Index(docs, items)
     rests = materialize(index.rests(), "rank-rests")
-    plan = rests.groupBy("iid").agg(F.max("rest").alias("whole")).select(
-        "iid", F.lit(0).cast("long").alias("theta"), "whole", F.lit(0).alias("hi"), F.col("whole").alias("rest"))
-    state, closed = None, False
-    while True:
-        plan = materialize(_next_fronts(plan, rests), "rank-plan")
-        first, last = plan.filter("lo < hi").agg(F.min("lo"), F.max("hi")).first()
-        if first is None:
-            break
+    # an item takes new documents while those could reach its threshold
+    plan = rests.select("iid").distinct().select("iid", F.lit(0).cast("long").alias("theta"), F.lit(True).alias("open"))
+    state, closed, first = None, False, 0
+    for last in index.fronts():
+        left = rests.filter(F.col("level") == last).select("iid", "rest")
+        plan = plan.join(left, "iid", "left").withColumn("rest", F.coalesce("rest", F.lit(0)))
         state = materialize(_read(index, plan, state, first, last, closed), "rank-state")
         best = F.row_number().over(Window.partitionBy("iid").orderBy(F.col("lower").desc()))
         least = (state.select("iid", "lower", best.alias("at")).filter(F.col("at") <= top).groupBy("iid")
                  .agg(F.max("at").alias("met"), F.min("lower").alias("least")).filter(F.col("met") == top))
+        theta = F.greatest("theta", F.coalesce("least", F.lit(0)))
         plan = materialize(plan.join(least, "iid", "left").select(
-            "iid", F.greatest("theta", F.coalesce("least", F.lit(0))).alias("theta"), "whole", "hi", "rest"), "rank-bounds")
-        closed = plan.filter("rest >= theta").isEmpty()
+            "iid", theta.alias("theta"), (F.col("rest") >= theta).alias("open")), "rank-plan")
+        closed = not plan.filter(~F.col("open")).isEmpty()
+        first = last
     if state is None:
         return index.docs.sparkSession.createDataFrame([], "item_id long, rank int, doc_id long, score long")
     # every rest is zero: the bounds are the scores
