@@ -2,15 +2,16 @@
 
 A posting's impact is its term's weight times its share of the document's score. The
 postings of the query terms are stored by falling impact, in levels of a quarter of an
-octave, and all items (queries) read on from level to level together. After a round an
-item knows of each document it met
+octave, and the items (queries) read on from level to level. After a round an item knows
+of each document it met
 
 * a lower bound, the sum of the impacts read so far;
 * an upper bound, the lower one and the greatest impact still unread in each of the
   item's lists. That rest is kept for every item and level.
 
-A document stays only while its upper bound reaches the item's threshold, the greatest
-k-th lower bound so far. Once the rest is below the threshold no document that was not met
+A document stays only while its upper bound reaches the item's threshold, a score that k
+documents are known to reach: those with the greatest lower bounds are read to their end
+ahead of the others. Once the rest is below the threshold no document that was not met
 can come in, and the item reads on over the documents that are left. At the end all rests
 are zero, and the bounds are the exact scores, ties included.
 
@@ -18,9 +19,9 @@ Each posting travels once, to the partition of its document, where the reads of
 are summed and pruned: the bounds that are dropped are never written or shuffled. Bounds
 come back in the next round as the postings of a list of the item's own.
 
-Collected are only the totals of the corpus, the reads of each level, and a bit map of
-the hashes of query terms of fixed size (``BITS``), which only spares postings that the
-join on the terms would drop. Where rounds end steers cost, not results.
+Collected are only the totals of the corpus, two levels a round, and a bit map of the
+hashes of query terms of fixed size (``BITS``), which only spares postings that the join
+on the terms would drop. Where rounds end steers cost, not results.
 
 Defined results: a null text has no terms; rows of documents or items with equal or null
 ids stand for themselves; null doc_ids come last among equal scores; an item without a
@@ -48,8 +49,13 @@ CUT = bytes(b + 32 if 65 <= b <= 90 else b if b in LETTERS or b > 127 else 32 fo
 #: Levels of a quarter octave below 2 ** 36; END lies behind the last one.
 OCTAVES, STEPS = 36, 4
 END = OCTAVES * STEPS + 1
-#: Rounds end where these shares of all reads are done.
-SHARES = (1 / 128, 1 / 32, 1 / 16, 1 / 8, 3 / 16, 1 / 4, 3 / 8, 1 / 2, 3 / 4)
+#: A round leaves this share of an item's rest while it has no threshold, and then this
+#: share of the threshold, so that few documents stay; after that it reads to the end.
+OPEN, CLOSED = 0.75, 0.35
+#: Without a threshold at this share of the rest before the first read, too.
+LAST = 0.05
+#: So many times the asked documents are read ahead for the threshold.
+AHEAD = 8
 #: Documents of an output batch.
 BATCH = 256
 
@@ -149,59 +155,75 @@ class Index:
             "tid", "f", F.explode(F.sequence(F.col("before") + 1, F.col("level"))).alias("level"))
         return tops.join(self.lists, "tid").groupBy("iid", "level").agg(F.sum(F.col("w") * F.col("f")).alias("rest"))
 
-    def fronts(self) -> list[int]:
-        """Levels where the rounds end, by the shares of all reads."""
-        reads = (self.heads.join(self.lists.groupBy("tid").agg(F.count(F.lit(1)).alias("items")), "tid")
-                 .groupBy("level").agg(F.sum(F.col("n") * F.col("items")).alias("reads")))
-        rows = sorted(map(tuple, reads.collect()))  # at most END rows
-        total, done, out = sum(n for _, n in rows), 0, set()
-        for level, n in rows:
-            if any(done < total * share <= done + n for share in SHARES):
-                out.add(level + 1)
-            done += n
-        return [*sorted(out - {END}), END] if rows else []
+
+def _next_fronts(plan: DataFrame, rests: DataFrame) -> DataFrame:
+    """iid, theta, whole, lo, hi, rest (from hi on) and ``open`` (whether the item takes
+    documents it has not met) of the next round, from plan (iid, theta, whole, hi, rest).
+    ``whole`` is the rest before the first read."""
+    rest, theta, whole = F.col("rest"), F.col("theta"), F.col("whole")
+    aim = (F.when(theta > 0, F.when(rest <= theta * CLOSED, -1.0).otherwise(theta * CLOSED))
+           .otherwise(F.when(rest <= whole * LAST, -1.0).otherwise(rest * OPEN)))
+    asked = plan.select("iid", "theta", "whole", F.col("hi").alias("lo"), aim.alias("aim"), (rest >= theta).alias("open"))
+    ahead = (rests.select("iid", "level", F.col("rest").alias("r")).join(asked.select("iid", "lo", "aim"), "iid")
+             .filter((F.col("level") > F.col("lo")) & (F.col("r") <= F.col("aim")))
+             .groupBy("iid").agg(F.min(F.struct("level", "r")).alias("to")))
+    return asked.join(ahead, "iid", "left").select(
+        "iid", "theta", "whole", "lo", "open", F.coalesce("to.level", F.lit(END)).alias("hi"),
+        F.coalesce("to.r", F.lit(0)).cast("long").alias("rest"))
 
 
 def _read(index: Index, plan: DataFrame, state: DataFrame | None, first: int, last: int, closed: bool) -> DataFrame:
-    """(iid, rid, lower) after the reads of levels ``first`` to ``last`` - 1, without the
-    documents whose upper bound is below the threshold. Plan has iid, theta, rest (from
-    ``last`` on) and ``open``: whether the item takes documents it has not met."""
-    band = index.postings.filter((F.col("level") >= first) & (F.col("level") < last)).select("tid", "rid", F.col("f").cast("long").alias("f"))
-    lists = index.lists.join(plan.select("iid", "open"), "iid")
+    """(iid, rid, lower) after the reads of a round, without the documents whose upper
+    bound is below the threshold. The round's reads lie in levels ``first`` to ``last``
+    - 1; ``closed``: some items read on over the documents they have met only."""
+    level = F.col("level")
+    band = index.postings.filter((level >= first) & (level < last)).select("level", "tid", "rid", F.col("f").cast("long").alias("f"))
+    lists = index.lists.join(plan.select("iid", "lo", "hi", "open"), "iid").filter("lo < hi")
     if state is not None:
-        own = -1 - F.col("iid")
-        lists = lists.unionByName(plan.select("iid", own.alias("tid"), F.lit(1).cast("long").alias("w"), F.lit(True).alias("open")))
-        band = band.unionByName(state.select(own.alias("tid"), "rid", F.col("lower").alias("f")))
-    if closed:  # some items read on over the documents they have met only
+        own, one = -1 - F.col("iid"), F.lit(1).cast("long")
+        lists = lists.unionByName(plan.select("iid", own.alias("tid"), one.alias("w"), F.lit(-1).alias("lo"),
+                                              F.lit(0).alias("hi"), F.lit(True).alias("open")))
+        band = band.unionByName(state.select(F.lit(-1).alias("level"), own.alias("tid"), "rid", F.col("lower").alias("f")))
+    if closed:
         met = state.select("rid").distinct().withColumn("met", F.lit(True))
         band = band.join(met, "rid", "left").withColumn("met", F.coalesce("met", F.lit(False)))
     else:
         band = band.repartition("rid").withColumn("met", F.lit(False))
-    reads = band.join(lists.withColumnRenamed("tid", "list"), (F.col("tid") == F.col("list")) & (F.col("open") | F.col("met")))
+    reads = band.join(lists.withColumnRenamed("tid", "list"), (F.col("tid") == F.col("list")) & (level >= F.col("lo"))
+                      & (level < F.col("hi")) & (F.col("open") | F.col("met")))
     sums = reads.groupBy("rid", "iid").agg(F.sum(F.col("w") * F.col("f")).alias("lower"))
     return (sums.join(plan.select("iid", "theta", "rest"), "iid")
             .filter(F.col("lower") + F.col("rest") >= F.col("theta")).select("iid", "rid", "lower"))
 
 
+def _thresholds(index: Index, state: DataFrame, top: int) -> DataFrame:
+    """iid and ``least``, the ``top``-th score of the ``AHEAD`` * ``top`` documents with
+    the greatest lower bounds; items that have met fewer than ``top`` have none."""
+    best = F.row_number().over(Window.partitionBy("iid").orderBy(F.col("lower").desc()))
+    ahead = state.select("iid", "rid", best.alias("at")).filter(F.col("at") <= AHEAD * top).drop("at")
+    scores = (index.postings.join(ahead, "rid").join(index.lists, ["iid", "tid"])
+              .groupBy("iid", "rid").agg(F.sum(F.col("w") * F.col("f")).alias("least")))
+    order = F.row_number().over(Window.partitionBy("iid").orderBy(F.col("least").desc()))
+    return scores.select("iid", "least", order.alias("at")).filter(F.col("at") == top).drop("at")
+
+
 def search(docs: DataFrame, items: DataFrame, top: int = TOP) -> DataFrame:
     """item_id, rank, doc_id and score of each item's ``top`` documents."""
     index = Index(docs, items)
     rests = materialize(index.rests(), "rank-rests")
-    # an item takes new documents while those could reach its threshold
-    plan = rests.select("iid").distinct().select("iid", F.lit(0).cast("long").alias("theta"), F.lit(True).alias("open"))
-    state, closed, first = None, False, 0
-    for last in index.fronts():
-        left = rests.filter(F.col("level") == last).select("iid", "rest")
-        plan = plan.join(left, "iid", "left").withColumn("rest", F.coalesce("rest", F.lit(0)))
-        state = materialize(_read(index, plan, state, first, last, closed), "rank-state")
-        best = F.row_number().over(Window.partitionBy("iid").orderBy(F.col("lower").desc()))
-        least = (state.select("iid", "lower", best.alias("at")).filter(F.col("at") <= top).groupBy("iid")
-                 .agg(F.max("at").alias("met"), F.min("lower").alias("least")).filter(F.col("met") == top))
-        theta = F.greatest("theta", F.coalesce("least", F.lit(0)))
-        plan = materialize(plan.join(least, "iid", "left").select(
-            "iid", theta.alias("theta"), (F.col("rest") >= theta).alias("open")), "rank-plan")
-        closed = not plan.filter(~F.col("open")).isEmpty()
-        first = last
+    plan = rests.groupBy("iid").agg(F.max("rest").alias("whole")).select(
+        "iid", F.lit(0).cast("long").alias("theta"), "whole", F.lit(0).alias("hi"), F.col("whole").alias("rest"))
+    state = None
+    while True:
+        plan = materialize(_next_fronts(plan, rests), "rank-plan")
+        first, last, is_open, ends = plan.filter("lo < hi").agg(F.min("lo"), F.max("hi"), F.min("open"), F.min("hi")).first()
+        if first is None:
+            break
+        state = materialize(_read(index, plan, state, first, last, not is_open), "rank-state")
+        if ends < END:
+            least = _thresholds(index, state, top)
+            theta = F.greatest("theta", F.coalesce("least", F.lit(0)))
+            plan = plan.join(least, "iid", "left").withColumn("theta", theta)
     if state is None:
         return index.docs.sparkSession.createDataFrame([], "item_id long, rank int, doc_id long, score long")
     # every rest is zero: the bounds are the scores
