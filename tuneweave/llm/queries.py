@@ -8,8 +8,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import (divergence, imatch, langid, mixing, ngram_join, packing, pii, ppm, quality, ranked,
-               sentencepieces, warc)
+from . import (conversations, divergence, imatch, langid, mixing, ngram_join, packing, pii, ppm, quality,
+               ranked, sentencepieces, warc)
 from .common import remainder, table
 
 
@@ -62,6 +62,10 @@ def op11_nra_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranked.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.report(table(spark, sf_dir, "conversations"))
+
+
 def op13_merge_rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepieces.digests(sentencepieces.encode(table(spark, sf_dir, "documents"), decoded=True))
 
@@ -134,5 +138,6 @@ QUERIES = {
     "op9_imatch": (op9_imatch, None),
     "op10_divergence_rules": (op10_divergence_rules, None),
     "op11_nra_search": (op11_nra_search, OP11_SQL),
+    "op12_conversation_repair": (op12_conversation_repair, None),
     "op13_merge_rounds": (op13_merge_rounds, None),
 }
