@@ -172,10 +172,10 @@ def _next_fronts(plan: DataFrame, rests: DataFrame) -> DataFrame:
         F.coalesce("to.r", F.lit(0)).cast("long").alias("rest"))
 
 
-def _read(index: Index, plan: DataFrame, state: DataFrame | None, first: int, last: int, closed: bool) -> DataFrame:
+def _read(index: Index, plan: DataFrame, state: DataFrame | None, first: int, last: int) -> DataFrame:
     """(iid, rid, lower) after the reads of a round, without the documents whose upper
     bound is below the threshold. The round's reads lie in levels ``first`` to ``last``
-    - 1; ``closed``: some items read on over the documents they have met only."""
+    - 1. Items that are not open read on over the documents they have met only."""
     level = F.col("level")
     band = index.postings.filter((level >= first) & (level < last)).select("level", "tid", "rid", F.col("f").cast("long").alias("f"))
     lists = index.lists.join(plan.select("iid", "lo", "hi", "open"), "iid").filter("lo < hi")
@@ -184,13 +184,16 @@ def _read(index: Index, plan: DataFrame, state: DataFrame | None, first: int, la
         lists = lists.unionByName(plan.select("iid", own.alias("tid"), one.alias("w"), F.lit(-1).alias("lo"),
                                               F.lit(0).alias("hi"), F.lit(True).alias("open")))
         band = band.unionByName(state.select(F.lit(-1).alias("level"), own.alias("tid"), "rid", F.col("lower").alias("f")))
-    if closed:
+    # written, so that its size is known before the join is planned: with few items it
+    # comes to the postings, and their sums need no other exchange than that by document
+    lists = materialize(lists.withColumnRenamed("tid", "list"), "rank-round")
+    band = band.repartition("rid")
+    takes = F.col("open")
+    if state is not None:
         met = state.select("rid").distinct().withColumn("met", F.lit(True))
-        band = band.join(met, "rid", "left").withColumn("met", F.coalesce("met", F.lit(False)))
-    else:
-        band = band.repartition("rid").withColumn("met", F.lit(False))
-    reads = band.join(lists.withColumnRenamed("tid", "list"), (F.col("tid") == F.col("list")) & (level >= F.col("lo"))
-                      & (level < F.col("hi")) & (F.col("open") | F.col("met")))
+        band = band.join(met, "rid", "left")
+        takes = takes | F.coalesce(F.col("met"), F.lit(False))
+    reads = band.join(lists, (F.col("tid") == F.col("list")) & (level >= F.col("lo")) & (level < F.col("hi")) & takes)
     sums = reads.groupBy("rid", "iid").agg(F.sum(F.col("w") * F.col("f")).alias("lower"))
     return (sums.join(plan.select("iid", "theta", "rest"), "iid")
             .filter(F.col("lower") + F.col("rest") >= F.col("theta")).select("iid", "rid", "lower"))
@@ -216,10 +219,10 @@ def search(docs: DataFrame, items: DataFrame, top: int = TOP) -> DataFrame:
     state = None
     while True:
         plan = materialize(_next_fronts(plan, rests), "rank-plan")
-        first, last, is_open, ends = plan.filter("lo < hi").agg(F.min("lo"), F.max("hi"), F.min("open"), F.min("hi")).first()
+        first, last, ends = plan.filter("lo < hi").agg(F.min("lo"), F.max("hi"), F.min("hi")).first()
         if first is None:
             break
-        state = materialize(_read(index, plan, state, first, last, not is_open), "rank-state")
+        state = materialize(_read(index, plan, state, first, last), "rank-state")
         if ends < END:
             least = _thresholds(index, state, top)
             theta = F.greatest("theta", F.coalesce("least", F.lit(0)))
