@@ -117,6 +117,27 @@ def test_pack_text_blocks_equals_tokenize_then_pack(spark):
     two_step = pack_blocks(tok, 8, 4, indexed=True).collect()
     assert sorted((r.group_id, r.block_id, r.input_ids) for r in fused) == \
         sorted((r.group_id, r.block_id, r.input_ids) for r in two_step)
+    keyed = pack_text_blocks(df, "text", v, 8, 4, key_col="doc_id", index=idx.select("doc_id", "idx"))
+    assert sorted(map(tuple, keyed.collect())) == sorted(map(tuple, fused))
+    # no exchange carries words: arrays leave the cogroup as slices of ids
+    for line in _exchange_outputs(keyed):
+        assert "array<string>" not in line
+
+
+def _exchange_outputs(df):
+    """The row type of everything that goes through an exchange of a plan."""
+    out, todo = [], [df._jdf.queryExecution().executedPlan()]
+    while todo:
+        node = todo.pop()
+        if node.nodeName() == "AdaptiveSparkPlan":
+            todo.append(node.initialPlan())
+            continue
+        if node.nodeName() == "Exchange":
+            out.append(node.schema().simpleString())
+        children = node.children()
+        todo += [children.apply(i) for i in range(children.size())]
+    assert out
+    return out
 
 
 def test_custom_collator_per_batch(spark):

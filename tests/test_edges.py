@@ -15,7 +15,6 @@ def test_empty_inputs(spark):
     v = build_vocabulary(F.col("text"), empty)
     assert v.size == 0
     assert tokenize(empty, "text", v, ["doc_id"], "ids").count() == 0
-    assert tokenize(empty, "text", v, ["doc_id"], "ids", strategy="join").count() == 0
     assert pack_text_blocks(idx, "text", v, 8, 4).count() == 0
     log = spark.createDataFrame([], "k int, t long, x double")
     assert running_sums(log, ["k"], "t", {"s": F.col("x")}).count() == 0
@@ -26,5 +25,4 @@ def test_unknown_words_map_to_unk(spark):
     train = spark.createDataFrame([(1, "a b")], "k int, t string")
     other = spark.createDataFrame([(1, "a zz <|endoftext|>")], "k int, t string")
     v = build_vocabulary(F.col("t"), train)
-    for s in ("map", "join"):
-        assert tokenize(other, "t", v, ["k"], "ids", strategy=s).first().ids == [5, 4, 0]
+    assert tokenize(other, "t", v, ["k"], "ids").first().ids == [5, 4, 0]

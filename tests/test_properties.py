@@ -1,9 +1,7 @@
 from hypothesis import given, settings
 from hypothesis import strategies as st
-from pyspark.sql import functions as F
 
 from tuneweave.operators.order import split_bounds
-from tuneweave.operators.tokens import build_vocabulary, tokenize
 
 
 @given(st.lists(st.integers(min_value=0, max_value=20), min_size=1, max_size=6).filter(lambda w: sum(w) > 0),
@@ -18,21 +16,3 @@ def test_split_bounds_properties(weights, n):
     assert b[0] == 0 and b[-1] == n
     assert all(x <= y for x, y in zip(b, b[1:]))
     assert len(b) == len(weights) + 1
-
-
-def test_tail_vocabulary_join_matches_broadcast_only(spark):
-    texts = [(i, " ".join(f"w{(i * j) % 17}" for j in range(1, 12)) + " rare" + str(i)) for i in range(30)]
-    df = spark.createDataFrame(texts, "k int, t string")
-    wide = build_vocabulary(F.col("t"), df)
-    narrow = build_vocabulary(F.col("t"), df, hot_size=3)
-    assert narrow.hot_size == 3 and narrow.size == wide.size > 3
-    a = {r.k: r.ids for r in tokenize(df, "t", wide, ["k"], "ids").collect()}
-    b = {r.k: r.ids for r in tokenize(df, "t", narrow, ["k"], "ids").collect()}
-    assert a == b
-
-
-def test_broadcast_budget_shrinks_hot_table(spark):
-    df = spark.createDataFrame([(" ".join(f"word{i}" for i in range(200)),)], "t string")
-    v = build_vocabulary(F.col("t"), df, hot_size=200, broadcast_budget_bytes=1000)
-    assert 0 < v.hot_size < 200
-    assert v.hot().agg(F.sum(F.octet_length("word") + 16)).first()[0] <= 1000

@@ -56,10 +56,10 @@ def test_vocabulary_ranks_by_count_then_word(spark, turns):
 def test_sft_tokens_match_plain_python(spark, turns):
     v = build_vocabulary([F.col("text"), F.col("role")], turns)
     want = _py_sft(TURNS, _vocab_dict(v))
-    for strategy in ("join", "map"):
-        got = {r.conv_id: (r.input_ids, r.labels)
-               for r in sft_tokens(turns, v, on_unknown_role="drop_turn", strategy=strategy).collect()}
-        assert got == want
+    rows = sft_tokens(turns, v, on_unknown_role="drop_turn").collect()
+    got = {r.conv_id: (r.input_ids, r.labels) for r in rows}
+    assert got == want
+    assert {r.conv_id: r.n_dropped for r in rows} == {1: 0, 2: 1}
     for ids, labels in got.values():
         assert len(ids) == len(labels)
 
@@ -72,11 +72,7 @@ def test_unknown_role_raises_by_default(spark, turns):
 
 def test_system_form_labels_and_padding(spark, turns):
     v = build_vocabulary([F.col("text"), F.col("role")], turns)
-    out = {r.conv_id: r for r in system_tokens(turns, v, 24, "be nice",
-                                               on_unknown_role="drop_turn", strategy="join").collect()}
-    mapped = {r.conv_id: r for r in system_tokens(turns, v, 24, "be nice",
-                                                  on_unknown_role="drop_turn", strategy="map").collect()}
-    assert out == mapped
+    out = {r.conv_id: r for r in system_tokens(turns, v, 24, "be nice", on_unknown_role="drop_turn").collect()}
     r = out[1]
     assert len(r.input_ids) == 24 and len(r.labels) == 24
     assert r.labels[0] == SPECIAL_IDS["<|im_start|>"]
@@ -90,11 +86,7 @@ def test_system_form_labels_and_padding(spark, turns):
 def test_plugin_tokenizer_equals_vocabulary_job(spark, turns):
     v = build_vocabulary(F.col("text"), turns)
     vocab = _vocab_dict(v)
-    job = {r.turn: r.ids for r in tokenize(turns.filter("conv_id = 1"), "text", v, ["turn"], "ids",
-                                           strategy="join").collect()}
-    mapped = {r.turn: r.ids for r in tokenize(turns.filter("conv_id = 1"), "text", v, ["turn"], "ids",
-                                              strategy="map").collect()}
-    assert job == mapped
+    job = {r.turn: r.ids for r in tokenize(turns.filter("conv_id = 1"), "text", v, ["turn"], "ids").collect()}
     plug = {r.turn: r.ids for r in tokenize_with(turns.filter("conv_id = 1"), "text",
                                                  lambda: WhitespaceTokenizer(vocab), "ids").collect()}
     assert job == plug
@@ -103,9 +95,8 @@ def test_plugin_tokenizer_equals_vocabulary_job(spark, turns):
 def test_null_and_empty_texts(spark):
     df = spark.createDataFrame([(1, None), (2, ""), (3, "a a b")], "k int, t string")
     v = build_vocabulary(F.col("t"), df)
-    for strategy in ("join", "map"):
-        got = {r.k: r.ids for r in tokenize(df, "t", v, ["k"], "ids", strategy=strategy).collect()}
-        assert got[1] is None and got[2] == [] and got[3] == [5, 5, 6]
+    got = {r.k: r.ids for r in tokenize(df, "t", v, ["k"], "ids").collect()}
+    assert got[1] is None and got[2] == [] and got[3] == [5, 5, 6]
 
 
 def test_eot_features_truncate_pad_and_mask(spark):
@@ -169,26 +160,95 @@ def test_hf_tokenizer_file_plugin(spark, tmpdir_path):
     assert out == {1: [1, 2], 2: [2, 0], 3: None}
 
 
-def test_eot_pair_features_both_strategies(spark):
+def test_eot_pair_features_drop_rows_with_a_null(spark):
     from tuneweave.operators.tokens import eot_pair_features
 
     df = spark.createDataFrame([(1, "a b", "b"), (2, "c", None), (3, "a a a a a", "c")],
                                "k int, c string, r string")
-    wide = build_vocabulary([F.col("c"), F.col("r")], df)
-    narrow = build_vocabulary([F.col("c"), F.col("r")], df, hot_size=1)
-    a = {r.k: tuple(r) for r in eot_pair_features(df, {"c_": "c", "r_": "r"}, wide, ["k"], 4).collect()}
-    b = {r.k: tuple(r) for r in eot_pair_features(df, {"c_": "c", "r_": "r"}, narrow, ["k"], 4).collect()}
-    assert sorted(a) == [1, 3]
-    assert [x[1:] for _, x in sorted(a.items())] == [x[1:] for _, x in sorted(b.items())]
+    v = build_vocabulary([F.col("c"), F.col("r")], df)
+    got = {r.k: tuple(r)[1:] for r in eot_pair_features(df, {"c_": "c", "r_": "r"}, v, ["k"], 4).collect()}
+    a, b, c = (_vocab_dict(v)[w] for w in "abc")
+    assert got == {1: ([a, b, 0, 0], [1, 1, 1, 0], [b, 0, 0, 0], [1, 1, 0, 0]),
+                   3: ([a, a, a, a], [1, 1, 1, 1], [c, 0, 0, 0], [1, 1, 0, 0])}
 
 
 def test_sft_tokens_max_tokens_is_a_prefix(spark, turns):
+    from tuneweave.operators.chat import sft_tokens_with
+
     v = build_vocabulary([F.col("text"), F.col("role")], turns)
-    full = {r.conv_id: (r.input_ids, r.labels)
+    vocab = _vocab_dict(v)
+    full = {r.conv_id: (r.input_ids, r.labels, r.n_dropped)
             for r in sft_tokens(turns, v, on_unknown_role="drop_turn").collect()}
-    for strategy in ("map", "join"):
-        for k in (1, 6, 7, 12, 100):
-            got = {r.conv_id: (r.input_ids, r.labels)
-                   for r in sft_tokens(turns, v, on_unknown_role="drop_turn", strategy=strategy,
-                                       max_tokens=k).collect()}
-            assert got == {c: (i[:k], lab[:k]) for c, (i, lab) in full.items()}
+    for k in (1, 6, 7, 12, 100):
+        want = {c: (i[:k], lab[:k], n) for c, (i, lab, n) in full.items()}
+        out = sft_tokens(turns, v, on_unknown_role="drop_turn", max_tokens=k)
+        assert {r.conv_id: (r.input_ids, r.labels, r.n_dropped) for r in out.collect()} == want
+        out = sft_tokens_with(turns, lambda: WhitespaceTokenizer(vocab), SPECIAL_IDS["<|im_end|>"],
+                              on_unknown_role="drop_turn", newline_ids=[SPECIAL_IDS["\n"]], max_tokens=k)
+        assert {r.conv_id: (r.input_ids, r.labels, r.n_dropped) for r in out.collect()} == want
+
+
+def test_own_system_turn_takes_the_place_of_the_message(spark):
+    rows = [(1, 0, "user", "a"), (1, 1, "assistant", "b"), (1, 5, "system", "be brief"), (1, 7, "system", "again"),
+            (2, 0, "user", "a"), (3, 0, "tool", "x"), (3, 1, None, "y"), (4, 0, "system", "long " * 50)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    v = build_vocabulary([F.col("text"), F.col("role")], df)
+    word = {**_vocab_dict(v), **SPECIAL_IDS}
+    out = {r.conv_id: r for r in system_tokens(df, v, 16, "be nice", on_unknown_role="drop_turn").collect()}
+    own = [word[w] for w in ("<|im_start|>", "system", "\n", "be", "brief", "<|im_end|>", "\n")]
+    assert out[1].input_ids[:7] == own and out[1].input_ids[7:11] == [word[w] for w in ("<|im_start|>", "user", "\n", "a")]
+    assert out[1].labels[:7] == [own[0]] + [IGNORE_INDEX] * 4 + own[-2:]
+    assert out[2].input_ids[3:5] == [word["be"], SPECIAL_IDS["<|unk|>"]]
+    assert {c: r.n_dropped for c, r in out.items()} == {1: 1, 2: 0, 3: 2, 4: 0}
+    assert out[4].input_ids == [word["<|im_start|>"], word["system"], word["\n"]] + [word["long"]] * 13
+    with pytest.raises(Exception, match="unsupported chat role"):
+        system_tokens(df.filter("conv_id = 3"), v, 16).collect()
+
+
+def test_dictionary_blocks_of_any_size_give_the_same_ids(spark):
+    """The vocabulary is larger than a block, and a block smaller than a text."""
+    from tuneweave.operators.tokens import block_dictionaries, dictionary_blocks, with_ids
+
+    texts = [" ".join(f"w{(i * 37 + j * j) % 5000}" for j in range(i % 90)) for i in range(400)] + [None, "", "zz <|im_end|>"]
+    texts += [" ".join(f"w{j}" for j in range(6000))]
+    df = spark.createDataFrame(list(enumerate(texts)), "k long, t string").withColumn("u", F.upper("t")).repartition(3)
+    v = build_vocabulary(F.col("t"), df)
+    tok = WhitespaceTokenizer(_vocab_dict(v))
+    for size in (1, 2_000, None):
+        got = {r.k: (r.a, r.b) for r in with_ids(df, {"a": "t", "b": "u"}, v, ["k"], size).collect()}
+        assert got == {i: (tok.encode(t), tok.encode(t and t.upper())) for i, t in enumerate(texts)}
+    # a word is listed once a block, and blocks are many where they are small
+    blocks = dictionary_blocks(df, ["t"], ["k"], 2_000)
+    listed = block_dictionaries(blocks, ["t"], v)
+    assert blocks.select("__block").distinct().count() > 10
+    assert listed.count() == listed.select("__dict", "word").distinct().count()
+
+
+def test_budgeted_plugin_reads_a_bounded_prefix(spark):
+    from tuneweave.operators.tokens import budgeted_ids
+
+    class Watched(WhitespaceTokenizer):
+        read = 0
+
+        def encode_batch(self, texts):
+            Watched.read += sum(len(t) for t in texts)
+            return super().encode_batch(texts)
+
+    vocab = {f"w{i}": 5 + i for i in range(1000)}
+    tok = Watched(vocab)
+    long = " ".join(f"w{i % 1000}" for i in range(2_000_000))
+    wide = " " * 50_000 + "w1" + " " * 90_000 + "w2 w3 w4"
+    texts = [long, wide, None, "", "w1 w2", "x" * 10_000]
+    whole = [None if t is None else tok.encode(t)[:64] for t in texts]
+    Watched.read = 0
+    assert budgeted_ids(tok, texts, 64) == whole
+    assert Watched.read < 600_000 < len(long)
+
+    class Whole:  # makes no promise: sees whole texts
+        def encode_batch(self, texts):
+            return [None if t is None else [len(t)] * 100 for t in texts]
+
+    assert budgeted_ids(Whole(), [long, None], 3) == [[len(long)] * 3, None]
+    df = spark.createDataFrame([(1, "w1 w2 w3"), (2, None)], "k int, t string")
+    got = {r.k: r.ids for r in tokenize_with(df, "t", lambda: WhitespaceTokenizer(vocab), "ids", max_tokens=2).collect()}
+    assert got == {1: [6, 7], 2: None}

@@ -1,34 +1,55 @@
 """Chat turns to ids and labels (T2, T3) and instruction records to
 conversations (A17).
 
-Every turn becomes the word list ``<|im_start|> role-words \\n content-words
-<|im_end|> \\n``; role, newline and content are split separately (never the
-rendered string at once). Word occurrences are exploded with their position and
-a supervised flag, ids are attached by the vocabulary join, and one shuffle by
-conversation collects ``(turn, pos, id, flag)`` structs that are sorted, so the
+Every turn becomes the ids of ``<|im_start|> role-words \\n content-words
+<|im_end|> \\n``; role, newline and content are encoded separately (never the
+rendered string at once), by the vocabulary job or a plug-in. One shuffle by
+conversation collects ``(turn, ids, labels)`` structs that are sorted, so the
 order never depends on ``collect_list``.
+
+Roles besides user and assistant raise, or their turns are left out and counted
+(``n_dropped``); in the system form a conversation's first system turn takes the
+place of the default message.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.arrays import pad_clip, value_mask
 from ..session import materialize
 from ..functions.specials import (DEFAULT_SYSTEM_MESSAGE, IGNORE_INDEX, IM_END, IM_START,
-                                  NEWLINE, PAD_ID, SFT_ROLES)
+                                  NEWLINE, PAD_ID, SFT_ROLES, SPECIAL_IDS)
 from .scans import running_sums, sequence_positions
-from .tokens import Vocabulary, attach_ids, words
-
-
-def _check_roles(turns: DataFrame, role_col: str, on_unknown_role: str) -> DataFrame:
-    """Roles other than user/assistant raise (default) or drop the turn."""
-    ok = F.col(role_col).isin(*SFT_ROLES)
+from .tokens import Vocabulary, first_words, tokenize_with, with_ids, words
+
+SYSTEM_ROLE = "system"
+Encoder = Callable[[DataFrame, dict[str, str]], DataFrame]
+
+
+def _used_turns(turns: DataFrame, conv_col: str, turn_col: str, role_col: str,
+                on_unknown_role: str, form: str) -> DataFrame:
+    """Adds ``__use``, whether the turn has a place in the output. Roles other than
+    user/assistant raise (default) or are left out; in the system form the first system
+    turn of a conversation is used too."""
+    known = F.coalesce(F.col(role_col).isin(*SFT_ROLES), F.lit(False))
+    if form == "system":
+        is_system = F.coalesce(F.col(role_col) == SYSTEM_ROLE, F.lit(False))
+        first = turns.filter(is_system).groupBy(conv_col).agg(F.min(turn_col).alias(turn_col))
+        turns = turns.join(first.withColumn("__own", F.lit(True)), [conv_col, turn_col], "left")
+        own = F.coalesce(F.col("__own"), F.lit(False)) & is_system
+        turns = turns.withColumn("__use", known | own).drop("__own")
+        fine = known | is_system
+    else:
+        turns, fine = turns.withColumn("__use", known), known
     if on_unknown_role == "drop_turn":
-        return turns.filter(ok)
+        return turns
     if on_unknown_role == "error":
-        return turns.withColumn(role_col, F.when(ok, F.col(role_col)).otherwise(
+        return turns.withColumn(role_col, F.when(fine, F.col(role_col)).otherwise(
             F.raise_error(F.concat(F.lit("unsupported chat role: "),
                                    F.coalesce(F.col(role_col), F.lit("null"))))))
     raise ValueError("on_unknown_role must be 'error' or 'drop_turn'")
@@ -52,90 +73,31 @@ def _whitespace_turn_length(role_col: str, text_col: str) -> Column:
             + F.lit(4))
 
 
-def _whitespace_first_words(text: Column, n: Column) -> Column:
-    return F.array_join(F.slice(words(F.coalesce(text, F.lit(""))), 1, n), " ")
-
-
-def chat_token_items(turns: DataFrame, vocab: Vocabulary, form: str = "sft",
-                     conv_col: str = "conv_id", turn_col: str = "turn",
-                     role_col: str = "role", text_col: str = "text",
-                     on_unknown_role: str = "error", max_tokens: int | None = None) -> DataFrame:
-    """Per-conversation sorted ``items: array<struct<turn, pos, id, sup>>``.
-
-    ``form='sft'`` (T2): user turns are unsupervised; assistant turns supervise
-    everything after ``role + newline``. ``form='system'`` (T3): the first token
-    (``<|im_start|>``) and, for user turns, the closing ``<|im_end|> \\n`` are
-    kept; assistant turns mask only the role words and the newline.
-    """
-    turns = _check_roles(turns.select(conv_col, turn_col, role_col, text_col), role_col,
-                         on_unknown_role)
-    # split once per turn, before the explode: expressions next to a generator
-    # are evaluated per generated row
-    split = turns.select(
-        F.col(conv_col), F.col(turn_col), F.col(role_col), words(F.col(role_col)).alias("__rw"),
-        words(F.coalesce(F.col(text_col), F.lit(""))).alias("__tw"))
-    split = split.select(
-        conv_col, turn_col, role_col, F.size("__rw").alias("__nr"), F.size("__tw").alias("__nt"),
-        F.concat(F.array(F.lit(IM_START)), F.col("__rw"), F.array(F.lit(NEWLINE)), F.col("__tw"),
-                 F.array(F.lit(IM_END), F.lit(NEWLINE))).alias("__ws"))
-    if max_tokens:
-        # keep only what can land in the first max_tokens tokens (turn length
-        # = nr + nt + 4, known before any id lookup)
-        lens = split.withColumn("__tl", F.col("__nr") + F.col("__nt") + 4)
-        offs = turn_offsets(lens, "__tl", conv_col, turn_col).filter(F.col("__off") < max_tokens)
-        split = split.join(offs, [conv_col, turn_col]).withColumn(
-            "__ws", F.slice("__ws", 1, (F.lit(max_tokens) - F.col("__off")).cast("int")))
-    pieces = split.select(conv_col, turn_col, role_col, "__nr", "__nt",
-                          F.posexplode("__ws").alias("__pos", "__w"))
-    pos, nr, nt = F.col("__pos"), F.col("__nr"), F.col("__nt")
-    is_asst = F.col(role_col) == "assistant"
-    if form == "sft":
-        sup = is_asst & (pos >= nr + 2)
-    elif form == "system":
-        # turn length = 1 + nr + 1 + nt + 2
-        sup = (pos == 0) | F.when(is_asst, pos >= nr + 2).otherwise(pos >= nr + nt + 2)
-    else:
-        raise ValueError("form must be 'sft' or 'system'")
-    pieces = pieces.select(conv_col, turn_col, "__pos", "__w", sup.alias("__sup"))
-    with_ids = attach_ids(pieces, vocab, "__w", "__id")
-    item = F.struct(F.col(turn_col).alias("turn"), F.col("__pos").alias("pos"),
-                    F.col("__id").alias("id"), F.col("__sup").alias("sup"))
-    return with_ids.groupBy(conv_col).agg(F.sort_array(F.collect_list(item)).alias("items"))
+def _chat_ids(turns: DataFrame, vocab: Vocabulary, form: str, conv_col: str, turn_col: str,
+              role_col: str, text_col: str, on_unknown_role: str, max_tokens: int | None) -> DataFrame:
+    """The chat form with the vocabulary job's ids."""
+    return _assemble(turns, lambda df, texts: with_ids(df, texts, vocab, [conv_col, turn_col]),
+                     SPECIAL_IDS[IM_END], [SPECIAL_IDS[NEWLINE]], form, conv_col, turn_col, role_col, text_col,
+                     on_unknown_role, max_tokens, _whitespace_turn_length(role_col, text_col), first_words)
 
 
 def sft_tokens(turns: DataFrame, vocab: Vocabulary, conv_col: str = "conv_id",
                turn_col: str = "turn", role_col: str = "role", text_col: str = "text",
-               on_unknown_role: str = "error", strategy: str = "auto",
-               max_tokens: int | None = None) -> DataFrame:
-    """``(conv_id, input_ids, labels)``, unpadded, no system turn. With
+               on_unknown_role: str = "error", max_tokens: int | None = None) -> DataFrame:
+    """``(conv_id, input_ids, labels)``, unpadded, no system turn; with
+    ``on_unknown_role='drop_turn'`` also ``n_dropped``, the turns left out. With
     ``max_tokens`` only the first ``max_tokens`` tokens are gathered (turns
-    are clipped by their offset before the per-conversation collect).
-
-    With a vocabulary inside the broadcast budget (``strategy='auto'``) each
-    turn is tokenized map-side and only per-turn arrays are shuffled to their
-    conversation; otherwise word occurrences go through the vocabulary join."""
-    factory = vocab.map_side_factory() if strategy != "join" else None
-    if factory is not None:
-        from ..functions.specials import SPECIAL_IDS
-        return sft_tokens_with(turns, factory, SPECIAL_IDS[IM_END], conv_col=conv_col,
-                               turn_col=turn_col, role_col=role_col, text_col=text_col,
-                               on_unknown_role=on_unknown_role,
-                               newline_ids=[SPECIAL_IDS[NEWLINE]], max_tokens=max_tokens,
-                               turn_length=_whitespace_turn_length(role_col, text_col),
-                               first_words=_whitespace_first_words)
-    items = chat_token_items(turns, vocab, "sft", conv_col, turn_col, role_col, text_col,
-                             on_unknown_role, max_tokens)
-    return items.select(
-        conv_col,
-        F.transform("items", lambda x: x["id"]).alias("input_ids"),
-        F.transform("items", lambda x: F.when(x["sup"], x["id"]).otherwise(
-            F.lit(IGNORE_INDEX))).alias("labels"))
+    are clipped by their offset before they are tokenized)."""
+    out = _chat_ids(turns, vocab, "sft", conv_col, turn_col, role_col, text_col, on_unknown_role, max_tokens)
+    return _counted(out, on_unknown_role, conv_col, "input_ids", "labels")
+
+
+def _counted(df: DataFrame, on_unknown_role: str, *cols: str) -> DataFrame:
+    return df.select(*cols, *(["n_dropped"] if on_unknown_role == "drop_turn" else []))
 
 
 def system_turn(vocab: Vocabulary, system_message: str) -> tuple[list[int], list[int]]:
     """Ids and labels of the system turn (a literal, tokenized once)."""
-    from ..functions.specials import SPECIAL_IDS
-
     ids = ([SPECIAL_IDS[IM_START]] + vocab.ids_for("system") + [SPECIAL_IDS[NEWLINE]]
            + vocab.ids_for(system_message) + [SPECIAL_IDS[IM_END], SPECIAL_IDS[NEWLINE]])
     labels = [ids[0]] + [IGNORE_INDEX] * (len(ids) - 3) + ids[-2:]
@@ -145,34 +107,22 @@ def system_turn(vocab: Vocabulary, system_message: str) -> tuple[list[int], list
 def system_tokens(turns: DataFrame, vocab: Vocabulary, max_len: int,
                   system_message: str = DEFAULT_SYSTEM_MESSAGE, pad_id: int = PAD_ID,
                   conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role",
-                  text_col: str = "text", on_unknown_role: str = "error",
-                  strategy: str = "auto") -> DataFrame:
+                  text_col: str = "text", on_unknown_role: str = "error") -> DataFrame:
     """System turn first, marker tokens kept in labels, right-padded and
-    clipped to ``max_len``; mask by value (X2)."""
+    clipped to ``max_len``; mask by value (X2). The system turn is the conversation's
+    first one, or ``system_message`` where it has none; with
+    ``on_unknown_role='drop_turn'`` the turns left out are counted in ``n_dropped``."""
     sys_ids, sys_labels = system_turn(vocab, system_message)
     # only the first max_len tokens survive the clip: gather no more than that
-    budget = max_len - len(sys_ids) if max_len > len(sys_ids) else None
-    factory = vocab.map_side_factory() if strategy != "join" else None
-    if factory is not None:
-        from ..functions.specials import SPECIAL_IDS
-        conv = sft_tokens_with(turns, factory, SPECIAL_IDS[IM_END], conv_col=conv_col,
-                               turn_col=turn_col, role_col=role_col, text_col=text_col,
-                               on_unknown_role=on_unknown_role,
-                               newline_ids=[SPECIAL_IDS[NEWLINE]], form="system",
-                               max_tokens=budget,
-                               turn_length=_whitespace_turn_length(role_col, text_col),
-                               first_words=_whitespace_first_words)
-        tid, tlab = F.col("input_ids"), F.col("labels")
-    else:
-        conv = chat_token_items(turns, vocab, "system", conv_col, turn_col, role_col, text_col,
-                                on_unknown_role, budget)
-        tid = F.transform("items", lambda x: x["id"])
-        tlab = F.transform("items", lambda x: F.when(x["sup"], x["id"]).otherwise(
-            F.lit(IGNORE_INDEX)))
-    ids = F.concat(F.array(*[F.lit(i) for i in sys_ids]), tid)
-    labels = F.concat(F.array(*[F.lit(i) for i in sys_labels]), tlab)
-    out = conv.select(conv_col, pad_clip(ids, max_len, pad_id, "right").alias("input_ids"),
+    conv = _chat_ids(turns, vocab, "system", conv_col, turn_col, role_col, text_col, on_unknown_role, max_len)
+
+    def prefixed(own: str, default: list[int], rest: str) -> Column:
+        return F.concat(F.coalesce(own, F.array(*[F.lit(i) for i in default])), F.col(rest))
+
+    ids, labels = prefixed("own_ids", sys_ids, "input_ids"), prefixed("own_labels", sys_labels, "labels")
+    out = conv.select(conv_col, "n_dropped", pad_clip(ids, max_len, pad_id, "right").alias("input_ids"),
                       pad_clip(labels, max_len, IGNORE_INDEX, "right").alias("labels"))
+    out = _counted(out, on_unknown_role, conv_col, "input_ids", "labels")
     return out.withColumn("attention_mask", value_mask(F.col("input_ids"), pad_id))
 
 
@@ -201,72 +151,86 @@ def conversations_to_turns(df: DataFrame, id_col: str, conv_col: str = "conversa
 def sft_tokens_with(turns: DataFrame, factory, im_end_id: int, newline: str = NEWLINE,
                     conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role",
                     text_col: str = "text", on_unknown_role: str = "error",
-                    newline_ids: list[int] | None = None, form: str = "sft",
-                    max_tokens: int | None = None, turn_length: Column | None = None,
-                    first_words=None) -> DataFrame:
+                    newline_ids: list[int] | None = None, max_tokens: int | None = None) -> DataFrame:
     """T2 with a plug-in tokenizer (E1): per turn ``enc("<|im_start|>" + role)
     + enc("\\n") + enc(content) + [im_end] + enc("\\n")``, each piece encoded
     separately in Arrow batches; user turns unsupervised, assistant turns
     supervised after role and newline. One shuffle by conversation assembles
-    the sorted turns.
+    the sorted turns. Columns as :func:`sft_tokens`."""
+    nl_ids = newline_ids if newline_ids is not None else factory().encode_batch([newline])[0]
+
+    def encode(df: DataFrame, texts: dict[str, str]) -> DataFrame:
+        return reduce(lambda d, c: tokenize_with(d, texts[c], factory, c), texts, df).drop(*texts.values())
+
+    out = _assemble(turns, encode, im_end_id, nl_ids, "sft", conv_col, turn_col, role_col, text_col,
+                    on_unknown_role, max_tokens)
+    return _counted(out, on_unknown_role, conv_col, "input_ids", "labels")
+
+
+def _assemble(turns: DataFrame, encode: Encoder, im_end_id: int, nl_ids: list[int], form: str,
+              conv_col: str, turn_col: str, role_col: str, text_col: str, on_unknown_role: str,
+              max_tokens: int | None, turn_length: Column | None = None, cut=None) -> DataFrame:
+    """Conversations with ``input_ids``, ``labels``, ``n_dropped`` and, in the system
+    form, ``own_ids`` and ``own_labels`` of the own system turn (null without one), which
+    the former leave out.
 
     ``turn_length``: the number of ids of a turn where it is known without
-    tokenizing; ``first_words(text, n)``: a text whose first ``n`` ids are those of
+    tokenizing; ``cut(text, n)``: a text whose first ``n`` ids are those of
     ``text``. Both only save work under ``max_tokens``."""
-    from .tokens import tokenize_with
-
-    turns = _check_roles(turns.select(conv_col, turn_col, role_col, text_col), role_col,
-                         on_unknown_role)
-    nl_ids = newline_ids if newline_ids is not None else factory().encode_batch([newline])[0]
-    offs = None
+    if form not in ("sft", "system"):
+        raise ValueError("form must be 'sft' or 'system'")
+    turns = _used_turns(turns.select(conv_col, turn_col, role_col, text_col), conv_col, turn_col, role_col,
+                        on_unknown_role, form)
+    spoken = F.col("__use") & F.col(role_col).isin(*SFT_ROLES)
     if max_tokens and turn_length is not None:
         # lengths are known without tokenizing: turns past the budget go, and the
         # others keep the words that can be inside it, before any is tokenized
-        lens = turns.select(conv_col, turn_col, turn_length.alias("__tl"))
-        offs = turn_offsets(lens, "__tl", conv_col, turn_col).filter(F.col("__off") < max_tokens)
-        left = (F.lit(max_tokens) - F.col("__off")).cast("int")
+        lens = turns.select(conv_col, turn_col, F.when(spoken, turn_length).otherwise(0).alias("__tl"))
+        left = F.greatest(F.lit(max_tokens) - F.col("__off"), F.lit(0))
+        offs = turn_offsets(lens, "__tl", conv_col, turn_col)
         turns = turns.join(offs.select(conv_col, turn_col, left.alias("__left")), [conv_col, turn_col])
-        if first_words is not None:
-            turns = turns.withColumn(text_col, first_words(F.col(text_col), F.col("__left")))
-    t = turns.withColumn("__role_text", F.concat(F.lit(IM_START), F.col(role_col)))
-    t = t.withColumn("__content", F.coalesce(F.col(text_col), F.lit("")))
-    t = tokenize_with(t, "__role_text", factory, "__rids")
-    t = tokenize_with(t, "__content", factory, "__cids")
+        turns = turns.withColumn("__left", F.when(spoken, F.col("__left")).otherwise(max_tokens).cast("int"))
+        # a turn that is left out still counts; one past the budget does not
+        turns = turns.filter(F.col("__left") > 0)
+        if cut is not None:
+            turns = turns.withColumn(text_col, cut(F.col(text_col), F.col("__left")))
+    # turns that are left out keep their row, without text, to be counted
+    use = F.col("__use")
+    t = turns.withColumn("__role_text", F.when(use, F.concat(F.lit(IM_START), F.col(role_col))))
+    t = encode(t.withColumn("__content", F.when(use, F.coalesce(F.col(text_col), F.lit("")))).drop(text_col),
+               {"__rids": "__role_text", "__cids": "__content"})
     nl = F.array(*[F.lit(i) for i in nl_ids]) if nl_ids else F.array().cast("array<int>")
-    ids = F.concat(F.col("__rids"), nl, F.col("__cids"), F.array(F.lit(im_end_id)), nl)
+    t = t.withColumn("__ids", F.concat("__rids", nl, "__cids", F.array(F.lit(im_end_id)), nl))
+    ids, is_asst = F.col("__ids"), F.col(role_col) == "assistant"
     if form == "sft":
-        n_mask = F.size("__rids") + F.lit(len(nl_ids))
-        labels = F.when(F.col(role_col) == "assistant", F.transform(
-            ids, lambda x, i: F.when(i < n_mask, F.lit(IGNORE_INDEX)).otherwise(x))).otherwise(
-            F.transform(ids, lambda x: F.lit(IGNORE_INDEX)))
-    elif form == "system":
-        # first token kept; assistant: role pieces masked; user: all but the
-        # closing im_end + newline masked
-        nr = F.size("__rids")
-        n = F.size(ids)
-        labels = F.transform(ids, lambda x, i: F.when(
-            (i == 0) | F.when(F.col(role_col) == "assistant", i > nr).otherwise(i >= n - 2), x)
-            .otherwise(F.lit(IGNORE_INDEX)))
+        first = F.size("__rids") + F.lit(len(nl_ids))
+        supervised = lambda i: is_asst & (i >= first)
     else:
-        raise ValueError("form must be 'sft' or 'system'")
-    per_turn = t.select(conv_col, turn_col, ids.alias("__ids"), labels.alias("__lab"),
-                        *(["__left"] if offs is not None else []))
-    if offs is not None:
-        per_turn = per_turn.select(conv_col, turn_col, F.slice("__ids", 1, F.col("__left")).alias("__ids"),
-                                   F.slice("__lab", 1, F.col("__left")).alias("__lab"))
-    elif max_tokens:
+        # first token kept; assistant: role pieces masked; others: all but the
+        # closing im_end + newline masked
+        supervised = lambda i: (i == 0) | F.when(is_asst, i > F.size("__rids")).otherwise(i >= F.size(ids) - 2)
+    t = t.withColumn("__lab", F.transform(ids, lambda x, i: F.when(supervised(i), x).otherwise(F.lit(IGNORE_INDEX))))
+    columns = [conv_col, turn_col, role_col, "__use", "__ids", "__lab"]
+    if max_tokens and turn_length is None:
         # lengths are not known: the per-turn arrays are stored once and measured;
         # turns past the budget are dropped and the rest sliced before the
         # per-conversation collect
-        per_turn = materialize(per_turn, "chat-turns")
-        lens = per_turn.select(conv_col, turn_col, F.size("__ids").alias("__tl"))
-        offs = turn_offsets(lens, "__tl", conv_col, turn_col).filter(F.col("__off") < max_tokens)
-        keep = (F.lit(max_tokens) - F.col("__off")).cast("int")
-        per_turn = per_turn.join(offs, [conv_col, turn_col]).select(
-            conv_col, turn_col, F.slice("__ids", 1, keep).alias("__ids"),
-            F.slice("__lab", 1, keep).alias("__lab"))
-    per_turn = per_turn.select(conv_col, F.struct(F.col(turn_col).alias("turn"), F.col("__ids").alias("ids"),
-                                                  F.col("__lab").alias("labels")).alias("__t"))
-    conv = per_turn.groupBy(conv_col).agg(F.sort_array(F.collect_list("__t")).alias("__ts"))
-    return conv.select(conv_col, F.flatten(F.transform("__ts", lambda x: x["ids"])).alias("input_ids"),
-                       F.flatten(F.transform("__ts", lambda x: x["labels"])).alias("labels"))
+        t = materialize(t.select(*columns), "chat-turns")
+        lens = t.select(conv_col, turn_col, F.when(spoken, F.size("__ids")).otherwise(0).alias("__tl"))
+        offs = turn_offsets(lens, "__tl", conv_col, turn_col)
+        t = t.join(offs, [conv_col, turn_col]).withColumn("__left", F.when(spoken, F.greatest(
+            F.lit(max_tokens) - F.col("__off"), F.lit(0))).otherwise(max_tokens).cast("int"))
+        t = t.filter(F.col("__left") > 0)
+    if max_tokens:
+        t = t.withColumn("__ids", F.slice("__ids", 1, F.col("__left"))).withColumn(
+            "__lab", F.slice("__lab", 1, F.col("__left")))
+    item = F.struct(F.col(turn_col).alias("turn"), F.col("__ids").alias("ids"), F.col("__lab").alias("labels"))
+    own = F.col("__use") & (F.col(role_col) == SYSTEM_ROLE)
+    conv = t.groupBy(conv_col).agg(
+        F.sort_array(F.collect_list(F.when(spoken, item))).alias("__ts"),
+        F.first(F.when(own, item), ignorenulls=True).alias("__own"),
+        F.sum(F.when(F.col("__use"), 0).otherwise(1)).cast("long").alias("n_dropped"))
+    out = conv.select(conv_col, F.flatten(F.transform("__ts", lambda x: x["ids"])).alias("input_ids"),
+                      F.flatten(F.transform("__ts", lambda x: x["labels"])).alias("labels"), "n_dropped",
+                      F.col("__own.ids").alias("own_ids"), F.col("__own.labels").alias("own_labels"))
+    return out if form == "system" else out.drop("own_ids", "own_labels")

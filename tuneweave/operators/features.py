@@ -86,39 +86,67 @@ def pack_blocks(tokens: DataFrame, block_size: int, rows_per_group: int = 1000,
         "labels", F.col("input_ids"))
 
 
-def pack_text_blocks(indexed: DataFrame, text_col: str, vocab, block_size: int,
-                     rows_per_group: int = 1000, index_col: str = "idx") -> DataFrame:
+def pack_text_blocks(texts: DataFrame, text_col: str, vocab, block_size: int,
+                     rows_per_group: int = 1000, index_col: str = "idx", key_col: str | None = None,
+                     index: DataFrame | None = None) -> DataFrame:
     """T6 + X6 fused for raw text: the same blocks as tokenizing every row and
-    calling :func:`pack_blocks`, without ever building a row's id array.
-
-    Word counts per row give in-group offsets (a window over at most
-    ``rows_per_group`` rows, no ids yet); every word gets its position inside
-    the group before the explode, words past the kept length are dropped,
-    ids are attached by the vocabulary join and one shuffle on
-    ``(group, block)`` assembles blocks of at most ``block_size`` ids. A very
-    long row is spread over many blocks instead of becoming one hot group.
-    """
-    from .tokens import attach_ids, words
+    calling :func:`pack_blocks`, without a row's id array in any exchange.
 
-    d = indexed.select(F.expr(f"{index_col} div {int(rows_per_group)}").alias("group_id"),
-                       F.col(index_col), words(F.col(text_col)).alias("__ws"))
-    d = d.withColumn("__len", F.size("__ws"))
-    w_prev = Window.partitionBy("group_id").orderBy(index_col).rowsBetween(
-        Window.unboundedPreceding, -1)
-    w_all = Window.partitionBy("group_id")
-    d = (d.withColumn("__off", F.coalesce(F.sum("__len").over(w_prev), F.lit(0)).cast("long"))
-         .withColumn("__tot", F.sum("__len").over(w_all).cast("long")))
+    Only ``(key, index, length)`` goes through the window on the group, at most
+    ``rows_per_group`` rows of numbers. The offsets return to the texts together with
+    the block dictionaries of the vocabulary job, on the cogroup that the texts travel
+    in anyway, and what leaves it are the slices of each block, assembled by one shuffle
+    on ``(group, block)`` from at most ``block_size`` ids. A very long row is spread over
+    many blocks instead of becoming one hot group.
+
+    ``index``: table of ``key_col`` and ``index_col``; without it ``texts`` has the index
+    itself, which is then its key. Keys are unique.
+    """
+    import numpy as np
+    import pyarrow as pa
+
+    from .tokens import _tokenizer_of, block_dictionaries, dictionary_blocks, words
+
+    key = key_col or index_col
+    base = texts.select(F.col(key).alias("__key"), F.col(text_col).alias("__t"))
+    blocks = dictionary_blocks(base, ["__t"], ["__key"])
+    lens = blocks.select("__block", "__key", F.size(words(F.coalesce("__t", F.lit("")))).alias("__len"))
+    if index is None:
+        lens = lens.withColumn("__idx", F.col("__key"))
+    else:
+        lens = lens.join(index.select(F.col(key).alias("__key"), F.col(index_col).alias("__idx")), "__key")
     b = F.lit(block_size).cast("long")
-    keep = F.when(F.col("__tot") >= b, F.floor(F.col("__tot") / b) * b).otherwise(F.col("__tot"))
-    d = d.withColumn("__keep", keep.cast("long"))
-    d = d.filter((F.col("__len") > 0) & (F.col("__off") < F.col("__keep")))
-    occ = d.select("group_id", "__off", "__keep", F.posexplode("__ws").alias("__pos", "__w"))
-    occ = occ.select("group_id", (F.col("__off") + F.col("__pos")).alias("__g"), "__keep", "__w")
-    occ = occ.filter(F.col("__g") < F.col("__keep")).drop("__keep")
-    occ = attach_ids(occ, vocab, "__w", "__id")
-    occ = occ.withColumn("block_id", F.expr(f"__g div {int(block_size)}"))
-    blocks = occ.groupBy("group_id", "block_id").agg(
-        F.sort_array(F.collect_list(F.struct("__g", "__id"))).alias("__items"))
-    ids = F.transform("__items", lambda x: x["__id"])
-    return blocks.select("group_id", "block_id", ids.alias("input_ids")).withColumn(
-        "labels", F.col("input_ids"))
+    group = Window.partitionBy("group_id")
+    before = group.orderBy("__idx").rowsBetween(Window.unboundedPreceding, -1)
+    total = F.sum("__len").over(group)
+    placed = lens.withColumn("group_id", F.expr(f"__idx div {int(rows_per_group)}")).select(
+        "__block", "__key", "group_id", "__len", F.coalesce(F.sum("__len").over(before), F.lit(0)).cast("long").alias("__off"),
+        F.when(total >= b, F.floor(total / b) * b).otherwise(total).cast("long").alias("__keep"))
+    placed = placed.filter((F.col("__len") > 0) & (F.col("__off") < F.col("__keep"))).drop("__len")
+    none = F.lit(None)
+    beside = block_dictionaries(blocks, ["__t"], vocab).select(
+        "__dict", "word", "token_id", none.cast(base.schema["__key"].dataType).alias("__key"),
+        *[none.cast("long").alias(c) for c in ("group_id", "__off", "__keep")])
+    beside = beside.unionByName(placed.select(F.col("__block").alias("__dict"), none.cast("string").alias("word"), none.cast("long").alias("token_id"),
+                                              "__key", F.col("group_id").cast("long").alias("group_id"), "__off", "__keep"))
+    schema = pa.schema([("group_id", pa.int64()), ("block_id", pa.int64()), ("start", pa.int64()), ("ids", pa.list_(pa.int32()))])
+
+    def cut(rows: pa.Table, other: pa.Table) -> pa.Table:
+        tokenizer = _tokenizer_of(other)
+        columns = [other.column(c).to_pylist() for c in ("__key", "group_id", "__off", "__keep")]
+        offsets = {k: (g, off, keep) for k, g, off, keep in zip(*columns) if g is not None}
+        out: list[tuple] = []
+        for k, text in zip(rows.column("__key").to_pylist(), rows.column("__t").to_pylist()):
+            if k in offsets:
+                g, off, keep = offsets[k]
+                ids = np.array(tokenizer.encode(text), np.int32)[:keep - off]
+                inner = np.arange((off // block_size + 1) * block_size, off + len(ids), block_size)
+                starts = [off, *inner.tolist()]
+                out += [(g, at // block_size, at, part) for at, part in zip(starts, np.split(ids, inner - off))]
+        return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out) if out else [[]] * 4, schema)], schema=schema)
+
+    pieces = blocks.groupBy("__block").cogroup(beside.groupBy("__dict")).applyInArrow(
+        cut, "group_id long, block_id long, start long, ids array<int>")
+    found = pieces.groupBy("group_id", "block_id").agg(F.sort_array(F.collect_list(F.struct("start", "ids"))).alias("__parts"))
+    ids = F.flatten(F.transform("__parts", lambda x: x["ids"]))
+    return found.select("group_id", "block_id", ids.alias("input_ids")).withColumn("labels", F.col("input_ids"))

@@ -3,12 +3,14 @@
 Two tokenizers are offered:
 
 * the **vocabulary job** (default): words are whitespace pieces, counted over
-  the corpus with map-side partial aggregation, numbered most frequent first
-  with the distributed dense index, and attached to word occurrences by a
-  join. The join is split in two so no word is a hot shuffle key: the most
-  frequent words (a byte-measured table) are broadcast, and the remaining tail
-  (each word at most as frequent as the last broadcast word) goes through a
-  shuffle join;
+  the corpus with map-side partial aggregation and numbered most frequent first
+  with the distributed dense index. Ids come back by a **block-local dictionary
+  join**, the same plan for a vocabulary of any size: rows are dealt to blocks of
+  about ``BLOCK_BYTES`` of text, each block lists its distinct words once, the
+  (block, word) pairs are joined to the vocabulary table, and rows and dictionary
+  meet again by a cogroup on the block. A word travels once per block, not once per
+  occurrence, so the most frequent word is no hot key, no vocabulary is ever
+  collected or broadcast by hand, and nothing is regrouped per row;
 * a **plug-in** (E1): any tokenizer object built once per Python worker by a
   picklable factory and applied in an Arrow-batched iterator ``pandas_udf``.
 """
@@ -21,6 +23,7 @@ from dataclasses import dataclass
 from functools import reduce
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -28,8 +31,11 @@ from pyspark.sql import types as T
 from ..functions.arrays import pad_clip, real_token_mask
 from ..functions.specials import (ENDOFTEXT, FIRST_WORD_ID, INLINE_SPECIALS, PAD_ID,
                                   SPECIAL_IDS, UNK_ID, WORD_SPLIT)
+from ..session import shuffle_partitions
 from .order import dense_index
 
+#: Text of one dictionary block; a longer text is a block's text by itself.
+BLOCK_BYTES = 32 * 1024 * 1024
 _PY_SPLIT = re.compile(WORD_SPLIT)
 
 
@@ -52,41 +58,12 @@ def py_words(text: str) -> list[str]:
     return [w for w in _PY_SPLIT.split(text) if w]
 
 
-def special_id(word: Column) -> Column:
-    expr = None
-    for tok, i in SPECIAL_IDS.items():
-        expr = F.when(word == tok, F.lit(i)) if expr is None else expr.when(word == tok, F.lit(i))
-    return expr
-
-
 @dataclass
 class Vocabulary:
     """Materialised vocabulary table ``(word, n, token_id)``."""
 
     table: DataFrame
     size: int
-    hot_size: int
-
-    def hot(self) -> DataFrame:
-        return self.table.filter(F.col("token_id") < FIRST_WORD_ID + self.hot_size).select(
-            "word", "token_id")
-
-    def tail(self) -> DataFrame:
-        return self.table.filter(F.col("token_id") >= FIRST_WORD_ID + self.hot_size).select(
-            "word", "token_id")
-
-    def map_side_factory(self):
-        """A plug-in factory holding the whole vocabulary as a broadcast
-        dictionary, or ``None`` when the vocabulary exceeds the measured
-        broadcast budget (then the join path is the only exact way). Built once
-        per vocabulary."""
-        if self.size > self.hot_size:
-            return None
-        if getattr(self, "_factory", None) is None:
-            words_ids = {r["word"]: r["token_id"] for r in self.hot().collect()}  # bounded: measured
-            bc = self.table.sparkSession.sparkContext.broadcast(words_ids)
-            self._factory = BroadcastVocabulary(bc)
-        return self._factory
 
     def ids_for(self, text: str) -> list[int]:
         """Ids of a short literal text (template pieces, system messages).
@@ -100,9 +77,7 @@ class Vocabulary:
         return [SPECIAL_IDS.get(w, found.get(w, UNK_ID)) for w in ws]
 
 
-def build_vocabulary(texts: Sequence[Column] | Column, df: DataFrame,
-                     hot_size: int = 1_000_000,
-                     broadcast_budget_bytes: int = 64 * 1024 * 1024) -> Vocabulary:
+def build_vocabulary(texts: Sequence[Column] | Column, df: DataFrame) -> Vocabulary:
     """T1 vocabulary job: count whitespace words of the given text columns and
     number them ``FIRST_WORD_ID + rank`` by (count desc, word asc)."""
     cols = [texts] if isinstance(texts, Column) else list(texts)
@@ -112,120 +87,100 @@ def build_vocabulary(texts: Sequence[Column] | Column, df: DataFrame,
     counts = occurrences.groupBy("word").agg(F.count(F.lit(1)).alias("n"))
     ranked, size = dense_index(counts, [F.col("n").desc(), F.col("word").asc()], "__rank",
                                return_count=True)
-    table = ranked.select("word", "n", (F.col("__rank") + FIRST_WORD_ID).alias("token_id"))
-    hot = min(hot_size, size)
-    # measure the broadcast side; shrink it until it fits the budget
-    while hot > 0:
-        nbytes = table.filter(F.col("token_id") < FIRST_WORD_ID + hot).agg(
-            F.sum(F.octet_length("word") + F.lit(16))).first()[0] or 0
-        if nbytes <= broadcast_budget_bytes:
-            break
-        hot //= 2
-    return Vocabulary(table, size, hot)
-
-
-def attach_ids(occ: DataFrame, vocab: Vocabulary, word_col: str = "word",
-               id_col: str = "token_id") -> DataFrame:
-    """Add ``id_col`` to a table of word occurrences (specials by literal,
-    unknown words -> unk id). Broadcasts only the measured hot table."""
-    occ = occ.withColumnRenamed(word_col, "__w") if word_col != "__w" else occ
-    hot = vocab.hot().withColumnRenamed("word", "__w").withColumnRenamed("token_id", "__vid")
-    j = occ.join(F.broadcast(hot), "__w", "left") if vocab.hot_size > 0 else occ.withColumn(
-        "__vid", F.lit(None).cast("long"))
-    if vocab.size > vocab.hot_size:
-        spec = special_id(F.col("__w"))
-        known = j.filter(F.col("__vid").isNotNull() | spec.isNotNull())
-        tail = vocab.tail().withColumnRenamed("word", "__w").withColumnRenamed("token_id", "__vid")
-        unknown = j.filter(F.col("__vid").isNull() & spec.isNull()).drop("__vid").join(
-            tail, "__w", "left")
-        j = known.unionByName(unknown)
-    out = j.withColumn(id_col, F.coalesce(special_id(F.col("__w")), F.col("__vid").cast("int"),
-                                          F.lit(UNK_ID)))
-    out = out.drop("__vid")
-    return out.withColumnRenamed("__w", word_col) if word_col != "__w" else out
+    return Vocabulary(ranked.select("word", "n", (F.col("__rank") + FIRST_WORD_ID).alias("token_id")), size)
+
+
+def dictionary_blocks(df: DataFrame, texts: Sequence[str], key_cols: Sequence[str],
+                      block_bytes: int | None = None) -> DataFrame:
+    """``df`` with ``__block``: rows dealt by a hash of their key to blocks of about
+    ``block_bytes`` of text, and to at least as many blocks as there are shuffle
+    partitions. The total size is a scalar subquery over the text lengths."""
+    size = reduce(lambda a, b: a + b, [F.coalesce(F.octet_length(c), F.lit(0)) for c in texts])
+    total = df.agg(F.coalesce(F.sum(size), F.lit(0))).scalar()
+    most = F.greatest(F.ceil(total / F.lit(block_bytes or BLOCK_BYTES)), F.lit(shuffle_partitions(df.sparkSession)))
+    return df.withColumn("__block", F.pmod(F.xxhash64(*key_cols), most.cast("long")))
+
+
+def block_dictionaries(blocks: DataFrame, texts: Sequence[str], vocab: Vocabulary) -> DataFrame:
+    """``(__dict, word, token_id)``: the known words of every block, each once."""
+    listed = reduce(F.concat, [F.coalesce(words(F.col(c)), F.array().cast("array<string>")) for c in texts])
+    pairs = blocks.select(F.col("__block").alias("__dict"), F.explode(F.array_distinct(listed)).alias("word")).distinct()
+    return pairs.join(vocab.table.select("word", "token_id"), "word").select("__dict", "word", "token_id")
+
+
+def with_ids(df: DataFrame, texts: dict[str, str], vocab: Vocabulary, key_cols: Sequence[str],
+             block_bytes: int | None = None) -> DataFrame:
+    """Replace each text column by its id array (``{ids column: text column}``) by the
+    block-local dictionary join; all other columns are carried. Texts without words
+    give an empty array, null texts a null one. ``key_cols`` only deal rows to blocks."""
+    names = list(texts.values())
+    blocks = dictionary_blocks(df, names, key_cols, block_bytes)
+    carried = [f for f in df.schema.fields if f.name not in names]
+    schema = T.StructType(carried + [T.StructField(c, T.ArrayType(T.IntegerType())) for c in texts])
+    kept = [f.name for f in carried]
+
+    def encode(rows: pa.Table, dictionary: pa.Table) -> pa.Table:
+        tokenizer = _tokenizer_of(dictionary)
+        ids = [pa.array(tokenizer.encode_batch(rows.column(c).to_pylist()), pa.list_(pa.int32())) for c in names]
+        return pa.Table.from_arrays([rows.column(c) for c in kept] + ids, names=kept + list(texts))
+
+    return (blocks.groupBy("__block").cogroup(block_dictionaries(blocks, names, vocab).groupBy("__dict"))
+            .applyInArrow(encode, schema))
+
+
+def _tokenizer_of(dictionary: pa.Table) -> "WhitespaceTokenizer":
+    found = zip(dictionary.column("word").to_pylist(), dictionary.column("token_id").to_pylist())
+    return WhitespaceTokenizer({w: i for w, i in found if w is not None})
 
 
 def tokenize(df: DataFrame, text: str | Column, vocab: Vocabulary, key_cols: Sequence[str],
-             ids_col: str = "input_ids", strategy: str = "auto") -> DataFrame:
-    """T1 by the vocabulary job: ``key_cols`` (unique per row) and the id array
-    of the text. Rows whose text has no words keep an empty array; a null text
-    gives a null array.
-
-    ``strategy='map'`` (chosen by ``'auto'`` when the whole vocabulary fits the
-    measured broadcast budget) looks words up map-side against the broadcast
-    vocabulary in Arrow batches: no shuffle at all. ``'join'`` explodes word
-    occurrences, joins them to the vocabulary (hot words broadcast, tail words
-    shuffled) and regroups per row; it is exact for any vocabulary size."""
+             ids_col: str = "input_ids") -> DataFrame:
+    """T1/T6 by the vocabulary job: ``key_cols`` and the id array of the text, raw
+    columns dropped."""
     tcol = F.col(text) if isinstance(text, str) else text
-    if strategy not in ("auto", "map", "join"):
-        raise ValueError("strategy must be 'auto', 'map' or 'join'")
-    factory = vocab.map_side_factory() if strategy != "join" else None
-    if strategy == "map" and factory is None:
-        raise ValueError("vocabulary exceeds the broadcast budget; use the join strategy")
-    if factory is not None:
-        src = df.select(*key_cols, tcol.alias("__t"))
-        return tokenize_with(src, "__t", factory, ids_col).drop("__t")
-    # split before the explode so no generated row carries the text
-    split = df.select(*key_cols, tcol.isNull().alias("__null"), words(tcol).alias("__ws"))
-    occ = split.select(*key_cols, "__null", F.posexplode_outer("__ws").alias("__pos", "__w"))
-    occ = attach_ids(occ, vocab, "__w", "__id")
-    item = F.when(F.col("__pos").isNotNull(), F.struct(F.col("__pos"), F.col("__id")))
-    grouped = occ.groupBy(*key_cols).agg(F.max("__null").alias("__null"),
-                                         F.sort_array(F.collect_list(item)).alias("__items"))
-    return grouped.select(*key_cols, F.when(~F.col("__null"), F.transform(
-        "__items", lambda x: x["__id"])).alias(ids_col))
-
-
-def tokenize_keep(df: DataFrame, text_col: str, vocab: Vocabulary, key_cols: Sequence[str],
-                  ids_col: str = "input_ids") -> DataFrame:
-    """Tokenize and keep only the keys and ids (raw columns dropped)."""
-    return tokenize(df.select(*key_cols, text_col), text_col, vocab, key_cols, ids_col)
+    return with_ids(df.select(*key_cols, tcol.alias("__t")), {ids_col: "__t"}, vocab, key_cols)
+
+
+def first_words(text: Column, n: Column | int) -> Column:
+    """A text whose ids are the first ``n`` ids of ``text`` under the vocabulary job."""
+    return F.array_join(F.slice(words(text), 1, n), " ")
 
 
 def eot_features(df: DataFrame, text_col: str, vocab: Vocabulary | None, key_cols: Sequence[str],
                  max_seq_len: int, end_of_conversation_token: str = ENDOFTEXT,
                  pad_id: int = PAD_ID, prefix: str = "", factory=None) -> DataFrame:
-    """T5: append the end-of-conversation token, tokenize, truncate to
-    ``max_seq_len`` and pad to it. The attention mask marks real tokens
-    (not equality with pad), as a tokenizer's padding mask does. Null texts
-    are dropped (F1/F2 semantics)."""
-    src = df.filter(F.col(text_col).isNotNull()).select(
-        *key_cols, F.concat(F.col(text_col), F.lit(end_of_conversation_token)).alias("__t"))
-    if factory is not None:
-        tok = tokenize_with(src, "__t", factory, "__ids").drop("__t")
-    else:
-        tok = tokenize(src, "__t", vocab, key_cols, "__ids")
-    ids = F.slice(F.col("__ids"), 1, max_seq_len)
-    return tok.select(*key_cols, ids.alias("__ids")).select(
-        *key_cols,
-        pad_clip(F.col("__ids"), max_seq_len, pad_id, "right").alias(f"{prefix}input_ids"),
-        real_token_mask(F.size("__ids"), max_seq_len).alias(f"{prefix}attention_mask"))
+    """T5 of one text column, see :func:`eot_pair_features`."""
+    return eot_pair_features(df, {prefix: text_col}, vocab, key_cols, max_seq_len,
+                             end_of_conversation_token, pad_id, factory)
 
 
 def eot_pair_features(df: DataFrame, text_cols: dict[str, str], vocab: Vocabulary | None,
                       key_cols: Sequence[str], max_seq_len: int,
                       end_of_conversation_token: str = ENDOFTEXT, pad_id: int = PAD_ID,
                       factory=None) -> DataFrame:
-    """T5 for several text columns of the same rows (phase 2: chosen and
-    rejected), ``{prefix: column}``; rows where any text is null are dropped.
-    With a map-side vocabulary all columns are tokenized in one pass over
-    the rows (no join); otherwise each column goes through :func:`eot_features`
-    and the results are joined on the keys."""
-    cond = None
-    for c in text_cols.values():
-        cond = F.col(c).isNotNull() if cond is None else cond & F.col(c).isNotNull()
-    rows = df.filter(cond)
-    factory = factory or vocab.map_side_factory()
+    """T5: append the end-of-conversation token, tokenize, truncate to
+    ``max_seq_len`` and pad to it, for one text column or several of the same rows
+    (phase 2: chosen and rejected), ``{prefix: column}``. The attention mask marks real
+    tokens (not equality with pad), as a tokenizer's padding mask does. Rows where any
+    text is null are dropped (F1/F2 semantics).
+
+    Texts are cut to what can fill ``max_seq_len`` before they are tokenized: to their
+    first words for the vocabulary job, by the token budget of :func:`tokenize_with` for
+    plug-ins."""
+    cond = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in text_cols.values()])
+    texts = {f"__i{i}": f"__t{i}" for i in range(len(text_cols))}
+    ended = [F.concat(F.col(c), F.lit(end_of_conversation_token)) for c in text_cols.values()]
     if factory is None:
-        parts = [eot_features(rows, c, vocab, key_cols, max_seq_len, end_of_conversation_token,
-                              pad_id, prefix) for prefix, c in text_cols.items()]
-        return reduce(lambda a, b: a.join(b, list(key_cols)), parts)
-    out = rows.select(*key_cols, *[F.concat(F.col(c), F.lit(end_of_conversation_token)).alias(
-        f"__t{i}") for i, c in enumerate(text_cols.values())])
+        ended = [first_words(t, max_seq_len) for t in ended]
+    out = df.filter(cond).select(*key_cols, *[t.alias(c) for t, c in zip(ended, texts.values())])
+    if factory is None:
+        out = with_ids(out, texts, vocab, key_cols)
+    else:
+        for ids, text in texts.items():
+            out = tokenize_with(out, text, factory, ids, max_tokens=max_seq_len)
     cols = list(key_cols)
-    for i, prefix in enumerate(text_cols):
-        out = tokenize_with(out, f"__t{i}", factory, f"__i{i}")
-        ids = F.slice(F.col(f"__i{i}"), 1, max_seq_len)
+    for ids_col, prefix in zip(texts, text_cols):
+        ids = F.slice(F.col(ids_col), 1, max_seq_len)
         cols += [pad_clip(ids, max_seq_len, pad_id, "right").alias(f"{prefix}input_ids"),
                  real_token_mask(F.size(ids), max_seq_len).alias(f"{prefix}attention_mask")]
     return out.select(*cols)
@@ -237,6 +192,8 @@ class WhitespaceTokenizer:
     """Plain-Python tokenizer with the same rules as the vocabulary job; the
     reference plug-in for tests and small vocabularies."""
 
+    word_local = True
+
     def __init__(self, vocab: dict[str, int]):
         self.vocab = vocab
         self._ids = {**vocab, **SPECIAL_IDS}  # specials win, as in the job
@@ -254,21 +211,12 @@ class WhitespaceTokenizer:
         return [self.encode(t) for t in texts]
 
 
-class BroadcastVocabulary:
-    """Picklable factory: a :class:`WhitespaceTokenizer` over a broadcast
-    vocabulary dictionary (read once per worker)."""
-
-    def __init__(self, bc):
-        self.bc = bc
-
-    def __call__(self) -> WhitespaceTokenizer:
-        return WhitespaceTokenizer(self.bc.value)
-
-
 class CodePointTokenizer:
     """Vocabulary-free plug-in: one id per Unicode code point,
     ``ord(ch) + FIRST_WORD_ID`` (ids below stay reserved for specials)."""
 
+    word_local = True
+
     def encode_batch(self, texts: list[str | None]) -> list[list[int] | None]:
         return [None if t is None else [ord(c) + FIRST_WORD_ID for c in t] for t in texts]
 
@@ -296,17 +244,50 @@ class HFTokenizerFile:
         return _Enc()
 
 
+#: Letters of a budgeted tokenizer's first prefix, for each token asked for.
+PREFIX_LETTERS = 8
+_BORDER = re.compile(r"[ \t\n\r\f][^ \t\n\r\f]")
+
+
+def budgeted_ids(tokenizer, texts: list[str | None], max_tokens: int) -> list[list[int] | None]:
+    """The first ``max_tokens`` ids of each text, from growing prefixes.
+
+    A tokenizer that sets ``word_local`` promises that the ids of a text are those of its
+    parts wherever it is cut in front of a word; it sees prefixes that are cut there and
+    double until they fill the budget. Any other sees whole texts."""
+    if not getattr(tokenizer, "word_local", False):
+        return [None if ids is None else ids[:max_tokens] for ids in tokenizer.encode_batch(texts)]
+    out: list[list[int] | None] = [None] * len(texts)
+    open_ = [(i, PREFIX_LETTERS * max(max_tokens, 1)) for i, t in enumerate(texts) if t is not None]
+    while open_:
+        cuts = []
+        for i, letters in open_:
+            border = _BORDER.search(texts[i], letters) if letters < len(texts[i]) else None
+            cuts.append(border.start() + 1 if border else len(texts[i]))
+        found = tokenizer.encode_batch([texts[i][:cut] for (i, _), cut in zip(open_, cuts)])
+        again = []
+        for (i, letters), cut, ids in zip(open_, cuts, found):
+            if cut < len(texts[i]) and len(ids) < max_tokens:
+                again.append((i, 2 * cut))
+            else:
+                out[i] = ids[:max_tokens]
+        open_ = again
+    return out
+
+
 def tokenize_with(df: DataFrame, text_col: str, factory: Callable[[], object],
-                  ids_col: str = "input_ids") -> DataFrame:
+                  ids_col: str = "input_ids", max_tokens: int | None = None) -> DataFrame:
     """Apply a plug-in tokenizer (``factory()`` returns an object with
     ``encode_batch(list[str]) -> list[list[int]]``) in Arrow batches. The
-    factory runs once per worker iterator, not per row."""
+    factory runs once per worker iterator, not per row. With ``max_tokens`` only the
+    first ids are kept, and texts are read no further than needed for them
+    (:func:`budgeted_ids`)."""
 
     @F.pandas_udf(T.ArrayType(T.IntegerType()))
     def _encode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         tok = factory()
         for s in batches:
-            vals = s.tolist()
-            yield pd.Series(tok.encode_batch([None if v is None else str(v) for v in vals]))
+            vals = [None if v is None else str(v) for v in s.tolist()]
+            yield pd.Series(tok.encode_batch(vals) if max_tokens is None else budgeted_ids(tok, vals, max_tokens))
 
     return df.withColumn(ids_col, _encode(F.col(text_col)))

@@ -20,7 +20,7 @@ from . import sqlkit as q
 from ..operators.adapters import apply_adapter, spec
 from .q_adapters import SHAPES, SQL_CONV_BASE, adapted, conv_pairs, doc_pairs
 from .q_order import SEED, sql_rank
-from .q_tokens import _sql_items, conversation_vocab
+from .q_tokens import _LISTS, conversation_vocab
 from .tables import table
 
 MAX_PROMPT_LEN = 32
@@ -109,10 +109,10 @@ def pack_blocks_q(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     text_col = unsupervised_text_column(docs)
     vocab = build_vocabulary(F.col(text_col), docs)
-    # number the raw rows (narrow: id and text), then go from words straight to
-    # blocks: no per-document id array is ever assembled
-    indexed = dense_index(docs.select("doc_id", text_col), ["doc_id"], "idx")
-    blocks = pack_text_blocks(indexed, text_col, vocab, BLOCK_SIZE, ROWS_PER_GROUP)
+    # number the ids alone, then go from texts straight to blocks: neither a text nor a
+    # document's id array goes through the index
+    index = dense_index(docs.select("doc_id"), ["doc_id"], "idx")
+    blocks = pack_text_blocks(docs, text_col, vocab, BLOCK_SIZE, ROWS_PER_GROUP, key_col="doc_id", index=index)
     return blocks.select("group_id", "block_id", join_ints(F.col("input_ids")).alias("input_ids"),
                          F.size("input_ids").cast("long").alias("n_tokens"))
 
@@ -122,7 +122,7 @@ def pack_blocks_q(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _sft_store(spark: SparkSession, sf_dir: str, vocab=None):
     conv = table(spark, sf_dir, "conversations")
     vocab = vocab or conversation_vocab(conv)
-    t = sft_tokens(conv, vocab, on_unknown_role="drop_turn")
+    t = sft_tokens(conv, vocab, on_unknown_role="drop_turn").drop("n_dropped")
     return cache_rows(t, "sft", ["conv_id"]), vocab
 
 
@@ -289,9 +289,9 @@ SELECT CAST(grp AS BIGINT) AS group_id, CAST(gpos // {BLOCK_SIZE} AS BIGINT) AS
        {q.ints('id', 'gpos')} AS input_ids, count(*) AS n_tokens
 FROM ids GROUP BY grp, gpos // {BLOCK_SIZE}"""
 
-_SFT_STORE = f"""{_sql_items('sft')},
-s0 AS (SELECT conv_id, count(*) AS n_tokens, CAST(sum(id) AS BIGINT) AS id_sum,
-              row_number() OVER (ORDER BY conv_id) - 1 AS idx FROM items GROUP BY conv_id)"""
+_SFT_STORE = f"""{_LISTS},
+s0 AS (SELECT conv_id, len(ids) AS n_tokens, CAST(coalesce(list_sum(ids), 0) AS BIGINT) AS id_sum,
+              row_number() OVER (ORDER BY conv_id) - 1 AS idx FROM lists)"""
 
 SQL_CACHE_KEYS = f"""WITH {_SFT_STORE}
 SELECT 'sft_idx_' || CAST(idx AS VARCHAR) AS key, 'sft' AS key_tag, idx, conv_id, n_tokens FROM s0"""

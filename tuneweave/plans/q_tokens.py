@@ -37,7 +37,8 @@ def sft_tokens_q(spark: SparkSession, sf_dir: str) -> DataFrame:
         "conv_id", join_ints(F.col("input_ids")).alias("input_ids"),
         join_ints(F.col("labels")).alias("labels"),
         F.size("input_ids").cast("long").alias("n_tokens"),
-        F.size(F.filter("labels", lambda x: x != IGNORE_INDEX)).cast("long").alias("n_supervised"))
+        F.size(F.filter("labels", lambda x: x != IGNORE_INDEX)).cast("long").alias("n_supervised"),
+        "n_dropped")
 
 
 def sft_system_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -47,7 +48,7 @@ def sft_system_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.select("conv_id", join_ints(F.col("input_ids")).alias("input_ids"),
                     join_ints(F.col("labels")).alias("labels"),
                     F.aggregate("attention_mask", F.lit(0).cast("long"),
-                                lambda a, m: a + m).alias("n_attended"))
+                                lambda a, m: a + m).alias("n_attended"), "n_dropped")
 
 
 def _sft_first(spark: SparkSession, sf_dir: str, n: int) -> DataFrame:
@@ -96,14 +97,22 @@ def plugin_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 CONV_VOCAB = q.vocab_cte([("conversations", "text"), ("conversations", "role")])
 
 
+#: conversations with the number of their turns of other roles
+_SQL_DROPPED = """convs AS (SELECT conv_id, count(*) FILTER (WHERE role IS NULL OR role NOT IN ({roles})) AS n_other,
+                 min(turn) FILTER (WHERE role = 'system') AS own_turn FROM conversations GROUP BY conv_id)"""
+
+
 def _sql_items(form: str) -> str:
-    """CTE chain ending in ``items(conv_id, turn, role, pos, nr, nt, id)``."""
+    """CTE chain ending in ``items(conv_id, turn, role, pos, nr, nt, id)``; the system
+    form has the first system turn too."""
+    own = " OR (role = 'system' AND turn = own_turn)" if form == "system" else ""
     return f"""{CONV_VOCAB},
+{_SQL_DROPPED.format(roles="'user', 'assistant'")},
 t AS (SELECT conv_id, turn, role, len({q.words('role')}) AS nr,
              len({q.words("coalesce(text, '')")}) AS nt,
              list_concat(['<|im_start|>'], {q.words('role')}, [chr(10)],
                          {q.words("coalesce(text, '')")}, ['<|im_end|>', chr(10)]) AS ws
-      FROM conversations WHERE role IN ('user', 'assistant')),
+      FROM conversations JOIN convs USING (conv_id) WHERE role IN ('user', 'assistant'){own}),
 p AS (SELECT conv_id, turn, role, nr, nt, unnest(ws) AS w,
              generate_subscripts(ws, 1) - 1 AS pos FROM t),
 items AS (SELECT p.conv_id, p.turn, p.role, p.pos, p.nr, p.nt, {q.id_of('p.w')} AS id
@@ -119,14 +128,15 @@ SQL_SFT_TOKENS = f"""WITH {_sql_items('sft')}
 SELECT conv_id,
        {q.ints('id', 'turn, pos')} AS input_ids,
        {q.ints(f'CASE WHEN {SUP_SFT} THEN id ELSE -100 END', 'turn, pos')} AS labels,
-       count(*) AS n_tokens,
-       count(*) FILTER (WHERE {SUP_SFT}) AS n_supervised
-FROM items GROUP BY conv_id"""
+       count(id) AS n_tokens,
+       count(id) FILTER (WHERE {SUP_SFT}) AS n_supervised, n_other AS n_dropped
+FROM convs LEFT JOIN items USING (conv_id) GROUP BY conv_id, n_other"""
 
 _LISTS = f"""{_sql_items('sft')},
-lists AS (SELECT conv_id, list(id ORDER BY turn, pos) AS ids,
-                 list(CASE WHEN {SUP_SFT} THEN id ELSE -100 END ORDER BY turn, pos) AS lab
-          FROM items GROUP BY conv_id)"""
+lists AS (SELECT conv_id, coalesce(list(id ORDER BY turn, pos) FILTER (WHERE id IS NOT NULL), []) AS ids,
+                 coalesce(list(CASE WHEN {SUP_SFT} THEN id ELSE -100 END ORDER BY turn, pos)
+                          FILTER (WHERE id IS NOT NULL), []) AS lab
+          FROM convs LEFT JOIN items USING (conv_id) GROUP BY conv_id)"""
 
 
 def _sql_pad(side: str) -> str:
@@ -163,14 +173,16 @@ sw AS (SELECT unnest({sys_words}) AS w, generate_subscripts({sys_words}, 1) - 1
 sys AS (SELECT list({q.id_of('sw.w')} ORDER BY sw.pos) AS ids FROM sw LEFT JOIN vocab v ON v.word = sw.w),
 syslab AS (SELECT ids, list_concat([ids[1]], list_resize([]::INTEGER[], len(ids) - 3, -100),
                                    ids[len(ids) - 1:]) AS lab FROM sys),
-conv AS (SELECT conv_id, list(id ORDER BY turn, pos) AS ids,
-                list(CASE WHEN {SUP_SYS} THEN id ELSE -100 END ORDER BY turn, pos) AS lab
-         FROM items GROUP BY conv_id),
-full_ AS (SELECT conv_id, list_resize(list_concat(syslab.ids, conv.ids), {n}, {PAD_ID}) AS ids,
-                 list_resize(list_concat(syslab.lab, conv.lab), {n}, -100) AS lab
-          FROM conv, syslab)
+lists AS (SELECT conv_id, role = 'system' AS own, list(id ORDER BY turn, pos) AS ids,
+                 list(CASE WHEN {SUP_SYS} THEN id ELSE -100 END ORDER BY turn, pos) AS lab
+          FROM items GROUP BY ALL),
+full_ AS (SELECT c.conv_id, n_other - (o.conv_id IS NOT NULL)::BIGINT AS n_dropped,
+                 list_resize(list_concat(coalesce(o.ids, syslab.ids), coalesce(r.ids, [])), {n}, {PAD_ID}) AS ids,
+                 list_resize(list_concat(coalesce(o.lab, syslab.lab), coalesce(r.lab, [])), {n}, -100) AS lab
+          FROM syslab, convs c LEFT JOIN lists o ON o.conv_id = c.conv_id AND o.own
+          LEFT JOIN lists r ON r.conv_id = c.conv_id AND NOT r.own)
 SELECT conv_id, array_to_string(ids, ',') AS input_ids, array_to_string(lab, ',') AS labels,
-       CAST(len(list_filter(ids, lambda x: x <> {PAD_ID})) AS BIGINT) AS n_attended FROM full_"""
+       CAST(len(list_filter(ids, lambda x: x <> {PAD_ID})) AS BIGINT) AS n_attended, n_dropped FROM full_"""
 
 
 SQL_PLUGIN = """SELECT conv_id, turn, CAST(len(cp) AS BIGINT) AS n_ids, array_to_string(cp, ',') AS ids
