@@ -55,7 +55,7 @@ def test_cumulative_mean_and_ema_match_sequential(spark):
         assert math.isclose(cm[st], total / (i + 1), rel_tol=1e-12)
         p = loss if prev is None else prev
         prev = 0.9 * p + (1.0 - 0.9) * loss
-        assert em[st] == prev  # same sequential arithmetic, bit for bit
+        assert math.isclose(em[st], prev, rel_tol=1e-12)
 
 
 def test_eval_perplexity_two_level_mean(spark):
@@ -102,7 +102,7 @@ def test_exponential_mean_several_keys(spark):
             x = float((t * 7 + k) % 11)
             p = x if prev is None else prev
             prev = 0.5 * p + 0.5 * x
-            assert out[(k, t)] == prev
+            assert math.isclose(out[(k, t)], prev, rel_tol=1e-12)
 
 
 def test_sequence_positions_dense(spark):
@@ -125,3 +125,50 @@ def test_rlhf_batch_size_divergence_flag(spark):
     secs = {r.event_id: r.value / 100.0 for r in spark.read.parquet(f"{sf}/events.parquet").collect()}
     for s in base:
         assert math.isclose(ref[s], round(2.0 / secs[s], 6), rel_tol=1e-9)
+
+
+def test_running_sums_do_not_depend_on_chunks(spark):
+    from fractions import Fraction
+
+    rng = random.Random(9)
+    xs = [rng.choice([rng.uniform(-1, 1) * 10.0 ** rng.randint(-16, 18), 0.1, -0.1, 1e16, -1e16, 2.0 ** -60]) for _ in range(700)]
+    df = spark.createDataFrame([(0, i, x) for i, x in enumerate(xs)] + [(1, 0, None), (1, 1, 0.5)], "k int, t long, v double")
+    runs = []
+    for chunk in (16, 100, 1024):
+        for parts in (1, 5):
+            out = running_sums(df.repartition(parts), ["k"], "t", {"s": F.col("v")}, chunk=chunk, exact=True)
+            runs.append({(r.k, r.t): r.s for r in out.collect()})
+    assert all(r == runs[0] for r in runs)  # bit for bit
+    exact = Fraction(0)
+    for i, x in enumerate(xs):
+        exact += Fraction(x)
+        assert abs(Fraction(runs[0][(0, i)]) - exact) <= abs(exact) * Fraction(1, 2 ** 51) + Fraction(1, 2 ** 100)
+    assert runs[0][(1, 0)] == 0.0 and runs[0][(1, 1)] == 0.5
+    odd = spark.createDataFrame([(0, 0, 1.0), (0, 1, float("inf")), (0, 2, -1e300), (0, 3, float("-inf"))],
+                                "k int, t long, v double")
+    got = [r.s for r in running_sums(odd, ["k"], "t", {"s": F.col("v")}, chunk=2, exact=True).orderBy("t").collect()]
+    assert got[:3] == [1.0, math.inf, math.inf] and math.isnan(got[3])
+
+
+def test_exponential_mean_for_slow_alphas_and_any_chunk(spark):
+    rng = random.Random(4)
+    xs = {k: [rng.uniform(0, 5) for _ in range(n)] for k, n in ((0, 5000), (1, 1), (2, 1024), (3, 1025))}
+    df = spark.createDataFrame([(k, i, x) for k, v in xs.items() for i, x in enumerate(v)], "k int, t long, x double")
+    for alpha in (0.5, 0.9, 0.999999):
+        for chunk in (16, 1024):
+            got = {(r.k, r.t): r.ema for r in exponential_mean(df, ["k"], "t", F.col("x"), alpha, chunk=chunk).collect()}
+            assert len(got) == df.count()
+            for k, v in xs.items():
+                y = v[0]
+                for i, x in enumerate(v):
+                    y = alpha * y + (1 - alpha) * x
+                    assert math.isclose(got[(k, i)], y, rel_tol=1e-12)
+    went_on = exponential_mean(df.filter("k = 1"), ["k"], "t", F.col("x"), 0.9, initial=F.lit(2.0)).first().ema
+    assert math.isclose(went_on, 0.9 * 2.0 + 0.1 * xs[1][0], rel_tol=1e-12)
+
+
+def test_exponential_mean_sends_every_row_once(spark):
+    """No halo: the one exchange of the rows before the recurrence has each row once."""
+    df = spark.range(4000).selectExpr("0 as k", "id as t", "double(id) as x")
+    plan = exponential_mean(df, ["k"], "t", F.col("x"), 0.99, chunk=8192)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate" not in plan and "FlatMapGroupsInPandas" not in plan and plan.count("MapInArrow") == 1

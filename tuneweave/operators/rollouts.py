@@ -4,10 +4,14 @@ these run map-side with no shuffle; batch losses are ordinary aggregates."""
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..functions.specials import CLIP_RANGE, CLIP_RANGE_VALUE, CLIP_REWARD_VALUE, GAMMA, KL_CTL, LAM
+from .recurrence import discounted_tails
 
 
 def _d(arr: Column) -> Column:
@@ -54,26 +58,37 @@ def zero_from(arr: Column, end: Column) -> Column:
 def advantages_returns(values: Column, rewards: Column, start: Column,
                        gamma: float = GAMMA, lam: float = LAM) -> Column:
     """Generalised advantage estimation from ``start``; returns
-    ``struct(advantages, returns)`` (both of length ``n - start``).
-
-    The backward recursion runs as an ``aggregate`` over the reversed
-    positions carrying ``(gae, out)``."""
-    v, r = _d(values), _d(rewards)
-    n = F.size(v)
-    idx = F.when(start <= n - 1, F.sequence(n - 1, start, F.lit(-1))).otherwise(
-        F.array().cast("array<int>"))
-    init = F.struct(F.lit(0.0).alias("gae"), F.array().cast("array<double>").alias("out"))
-
-    def step(acc, t):
-        nv = F.when(t < n - 1, F.get(v, t + 1)).otherwise(F.lit(0.0))
-        delta = F.get(r, t) + F.lit(gamma) * nv - F.get(v, t)
-        g = delta + F.lit(gamma * lam) * acc["gae"]
-        return F.struct(g.alias("gae"), F.concat(F.array(g), acc["out"]).alias("out"))
-
-    adv = F.aggregate(idx, init, step)["out"]
-    tail_v = F.slice(v, start + 1, n)
-    returns = F.zip_with(adv, tail_v, lambda a, b: a + b)
-    return F.struct(adv.alias("advantages"), returns.alias("returns"))
+    ``struct(advantages, returns)`` (both of length ``n - start``; null where an input is).
+
+    The backward recurrence ``adv = delta + gamma * lam * adv_after`` runs over the flat
+    values of a whole Arrow batch of rows at once, as a scan of affine maps; nothing is
+    copied per position."""
+    factor, gamma = float(gamma) * float(lam), float(gamma)
+
+    @F.arrow_udf("struct<advantages:array<double>,returns:array<double>>")
+    def estimate(v: pa.Array, r: pa.Array, s: pa.Array) -> pa.Array:
+        fine = pc.and_(pc.and_(v.is_valid(), r.is_valid()), s.is_valid())
+        keep = np.flatnonzero(fine.to_numpy(zero_copy_only=False))
+        rows, owed = v.take(keep), r.take(keep)
+        sizes = pc.list_value_length(rows).to_numpy(zero_copy_only=False).astype(np.int64)
+        first = np.clip(s.take(keep).to_numpy(zero_copy_only=False).astype(np.int64), 0, sizes)
+        flat = rows.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+        given = owed.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+        if len(flat) != len(given):
+            raise ValueError("values and rewards differ in length")
+        ends = np.zeros(len(flat), bool)
+        ends[np.cumsum(sizes)[sizes > 0] - 1] = True
+        after = np.where(ends, 0.0, np.append(flat[1:], 0.0)) if len(flat) else flat
+        advantages = discounted_tails(given + gamma * after - flat, factor, ends)
+        begin = np.repeat(np.cumsum(sizes) - sizes, sizes)
+        inside = np.arange(len(flat)) - begin >= np.repeat(first, sizes)
+        lengths = np.zeros(len(v), np.int64)
+        lengths[keep] = sizes - first
+        offsets = pa.array(np.append(0, np.cumsum(lengths)), pa.int32())
+        lists = [pa.ListArray.from_arrays(offsets, pa.array(x[inside])) for x in (advantages, advantages + flat)]
+        return pa.StructArray.from_arrays(lists, names=["advantages", "returns"], mask=pc.invert(fine))
+
+    return estimate(_d(values), _d(rewards), start.cast("int"))
 
 
 def policy_loss_terms(logprobs: Column, old_logprobs: Column, advantages: Column, mask: Column,

@@ -38,11 +38,14 @@ def report_buckets(log: DataFrame, report: Column, keys: Sequence[str] = ("rank"
 
 
 def cumulative_mean(log: DataFrame, keys: Sequence[str] = ("rank",),
-                    order_by: Sequence[str] = ("epoch", "step"), value: str = "loss") -> DataFrame:
-    """M3: running mean per key (``total / count`` after every update)."""
+                    order_by: Sequence[str] = ("epoch", "step"), value: str = "loss",
+                    exact: bool = False) -> DataFrame:
+    """M3: running mean per key (``total / count`` after every update). The reference
+    adds doubles one after the other; with ``exact`` the total has no rounding of its own
+    and is the same for any chunk, and may differ from such a loop in the last place."""
     keys = list(keys)
     pos = sequence_positions(log.select(*keys, *order_by, value), keys, list(order_by))
-    run = running_sums(pos, keys, "t", {"__sum": F.col(value).cast("double")})
+    run = running_sums(pos, keys, "t", {"__sum": F.col(value).cast("double")}, exact=exact)
     return run.withColumn("cum_mean", F.col("__sum") / (F.col("t") + 1)).drop("__sum")
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.numeric import round_to
-from ..streaming.metrics_stream import (live_scalar_series, online_metrics, run_to_sink,
+from ..streaming.metrics_stream import (SERIES_SCHEMA, live_scalar_series, read_sink, run_metrics,
                                         step_log_stream)
 from .q_trainlog import EMA_ALPHA, REPORT_EVERY, SQL_BUCKETS, SQL_CUMAVG, SQL_EMA
 from .tables import table
@@ -20,8 +20,8 @@ def _metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     schema = table(spark, sf_dir, "events").schema
     glob = os.path.join(sf_dir, "events.parque[t]")
     log = step_log_stream(spark, glob, schema)
-    out = run_to_sink(online_metrics(log, EMA_ALPHA, REPORT_EVERY))
-    return spark.read.parquet(out)
+    # totals as the batch query adds them
+    return read_sink(spark, run_metrics(log, alpha=EMA_ALPHA, report_every=REPORT_EVERY, exact=False))
 
 
 def stream_ema(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -46,8 +46,8 @@ def stream_scalar_series(spark: SparkSession, sf_dir: str) -> DataFrame:
     Parquet sink (tag, value, global_step)."""
     schema = table(spark, sf_dir, "events").schema
     log = step_log_stream(spark, os.path.join(sf_dir, "events.parque[t]"), schema)
-    series = live_scalar_series(online_metrics(log, EMA_ALPHA, REPORT_EVERY))
-    s = spark.read.parquet(run_to_sink(series))
+    out = run_metrics(log, alpha=EMA_ALPHA, report_every=REPORT_EVERY, project=live_scalar_series)
+    s = read_sink(spark, out, SERIES_SCHEMA)
     return s.select("tag", round_to("value", 9).alias("value"), "global_step")
 
 
