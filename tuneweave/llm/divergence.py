@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialize
-from .common import WORD, words
+from .common import GAP_CHARS, WORD, words
 
 SYMBOLS = "#*$%&|<>"
 WINDOW = 5
@@ -93,15 +93,18 @@ def references(docs: DataFrame) -> DataFrame:
     that of all other words (null if it has too few words)."""
     text = F.coalesce(F.col("text"), F.lit(""))
     known = docs.filter(F.col("lang").isNotNull()).select("lang", text.alias("text"))
-    split = known.select("lang", "text", words(F.lower("text")).alias("w"))
-    counted = split.select("lang", F.size("w").alias("words"), F.regexp_replace("text", PROSE, "").alias("rest"),
-                           F.length(F.array_join("w", "")).cast("long").alias("visible"))
-    counted = counted.select("lang", "words", "visible", _class_counts(F.col("rest"), F.col("visible")).alias("c"))
+    # each text is cut into words once; the totals come from the counted words
+    counts = materialize(known.select("lang", F.explode(words(F.lower("text"))).alias("w"))
+                         .groupBy("lang", "w").agg(F.count(F.lit(1)).alias("n")), "divergence-words")
+    totals = counts.groupBy("lang").agg(F.sum("n").alias("words"))
+    rest = known.select("lang", F.regexp_replace("text", PROSE, "").alias("rest"),
+                        F.length(F.translate("text", GAP_CHARS, "")).cast("long").alias("visible"))
+    classes = rest.select("lang", "visible", _class_counts(F.col("rest"), F.col("visible")).alias("c"))
     sums = [F.sum(F.col("c")[i]) for i in range(len(CLASSES) + 2)]
-    per_lang = (counted.groupBy("lang").agg(F.sum("words").alias("words"), F.sum("visible").alias("visible"), F.array(*sums).alias("c"))
+    classes = classes.groupBy("lang").agg(F.sum("visible").alias("visible"), F.array(*sums).alias("c"))
+    per_lang = (classes.join(totals, "lang", "left").withColumn("words", F.coalesce("words", F.lit(0)))
                 .filter((F.col("visible") >= REFERENCE_CHARS) | (F.col("words") >= REFERENCE_WORDS)))
     per_lang = materialize(per_lang, "divergence-languages")
-    counts = (split.select("lang", F.explode("w").alias("w")).groupBy("lang", "w").agg(F.count(F.lit(1)).alias("n")))
     common = (counts.join(per_lang.filter(F.col("words") >= REFERENCE_WORDS).select("lang", "words"), "lang")
               .filter(F.col("n") >= F.col("words") * MIN_COMMON)
               .groupBy("lang").agg(F.array_sort(F.collect_list(F.struct("w", (F.col("n") / F.col("words")).alias("p")))).alias("common")))
@@ -134,7 +137,8 @@ def quality_rules(docs: DataFrame, max_class: float = MAX_CLASS, max_common: flo
     refs = references(docs)
     every = refs.agg(F.collect_list("ref")).scalar()
     none = F.array().cast(f"array<{refs.schema['ref'].dataType.simpleString()}>")
-    df = (base_counts(docs.join(refs, "lang", "left"), ("lang", "ref"))
+    # only the columns read, so that no other column can clash with a reference's
+    df = (base_counts(docs.select("doc_id", "text", "lang").join(refs, "lang", "left"), ("lang", "ref"))
           .withColumn("classes", _class_counts(F.col("rest"), F.col("word_chars")))
           .withColumn("own", F.when(F.col("lang").isNull(), every).when(F.col("ref").isNotNull(), F.array("ref")).otherwise(none))
           .withColumn("own_words", F.array_distinct(F.flatten(F.transform("own", lambda r: r["words"]))))
@@ -143,8 +147,9 @@ def quality_rules(docs: DataFrame, max_class: float = MAX_CLASS, max_common: flo
 
     def word_counts(r):
         each = F.transform(r["words"], lambda w: (F.size(common) - F.size(F.array_remove(common, w))).cast("long"))
-        # the counts, and what they leave of all words
-        return F.concat(each, F.array(n_words - F.aggregate(each, F.lit(0).cast("long"), lambda a, x: a + x)))
+        # the counts, and what they leave of all words; bound, so that they are counted once
+        return F.transform(F.array(each), lambda e: F.concat(
+            e, F.array(n_words - F.aggregate(e, F.lit(0).cast("long"), lambda a, x: a + x))))[0]
 
     def nearest(of):
         return F.coalesce(F.array_min(F.transform("own", of)), F.lit(0.0))
