@@ -3,8 +3,11 @@
 A term is a lower-cased word. The lexicon holds the terms whose document
 frequency lies in a band of the corpus, that is an inverse-document-frequency
 band. A text's fingerprint has one hash per randomised subset of the lexicon:
-its distinct terms in that subset are sorted and hashed. Two fingerprints are as
-alike as the share of subsets in which they agree.
+its distinct terms in that subset are sorted and hashed. The subsets are of several
+sizes, from the whole lexicon down to small shares of it: the smaller a subset, the more
+edits pass it by. A subset with fewer than ``LEAST`` terms of the text says nothing and has
+no hash, but for the whole lexicon. Two fingerprints are as alike as the share of subsets
+in which they agree, of those where either has a hash.
 
 Document frequency is counted per term (its 64-bit hash). The lexicon is a hash
 table: the hashes of its terms by bucket, ``BUCKETS`` of them. A text has each of
@@ -22,10 +25,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import materialize
 from .common import words
 
 BUCKETS = 1 << 12
-SUBSETS = 8
+#: Subset k = (bits, value) holds the terms whose hash has that value in the bits kept for
+#: that rate: one in 2 ** bits terms of the lexicon. Those of one rate are disjoint.
+SUBSETS = ((0, 0), (2, 0), (3, 0), (3, 1), (3, 2), (4, 0), (4, 1), (4, 2), (4, 3), (5, 0), (5, 1), (5, 2), (5, 3), (6, 0), (6, 1))
+LEAST = 5
 #: Band of document frequency as shares of all documents: idf from 1.6 to 6.2.
 LOW, HIGH = 0.002, 0.2
 #: Documents of one block of consecutive ids, as a power of two.
@@ -42,8 +49,8 @@ def _bucket(h: Column) -> Column:
 
 
 def lexicon(docs: DataFrame, low: float = LOW, high: float = HIGH) -> Column:
-    """Scalar subquery: for each bucket the hashes of its terms in the band, null
-    where it has none."""
+    """Scalar subquery over a written table: for each bucket the hashes of its terms in
+    the band, null where it has none."""
     spark = docs.sparkSession
     text = docs.select(F.coalesce(F.col("text"), F.lit("")).alias("text"))
     rows = text.agg(F.count(F.lit(1))).scalar()
@@ -53,38 +60,52 @@ def lexicon(docs: DataFrame, low: float = LOW, high: float = HIGH) -> Column:
              .groupBy(_bucket(F.col("h")).alias("b")).agg(F.collect_list("h").alias("terms")))
     every = spark.range(BUCKETS, numPartitions=8).select(F.col("id").cast("int").alias("b"))
     table = every.join(found, "b", "left").select(F.struct("b", "terms").alias("s"))
-    return table.agg(F.transform(F.sort_array(F.collect_list("s")), lambda s: s["terms"])).scalar()
+    table = table.agg(F.transform(F.sort_array(F.collect_list("s")), lambda s: s["terms"]).alias("lexicon"))
+    return materialize(table, "imatch-lexicon").select("lexicon").scalar()
 
 
-def fingerprint(terms: Column, table: Column) -> Column:
-    """Array of ``SUBSETS`` hashes for an array of term hashes; ``table`` is the
-    lexicon."""
-    inside = F.filter(terms, lambda h: F.array_contains(F.get(table, _bucket(h)), h))
-    kept = F.array_sort(F.when(F.size(inside) == 0, terms).otherwise(inside))
-    # bit 24 + k of a term's hash says whether subset k of the lexicon has it
-    return F.transform(
-        F.array(*[F.lit(k) for k in range(SUBSETS)]),
-        lambda k: F.xxhash64(F.filter(kept, lambda h: F.getbit(h, F.lit(24) + k) == 1), k))
+def fingerprint(kept: Column) -> Column:
+    """Array of hashes, one for each of ``SUBSETS``, from a text's sorted terms that are in
+    the lexicon. The subsets are written out one by one: as a lambda over their numbers
+    they would have the optimizer compute ``kept`` anew in each."""
+    def subset(k: int) -> Column:
+        bits, value = SUBSETS[k]
+        if bits == 0:
+            return F.xxhash64(kept, F.lit(k))
+        # above the bits of the bucket, the rates one after the other
+        at, mask = 12 + sum(range(2, bits)), F.lit((1 << bits) - 1).cast("long")
+        mine = F.filter(kept, lambda h: F.shiftright(h, at).bitwiseAND(mask) == value)
+        return F.transform(F.array(mine), lambda m: F.when(F.size(m) >= LEAST, F.xxhash64(m, F.lit(k))))[0]
+
+    return F.array(*[subset(k) for k in range(len(SUBSETS))])
 
 
 def likeness(a: Column, b: Column) -> Column:
-    same = F.filter(F.zip_with(a, b, lambda x, y: x == y), lambda x: x)
-    return F.size(same) / F.lit(float(SUBSETS))
+    """Share of the subsets with a hash on either side that agree; null of an absent
+    fingerprint."""
+    same = F.zip_with(a, b, lambda x, y: x == y)
+    either = F.zip_with(a, b, lambda x, y: x.isNotNull() | y.isNotNull())
+    return F.when(a.isNotNull() & b.isNotNull(), F.size(F.filter(same, lambda x: x)) / F.size(F.filter(either, lambda x: x)))
 
 
 def as_text(fp: Column) -> Column:
-    return F.lower(F.array_join(F.transform(fp, lambda h: F.lpad(F.hex(h), 16, "0")), "-"))
+    """Hashes in hexadecimal, ``x`` for a subset without one, joined by hyphens."""
+    return F.array_join(F.transform(fp, lambda h: F.coalesce(F.lower(F.lpad(F.hex(h), 16, "0")), F.lit("x"))), "-")
 
 
-def imatch(docs: DataFrame, low: float = LOW, high: float = HIGH) -> DataFrame:
-    """doc_id, text and ``fp``, the array of subset hashes."""
+def imatch(docs: DataFrame, low: float = LOW, high: float = HIGH, table: Column | None = None) -> DataFrame:
+    """doc_id, text and ``fp``, the array of subset hashes; ``table`` is a lexicon made
+    before, else that of ``docs``."""
+    table = lexicon(docs, low, high) if table is None else table
     base = docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"))
-    return _fingerprinted(base, "text", "fp", lexicon(docs, low, high))
+    return _fingerprinted(base, "text", "fp", table)
 
 
 def _fingerprinted(df: DataFrame, text: str, fp: str, table: Column) -> DataFrame:
-    return (df.withColumn("terms", term_hashes(F.col(text))).withColumn("table", table)
-            .withColumn(fp, fingerprint(F.col("terms"), F.col("table"))).drop("terms", "table"))
+    inside = F.filter("terms", lambda h: F.array_contains(F.get(F.col("table"), _bucket(h)), h))
+    df = df.withColumn("terms", term_hashes(F.col(text))).withColumn("table", table).withColumn("inside", inside)
+    df = df.withColumn("kept", F.sort_array(F.when(F.size("inside") == 0, F.col("terms")).otherwise(F.col("inside"))))
+    return df.withColumn(fp, fingerprint(F.col("kept"))).drop("terms", "table", "inside", "kept")
 
 
 def successors(keys: DataFrame, span: int) -> DataFrame:
@@ -134,11 +155,12 @@ def edited_fingerprints(docs: DataFrame, low: float = LOW, high: float = HIGH) -
     replaced by the beginning of the next document."""
     n = F.col("n_chars")
     half = F.floor(n / 2).cast("int")
-    pairs = with_next(imatch(docs, low, high), ["text", "fp"]).withColumn("n_chars", F.length("text").cast("long"))
+    table = lexicon(docs, low, high)
+    pairs = with_next(imatch(docs, table=table), ["text", "fp"]).withColumn("n_chars", F.length("text").cast("long"))
     pairs = pairs.withColumn("edited", F.concat(
         F.substring(F.col("text"), F.lit(1), (n - half).cast("int")),
         F.substring(F.col("next.text"), F.lit(1), half)))
-    edited = _fingerprinted(pairs, "edited", "edited_fp", lexicon(docs, low, high))
+    edited = _fingerprinted(pairs, "edited", "edited_fp", table)
     return edited.select(
         "doc_id", "n_chars", F.sha2(F.col("edited"), 256).alias("edited_sha256"),
         as_text(F.col("fp")).alias("fingerprint"), as_text(F.col("edited_fp")).alias("edited_fingerprint"),
