@@ -250,3 +250,37 @@ def test_stream_restart_counts_each_row_once(spark, tmpdir_path):
         run_metrics(stream, out, report_every=5)
     rows = {r.step: r for r in read_sink(spark, out).collect()}
     assert len(rows) == 20 and rows[19].cum_mean == 4.5 and [r.bucket for s, r in sorted(rows.items()) if r.report] == [0, 1, 2, 3]
+
+
+def test_large_json_array_is_read_by_many_tasks(spark, tmpdir_path):
+    import json
+
+    from tuneweave.sources.files import CONVERSATION_SCHEMA, INSTRUCT_SCHEMA, read_json_arrays, read_large_json_arrays
+
+    odd = ['}', '{', '"', '\\', '\\"}', '{"a": [1, {"b": "}"}]}', 'line\nbreak\t}', '\u00e9\U0001F600}{', '', '\\\\', ']', '[,]']
+    records = [{"instruction": odd[i % len(odd)] + str(i), "input": odd[(i * 7) % len(odd)] * (i % 5),
+                "output": "x}" * (i % 40), "extra": {"deep": [{"er": odd[i % 3]}, {}]}} for i in range(900)]
+    records[5] = {"instruction": None, "output": "no input"}
+    names = []
+    for k, (indent, part) in enumerate(((None, records[:500]), (2, records[500:]), (None, []), (None, records[:1]))):
+        names.append(os.path.join(tmpdir_path, f"{'zxya'[k]}.json"))
+        with open(names[-1], "w") as f:
+            json.dump(part, f, indent=indent, ensure_ascii=k == 0)
+    order = ["file_ordinal", "source_file", "row_in_file"]
+    fields = INSTRUCT_SCHEMA.fieldNames()
+    want = [tuple(r) for r in read_json_arrays(spark, names).orderBy(*order).select(*fields).collect()]
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+    try:
+        whole, cut = read_json_arrays(spark, names[0]), spark.read.option("lineSep", "}").text(names[0])
+        assert whole.rdd.getNumPartitions() == 1 < 5 < cut.rdd.getNumPartitions()
+        got = [tuple(r) for r in read_large_json_arrays(spark, names).orderBy(*order).select(*fields).collect()]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert len(want) == 901 and got == want
+    chats = [{"conversations": [{"role": "user", "content": f"q}}{i}"}, {"role": "assistant", "content": '"'}]} for i in range(40)]
+    path = os.path.join(tmpdir_path, "chats.json")
+    with open(path, "w") as f:
+        json.dump(chats, f)
+    got = read_large_json_arrays(spark, path, CONVERSATION_SCHEMA).orderBy(*order).collect()
+    assert [[t.content for t in r.conversations] for r in got] == [[f"q}}{i}", '"'] for i in range(40)]

@@ -116,3 +116,35 @@ def test_dense_index_spreads_a_hot_key_over_partitions(spark, monkeypatch):
     assert sorted(r.idx for r in out.collect()) == list(range(4000))
     sizes = [r["count"] for r in seen[0].groupBy("__pid").count().collect()]
     assert max(sizes) < 0.3 * 4000  # the hot key is split, not one task
+
+
+def _written_columns(monkeypatch):
+    import tuneweave.operators.order as order
+
+    seen = []
+    real = order.materialize
+
+    def spy(df, name="stage"):
+        seen.append(set(c for c in df.columns if not c.startswith("__p") and not c.startswith("__m")))
+        return real(df, name)
+
+    monkeypatch.setattr(order, "materialize", spy)
+    return seen
+
+
+def test_only_keys_go_through_the_index(spark, monkeypatch):
+    from tuneweave.operators.order import phase_part, sft_only_append, train_eval_split
+
+    df = spark.createDataFrame([(i if i else None, f"text {i}", i % 3) for i in range(200)], "doc_id long, text string, v int")
+    plain = {(r.doc_id, r.text): r.rank for r in phase_part(df, "2,4,4", 2, 7, ["doc_id"]).collect()}
+    a = df.select(F.col("doc_id").cast("string").alias("id"), "text")
+    mixed = {(r.source, r.id): r.rank for r in blend({"a": a, "b": a.limit(50)}, 3).collect()}
+    seen = _written_columns(monkeypatch)
+    out = phase_part(df, "2,4,4", 2, 7, ["doc_id"], unique_ids=True)
+    assert {(r.doc_id, r.text): r.rank for r in out.collect()} == plain and len(plain) == 80
+    got = {(r.source, r.id): r.rank for r in blend({"a": a, "b": a.limit(50)}, 3, unique_ids=True).collect()}
+    assert got == mixed
+    both = train_eval_split(df, 7, ["doc_id"], unique_ids=True)
+    assert both.count() == 200 and both.filter("split = 'eval'").count() == 20 and "text" in both.columns
+    assert sft_only_append(got and a.withColumn("source", F.lit("a")), {"s": a}, 5, unique_ids=True).count() == 400
+    assert seen and all(not c & {"text", "v"} for c in seen)

@@ -88,3 +88,68 @@ def test_unsupervised_blocks_with_plugin(spark):
     assert sorted((r.group_id, len(r.input_ids)) for r in blocks) == \
         [(0, 6)] * 3 + [(1, 6)] * 8 + [(2, 6)] * 6
     assert blocks[0].input_ids[:2] == [ord("a") + 5, ord("b") + 5]
+
+
+def test_prompt_dataset_ranks_ids_and_keeps_equal_records(spark, monkeypatch):
+    import tuneweave.operators.order as order
+
+    seen, real = [], order.materialize
+
+    def spy(df, name="stage"):
+        seen.append(set(df.columns))
+        return real(df, name)
+
+    monkeypatch.setattr(order, "materialize", spy)
+    pairs = _pairs(spark, 30, "a")
+    twice = pairs.unionByName(pairs).unionByName(pairs.limit(1))
+    tr, ev = create_prompt_dataset(spark, [("Dahoas/rm-static", twice)], "10,0,0", 1, max_seq_len=8)
+    rows = tr.collect() + ev.collect()
+    assert len(rows) == 61 and len({r.row_id for r in rows}) == 61
+    # the vocabulary's own index aside, ids and ranks only
+    assert all(c <= {"row_id", "source", "__h", "__order", "__pid", "__mid"} for c in seen if "word" not in c)
+
+
+def test_changed_inputs_are_no_hit(spark, tmpdir_path):
+    from pyspark.sql import functions as F
+
+    from tuneweave.operators.tokens import build_vocabulary
+    from tuneweave.plans import prepare
+
+    d = _pairs(spark, 40, "a")
+    root = os.path.join(tmpdir_path, "reuse")
+
+    def build(df=d, **more):
+        args = dict(max_seq_len=16, output_root=root) | more
+        return create_prompt_dataset(spark, [("local/jsonfile", df)], "2,4,4", 1, **args)[0]
+
+    first = sorted(build().select("row_id", "input_ids").collect())
+    assert len(os.listdir(root)) == 1
+    work, real = [], prepare._features
+    prepare._features = lambda *a: work.append(1) or real(*a)
+    try:
+        assert sorted(build().select("row_id", "input_ids").collect()) == first and not work  # a hit does nothing
+        assert sorted(build(d.repartition(5)).select("row_id", "input_ids").collect()) == first and not work
+        other = build_vocabulary(F.col("chosen"), d)
+        assert sorted(build(vocabulary=other).select("row_id", "input_ids").collect()) != first
+        assert sorted(build(end_of_conversation_token=" end").select("row_id", "input_ids").collect()) != first
+        changed = d.withColumn("chosen", F.when(F.col("prompt") == "a prompt 3", "other").otherwise(F.col("chosen")))
+        build(changed)
+        build(d.limit(39))
+        assert len(work) == 4 and len(os.listdir(root)) == 5
+    finally:
+        prepare._features = real
+
+
+def test_prompt_dataset_counts(spark):
+    from tuneweave.plans.prepare import prompt_dataset_counts
+
+    d = _pairs(spark, 40, "a")
+    for phase in (1, 2, 3):
+        counts = prompt_dataset_counts([("Dahoas/rm-static", d)], "10,0,0" if phase == 1 else "2,4,4", phase, max_seq_len=3)
+        made = dict(zip(("train", "eval"), create_prompt_dataset(spark, [("Dahoas/rm-static", d)],
+                                                                 "10,0,0" if phase == 1 else "2,4,4", phase, max_seq_len=3)))
+        rows = {r.which: r for r in counts.collect()}
+        for which, df in made.items():
+            assert df.count() == (rows[which].kept if which in rows else 0)
+        if phase == 2:
+            assert sum(r.dropped for r in rows.values()) > 0

@@ -7,6 +7,9 @@ is spread over many partitions), number rows inside each partition, store the
 result once in the shared checkpoint folder, then add per-partition offsets that
 come from a table with one row per partition (bounded by the partition count,
 so broadcasting it is safe).
+
+Where ids are unique (``unique_ids``) only the keys go through the index; parts are
+filtered on their rank and the records are fetched by one join on the ids.
 """
 
 from __future__ import annotations
@@ -89,9 +92,15 @@ def shuffle_key(seed: int, id_cols: Sequence[str | Column]) -> Column:
 
 
 def seeded_rank(df: DataFrame, seed: int, id_cols: Sequence[str], rank_col: str = "rank",
-                partition_by: Sequence[str] | None = None, return_count: bool = False):
+                partition_by: Sequence[str] | None = None, return_count: bool = False,
+                unique_ids: bool = False):
     """V2: seeded shuffle. ``rank`` is the 0-based position after ordering by
-    ``md5(seed-id)``; ids break the (astronomically rare) digest ties."""
+    ``md5(seed-id)``; ids break the (astronomically rare) digest ties. With
+    ``unique_ids`` the keys alone are ranked and the records join them."""
+    if unique_ids:
+        keys, n = _ranked_keys(df, seed, id_cols, rank_col, partition_by)
+        out = fetch(df, keys, [*(partition_by or []), *id_cols])
+        return (out, n) if return_count else out
     keyed = df.withColumn("__h", shuffle_key(seed, id_cols))
     out = dense_index(keyed, ["__h", *id_cols], rank_col, partition_by, return_count=return_count)
     if return_count:
@@ -99,6 +108,24 @@ def seeded_rank(df: DataFrame, seed: int, id_cols: Sequence[str], rank_col: str
     return out.drop("__h")
 
 
+def _ranked_keys(df: DataFrame, seed: int, id_cols: Sequence[str], rank_col: str,
+                 partition_by: Sequence[str] | None = None) -> tuple[DataFrame, int | None]:
+    """The keys of ``df`` with their rank, and their number (of all groups: None)."""
+    keys = df.select(*(partition_by or []), *id_cols)
+    if partition_by:
+        return seeded_rank(keys, seed, id_cols, rank_col, partition_by), None
+    return seeded_rank(keys, seed, id_cols, rank_col, return_count=True)
+
+
+def fetch(df: DataFrame, keys: DataFrame, id_cols: Sequence[str]) -> DataFrame:
+    """Late materialisation: the records of ``df`` whose ids are in ``keys``, with the
+    other columns of ``keys``. Null ids match null ids; ids are unique on both sides."""
+    index = keys.select(*[F.col(c).alias(f"__id_{i}") for i, c in enumerate(id_cols)],
+                        *[c for c in keys.columns if c not in id_cols])
+    same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"__id_{i}")) for i, c in enumerate(id_cols)])
+    return df.join(index, same).drop(*[f"__id_{i}" for i in range(len(id_cols))])
+
+
 def split_bounds(data_split: str, n: int) -> list[int]:
     """P1 bounds: each part's size is its share of the rows, rounded half to even;
     the first part makes up for all rounding, and the bounds are the running sum of
@@ -128,42 +155,52 @@ def part_of(rank: Column, bounds: Sequence[int]) -> Column:
 
 def exact_split(df: DataFrame, data_split: str, seed: int, id_cols: Sequence[str],
                 rank_col: str = "rank", part_col: str = "part",
-                n: int | None = None) -> DataFrame:
+                n: int | None = None, unique_ids: bool = False) -> DataFrame:
     """Seeded shuffle, then exact proportional parts of the shuffled order.
     The only driver value is the row count."""
-    ranked, counted = seeded_rank(df, seed, id_cols, rank_col, return_count=True)
+    source = df.select(*id_cols) if unique_ids else df
+    ranked, counted = seeded_rank(source, seed, id_cols, rank_col, return_count=True)
     n = counted if n is None else n
     bounds = split_bounds(data_split, n)
-    return ranked.withColumn(part_col, part_of(F.col(rank_col), bounds))
+    parted = ranked.withColumn(part_col, part_of(F.col(rank_col), bounds))
+    return fetch(df, parted, id_cols) if unique_ids else parted
+
+
+def _one_part(df: DataFrame, data_split: str, part: int, seed: int, id_cols: Sequence[str],
+              rank_col: str, unique_ids: bool) -> DataFrame:
+    """The records of one part; with unique ids the others are never fetched."""
+    split = exact_split(df.select(*id_cols) if unique_ids else df, data_split, seed, id_cols, rank_col)
+    rows = split.filter(F.col("part") == part).drop("part")
+    return fetch(df, rows, id_cols) if unique_ids else rows
 
 
 def phase_part(df: DataFrame, data_split: str, train_phase: int, seed: int,
-               id_cols: Sequence[str], rank_col: str = "rank") -> DataFrame:
+               id_cols: Sequence[str], rank_col: str = "rank", unique_ids: bool = False) -> DataFrame:
     """The phase uses part ``train_phase - 1`` of the split (train and eval
     alike)."""
-    split = exact_split(df, data_split, seed, id_cols, rank_col)
-    return split.filter(F.col("part") == train_phase - 1).drop("part")
+    return _one_part(df, data_split, train_phase - 1, seed, id_cols, rank_col, unique_ids)
 
 
 def train_eval_split(df: DataFrame, seed: int, id_cols: Sequence[str],
-                     rank_col: str = "rank") -> DataFrame:
+                     rank_col: str = "rank", unique_ids: bool = False) -> DataFrame:
     """Derived 9:1 split; adds ``split`` = 'train' | 'eval'."""
-    out = exact_split(df, "9,1", seed, id_cols, rank_col)
+    out = exact_split(df, "9,1", seed, id_cols, rank_col, unique_ids=unique_ids)
     return out.withColumn("split", F.when(F.col("part") == 0, "train").otherwise("eval")).drop("part")
 
 
 def blend(datasets: dict[str, DataFrame], seed: int, id_col: str = "id",
-          source_col: str = "source", rank_col: str = "rank") -> DataFrame:
+          source_col: str = "source", rank_col: str = "rank", unique_ids: bool = False) -> DataFrame:
     """Union all datasets (tagged with their source) and shuffle the union
-    with the seeded order on (seed, source, id)."""
+    with the seeded order on (seed, source, id). ``unique_ids``: ids are unique
+    inside each dataset."""
     tagged = [d.withColumn(source_col, F.lit(name)) for name, d in datasets.items()]
     union = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), tagged)
-    return seeded_rank(union, seed, [source_col, id_col], rank_col)
+    return seeded_rank(union, seed, [source_col, id_col], rank_col, unique_ids=unique_ids)
 
 
 def sft_only_append(train: DataFrame, sft_only: dict[str, DataFrame], seed: int,
                     id_col: str = "id", source_col: str = "source",
-                    rank_col: str = "rank") -> DataFrame:
+                    rank_col: str = "rank", unique_ids: bool = False) -> DataFrame:
     """SFT-only datasets enter phase 1 whole (split ``"10,0,0"``) and the
     result is shuffled again."""
     parts = {"__train": train.drop(rank_col) if rank_col in train.columns else train}
@@ -173,7 +210,7 @@ def sft_only_append(train: DataFrame, sft_only: dict[str, DataFrame], seed: int,
     for name, d in parts.items():
         tagged.append(d if name == "__train" else d.withColumn(source_col, F.lit(name)))
     union = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), tagged)
-    return seeded_rank(union, seed, [source_col, id_col], rank_col)
+    return seeded_rank(union, seed, [source_col, id_col], rank_col, unique_ids=unique_ids)
 
 
 def subset(df: DataFrame, index: DataFrame, on: str | Sequence[str]) -> DataFrame:

@@ -23,14 +23,15 @@ from pyspark.sql import functions as F
 
 from ..functions.arrays import labels_from_mask, pad_clip, value_mask
 from ..functions.specials import ENDOFTEXT, IGNORE_INDEX, PAD_ID
-from ..operators.adapters import apply_adapter, resolve_adapter
+from ..operators.adapters import apply_adapter, phase_filter, resolve_adapter
 from ..operators.batches import batch_ids
 from ..operators.chat import conversations_to_turns, instruct_to_conversation, sft_tokens, sft_tokens_with
 from ..operators.features import pack_blocks, pack_text_blocks
-from ..operators.order import (dense_index, first_n, phase_part, rank_shards, seeded_rank,
+from ..operators.order import (dense_index, fetch, first_n, phase_part, rank_shards, seeded_rank,
                                train_eval_split)
 from ..operators.tokens import (Vocabulary, build_vocabulary, eot_features, eot_pair_features,
-                               tokenize, tokenize_with)
+                               tokenize, tokenize_with, words)
+from ..session import materialize
 from ..sinks.token_cache import cache_rows, content_key, persist_or_reuse, write_token_cache
 from ..sources.files import (CONVERSATION_SCHEMA, INSTRUCT_SCHEMA, ORDER_COLUMNS,
                              read_json_arrays, read_json_lines, unsupervised_text_column,
@@ -103,36 +104,54 @@ def training_batches(spark: SparkSession, cache_paths: str | Sequence[str], max_
 
 
 def _with_row_id(df: DataFrame, id_col: str = "row_id") -> DataFrame:
-    """Records carry no id: a content hash stands in (equal records are
-    interchangeable)."""
+    """Records with a unique ``row_id``. Where they carry none, it is a hash of their
+    content; equal records are counted before anything is shuffled by it and told apart
+    by a number from the second copy on. A ``row_id`` of their own is unique already."""
     if id_col in df.columns:
         return df
-    return df.withColumn(id_col, F.sha2(F.to_json(F.struct(*[F.col(c) for c in df.columns])), 256))
+    hashed = df.withColumn(id_col, F.sha2(F.to_json(F.struct(*[F.col(c) for c in df.columns])), 256))
+    once = hashed.groupBy(id_col).agg(F.first(F.struct(*df.columns)).alias("__r"), F.count(F.lit(1)).alias("__n"))
+    copies = once.select(id_col, "__r", F.explode(F.sequence(F.lit(1), F.col("__n"))).alias("__copy"))
+    numbered = F.when(F.col("__copy") == 1, F.col(id_col)).otherwise(F.concat_ws("-", id_col, F.col("__copy").cast("string")))
+    return copies.select("__r.*", numbered.alias(id_col))
 
 
 def _train_eval(raw: DataFrame, spec, seed: int) -> tuple[DataFrame, DataFrame]:
     """Natural splits when the records carry ``split`` and the dataset has
-    named splits, else the derived 9:1 split (P3) of the train records."""
+    named splits, else the derived 9:1 split (P3) of the train records. Ids only where
+    the split is derived: the records follow with the part."""
     if "split" in raw.columns and spec.natural_splits:
         tr, ev = spec.natural_splits
-        return raw.filter(F.col("split") == tr), raw.filter(F.col("split") == ev)
+        ids = raw.select("row_id", "split")
+        return ids.filter(F.col("split") == tr).drop("split"), ids.filter(F.col("split") == ev).drop("split")
     base = raw.filter(F.col("split") == "train") if "split" in raw.columns else raw
-    d = train_eval_split(base, seed, ["row_id"], "__p3")
-    return (d.filter(F.col("split") == "train").drop("split", "__p3"),
-            d.filter(F.col("split") == "eval").drop("split", "__p3"))
+    d = train_eval_split(base.select("row_id"), seed, ["row_id"], "__p3")
+    return d.filter(F.col("split") == "train").select("row_id"), d.filter(F.col("split") == "eval").select("row_id")
 
 
 def _phase_rows(name: str, raw: DataFrame, data_split: str, train_phase: int, seed: int
                 ) -> DataFrame:
+    """Adapted records of the phase's parts. Splits and parts are ranks of ids; the
+    records are fetched once, by those of both parts."""
     spec = resolve_adapter(name)
     raw = _with_row_id(raw)
-    tr, ev = _train_eval(raw, spec, seed)
     parts = []
-    for which, df in (("train", tr), ("eval", ev)):
-        part = phase_part(df, data_split, train_phase, seed, ["row_id"], "__order")
-        adapted = apply_adapter(part, spec, ["row_id", "__order"])
-        parts.append(adapted.withColumn("which", F.lit(which)))
-    return parts[0].unionByName(parts[1]).withColumn("source", F.lit(name))
+    for which, ids in zip(("train", "eval"), _train_eval(raw, spec, seed)):
+        part = phase_part(ids, data_split, train_phase, seed, ["row_id"], "__order")
+        parts.append(part.withColumn("which", F.lit(which)))
+    rows = fetch(raw, parts[0].unionByName(parts[1]), ["row_id"])
+    return apply_adapter(rows, spec, ["row_id", "__order", "which"]).withColumn("source", F.lit(name))
+
+
+def data_fingerprint(df: DataFrame) -> str:
+    """A digest of a table's rows, whatever their order: their number, and the sum and
+    exclusive or of a 64-bit hash of each (columns in the order of their names)."""
+    columns = sorted(df.columns)
+    text = F.to_json(F.struct(*columns), {"ignoreNullFields": "false"}) if columns else F.lit("")
+    h = F.xxhash64(text)
+    n, total, mixed = df.select(h.alias("h")).agg(
+        F.count(F.lit(1)), F.sum(F.col("h").cast("decimal(38,0)")), F.bit_xor("h")).first()
+    return f"{','.join(columns)}:{n}:{total}:{mixed}"
 
 
 def create_prompt_dataset(spark: SparkSession, datasets: Sequence[tuple[str, DataFrame]],
@@ -147,43 +166,85 @@ def create_prompt_dataset(spark: SparkSession, datasets: Sequence[tuple[str, Dat
 
     Phase 1: ``input_ids, attention_mask, labels`` of prompt+chosen (F1, T5,
     X3). Phase 2: chosen and rejected ids/masks (F2, T5, X4). Phase 3:
-    reversed prompt ids/mask no longer than ``max_seq_len`` (F3, X5; the
-    dropped rows are what ``prep_counts``-style conditional sums report). Several
+    reversed prompt ids/mask no longer than ``max_seq_len`` (F3, X5). Several
     datasets are blended and shuffled (U1); SFT-only datasets join phase 1
-    whole (U2). With ``output_root`` both results are stored under the
-    content key and reused unless ``reload`` (K2)."""
+    whole (U2). :func:`prompt_dataset_counts` gives the rows kept and dropped.
+
+    With ``output_root`` both results are stored under the content key and reused unless
+    ``reload`` (K2). The key has everything the result depends on: names, splits, phase,
+    seed, length, end token, the rows of the datasets and the vocabulary (or the plug-in's
+    ``tokenizer_name``). Rows are read once for it; nothing else is done on a hit."""
     def build() -> dict[str, DataFrame]:
         rows = [_phase_rows(n, d, data_split, train_phase, seed) for n, d in datasets]
         if train_phase == 1:
             rows += [_phase_rows(n, d, "10,0,0", 1, seed) for n, d in sft_only]
-        allr = reduce(lambda a, b: a.unionByName(b), rows)
+        by_words = tokenizer_factory is None
+        kept = _kept(reduce(lambda a, b: a.unionByName(b), rows), train_phase, max_seq_len, by_words)
+        # the phase's records are read several times from here on (vocabulary, dictionaries,
+        # ids, keys): written once, so that the datasets are not
+        kept = materialize(kept, "prompt-rows")
         # one vocabulary (or plug-in) for train and eval alike
-        feats = _features(allr, train_phase, max_seq_len, end_of_conversation_token, vocabulary,
+        feats = _features(kept, train_phase, max_seq_len, end_of_conversation_token, vocabulary,
                           tokenizer_factory)
+        if train_phase == 3 and not by_words:
+            feats = materialize(feats, "prompt-features")  # which prompts are kept shows from their ids
+            kept = feats
         many = len(datasets) > 1 or (train_phase == 1 and len(sft_only) > 0)
-        return {which: _ordered(feats.filter(F.col("which") == which).drop("which"), many, seed)
-                for which in ("train", "eval")}
+        keys = kept.select("source", "row_id", "__order", "which")
+        out = {}
+        for which in ("train", "eval"):  # the order is that of keys; features are fetched by it
+            order = _ordered(keys.filter(F.col("which") == which).drop("which"), many, seed)
+            out[which] = fetch(feats.filter(F.col("which") == which).drop("which", "__order"), order, ["source", "row_id"])
+        return out
 
     if output_root is None:
         made = build()
     else:
         key = content_key([n for n, _ in datasets], data_split, train_phase, seed, tokenizer_name,
-                          max_seq_len, [n for n, _ in sft_only])
+                          max_seq_len, [n for n, _ in sft_only],
+                          [end_of_conversation_token, *[data_fingerprint(d) for _, d in [*datasets, *sft_only]],
+                           "own" if vocabulary is None else data_fingerprint(vocabulary.table)])
         made = persist_or_reuse(spark, build, output_root, key, reload)
     return made["train"], made["eval"]
 
 
 def _ordered(part: DataFrame, many: bool, seed: int) -> DataFrame:
+    """Keys with their final ``order``."""
     if many:
         return seeded_rank(part.drop("__order"), seed, ["source", "row_id"], "order")
     return dense_index(part, ["__order"], "order").drop("__order")
 
 
+def _kept(rows: DataFrame, phase: int, max_seq_len: int, by_words: bool) -> DataFrame:
+    """The rows a phase uses; phase 3 knows a prompt's length without its ids only
+    where they are words."""
+    kept = phase_filter(rows, phase)
+    return kept.filter(F.size(words(F.col("prompt"))) <= max_seq_len) if phase == 3 and by_words else kept
+
+
+def prompt_dataset_counts(datasets: Sequence[tuple[str, DataFrame]], data_split: str = "2,4,4",
+                          train_phase: int = 1, seed: int = 1234, max_seq_len: int = 512) -> DataFrame:
+    """M11 beside :func:`create_prompt_dataset`: source, which, and the rows of the
+    phase's part that are kept and dropped (phase 3: ``filtered`` are too long), with the
+    vocabulary job's lengths."""
+    rows = reduce(lambda a, b: a.unionByName(b),
+                  [_phase_rows(n, d, data_split, train_phase, seed) for n, d in datasets])
+    fields = {1: ["prompt_and_chosen"], 2: ["prompt_and_chosen", "prompt_and_rejected"], 3: ["prompt"]}[train_phase]
+    given = reduce(lambda a, b: a & b, [F.col(f).isNotNull() for f in fields])
+    long = (F.size(words(F.col("prompt"))) > max_seq_len) if train_phase == 3 else F.lit(False)
+
+    def count(test):
+        return F.sum(F.when(test, 1).otherwise(0)).cast("long")
+
+    return rows.groupBy("source", "which").agg(count(given & ~long).alias("kept"), count(~given).alias("dropped"),
+                                               count(given & long).alias("filtered"))
+
+
 def _features(rows: DataFrame, phase: int, max_seq_len: int, eot: str, vocab, factory) -> DataFrame:
     keys = ["source", "row_id", "__order", "which"]
+    kept = rows
     if phase in (1, 2):
         fields = ["prompt_and_chosen"] + (["prompt_and_rejected"] if phase == 2 else [])
-        kept = rows.filter(reduce(lambda a, b: a & b, [F.col(f).isNotNull() for f in fields]))
         if factory is None and vocab is None:
             vocab = build_vocabulary([F.concat(F.col(f), F.lit(eot)) for f in fields], kept)
         if phase == 1:
@@ -195,7 +256,6 @@ def _features(rows: DataFrame, phase: int, max_seq_len: int, eot: str, vocab, fa
                                         "rejected_": "prompt_and_rejected"},
                                  vocab, keys, max_seq_len, eot, factory=factory)
     if phase == 3:
-        kept = rows.filter(F.col("prompt").isNotNull())
         if factory is not None:
             tok = tokenize_with(kept.select(*keys, "prompt"), "prompt", factory, "__ids")
         else:
@@ -228,6 +288,7 @@ def unsupervised_blocks(spark: SparkSession, corpus: DataFrame, max_prompt_seq_l
     else:  # corpus order: file name, then position in the file
         base = with_file_order(corpus.select(col))
         order = list(ORDER_COLUMNS)
+    # the order of a corpus without ids is that of its rows: they go through the index once
     indexed = dense_index(base, order, "idx")
     if tokenizer_factory is not None:
         tok = tokenize_with(indexed.select("idx", col), col, tokenizer_factory, "input_ids")

@@ -29,7 +29,7 @@ def exact_split_q(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def phase_part_q(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return phase_part(_docs(spark, sf_dir), DATA_SPLIT, 2, SEED, ["doc_id"]).select(
+    return phase_part(_docs(spark, sf_dir), DATA_SPLIT, 2, SEED, ["doc_id"], unique_ids=True).select(
         "doc_id", "rank")
 
 
@@ -59,7 +59,7 @@ def _blend_inputs(spark, sf_dir):
 
 def blend_shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, conv = _blend_inputs(spark, sf_dir)
-    return blend({"documents": docs, "conversations": conv}, SEED).select("source", "id", "rank")
+    return blend({"documents": docs, "conversations": conv}, SEED, unique_ids=True).select("source", "id", "rank")
 
 
 def sft_only_append_q(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -33,12 +33,16 @@ def write_token_cache(rows: DataFrame, path: str, mode: str = "overwrite") -> No
 
 
 def content_key(data_paths: Sequence[str], data_split: str, train_phase: int, seed: int,
-                tokenizer_name: str, max_seq_len: int, sft_only_paths: Sequence[str] = ()) -> str:
-    """K2: sha256 of the build parameters, as the reference names its cache."""
+                tokenizer_name: str, max_seq_len: int, sft_only_paths: Sequence[str] = (),
+                content: Sequence[str] = ()) -> str:
+    """K2: sha256 of the build parameters, as the reference names its cache, and of
+    what else the result depends on (``content``: digests of the data, vocabulary and end
+    token), so that a changed input is not taken for the one that was built."""
     parts = ["_".join(data_paths), data_split, f"phase{train_phase}", f"seed{seed}",
              tokenizer_name.replace("/", "_"), f"seqlen{max_seq_len}"]
     if sft_only_paths:
         parts.append("_".join(sft_only_paths))
+    parts += list(content)
     return hashlib.sha256("_".join(parts).encode()).hexdigest()
 
 
