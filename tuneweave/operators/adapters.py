@@ -170,8 +170,10 @@ _USER_SPECS: list[tuple[str, AdapterSpec]] = []
 
 
 def register_adapter(match: str, spec: AdapterSpec) -> None:
-    """Add an adapter; user registrations are matched before built-ins."""
-    _USER_SPECS.append((match, spec))
+    """Add an adapter; user registrations are matched before built-ins. Registering
+    the same one again changes nothing."""
+    if (match, spec) not in _USER_SPECS:
+        _USER_SPECS.append((match, spec))
 
 
 def resolve_adapter(dataset_name: str) -> AdapterSpec:

@@ -5,7 +5,7 @@ from __future__ import annotations
 import importlib
 
 _MODULES = ("q_tokens", "q_order", "q_adapters", "q_features", "q_trainlog", "q_rollouts", "q_stream", "q_prepare",
-            "q_flows")
+            "q_flows", "q_surface")
 
 
 def registry() -> dict[str, tuple]:

@@ -15,7 +15,8 @@ from ..operators.trainlog import eval_perplexity
 from ..session import scratch_path
 from ..sinks.metrics import scalar_series
 from ..sinks.token_cache import cache_rows, write_token_cache
-from ..sources.files import read_json_arrays, read_local_pair, read_saved_dataset, split_of
+from ..sources.files import (read_json_arrays, read_large_json_arrays, read_local_pair, read_saved_dataset,
+                             split_of)
 from ..sources.token_cache import lookup, read_token_cache
 from . import sqlkit as q
 from .prepare import create_prompt_dataset, training_batches
@@ -33,9 +34,12 @@ EVAL_EVERY = 1000
 # ------------------------------------------------------------- file sources
 
 
-def json_arrays_in_path_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """JSON array files of at most ARRAY_ROWS records under two folders, whose
-    names need encoding and are asked for in reverse order of name."""
+ARRAY_FIELDS = "idx long, instruction string, input string, output string"
+
+
+def _array_files(spark: SparkSession, sf_dir: str) -> list[str]:
+    """JSON array files of at most ARRAY_ROWS records under two folders, whose names
+    need encoding, in reverse order of name."""
     recs = dense_index(conv_pairs(spark, sf_dir).select(
         "conv_id", "turn", F.col("prompt").alias("instruction"),
         F.coalesce("sys", F.lit("")).alias("input"), F.col("chosen").alias("output")),
@@ -47,12 +51,24 @@ def json_arrays_in_path_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     for i, p in enumerate(paths):
         (arrays.filter(F.col("chunk") % 2 == 1 - i).select("value")
          .write.option("maxRecordsPerFile", 1).text(p))
-    got = read_json_arrays(spark, paths, "idx long, instruction string, input string, output string")
+    return paths
+
+
+def json_arrays_in_path_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """JSON array files, each read whole."""
+    got = read_json_arrays(spark, _array_files(spark, sf_dir), ARRAY_FIELDS)
     in_file = Window.partitionBy("source_file").orderBy("row_in_file")  # ARRAY_ROWS rows at most
     return got.select("idx", "instruction", "input", "output", "file_ordinal",
                       (F.row_number().over(in_file) - 1).cast("long").alias("pos_in_file"))
 
 
+def json_arrays_in_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """JSON array files cut into pieces that any task can read."""
+    got = read_large_json_arrays(spark, _array_files(spark, sf_dir), ARRAY_FIELDS)
+    return got.select("idx", "instruction", "input", "output", "file_ordinal",
+                      F.col("row_in_file").cast("long").alias("pos_in_file"))
+
+
 def _tagged_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs with a natural split: 'test' for three of sixteen hashes, else 'train'."""
     return _pairs(spark, sf_dir).withColumn(
@@ -337,6 +353,7 @@ FROM tok WHERE len(ids) <= {MAX_SEQ_LEN} AND split = '{which}'"""
 
 QUERIES = {
     "json_arrays_in_path_order": (json_arrays_in_path_order, SQL_ARRAYS),
+    "json_arrays_in_pieces": (json_arrays_in_pieces, SQL_ARRAYS),
     "local_pair": (local_pair, SQL_PAIR),
     "saved_split": (saved_split, SQL_SAVED),
     "cache_lookup": (cache_lookup, SQL_LOOKUP),
