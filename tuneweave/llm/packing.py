@@ -14,6 +14,7 @@ Other columns are ignored.
 from __future__ import annotations
 
 import gc
+import itertools
 import os
 import re
 import struct
@@ -56,6 +57,16 @@ class Memo(dict):
         self.new.append(word)
 
 
+def _lowered(text: str) -> str:
+    """The text in small letters, if it has Latin-1 letters only; letters beyond are left
+    to the tokenizer's own rules."""
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return text
+    return text.lower()
+
+
 class WordIds:
     """Ids of whole texts by a tokenizer that lower-cases, drops white space and
     cuts words by ``PARTS``, as little-endian 32-bit bytes. No token of such a
@@ -94,6 +105,8 @@ class WordIds:
             self.words[w] = b"".join(map(known, parts))
 
     def encode(self, texts: list[str]) -> list[bytes]:
+        # words that differ in case have the same ids: one entry of the memo for all
+        texts = [_lowered(t) for t in texts]
         # U+001C to U+001F are white space to split(), but not to the tokenizer
         split = [re.split("[ \t\n\x0b\x0c\r]+", t) if SEPARATORS.search(t) else t.split() for t in texts]
         for memo, most in ((self.words, WORDS), (self.parts, KNOWN_PARTS)):
@@ -129,14 +142,19 @@ def _rows(batches, path: str, with_ids: bool, keep_memo: bool, schema: pa.Schema
             for at in range(0, batch.num_rows, BATCH):
                 part = ids.slice(at, BATCH).to_pylist()
                 out: list[list] = [[] for _ in schema]
+                docs, starts, sizes, pieces, sums, totals = out
                 for doc, data in zip(part, words.encode(texts.slice(at, BATCH).to_pylist())):
                     data += end
-                    start, total = 0, len(data) // 4
-                    for n in lengths(total):
-                        piece = data[4 * start:4 * (start + n)]
-                        for column, x in zip(out, (doc, start, n, piece if with_ids else None, zlib.crc32(piece), total)):
-                            column.append(x)
-                        start += n
+                    total = len(data) // 4
+                    cut = lengths(total)
+                    bounds = [0, *itertools.accumulate(cut)]
+                    found = [data[4 * a:4 * b] for a, b in zip(bounds, bounds[1:])]
+                    docs += [doc] * len(cut)
+                    starts += bounds[:-1]
+                    sizes += cut
+                    pieces += found if with_ids else [None] * len(cut)
+                    sums += map(zlib.crc32, found)
+                    totals += [total] * len(cut)
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(out, schema)], schema=schema)
     finally:
         gc.enable()
