@@ -1,12 +1,15 @@
 """Language identification by segmentation-marginalised unigrams.
 
-Each language has probabilities over the pieces of a fixed public vocabulary. A
-word's probability is the sum over all its segmentations into pieces, by the
-forward algorithm; a text's is the product over its words. The probabilities are
+Each language has probabilities over the pieces of a fixed public vocabulary that have
+at most ``LONGEST`` letters. A word's probability is the sum over all its segmentations
+into such pieces, by the forward algorithm; words of more than ``LONG_WORD`` letters are
+cut into stretches of that length, each summed on its own. A text's is the product over
+its words. The probabilities are
 learnt from the words of each language by expectation maximisation, in which the
 same forward sums, and their backward counterparts, give expected piece counts.
 
-Words are runs of letters in lower case. Defined results: a text that is null or
+Words are runs of letters and the marks that follow them (Unicode categories L and M) in
+lower case. Defined results: a text that is null or
 has no letter is ``und`` with score 0, as is every text if nothing could be learnt;
 repeated rows get the same row; an empty table gives no rows. ``lang`` is read
 from training rows only; other columns are ignored.
@@ -21,12 +24,14 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialize
 
-LETTERS = re.compile(r"[^\W\d_]+")
+ASCII_WORD = re.compile("[a-z]+")
+WORD = regex.compile(r"\p{L}[\p{L}\p{M}]*")
 #: Longest piece tried, rounds of expectation maximisation, pseudo-count of a piece.
 LONGEST, ROUNDS, PSEUDO = 12, 2, 0.05
 #: Words are cut into stretches of at most so many letters.
@@ -97,6 +102,11 @@ class Vocabulary:
         return out
 
 
+def text_words(text: str) -> list[str]:
+    """Words of a text in lower case."""
+    return (ASCII_WORD if text.isascii() else WORD).findall(text.lower())
+
+
 def stretches(word: str) -> list[str]:
     word = "▁" + word
     return [word[i:i + LONG_WORD] for i in range(0, len(word), LONG_WORD)]
@@ -147,7 +157,7 @@ def _word_rows(batches, schema: pa.Schema):
     for batch in batches:
         counts: dict[str, Counter] = {}
         for lang, text in zip(batch.column(0), batch.column(1)):
-            counts.setdefault(lang.as_py(), Counter()).update(LETTERS.findall(text.as_py().lower()))
+            counts.setdefault(lang.as_py(), Counter()).update(text_words(text.as_py()))
         for lang, words in counts.items():
             yield pa.RecordBatch.from_arrays(
                 [pa.array([lang] * len(words), pa.string()), pa.array(list(words), pa.string()),
@@ -241,7 +251,7 @@ class Scorer:
         """Log probability of each text by language; None without a letter."""
         if len(self.rows) > MEMO:
             self.rows, self.logs = {}, self.logs[:0]
-        words = [LETTERS.findall(t.lower()) if t else [] for t in texts]
+        words = [text_words(t) if t else [] for t in texts]
         self._learn(list(set().union(*words).difference(self.rows)))
         row = self.rows.__getitem__
         return [self.logs[np.fromiter(map(row, ws), np.int64, len(ws))].sum(0) if ws else None for ws in words]
