@@ -6,7 +6,9 @@ next one reads it. All but the last return the columns of ``documents``.
 Defined results: a null text is an empty document and goes through every stage
 (the classifier judges it, it has no near duplicates and no personal data, and it
 packs to the end id alone); an empty table gives an empty result; extra columns of
-``documents`` are carried up to the last stage.
+``documents`` are carried up to the last stage. Of rows equal in doc_id and text one stays
+behind the near-duplicate stage; the quality stage decides by doc_id, so rows of one id stay
+together.
 """
 
 from __future__ import annotations
@@ -15,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tuneweave.llm import mixing, ngram_join, packing, pii, quality
-from tuneweave.llm.common import remainder, table
+from tuneweave.llm.common import GAP_CHARS, remainder, table
 from tuneweave.session import materialize
 
 
@@ -33,10 +35,18 @@ def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest doc_id of each group of near duplicates."""
+    """The document with the smallest doc_id of each group of near duplicates, and one of
+    the rows that are equal in doc_id and text."""
     joined = ngram_join.jaccard_classes(docs)
     first = F.col("component_id").isNull() | (F.col("component_id") == F.col("doc_id"))
-    return _by_row(docs, joined, first)
+    stays = joined.filter(first).select(F.col("doc_id").alias("kept_id")).distinct()
+    # rows are numbered as the written table is read; a blank text has no copies
+    rows = docs.select(F.monotonically_increasing_id().alias("rid"), F.struct("*").alias("row"))
+    blank = F.coalesce(F.btrim("row.text", F.lit(GAP_CHARS)), F.lit("")) == ""
+    content = F.when(blank, F.col("rid").cast("string")).otherwise(F.sha2("row.text", 256))
+    one = rows.groupBy(F.col("row.doc_id").alias("id"), content.alias("content")).agg(F.min("rid").alias("rid"))
+    one = one.join(stays, F.col("id").eqNullSafe(F.col("kept_id")), "left_semi").select("rid")
+    return rows.join(one, "rid", "left_semi").select("row.*")
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
