@@ -2,9 +2,11 @@
 
 Fixed base rules find e-mail addresses, IP addresses, card and phone numbers in
 every whole text. They seed a bootstrap: the words around an identifier are its
-lexical patterns, and patterns and identifiers form a graph. Spark scores it in
-rounds: a pattern is as reliable for a kind as the share of its distinct
-identifiers believed to be of that kind, and an identifier that no rule knows is
+lexical patterns (``NEAR`` characters on either side), and patterns and identifiers form a
+graph. Spark scores it in rounds: a pattern is as reliable for a kind as that kind's share
+of its believed identifiers, and of a part of those that are not believed: each counts
+the less the more the pattern is known to find (``DOUBT``), so that what it could discover
+does not speak against a pattern with much evidence. An identifier that no rule knows is
 believed as far as its reliable patterns say (noisy or). Identifiers that are
 believed count as evidence in the next round. At the end the reliable patterns add
 the spans of unseen identifiers to those of the base rules.
@@ -16,6 +18,8 @@ Only ``doc_id`` and ``text`` are read. Offsets are code points, ends exclusive.
 
 from __future__ import annotations
 
+import bisect
+import itertools
 import re
 
 import pyarrow as pa
@@ -29,7 +33,11 @@ KINDS = ("email", "ip", "card", "phone")
 #: Reliable patterns have this much evidence and this share of it for one kind;
 #: believed identifiers reach this score; the graph is scored in so many rounds.
 MIN_EVIDENCE, MIN_RELIABLE, MIN_BELIEF, ROUNDS = 3.0, 0.8, 0.8, 3
-#: An identifier that no rule knows has at least so many digits, or an at sign.
+#: Of a pattern's unbelieved identifiers this many, divided by its evidence, count against
+#: it; at most one and at least LEAST_DOUBT of each.
+DOUBT, LEAST_DOUBT = 8.0, 0.05
+NEAR = 80
+#: An identifier that no rule knows has at most MAX_TOKEN characters and at least so many digits, or an at sign.
 MIN_DIGITS, MAX_TOKEN = 4, 64
 
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -98,8 +106,8 @@ def _word(token: str) -> str:
 def _context(text: str, start: int, end: int) -> list[int]:
     """Pattern keys of the words around a span: two before, one before and one
     after, and two after."""
-    before = text[max(0, start - 80):start].split()[-2:]
-    after = text[end:end + 80].split()[:2]
+    before = text[max(0, start - NEAR):start].split()[-2:]
+    after = text[end:end + NEAR].split()[:2]
     left, right = [_word(w) for w in before], [_word(w) for w in after]
     out = []
     if len(left) == 2:
@@ -116,6 +124,8 @@ def occurrences(text: str, base: list[tuple[int, int, int]]) -> list[dict]:
     is -1 where no rule knows the token."""
     out = [{"start": a, "end": b, "kind": k, "item": _key("item", text[a:b].lower()), "patterns": _context(text, a, b)}
            for a, k, b in base]
+    # spans by start, with the furthest end up to each: overlaps by bisection
+    starts, ends = [a for a, _, _ in base], list(itertools.accumulate((b for _, _, b in base), max))
     at = 0
     for m in _DIGITS.finditer(text):
         if m.start() < at:
@@ -133,7 +143,8 @@ def occurrences(text: str, base: list[tuple[int, int, int]]) -> list[dict]:
         b = a + len(token)
         if len(token) > MAX_TOKEN or ("@" not in token and sum(c in "0123456789" for c in token) < MIN_DIGITS):
             continue
-        if any(x < b and a < y for x, _, y in base):
+        before = bisect.bisect_left(starts, b)
+        if before and ends[before - 1] > a:
             continue
         out.append({"start": a, "end": b, "kind": -1, "item": _key("item", token.lower()), "patterns": _context(text, a, b)})
     return out
@@ -177,9 +188,14 @@ def bootstrap(seen: DataFrame, rounds: int = ROUNDS) -> tuple[DataFrame, DataFra
     unknown = links.join(seeds.select("item").distinct(), "item", "left_anti")
     belief = seeds.withColumn("belief", F.lit(1.0))
     for k in range(rounds):
-        evidence = links.join(belief, "item").groupBy("pattern", "kind").agg(F.sum("belief").alias("evidence"))
-        patterns = (evidence.filter(F.col("evidence") >= MIN_EVIDENCE).join(size, "pattern")
-                    .withColumn("reliable", F.col("evidence") / (F.col("items") + 0.5))
+        evidence = links.join(belief, "item").groupBy("pattern", "kind").agg(
+            F.sum("belief").alias("evidence"), F.count(F.lit(1)).alias("n"))
+        known = evidence.groupBy("pattern").agg(F.sum("evidence").alias("known"), F.sum("n").alias("met"))
+        doubt = F.greatest(F.least(F.lit(1.0), F.lit(DOUBT) / F.col("evidence")), F.lit(LEAST_DOUBT))
+        # an identifier of two kinds is met twice
+        against = F.greatest(F.col("items") - F.col("met"), F.lit(0)) * doubt
+        patterns = (evidence.filter(F.col("evidence") >= MIN_EVIDENCE).join(known, "pattern").join(size, "pattern")
+                    .withColumn("reliable", F.col("evidence") / (F.col("known") + against + 0.5))
                     .filter(F.col("reliable") >= MIN_RELIABLE).select("pattern", "kind", "reliable"))
         patterns = materialize(patterns, f"pii-patterns-{k}")
         scored = (unknown.join(patterns, "pattern").groupBy("item", "kind")
