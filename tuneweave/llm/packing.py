@@ -17,7 +17,6 @@ import gc
 import itertools
 import os
 import re
-import struct
 import zlib
 
 import numpy as np
@@ -33,6 +32,8 @@ BATCH = 512
 #: Words, and parts of words, whose ids a worker remembers (about 0.4 GB at most);
 #: a memo starts anew beyond it.
 WORDS, KNOWN_PARTS = 600_000, 1_000_000
+#: Parts of words that the tokenizer gets at a time.
+JOINED = 20_000
 SEPARATORS = re.compile("[\x1c-\x1f]")
 #: How the tokenizer cuts a word (fixed values of its file).
 PARTS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
@@ -80,6 +81,8 @@ class WordIds:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        size = self.tokenizer.get_vocab_size()
+        self.closing = np.array([(self.tokenizer.id_to_token(i) or "").endswith("</w>") for i in range(size)])
         self.words = Memo()
         self.parts: dict[str, bytes] = {}
 
@@ -90,15 +93,33 @@ class WordIds:
             cls._loaded[path] = cls(path)
         return cls._loaded[path]
 
+    def _learn_each(self, parts: list[str]) -> None:
+        for at in range(0, len(parts), JOINED):
+            some = parts[at:at + JOINED]
+            for part, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False)):
+                self.parts[part] = np.array(e.ids, "<u4").tobytes()
+
+    def _learn_parts(self, parts: list[str]) -> None:
+        """Ids of parts that the tokenizer does not cut further, all in one text: each
+        ends with a token that closes a word. Where that does not hold, one by one."""
+        ids = np.array(self.tokenizer.encode(" ".join(parts), add_special_tokens=False).ids, "<u4")
+        ends = np.flatnonzero(self.closing[ids]) + 1
+        if len(ends) != len(parts) or len(ids) != ends[-1]:
+            return self._learn_each(parts)
+        data, cuts = ids.tobytes(), (4 * ends).tolist()
+        self.parts.update(zip(parts, (data[a:b] for a, b in zip([0, *cuts], cuts))))
+
     def _learn(self, new: set[str]) -> None:
-        plain = [w for w in new if w.isalpha() and not WHOLE.search(w)]
-        mixed = {w: [w] if WHOLE.search(w) else PARTS.findall(w.lower()) for w in new.difference(plain)}
+        whole = [w for w in new if WHOLE.search(w)]
+        rest = new.difference(whole)
+        plain = [w for w in rest if w.isalpha()]
+        mixed = {w: PARTS.findall(w.lower()) for w in rest.difference(plain)}
         lower = [w.lower() for w in plain]
         missing = list(set(lower).union(*mixed.values()).difference(self.parts))
-        for at in range(0, len(missing), 20_000):
-            some = missing[at:at + 20_000]
-            for part, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False)):
-                self.parts[part] = struct.pack(f"<{len(e.ids)}I", *e.ids)
+        for at in range(0, len(missing), JOINED):
+            self._learn_parts(missing[at:at + JOINED])
+        self._learn_each([w for w in whole if w not in self.parts])
+        mixed |= {w: [w] for w in whole}
         known = self.parts.__getitem__
         self.words.update(zip(plain, map(known, lower)))
         for w, parts in mixed.items():
@@ -122,7 +143,7 @@ class WordIds:
         self._learn(set(new))
         new.clear()
         for i in open_:
-            found[i] = [known(w) if ids is None else ids for w, ids in zip(split[i], found[i])]
+            found[i] = list(map(known, split[i]))
         return [b"".join(ids) for ids in found]
 
 
