@@ -4,10 +4,12 @@ import base64
 import hashlib
 import math
 import re
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
 import corpus_pipeline
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -158,6 +160,34 @@ def test_ppm_equals_brute_force(docs):
         assert r.base_score == pytest.approx(sum(math.log10((words[w] + 1) / (n + v + 1)) for w in tokens), abs=1e-6)
 
 
+def test_ppm_scores_do_not_depend_on_blocks(docs, monkeypatch):
+    def scored():
+        return sorted((r.doc_id or 0, r.held_out, r.n_tokens, r.n_known, r.base_score, r.score)
+                      for r in ppm.score(docs, remainder(F.col("doc_id"), 7) == 2).collect())
+
+    whole = scored()
+    monkeypatch.setattr(ppm, "BLOCK_BYTES", 200)  # a split of several blocks
+    for got, want in zip(scored(), whole, strict=True):
+        assert got[:4] == want[:4] and got[4:] == pytest.approx(want[4:])
+
+
+def test_ppm_memory_of_a_block():
+    """Beside its texts a block holds distinct words and strings, not every word."""
+    text = " ".join(f"{a}{b}" for a in "abcdefghij" for b in "klmnopqrst") + " "
+    texts = pa.array([text * 100] * 200)  # 6 MB, 2,000,000 words, 100 of them distinct
+    schema = pa.schema([("block", pa.int64()), ("kind", pa.int8()), ("key", pa.int64()), ("n", pa.int64())])
+    batch = pa.RecordBatch.from_arrays([pa.array([0] * 200, pa.int64()), pa.array([False] * 200), texts], ["block", "held_out", "text"])
+    keys = pa.Table.from_batches(ppm._key_rows([batch], schema))
+    values = pa.table({"kind": keys["kind"], "key": keys["key"], "value": keys["n"].cast(pa.float64())})
+    docs = pa.table({"block": batch.column(0), "held_out": batch.column(1), "text": texts, "doc_id": pa.array(range(200))})
+    tracemalloc.start()
+    out = ppm._score_block(docs, values)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert out["n_tokens"].to_pylist() == [10_001] * 200
+    assert peak < 80_000_000
+
+
 BASE = [r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
         r"[0-9]([\x20-]?[0-9])+", r"\+[0-9][\x20().0-9-]+[0-9]"]
 

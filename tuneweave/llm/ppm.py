@@ -9,11 +9,13 @@ A text's score is the sum over its bytes and a closing end byte. A word unigram
 model with add-one smoothing gives the base score.
 
 How it runs: tasks gather the distinct (context, byte) strings and words of their
-block of documents with training counts. Counts are added up by key, probabilities
+blocks of documents with training counts. Counts are added up by key, probabilities
 are worked out for all strings that share their last two context bytes, and
 every block gets back the values of its own keys by a join, where its texts are
 scored. Nothing but orders 0 and 1 (at most 256 * 256 counts) is broadcast, so the
-model may grow with the corpus. A block is one input split.
+model may grow with the corpus. A block is a run of rows of one input split, of about
+BLOCK_BYTES of text at the mean size of a text; beside its texts a task holds their
+distinct words and strings, and the work on PIECE bytes or one text.
 
 Defined results: a null text is empty and has its end only; a null doc_id counts
 as the empty text in the split rule; without training rows every byte has
@@ -35,7 +37,9 @@ from ..session import materialize
 from .common import LOWER, text_bytes
 
 #: Longest context in bytes, and bytes that are worked on at a time.
-ORDER, PIECE = 4, 2_000_000
+ORDER, PIECE = 4, 1_000_000
+#: Text of a block.
+BLOCK_BYTES = 32 * 1024 * 1024
 WORD, GRAM = 0, 1
 END_WORD = b"\x00end"
 SCORED = ("doc_id long, held_out boolean, n_tokens long, n_known long, logs double, score double")
@@ -44,8 +48,11 @@ SCORED = ("doc_id long, held_out boolean, n_tokens long, n_known long, logs doub
 def grams(segments: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Each byte after the first four of each segment, with the four bytes before
     it, as one number; and where each segment's numbers begin."""
-    x = np.frombuffer(b"".join(segments), np.uint8).astype(np.int64)
-    g = x[4:] | x[3:-1] << 8 | x[2:-2] << 16 | x[1:-3] << 24 | x[:-4] << 32
+    x = np.frombuffer(b"".join(segments), np.uint8)
+    g = x[:-ORDER].astype(np.int64)
+    for k in range(1, ORDER + 1):
+        g <<= 8
+        g |= x[k:len(x) - ORDER + k]
     sizes = np.array([len(s) for s in segments])
     ends = np.cumsum(sizes)
     own = np.ones(len(x), bool)
@@ -73,16 +80,15 @@ def pieces(texts: list[bytes]):
 
 
 def _counted(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    keys, counts = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    keys, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
     for _, segments in pieces(texts):
         k, c = np.unique(grams(segments)[0], return_counts=True)
-        keys.append(k)
-        counts.append(c)
-    return _merged(np.concatenate(keys), np.concatenate(counts))
+        keys, counts = _merged(np.concatenate([keys, k]), np.concatenate([counts, c]))
+    return keys, counts
 
 
 def _merged(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    order = np.argsort(keys)
+    order = np.argsort(keys, kind="stable")  # two sorted runs: one merge
     keys, counts = keys[order], counts[order]
     first = np.nonzero(np.diff(keys, prepend=keys[:1] - 1))[0]
     return keys[first], np.add.reduceat(counts, first) if len(first) else counts
@@ -92,33 +98,50 @@ def word_key(word: bytes) -> int:
     return xxhash.xxh3_64_intdigest(word) - (1 << 63)
 
 
+def _lowered(texts) -> list[bytes]:
+    """Small-letter bytes of an Arrow column of texts."""
+    return [text_bytes(t.as_py()).translate(LOWER) for t in texts.cast(pa.binary())]
+
+
 def _key_rows(batches, schema: pa.Schema):
-    """(block, kind, key, training count) of the keys in each batch."""
+    """(block, kind, key, training count) of the keys of each block. The rows of a block
+    follow each other, in one batch or in several."""
+    open_, words, others, keys, counts = None, Counter(), set(), *_counted([])
+
+    def ended():
+        rest = others.difference(words)
+        wk = np.array([*map(word_key, words), *map(word_key, rest)], np.int64)
+        wc = np.array([*words.values(), *([0] * len(rest))], np.int64)
+        kind = np.repeat(np.array([WORD, GRAM], np.int8), [len(wk), len(keys)])
+        all_keys, all_counts = np.concatenate([wk, keys]), np.concatenate([wc, counts])
+        for at in range(0, len(kind), 100_000):
+            part = slice(at, at + 100_000)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.full(len(kind[part]), open_), pa.int64()), pa.array(kind[part], pa.int8()),
+                 pa.array(all_keys[part]), pa.array(all_counts[part])], schema=schema)
+
     for batch in batches:
-        if not batch.num_rows:
-            continue
         blocks, held = np.asarray(batch.column(0)), np.asarray(batch.column(1).cast(pa.int8())) > 0
-        texts = [text_bytes(t.as_py()).translate(LOWER) for t in batch.column(2)]
         for block in np.unique(blocks):
-            train = [t for t, b, h in zip(texts, blocks, held) if b == block and not h]
-            rest = [t for t, b, h in zip(texts, blocks, held) if b == block and h]
-            words: Counter = Counter()
+            if open_ is not None and block != open_:
+                yield from ended()
+                words, others, keys, counts = Counter(), set(), *_counted([])
+            open_ = block
+            own = batch.column(2).filter(pa.array(blocks == block))
+            texts, out = _lowered(own), held[blocks == block]
+            train = [t for t, h in zip(texts, out) if not h]
+            rest = [t for t, h in zip(texts, out) if h]
             for t in train:
                 words.update(t.split())
-            words[END_WORD] = len(train)
-            others = set().union(*[t.split() for t in rest]).difference(words)
-            wk = np.array([*map(word_key, words), *map(word_key, others)], np.int64)
-            wc = np.array([*words.values(), *([0] * len(others))], np.int64)
+            words[END_WORD] += len(train)
+            for t in rest:
+                others.update(t.split())
             k1, c1 = _counted(train)
             k0, c0 = _counted(rest)
-            gk, gc = _merged(np.concatenate([k1, k0]), np.concatenate([c1, 0 * c0]))
-            keys, counts = np.concatenate([wk, gk]), np.concatenate([wc, gc])
-            kind = np.repeat(np.array([WORD, GRAM], np.int8), [len(wk), len(gk)])
-            for at in range(0, len(keys), 100_000):
-                part = slice(at, at + 100_000)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(keys[part]), block), pa.int32()), pa.array(kind[part], pa.int8()),
-                     pa.array(keys[part]), pa.array(counts[part])], schema=schema)
+            keys, counts = _merged(np.concatenate([keys, k1]), np.concatenate([counts, c1]))
+            keys, counts = _merged(np.concatenate([keys, k0]), np.concatenate([counts, 0 * c0]))
+    if open_ is not None:
+        yield from ended()
 
 
 def _find(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -199,15 +222,17 @@ def _score_block(docs: pa.Table, values: pa.Table) -> pa.Table:
     wk, wv = key[words][wo], value[words][wo]
     gk, gv = key[strings][go], value[strings][go]
     n = docs.num_rows
-    texts = [text_bytes(t.as_py()).translate(LOWER) for t in docs["text"]]
-    split = [[*t.split(), END_WORD] for t in texts]
-    distinct = list(set().union(*split))
-    at, there = _find(wk, np.fromiter(map(word_key, distinct), np.int64, len(distinct)))
-    if not there.all():
-        raise ValueError("a word of this block has no count: the input must not change between reads")
-    count = dict(zip(distinct, wv[at].tolist()))
+    texts = _lowered(docs["text"])
+    count: dict[bytes, float] = {}
     n_tokens, n_known, logs = np.zeros(n, np.int64), np.zeros(n, np.int64), np.zeros(n)
-    for k, ws in enumerate(split):
+    for k, t in enumerate(texts):
+        ws = [*t.split(), END_WORD]
+        new = list(set(ws).difference(count))
+        if new:
+            at, there = _find(wk, np.fromiter(map(word_key, new), np.int64, len(new)))
+            if not there.all():
+                raise ValueError("a word of this block has no count: the input must not change between reads")
+            count.update(zip(new, wv[at].tolist()))
         c = np.fromiter(map(count.__getitem__, ws), float, len(ws))
         n_tokens[k], n_known[k], logs[k] = len(ws), np.count_nonzero(c), np.log10(c + 1).sum()
     score = np.zeros(n)
@@ -230,11 +255,15 @@ def score(docs: DataFrame, held_out) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of
     every document. ``docs`` must be a table: its splits are read twice."""
     spark = docs.sparkSession
-    rows = docs.select(F.spark_partition_id().alias("block"), held_out.alias("held_out"),
+    size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)), F.count(F.lit(1))).first()
+    rows_of_block = max(BLOCK_BYTES * size[1] // max(size[0], 1), 1)
+    place = F.monotonically_increasing_id()  # the split above bit 33, its row below
+    block = place - F.pmod(place.bitwiseAND((1 << 33) - 1), F.lit(rows_of_block))
+    rows = docs.select(block.alias("block"), held_out.alias("held_out"),
                        F.coalesce(F.col("text"), F.lit("")).alias("text"), F.col("doc_id").cast("long").alias("doc_id"))
-    schema = pa.schema([("block", pa.int32()), ("kind", pa.int8()), ("key", pa.int64()), ("n", pa.int64())])
+    schema = pa.schema([("block", pa.int64()), ("kind", pa.int8()), ("key", pa.int64()), ("n", pa.int64())])
     keys = materialize(rows.select("block", "held_out", "text").mapInArrow(
-        lambda batches: _key_rows(batches, schema), "block int, kind tinyint, key bigint, n bigint"), "ppm-keys")
+        lambda batches: _key_rows(batches, schema), "block bigint, kind tinyint, key bigint, n bigint"), "ppm-keys")
     sums = materialize(keys.groupBy("kind", "key").agg(F.sum("n").alias("n")), "ppm-counts")
     words = sums.filter(F.col("kind") == WORD)
     total = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.when(F.col("n") > 0, 1))).first()
