@@ -1,3 +1,5 @@
+from collections import Counter
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -164,3 +166,56 @@ def test_register_adapter_takes_precedence():
     finally:
         _USER_SPECS.clear()
     assert resolve_adapter("Dahoas/rm-static").clean_name == "Dahoas_rm_static"
+
+
+def test_words_are_counted_by_tasks(monkeypatch):
+    import pyarrow as pa
+
+    from tuneweave.operators import tokens
+
+    batch = pa.RecordBatch.from_arrays(
+        [pa.array(["a b a", None, "a b\x0bc  b", "", "x<|im_end|>y\tx"]), pa.array(["b"] * 5)], ["s", "t"])
+    want = {"a": 2, "b": 7, "a b\x0bc": 1, "x": 2, "y": 1, "<|im_end|>": 1}
+    got = [(r["word"], r["n"]) for b in tokens._word_counts([batch]) for r in b.to_pylist()]
+    assert len(got) == len(want) and dict(got) == want  # a row a word, not an occurrence
+    monkeypatch.setattr(tokens, "COUNTED_WORDS", 2)
+    some = Counter()
+    for b in tokens._word_counts([batch, batch]):
+        some.update({r["word"]: r["n"] for r in b.to_pylist()})
+    assert some == {w: 2 * n for w, n in want.items()}
+
+
+def test_numbered_texts_of_several_blocks(monkeypatch):
+    import pyarrow as pa
+
+    from tuneweave.functions.specials import SPECIAL_IDS
+    from tuneweave.operators import features
+    from tuneweave.operators.tokens import py_words
+
+    monkeypatch.setattr(features, "BLOCK_BYTES", 12)
+    texts = ["b a b", None, "a c<|endoftext|>", "", "b\x0ba b", "d d d d d d d d", "a"]
+    batches = [pa.RecordBatch.from_arrays([pa.array([3] * len(t), pa.int32()), pa.array(k, pa.int64()), pa.array(t, pa.string())], ["p", "k", "t"])
+               for k, t in (([0, 1, 2, 3], texts[:4]), ([], []), ([4, 5, 6], texts[4:]))]
+    rows = [r for b in features._numbered(batches) for r in b.to_pylist()]
+    of = {}
+    for r in rows:
+        if r["word"] is not None:
+            assert of.setdefault((r["__block"], r["code"]), r["word"]) == r["word"]
+    special = {i: w for w, i in SPECIAL_IDS.items()}
+    found = {r["__key"]: [special.get(c) or of[r["__block"], c] for c in r["__codes"]] for r in rows if r["word"] is None}
+    assert found == {k: py_words(t or "") for k, t in enumerate(texts)}
+    assert all(r["__len"] == len(r["__codes"]) for r in rows if r["word"] is None)
+    assert len({r["__block"] for r in rows}) > 2
+
+
+def test_pack_text_blocks_reads_and_cuts_texts_once(spark):
+    from tuneweave.operators.features import pack_text_blocks
+    from tuneweave.operators.order import dense_index
+    from tuneweave.operators.tokens import build_vocabulary
+
+    df = spark.createDataFrame([(i, f"a b{i % 3} <|endoftext|> c{i}") for i in range(30)], "doc_id long, text string")
+    index = dense_index(df.select("doc_id"), ["doc_id"], "idx")
+    out = pack_text_blocks(df, "text", build_vocabulary(F.col("text"), df), 8, 4, key_col="doc_id", index=index)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "split(" not in plan and "text#" not in plan
+    assert sum(len(r.input_ids) for r in out.collect()) == 7 * 16 + 8

@@ -5,8 +5,12 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from ..functions.specials import FIRST_WORD_ID, SPECIAL_IDS, UNK_ID
+from ..session import materialize
 from .order import dense_index
+from .tokens import BATCH_ROWS, BLOCK_BYTES, byte_words
 
 
 def phase2_tuple(chosen_ids: Column, chosen_mask: Column, rejected_ids: Column,
@@ -92,10 +96,12 @@ def pack_text_blocks(texts: DataFrame, text_col: str, vocab, block_size: int,
     """T6 + X6 fused for raw text: the same blocks as tokenizing every row and
     calling :func:`pack_blocks`, without a row's id array in any exchange.
 
-    Only ``(key, index, length)`` goes through the window on the group, at most
-    ``rows_per_group`` rows of numbers. The offsets return to the texts together with
-    the block dictionaries of the vocabulary job, on the cogroup that the texts travel
-    in anyway, and what leaves it are the slices of each block, assembled by one shuffle
+    Texts are read and cut into words once: a task numbers the distinct words of its block,
+    about ``BLOCK_BYTES`` of text, and stores each text as those numbers beside the block's
+    words. The (block, word) pairs get their ids by one join to the vocabulary. Only
+    ``(key, index, length)`` goes through the window on the group, at most
+    ``rows_per_group`` rows of numbers. Ids, offsets and numbered texts meet by a cogroup on
+    the block, and what leaves it are the slices of each block, assembled by one shuffle
     on ``(group, block)`` from at most ``block_size`` ids. A very long row is spread over
     many blocks instead of becoming one hot group.
 
@@ -105,12 +111,15 @@ def pack_text_blocks(texts: DataFrame, text_col: str, vocab, block_size: int,
     import numpy as np
     import pyarrow as pa
 
-    from .tokens import _tokenizer_of, block_dictionaries, dictionary_blocks, words
-
     key = key_col or index_col
-    base = texts.select(F.col(key).alias("__key"), F.col(text_col).alias("__t"))
-    blocks = dictionary_blocks(base, ["__t"], ["__key"])
-    lens = blocks.select("__block", "__key", F.size(words(F.coalesce("__t", F.lit("")))).alias("__len"))
+    base = texts.select(F.spark_partition_id().alias("__part"), F.col(key).alias("__key"), F.col(text_col).cast("string").alias("__t"))
+    key_type = base.schema["__key"].dataType
+    coded = materialize(base.mapInArrow(_numbered, T.StructType([
+        T.StructField("__block", T.LongType()), T.StructField("__key", key_type), T.StructField("__len", T.IntegerType()),
+        T.StructField("__codes", T.ArrayType(T.IntegerType())), T.StructField("word", T.StringType()), T.StructField("code", T.IntegerType())])),
+        "pack-codes")
+    rows = coded.filter(F.col("__len") > 0)
+    lens = coded.filter(F.col("__len").isNotNull()).select("__block", "__key", "__len")
     if index is None:
         lens = lens.withColumn("__idx", F.col("__key"))
     else:
@@ -124,29 +133,101 @@ def pack_text_blocks(texts: DataFrame, text_col: str, vocab, block_size: int,
         F.when(total >= b, F.floor(total / b) * b).otherwise(total).cast("long").alias("__keep"))
     placed = placed.filter((F.col("__len") > 0) & (F.col("__off") < F.col("__keep"))).drop("__len")
     none = F.lit(None)
-    beside = block_dictionaries(blocks, ["__t"], vocab).select(
-        "__dict", "word", "token_id", none.cast(base.schema["__key"].dataType).alias("__key"),
+    beside = coded.filter(F.col("word").isNotNull()).select("__block", "word", "code").join(
+        vocab.table.select("word", "token_id"), "word").select(
+        F.col("__block").alias("__dict"), "code", F.col("token_id").cast("int").alias("token_id"), none.cast(key_type).alias("__key"),
         *[none.cast("long").alias(c) for c in ("group_id", "__off", "__keep")])
-    beside = beside.unionByName(placed.select(F.col("__block").alias("__dict"), none.cast("string").alias("word"), none.cast("long").alias("token_id"),
+    beside = beside.unionByName(placed.select(F.col("__block").alias("__dict"), none.cast("int").alias("code"), none.cast("int").alias("token_id"),
                                               "__key", F.col("group_id").cast("long").alias("group_id"), "__off", "__keep"))
     schema = pa.schema([("group_id", pa.int64()), ("block_id", pa.int64()), ("start", pa.int64()), ("ids", pa.list_(pa.int32()))])
 
     def cut(rows: pa.Table, other: pa.Table) -> pa.Table:
-        tokenizer = _tokenizer_of(other)
-        columns = [other.column(c).to_pylist() for c in ("__key", "group_id", "__off", "__keep")]
-        offsets = {k: (g, off, keep) for k, g, off, keep in zip(*columns) if g is not None}
-        out: list[tuple] = []
-        for k, text in zip(rows.column("__key").to_pylist(), rows.column("__t").to_pylist()):
+        words = other.filter(other.column("code").is_valid())
+        codes, found = (words.column(c).to_numpy() for c in ("code", "token_id"))
+        values = [np.asarray(c.flatten()) for c in rows.column("__codes").chunks]
+        values = np.concatenate(values) if values else np.zeros(0, np.int32)
+        id_of = np.full(max(int(values.max(initial=0)), int(codes.max(initial=0)), FIRST_WORD_ID) + 1, UNK_ID, np.int32)
+        id_of[:FIRST_WORD_ID] = np.arange(FIRST_WORD_ID)
+        id_of[codes] = found
+        ids, at = id_of[values], 0
+        offsets = other.filter(other.column("group_id").is_valid())
+        offsets = {k: place for k, *place in zip(*(offsets.column(c).to_pylist() for c in ("__key", "group_id", "__off", "__keep")))}
+        out: list[tuple[int, int, int]] = []
+        parts: list[np.ndarray] = []
+        for k, n in zip(rows.column("__key").to_pylist(), rows.column("__len").to_pylist()):
             if k in offsets:
                 g, off, keep = offsets[k]
-                ids = np.array(tokenizer.encode(text), np.int32)[:keep - off]
-                inner = np.arange((off // block_size + 1) * block_size, off + len(ids), block_size)
-                starts = [off, *inner.tolist()]
-                out += [(g, at // block_size, at, part) for at, part in zip(starts, np.split(ids, inner - off))]
-        return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out) if out else [[]] * 4, schema)], schema=schema)
-
-    pieces = blocks.groupBy("__block").cogroup(beside.groupBy("__dict")).applyInArrow(
+                end = min(off + n, keep)
+                for start in [off, *range((off // block_size + 1) * block_size, end, block_size)]:
+                    stop = min((start // block_size + 1) * block_size, end)
+                    out.append((g, start // block_size, start))
+                    parts.append(ids[at + start - off:at + stop - off])
+            at += n
+        ends = np.cumsum([0, *map(len, parts)], dtype=np.int32)
+        lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(parts) if parts else ids[:0]))
+        columns = [pa.array(c, pa.int64()) for c in (zip(*out) if out else [[]] * 3)]
+        return pa.Table.from_arrays([*columns, lists], schema=schema)
+
+    pieces = rows.select("__block", "__key", "__len", "__codes").groupBy("__block").cogroup(beside.groupBy("__dict")).applyInArrow(
         cut, "group_id long, block_id long, start long, ids array<int>")
     found = pieces.groupBy("group_id", "block_id").agg(F.sort_array(F.collect_list(F.struct("start", "ids"))).alias("__parts"))
     ids = F.flatten(F.transform("__parts", lambda x: x["ids"]))
     return found.select("group_id", "block_id", ids.alias("input_ids")).withColumn("labels", F.col("input_ids"))
+
+
+class _Numbers(dict):
+    """Words of a block with their numbers in order of appearance, special tokens first."""
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = number = len(self)
+        return number
+
+
+def _numbered(batches):
+    """Texts as the numbers of their words in their block, and the words of each block.
+    A block ends after ``BLOCK_BYTES`` of text and with its task."""
+    import numpy as np
+    import pyarrow as pa
+
+    special = {w.encode(): i for w, i in SPECIAL_IDS.items()}
+    numbers, size, block = _Numbers(special), 0, None
+    names = ["__block", "__key", "__len", "__codes", "word", "code"]
+    codes_type, key_type = pa.list_(pa.int32()), None
+
+    def listed():
+        words = list(numbers)[FIRST_WORD_ID:]
+        for at in range(0, len(words), BATCH_ROWS):
+            part = pa.array(words[at:at + BATCH_ROWS], pa.binary()).cast(pa.string())
+            n, first = len(part), FIRST_WORD_ID + at
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.full(n, block)), pa.nulls(n, key_type), pa.nulls(n, pa.int32()), pa.nulls(n, codes_type), part,
+                 pa.array(np.arange(first, first + n, dtype=np.int32))], names=names)
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        part, keys, texts = batch.columns
+        key_type = keys.type
+        block = part[0].as_py() << 32 if block is None else block
+        texts = texts.cast(pa.binary())
+        done = 0
+        while done < len(texts):
+            found = []
+            for text in texts[done:]:
+                data = text.as_py() or b""
+                ws = byte_words(data)
+                found.append(np.fromiter(map(numbers.__getitem__, ws), np.int32, len(ws)))
+                size += len(data)
+                if size >= BLOCK_BYTES:
+                    break
+            n = len(found)
+            lens = np.array([len(f) for f in found], np.int32)
+            codes = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *lens], dtype=np.int32)), pa.array(np.concatenate(found)))
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(n, block)), keys[done:done + n], pa.array(lens), codes,
+                                              pa.nulls(n, pa.string()), pa.nulls(n, pa.int32())], names=names)
+            done += n
+            if size >= BLOCK_BYTES:
+                yield from listed()
+                numbers, size, block = _Numbers(special), 0, block + 1
+    if block is not None:
+        yield from listed()

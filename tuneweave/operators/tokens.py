@@ -18,7 +18,8 @@ Two tokenizers are offered:
 from __future__ import annotations
 
 import re
-from collections.abc import Callable, Iterator, Sequence
+from collections import Counter
+from collections.abc import Callable, Iterable, Iterator, Sequence
 from dataclasses import dataclass
 from functools import reduce
 
@@ -36,7 +37,10 @@ from .order import dense_index
 
 #: Text of one dictionary block; a longer text is a block's text by itself.
 BLOCK_BYTES = 32 * 1024 * 1024
+#: Distinct words that a task counts before it hands them on, and rows of an Arrow batch.
+COUNTED_WORDS, BATCH_ROWS = 500_000, 100_000
 _PY_SPLIT = re.compile(WORD_SPLIT)
+_BYTE_SPLIT = re.compile(WORD_SPLIT.encode())
 
 
 def isolate_specials(text: Column) -> Column:
@@ -58,6 +62,37 @@ def py_words(text: str) -> list[str]:
     return [w for w in _PY_SPLIT.split(text) if w]
 
 
+def byte_words(text: bytes) -> list[bytes]:
+    """The same split of a UTF-8 text."""
+    if b"<|" in text:
+        for s in INLINE_SPECIALS:
+            text = text.replace(s.encode(), f" {s} ".encode())
+    # split() of bytes cuts at a vertical tab too, and at nothing else beside WORD_SPLIT
+    return [w for w in _BYTE_SPLIT.split(text) if w] if b"\v" in text else text.split()
+
+
+def _word_counts(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(word, number) of the texts in all columns; a word may come several times."""
+    counts: Counter = Counter()
+
+    def counted():
+        words, numbers = list(counts), list(counts.values())
+        for at in range(0, len(words), BATCH_ROWS):
+            part = slice(at, at + BATCH_ROWS)
+            yield pa.RecordBatch.from_arrays([pa.array(words[part], pa.binary()).cast(pa.string()),
+                                              pa.array(numbers[part], pa.int64())], names=["word", "n"])
+
+    for batch in batches:
+        for column in batch.columns:
+            for text in column.cast(pa.binary()):
+                if text.is_valid:
+                    counts.update(byte_words(text.as_py()))
+                    if len(counts) >= COUNTED_WORDS:
+                        yield from counted()
+                        counts.clear()
+    yield from counted()
+
+
 @dataclass
 class Vocabulary:
     """Materialised vocabulary table ``(word, n, token_id)``."""
@@ -81,10 +116,11 @@ def build_vocabulary(texts: Sequence[Column] | Column, df: DataFrame) -> Vocabul
     """T1 vocabulary job: count whitespace words of the given text columns and
     number them ``FIRST_WORD_ID + rank`` by (count desc, word asc)."""
     cols = [texts] if isinstance(texts, Column) else list(texts)
-    pieces = [df.select(F.explode(words(c)).alias("word")) for c in cols]
-    occurrences = reduce(lambda a, b: a.unionByName(b), pieces)
-    occurrences = occurrences.filter(~F.col("word").isin(list(SPECIAL_IDS)))
-    counts = occurrences.groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    # tasks count the words of their texts first: what is shuffled and added up is a word a
+    # task, not a word an occurrence
+    pieces = df.select(*[c.cast("string").alias(f"__t{i}") for i, c in enumerate(cols)]).mapInArrow(
+        _word_counts, "word string, n long")
+    counts = pieces.filter(~F.col("word").isin(list(SPECIAL_IDS))).groupBy("word").agg(F.sum("n").alias("n"))
     ranked, size = dense_index(counts, [F.col("n").desc(), F.col("word").asc()], "__rank",
                                return_count=True)
     return Vocabulary(ranked.select("word", "n", (F.col("__rank") + FIRST_WORD_ID).alias("token_id")), size)
